@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, line_dedup, mixing
+from . import decontamination, language, line_dedup, mixing, quality, toxicity
 from .common import documents
 
 
@@ -16,19 +16,38 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cleaned.select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("text_sha256"))
 
 
+def _labels(spark: SparkSession, sf_dir: str, which: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", F.col(which).alias("label"))
+
+
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.classify(documents(spark, sf_dir), _labels(spark, sf_dir, "toxic"))
+
+
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     return decontamination.report(decontamination.search(documents(spark, sf_dir), items))
 
 
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(documents(spark, sf_dir), _labels(spark, sf_dir, "quality"))
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "copies", "taken")
 
 
+def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identify(documents(spark, sf_dir), reject=None)  # "und" is for texts without letters here; rejected says the rest
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
+    "op4_toxicity": op4_toxicity,
     "op6_decontamination": op6_decontamination,
+    "op8_quality": op8_quality,
     "op9_mixing": op9_mixing,
+    "op10_language": op10_language,
 }
 
 ORACLES: dict[str, str] = {
