@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, language, line_dedup, mixing, near_dedup, quality, toxicity
+from . import decontamination, language, line_dedup, mixing, near_dedup, quality, substring_dedup, toxicity
 from .common import documents
 
 
@@ -20,6 +20,10 @@ def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(documents(spark, sf_dir))
 
 
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.digest(substring_dedup.remove_repeats(documents(spark, sf_dir)))
+
+
 def _labels(spark: SparkSession, sf_dir: str, which: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", F.col(which).alias("label"))
 
@@ -48,6 +52,7 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
     "op2_near_dedup": op2_near_dedup,
+    "op3_substring_dedup": op3_substring_dedup,
     "op4_toxicity": op4_toxicity,
     "op6_decontamination": op6_decontamination,
     "op8_quality": op8_quality,
