@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, language, line_dedup, mixing, near_dedup, quality, substring_dedup, toxicity
+from . import decontamination, language, line_dedup, mixing, near_dedup, quality, substring_dedup, toxicity, webp
 from .common import documents
 
 
@@ -32,6 +32,10 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(documents(spark, sf_dir), _labels(spark, sf_dir, "toxic"))
 
 
+def op5_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return webp.read_media(webp.store_texts(documents(spark, sf_dir))).drop("error")
+
+
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     return decontamination.report(decontamination.search(documents(spark, sf_dir), items))
@@ -54,6 +58,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_near_dedup": op2_near_dedup,
     "op3_substring_dedup": op3_substring_dedup,
     "op4_toxicity": op4_toxicity,
+    "op5_media": op5_media,
     "op6_decontamination": op6_decontamination,
     "op8_quality": op8_quality,
     "op9_mixing": op9_mixing,
