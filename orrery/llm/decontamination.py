@@ -70,13 +70,8 @@ def item_windows(rows: list[tuple[int, str | None]], width: int) -> dict[int, di
     return {m: {w: sorted(i) for w, i in ws.items()} for m, ws in found.items()}
 
 
-def search(docs: DataFrame, items: DataFrame, width: int = 10, shard_windows: int = SHARD_WINDOWS) -> DataFrame:
-    """(doc_id, text) and (item_id, text) -> doc_id, n_words, hits (word spans, merged), items (ids with occurring windows, sorted).
-
-    Items go to the searchers in shards of at most shard_windows windows (an item is never cut; one that is longer is a shard of its own), each a
-    pass of its own over the documents; their findings meet by document row. A shard is what is sent to the tasks.
-    Null and empty texts have no words and no hits. Items without words match nothing. Repeated rows count each.
-    """
+def item_shards(items: DataFrame, shard_windows: int = SHARD_WINDOWS) -> list[list[tuple[int, str | None]]]:
+    """Items dealt to shards of at most shard_windows words, or one item. There is one shard at least."""
     sized = items.select("item_id", "text", F.greatest(F.lit(1), F.size(F.split(F.coalesce("text", F.lit("")), r"\W+"))).cast("long").alias("w"))
     shards: list[list[tuple[int, str | None]]] = [[]]
     room = shard_windows
@@ -86,6 +81,33 @@ def search(docs: DataFrame, items: DataFrame, width: int = 10, shard_windows: in
             room = shard_windows
         shards[-1].append((r.item_id, r.text))
         room -= r.w
+    return shards
+
+
+def keep_clean(docs: DataFrame, items: DataFrame, width: int = 10, shard_windows: int = SHARD_WINDOWS) -> DataFrame:
+    """Rows of docs (text and any others) in which no window of an item occurs, unchanged. Null and empty texts are clean. Text isn't shuffled."""
+    for shard in item_shards(items, shard_windows):
+        sent = docs.sparkSession.sparkContext.broadcast(shard)
+
+        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            tables = [WuManber(ws, m) for m, ws in item_windows(sent.value, width).items()]
+            for batch in batches:
+                for part, texts in text_chunks(batch):
+                    words = [bench_words(t) for t in texts]
+                    yield part.filter(pa.array([not any(next(t.find(w), None) for t in tables) for w in words], pa.bool_()))
+
+        docs = docs.mapInArrow(run, docs.schema)
+    return docs
+
+
+def search(docs: DataFrame, items: DataFrame, width: int = 10, shard_windows: int = SHARD_WINDOWS) -> DataFrame:
+    """(doc_id, text) and (item_id, text) -> doc_id, n_words, hits (word spans, merged), items (ids with occurring windows, sorted).
+
+    Items go to the searchers in shards of at most shard_windows windows (an item is never cut; one that is longer is a shard of its own), each a
+    pass of its own over the documents; their findings meet by document row. A shard is what is sent to the tasks.
+    Null and empty texts have no words and no hits. Items without words match nothing. Repeated rows count each.
+    """
+    shards = item_shards(items, shard_windows)
     found = None
     ids = docs.select("doc_id", "text") if len(shards) == 1 else docs.select("doc_id", "text").withColumn("row", F.monotonically_increasing_id())
     for shard in shards:

@@ -47,7 +47,7 @@ def boilerplate_lines(lines: DataFrame, min_sites: int = MIN_SITES, lg_k: int =
 
 
 def remove_boilerplate(docs: DataFrame, site: str = "source", min_sites: int = MIN_SITES) -> DataFrame:
-    """docs with doc_id, text and a site column -> the same columns, with text rid of boilerplate, and n_lines, n_removed.
+    """docs with doc_id, text and a site column -> the same columns, with text rid of boilerplate, and n_lines, n_removed (columns of these names give way).
 
     Lines are parted by \\n and compared after trimming spaces; blank ones stay. A boilerplate line stays in the document
     with the smallest id that has it (all its occurrences there). A null site is a site. Null text stays null with no lines. A
@@ -70,7 +70,7 @@ def remove_boilerplate(docs: DataFrame, site: str = "source", min_sites: int = M
     full = joined.withColumn("new__", cleaned)
     count = lambda c: F.when(F.col(c).isNull(), 0).otherwise(F.size(F.split(F.col(c), "\n"))).cast("long")
     n_removed = F.when(F.col("lost__").isNull(), 0).otherwise(F.size(text_lines) - F.size(kept)).cast("long")
-    return full.select(*[F.col("new__").alias("text") if c == "text" else F.col(c) for c in docs.columns], count("text").alias("n_lines"), n_removed.alias("n_removed"))
+    return full.select(*[F.col("new__").alias("text") if c == "text" else F.col(c) for c in docs.columns if c not in ("n_lines", "n_removed")], count("text").alias("n_lines"), n_removed.alias("n_removed"))
 
 
 #: DuckDB SQL for the digest of remove_boilerplate().

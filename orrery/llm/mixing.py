@@ -37,8 +37,8 @@ def source_targets(totals: DataFrame, cap: float = 3.0) -> DataFrame:
     return filled.select("source", "source_size", F.round(target, 4).alias("target"))
 
 
-def mix(docs: DataFrame, cap: float = 3.0, seed: str = "orrery", shards: int = 256) -> DataFrame:
-    """(doc_id, text, source) -> doc_id, source, size, source_size, target, copies, taken.
+def mix(docs: DataFrame, cap: float = 3.0, seed: str = "orrery", shards: int = 256, carry: bool = False) -> DataFrame:
+    """(doc_id, text, source) -> doc_id, source, size, source_size, target, copies, taken; with carry also doc, the whole row as a struct.
 
     Within a source, documents stand in the order of size and of a keyed hash; each expects target / source_size copies.
     Prefix sums of these, plus one random offset a source, give a document one copy for each integer that its step crosses.
@@ -50,7 +50,8 @@ def mix(docs: DataFrame, cap: float = 3.0, seed: str = "orrery", shards: int = 2
     """
     digits = max(1, len(f"{shards - 1:x}"))
     key = F.md5(F.concat_ws(":", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
-    rows = docs.select("doc_id", "source", n_words().alias("size"), key.alias("key")).withColumn("shard", F.substring("key", 1, digits))
+    with_row = [F.struct(*docs.columns).alias("doc")] if carry else []
+    rows = docs.select("doc_id", "source", n_words().alias("size"), key.alias("key"), *with_row).withColumn("shard", F.substring("key", 1, digits))
     counts = rows.groupBy("source", "size", "shard").agg(F.count(F.lit(1)).alias("n"))
     sizes = counts.groupBy("source", "size").agg(F.sum("n").alias("n_size"))
     totals = sizes.groupBy("source").agg(F.sum(F.col("size") * F.col("n_size")).alias("source_size"))
@@ -67,14 +68,20 @@ def mix(docs: DataFrame, cap: float = 3.0, seed: str = "orrery", shards: int = 2
     ranked = rows.withColumn("place", F.row_number().over(within))
     a, b = ranked.alias("a"), offsets.alias("b")
     both = a.join(b, [F.col("a.source").eqNullSafe(F.col("b.source")), F.col("a.size") == F.col("b.size"), F.col("a.shard") == F.col("b.shard")]).select(
-        "a.doc_id", "a.source", "a.size", "b.source_size", "b.target", (F.col("b.before") + F.col("a.place")).alias("rank")
+        "a.doc_id", "a.source", "a.size", "b.source_size", "b.target", (F.col("b.before") + F.col("a.place")).alias("rank"), *(["a.doc"] if carry else [])
     )
     # a grid of 2^-10 keeps offset + rank * 3 exact, so that a source at its cap gives three copies each
     u = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), F.coalesce("source", F.lit("")))), 1, 4), 16, 10).cast("long") % 1024 / 1024.0
     rate = F.when(F.col("source_size") > 0, F.least(F.col("target") / F.col("source_size"), F.lit(cap))).otherwise(0.0)
     copies = (F.floor(F.col("rank") * rate + u) - F.floor((F.col("rank") - 1) * rate + u)).cast("long")
     copies = F.least(copies, F.lit(int(cap)).cast("long"))
-    return both.withColumn("copies", copies).select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+    return both.withColumn("copies", copies).select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"), *(["doc"] if carry else []))
+
+
+def mixed_documents(docs: DataFrame, cap: float = 3.0, seed: str = "orrery") -> DataFrame:
+    """The mix itself: each document once for each of its copies, with the copy's number (a column named copy gives way)."""
+    taken = mix(docs, cap, seed, carry=True).where("copies > 0")
+    return taken.select(*(F.col("doc")[c].alias(c) for c in docs.columns if c != "copy"), F.explode(F.sequence(F.lit(1).cast("long"), "copies")).alias("copy"))
 
 
 #: DuckDB SQL for the same rows.

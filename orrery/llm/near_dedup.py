@@ -216,3 +216,11 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, weighting:
     found = signed.join(node_class, "text_key", "left")
     shingled = (F.col("n_shingles") > 0) & F.col("doc_id").isNotNull()
     return found.select("doc_id", F.when(shingled, F.col("class")).otherwise(F.col("doc_id")).alias("class_id"), "n_shingles")
+
+
+def keep_first(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """Rows of docs, one of each class: the one with the smallest id. Rows with equal id count as one document; those without an id all stay."""
+    classes = near_duplicates(docs, similarity)
+    firsts = classes.where("doc_id = class_id").select(F.col("doc_id").alias("first__")).distinct()
+    kept = docs.join(firsts, F.col("doc_id") == F.col("first__"), "left_semi").dropDuplicates(["doc_id"])
+    return kept.unionByName(docs.where("doc_id IS NULL"))

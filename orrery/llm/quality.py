@@ -162,3 +162,17 @@ def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, held_ou
     scored = stats.mapInArrow(run, "doc_id long, score double")
     held = F.coalesce(fold("doc_id", held_out_mod) == held_out_is, F.lit(False))
     return scored.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+
+
+def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, held_out_mod: int = 5, held_out_is: int = 0, max_train: int = MAX_TRAIN) -> DataFrame:
+    """Rows of docs (doc_id, text and any others) whose score is threshold or more, unchanged. The model is classify()'s; text isn't shuffled."""
+    names = labels.select(F.col("doc_id").alias("known__"))
+    stats = materialize(document_statistics(docs.select("doc_id", "text")).join(names, F.col("doc_id") == F.col("known__"), "left_semi"))
+    model = fit(stats, labels.select("doc_id", "label"), held_out_mod, held_out_is, max_train)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, texts in text_chunks(batch):
+                yield part.filter(pa.array(model.score(statistics(texts).astype(np.float32).astype(float)) >= threshold))
+
+    return docs.mapInArrow(run, docs.schema)

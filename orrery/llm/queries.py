@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, language, line_dedup, mixing, near_dedup, quality, substring_dedup, toxicity, webp
+from . import decontamination, language, line_dedup, mixing, near_dedup, pii, quality, substring_dedup, toxicity, webp
 from .common import documents
 
 
@@ -41,6 +41,12 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.report(decontamination.search(documents(spark, sf_dir), items))
 
 
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.replace_entities(documents(spark, sf_dir))
+    number = lambda k: F.size(F.filter("entities", lambda e: e["kind"] == k)).cast("long").alias(f"n_{k}")
+    return found.select("doc_id", F.size("entities").cast("long").alias("n_entities"), *(number(k) for k in pii.TYPES), "text")
+
+
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(documents(spark, sf_dir), _labels(spark, sf_dir, "quality"))
 
@@ -60,6 +66,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_toxicity": op4_toxicity,
     "op5_media": op5_media,
     "op6_decontamination": op6_decontamination,
+    "op7_pii": op7_pii,
     "op8_quality": op8_quality,
     "op9_mixing": op9_mixing,
     "op10_language": op10_language,
