@@ -27,12 +27,13 @@ def norm(v: Column) -> Column:
 
 
 def deviation(v: Column) -> Column:
-    """Population standard deviation; 1 where it is 0."""
-    m = mean(v)
-    s = F.sqrt(total(F.transform(v, lambda x: (x - m) * (x - m))) / F.size(v))
-    return F.when(s == 0, 1.0).otherwise(s)
+    """Population standard deviation, from sums of the values and of their squares; 1 where it is 0."""
+    start = F.struct(F.lit(0.0).alias("s"), F.lit(0.0).alias("q"))
+    sums = F.aggregate(v, start, lambda acc, x: F.struct((acc["s"] + x).alias("s"), (acc["q"] + x * x).alias("q")), lambda acc: F.sqrt(F.greatest(acc["q"] / F.size(v) - F.pow(acc["s"] / F.size(v), 2), F.lit(0.0))))
+    return F.when(sums == 0, 1.0).otherwise(sums)
 
 
 def standardized(v: Column) -> Column:
-    m, s = mean(v), deviation(v)
-    return F.transform(v, lambda x: (x - m) / s)
+    """Each value less the mean over the deviation; the array of one struct keeps both from being found anew for each element."""
+    moments = F.array(F.struct(mean(v).alias("m"), deviation(v).alias("s")))
+    return F.transform(moments, lambda t: F.transform(v, lambda x: (x - t["m"]) / t["s"]))[0]

@@ -18,7 +18,8 @@ def block_pairs(points: DataFrame, block_rows: int = BLOCK_ROWS, n: int | None =
     own = F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")
     every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
     left = points.withColumn("left", own).withColumn("right", every)
-    right = points.withColumn("right", own).withColumn("left", every)
+    fresh = points.select([F.col(c).alias(c) for c in points.columns])  # both sides come from the same table
+    right = fresh.withColumn("right", own).withColumn("left", every)
     return left, right
 
 
