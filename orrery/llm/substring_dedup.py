@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from bisect import bisect_left
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from itertools import accumulate
 
 import ahocorasick
@@ -59,57 +59,60 @@ class Segments:
         self.phrase = phrases[self.anchor]
         self.hash = mix64(words.span(self.start, self.stop) + (self.anchor - self.start).astype(np.uint64))
 
-    def local(self, x: np.ndarray) -> pa.Array:
-        return pa.array(x - self.words.first[self.doc], pa.int32())
-
 
 def segments(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """(doc_id, text) -> doc_id, phrase, segment (hashes), start, stop, anchor (word numbers)."""
+    """(doc_id, text) -> doc_id, phrase, segment (hashes), start (word number), length, offset of the anchor."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, texts in text_chunks(batch):
                 s = Segments(texts, window)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id").take(pa.array(s.doc)), pa.array(s.phrase.view(np.int64)), pa.array(s.hash.view(np.int64)), s.local(s.start), s.local(s.stop), s.local(s.anchor)],
-                    names=["doc_id", "phrase", "segment", "start", "stop", "anchor"],
+                    [part.column("doc_id").take(pa.array(s.doc)), pa.array(s.phrase.view(np.int64)), pa.array(s.hash.view(np.int64)), pa.array(s.start - s.words.first[s.doc], pa.int32()), pa.array(s.stop - s.start, pa.int16()), pa.array(s.anchor - s.start, pa.int16())],
+                    names=["doc_id", "phrase", "segment", "start", "length", "offset"],
                 )
 
-    return docs.where("doc_id IS NOT NULL").select("doc_id", "text").mapInArrow(run, "doc_id long, phrase long, segment long, start int, stop int, anchor int")
+    return docs.where("doc_id IS NOT NULL").select("doc_id", "text").mapInArrow(run, "doc_id long, phrase long, segment long, start int, length short, offset short")
+
 
+def _runs(docs: DataFrame, wanted: DataFrame, window: int) -> DataFrame:
+    """Texts of the wanted segments (doc_id, segs array<struct>): those that touch make one run of words.
 
-def _passages(docs: DataFrame, wanted: DataFrame, window: int) -> DataFrame:
-    """Texts of the wanted segments (doc_id, segs array<struct>), and hashes of the windows of those that have variants."""
+    doc_id, run (its first word's number), passage, and segs: each one's phrase, segment, place (of its anchor in the run) and, if it has variants, hashes of its windows.
+    """
+    seg_type = pa.struct([("phrase", pa.int64()), ("segment", pa.int64()), ("place", pa.int32()), ("windows", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, texts in text_chunks(batch):
                 words = Words(texts)
                 words.grams(ANCHOR)
-                rows = defaultdict(list)
+                rows: dict[str, list] = {"doc_id": [], "run": [], "passage": [], "segs": []}
                 for k, (doc_id, segs) in enumerate(zip(part.column("doc_id").to_pylist(), part.column("segs").to_pylist(), strict=True)):
                     own = texts[k].split()
-                    for g in segs:
-                        if g["stop"] > len(own):
+                    runs: list[tuple[int, int, list]] = []
+                    for g in sorted(segs, key=lambda g: g["start"]):
+                        stop = g["start"] + g["length"]
+                        if stop > len(own):
                             continue  # another row with this id
-                        rows["phrase"].append(g["phrase"])
-                        rows["segment"].append(g["segment"])
+                        if runs and g["start"] <= runs[-1][1]:
+                            runs[-1] = (runs[-1][0], max(stop, runs[-1][1]), runs[-1][2])
+                        else:
+                            runs.append((g["start"], stop, []))
+                        at = words.first[k] + np.arange(g["start"], stop - window + 1 if g["varies"] else g["start"])
+                        runs[-1][2].append({"phrase": g["phrase"], "segment": g["segment"], "place": g["start"] + g["offset"] - runs[-1][0], "windows": words.span(at, at + window).view(np.int64)})
+                    for start, stop, listed in runs:
                         rows["doc_id"].append(doc_id)
-                        rows["anchor"].append(g["anchor"] - g["start"])
-                        rows["passage"].append(b" ".join(own[g["start"] : g["stop"]]).decode())
-                        at = words.first[k] + np.arange(g["start"], g["stop"] - window + 1 if g["varies"] else g["start"])
-                        rows["windows"].append(words.span(at, at + window).view(np.int64))
-                if rows:
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(rows["phrase"], pa.int64()), pa.array(rows["segment"], pa.int64()), pa.array(rows["doc_id"], pa.int64()), pa.array(rows["anchor"], pa.int32()), pa.array(rows["passage"], pa.string()), pa.array(rows["windows"], pa.list_(pa.int64()))],
-                        names=["phrase", "segment", "doc_id", "anchor", "passage", "windows"],
-                    )
+                        rows["run"].append(start)
+                        rows["passage"].append(b" ".join(own[start:stop]).decode())
+                        rows["segs"].append(listed)
+                yield pa.RecordBatch.from_arrays([pa.array(rows["doc_id"], pa.int64()), pa.array(rows["run"], pa.int32()), pa.array(rows["passage"], pa.string()), pa.array(rows["segs"], pa.list_(seg_type))], names=list(rows))
 
     both = docs.select("doc_id", "text").join(wanted, "doc_id")
-    return both.mapInArrow(run, "phrase long, segment long, doc_id long, anchor int, passage string, windows array<long>")
+    return both.mapInArrow(run, "doc_id long, run int, passage string, segs array<struct<phrase: long, segment: long, place: int, windows: array<long>>>")
 
 
-def automaton_of(passages: list[tuple[int, int, list[str]]]) -> ahocorasick.Automaton | None:
+def automaton_of(passages: Iterable[tuple[int, int, list[str]]]) -> ahocorasick.Automaton | None:
     """Anchor phrases, each with the passages (document, place of the anchor, words) around it."""
     by_phrase: dict[str, list] = defaultdict(list)
     for p in passages:
@@ -128,6 +131,7 @@ def covered(doc_id: int, words: list[str], automaton: ahocorasick.Automaton, win
     text = " " + " ".join(words) + " "
     starts: list[int] | None = None
     spans = []
+    reach: dict[tuple[int, int], int] = {}
     for end, (length, passages) in automaton.iter(text):
         if passages[0][0] >= doc_id:
             continue
@@ -137,17 +141,17 @@ def covered(doc_id: int, words: list[str], automaton: ahocorasick.Automaton, win
         for doc, place, p in passages:
             if doc >= doc_id:
                 break
-            low, high = at - place, at - place + len(p)
-            if low >= 0 and words[low:high] == p:
-                spans.append((low, high))
-                continue
+            shift = at - place
+            if reach.get((id(p), shift), 0) > at:
+                continue  # a hit before it went as far with the same passage
             a, b = place, place + ANCHOR
-            while a and at - place + a > 0 and words[at - place + a - 1] == p[a - 1]:
+            while a and shift + a > 0 and words[shift + a - 1] == p[a - 1]:
                 a -= 1
-            while b < len(p) and at - place + b < len(words) and words[at - place + b] == p[b]:
+            while b < len(p) and shift + b < len(words) and words[shift + b] == p[b]:
                 b += 1
+            reach[id(p), shift] = shift + b
             if b - a >= window:
-                spans.append((at - place + a, at - place + b))
+                spans.append((shift + a, shift + b))
     merged: list[tuple[int, int]] = []
     for a, b in sorted(spans):
         if merged and merged[-1][1] >= a:
@@ -161,39 +165,45 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, shard_bytes: int = SHA
     """(doc_id, text) -> doc_id, n_words, spans (of removed words), kept_text: each word goes that a window covers whose words also start in a
     document with a smaller id.
 
-    1. Windows of a document fall into segments by their anchors. Segments are counted by their hashes; a phrase in one document only has nothing to say.
-    2. Each distinct recurring segment's first document gives its text. Where a phrase has several variants of its segment, their windows are
-       grouped to see which variant has each window first.
+    1. Windows of a document fall into segments by their anchors. A phrase that anchors windows of one document only has nothing to say.
+    2. Each distinct segment of a recurring phrase gets its text from its first document. Where a phrase has several variants of its segment,
+       their windows are grouped to see which variant has each window first.
     3. Documents are dealt to shards of about shard_bytes. A shard gets the passages that its documents' segments point to, compiles their anchor
        phrases into an automaton, and streams its documents through it; a hit counts as far as the words themselves agree, so that hashes decide nothing.
 
     A document compares windows as they are in the input. Null text has no words. A null id is neither smaller nor larger than any, so it
     keeps all. Rows with equal id don't remove from each other, but from later ones. Texts under a window of words stay whole.
     """
-    found = materialize(segments(docs, window))
+    everything = segments(docs, window)
+    recurring = everything.groupBy("phrase").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("phrase")
+    found = materialize(everything.join(recurring, "phrase", "left_semi"))
     key = ["phrase", "segment"]
-    distinct = found.groupBy(*key).agg(F.min(F.struct("doc_id", "start", "stop", "anchor")).alias("at"), F.max("doc_id").alias("last"))
-    distinct = materialize(distinct)
-    recurring = distinct.groupBy("phrase").agg(F.count(F.lit(1)).alias("variants"), F.min("at.doc_id").alias("low"), F.max("last").alias("high")).where("low < high")
-    firsts = distinct.join(recurring.select("phrase", (F.col("variants") > 1).alias("varies")), "phrase").select("phrase", "segment", "varies", "at.*")
-    wanted = firsts.groupBy("doc_id").agg(F.collect_list(F.struct("phrase", "segment", "start", "stop", "anchor", "varies")).alias("segs"))
-    passages = materialize(_passages(docs, wanted, window).dropDuplicates(key))
-
-    windows = passages.select(*key, "doc_id", F.explode("windows").alias("window"))
+    distinct = materialize(found.groupBy(*key).agg(F.min(F.struct("doc_id", "start", "length", "offset")).alias("at")))
+    varied = distinct.groupBy("phrase").agg(F.count(F.lit(1)).alias("variants"))
+    firsts = distinct.join(varied, "phrase").select("phrase", "segment", (F.col("variants") > 1).alias("varies"), "at.*")
+    wanted = firsts.groupBy("doc_id").agg(F.collect_list(F.struct("phrase", "segment", "start", "length", "offset", "varies")).alias("segs"))
+    runs = materialize(_runs(docs, wanted, window))
+    segs = runs.select("doc_id", "run", F.explode("segs").alias("s"))
+    places = segs.select("s.phrase", F.col("s.segment").alias("from"), "doc_id", "run", "s.place")
+
+    windows = segs.select("s.phrase", "s.segment", "doc_id", F.explode("s.windows").alias("window"))
     first = windows.groupBy("window").agg(F.min(F.struct("doc_id", "segment")).alias("src"), F.count(F.lit(1)).alias("n")).where("n > 1").select("window", F.col("src.segment").alias("from"))
     crossed = windows.join(first, "window").where(F.col("segment") != F.col("from")).select(*key, "from").distinct()
-    sources = passages.select(*key, F.col("segment").alias("from")).unionByName(crossed)
+    sources = distinct.select(*key, F.col("segment").alias("from")).unionByName(crossed)
 
     total = docs.select(F.sum(F.octet_length("text"))).first()[0] or 0
     n_shards = max(8, -(-total // shard_bytes))
     shard = F.pmod(F.xxhash64("doc_id"), F.lit(n_shards)).cast("int").alias("shard")
-    needed = found.select(shard, *key).join(sources, key).select("shard", "phrase", "from").distinct()
-    routed = needed.join(passages.select("phrase", F.col("segment").alias("from"), "doc_id", "anchor", "passage"), ["phrase", "from"]).select("shard", "doc_id", "anchor", "passage")
+    needed = found.select(shard, *key, "doc_id").groupBy("shard", *key).agg(F.max("doc_id").alias("last")).join(sources, key)
+    placed = needed.join(places, ["phrase", "from"]).where(F.col("doc_id") < F.col("last"))  # a shard needs no passage of a document that none of its own comes after
+    placed = placed.groupBy("shard", "doc_id", "run").agg(F.collect_set("place").alias("places"))
+    routed = placed.join(runs.select("doc_id", "run", "passage"), ["doc_id", "run"]).select("shard", "doc_id", "places", "passage")
 
     out = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("spans", pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())]))), ("kept_text", pa.string())])
 
     def locate(texts: pa.Table, known: pa.Table) -> pa.Table:
-        auto = automaton_of([(d, a, p.split(" ")) for d, a, p in zip(*(known.column(c).to_pylist() for c in ("doc_id", "anchor", "passage")), strict=True)])
+        listed = ((d, places, p.split(" ")) for d, places, p in zip(*(known.column(c).to_pylist() for c in ("doc_id", "places", "passage")), strict=True))
+        auto = automaton_of((d, a, words) for d, places, words in listed for a in places)
         rows: dict[str, list] = {c: [] for c in out.names}
         for doc_id, text in zip(texts.column("doc_id").to_pylist(), texts.column("text").cast(pa.large_binary()).to_pylist(), strict=True):
             words = b" ".join((text or b"").split()).decode()
