@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -43,21 +43,20 @@ def fixed(c: Column, digits: int) -> Column:
     return F.format_string(f"%.{digits}f", c)
 
 
-def phong(colour: list[float], normal: list[Column], light: list[Column], view: list[Column], ambient: float, diffuse: float, specular: float, power: int, tinted: bool = False, two_sided: bool = True, dark: float | None = None) -> list[Column]:
-    """Phong shading of three channels by (unnormalised) normal, light and view vectors.
+def with_phong(df: DataFrame, colour: list[float], normal: list[Column], light: list[Column], view: list[Column], ambient: float, diffuse: float, specular: float, power: int, tinted: bool = False, two_sided: bool = True, dark: float | None = None) -> DataFrame:
+    """df with Phong colours r, g, b by (unnormalised) normal, light and view vectors; all other columns stay.
 
     two_sided turns the normal to the light; tinted multiplies the highlight by the colour; a normal of no length gives ambient light only, or dark.
+    Lengths and products are columns of their own on the way, so that no expression is written out many times.
     """
     dot = lambda a, b: sum((x * y for x, y in zip(a[1:], b[1:], strict=True)), a[0] * b[0])
-    unit = lambda v: [x / F.nullif(F.sqrt(dot(v, v)), F.lit(0.0)) for x in v]
-    size = F.sqrt(dot(normal, normal))
-    n, l, v = unit(normal), unit(light), unit(view)  # noqa: E741
-    lit_side = dot(n, l)
-    sign = F.when(lit_side < 0, -1.0).otherwise(1.0) if two_sided else F.lit(1.0)
-    n = [x * sign for x in n]
-    cos = F.greatest(lit_side * sign, F.lit(0.0))
-    reflected = [2 * lit_side * sign * a - b for a, b in zip(n, l, strict=True)]
-    high = F.pow(F.greatest(dot(reflected, v), F.lit(0.0)), F.lit(float(power)))
-    flat = [F.lit(ambient * c if dark is None else dark) for c in colour]
-    full = [clamp(F.lit(ambient * c) + diffuse * c * cos + specular * high * (c if tinted else 1.0), 0.0, 1.0) for c in colour]
-    return [F.when(size < 1e-6, a).otherwise(b) for a, b in zip(flat, full, strict=True)]
+    cols = df.columns
+    step = df.select("*", *(c.alias(f"{n}{k}__") for n, v in (("n", normal), ("l", light), ("v", view)) for k, c in enumerate(v)))
+    vec = {n: [F.col(f"{n}{k}__") for k in range(3)] for n in "nlv"}
+    step = step.withColumns({f"{n}__": F.sqrt(dot(v, v)) for n, v in vec.items()})
+    step = step.withColumns({f"{a}{b}__": dot(vec[a], vec[b]) / F.nullif(F.col(f"{a}__") * F.col(f"{b}__"), F.lit(0.0)) for a, b in ("nl", "nv", "lv")})
+    side = F.when(F.col("nl__") < 0, -1.0).otherwise(1.0) if two_sided else F.lit(1.0)
+    # the mirrored light is 2 (n l) n - l, so its product with the view is 2 (n l) (n v) - (l v), whichever way the normal points
+    step = step.withColumns({"cos__": F.greatest(F.col("nl__") * side, F.lit(0.0)), "high__": F.pow(F.greatest(2 * F.col("nl__") * F.col("nv__") - F.col("lv__"), F.lit(0.0)), F.lit(float(power)))})
+    channel = lambda c: F.when(F.col("n__") < 1e-6, F.lit(ambient * c if dark is None else dark)).otherwise(clamp(F.lit(ambient * c) + diffuse * c * F.col("cos__") + specular * (c if tinted else 1.0) * F.col("high__"), 0.0, 1.0))
+    return step.select(*cols, *(channel(c).alias(n) for c, n in zip(colour, "rgb", strict=True)))

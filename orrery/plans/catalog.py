@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import embedding, neighbours  # noqa: F401  importing registers
+from . import embedding, neighbours, rays, spectral, volumes  # noqa: F401  importing registers
 from .registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
