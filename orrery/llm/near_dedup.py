@@ -16,8 +16,8 @@ from .common import Words, discard, materialize, mix64, text_chunks
 SHINGLE, SIMILARITY = 5, 0.8
 #: Bands and rows a band: of pairs at similarity 0.8, all but (1 - 0.8^5)^20 = 0.03 % share a band.
 BANDS, ROWS = 20, 5
-#: In buckets with so many open comparisons or fewer, all are made at once; beyond, they are made one centre at a time.
-AT_ONCE = 4096
+#: Documents a block, where members of a bucket are compared block against block.
+BLOCK = 1500
 
 _C = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
 
@@ -155,6 +155,53 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
+def _links_across(members: DataFrame, texts: DataFrame, similarity: float, weighting: str) -> DataFrame:
+    """(key, node, class, n, main) -> links (a, b) that join different classes of a bucket.
+
+    Members outside the main class meet all members, block against block; a block pair gives the links that its classes need to join, not all pairs.
+    """
+    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+    own = F.pmod(F.xxhash64("node"), blocks.cast("long")).cast("int")
+    every = F.explode(F.sequence(F.lit(0), blocks - 1))
+    left = members.where("class != main").select("key", "node", "class", own.alias("left"), every.alias("right")).join(texts, "node")
+    right = members.select("key", "node", "class", own.alias("right"), every.alias("left")).join(texts, "node")
+
+    def join(a: pa.Table, b: pa.Table) -> pa.Table:
+        found: list[tuple[int, int]] = []
+        if a.num_rows and b.num_rows:
+            sides = []
+            for t in (a, b):
+                doc, x, w = shingles([s or b"" for s in t.column("text").cast(pa.large_binary()).to_pylist()], weighting)
+                sides.append((doc, x, w, np.bincount(doc, weights=w, minlength=t.num_rows), t.column("node").to_numpy(), t.column("class").to_pylist()))
+            (da, xa, wa, ta, na, ca), (db, xb, wb, tb, nb, cb) = sides
+            order = np.argsort(xb, kind="stable")
+            xs, ds, ws = xb[order], db[order], wb[order]
+            low, high = np.searchsorted(xs, xa, "left"), np.searchsorted(xs, xa, "right")
+            start = np.searchsorted(da, np.arange(len(na) + 1))
+            parent: dict[int, int] = {}
+
+            def root(c: int) -> int:
+                while parent.setdefault(c, c) != c:
+                    parent[c] = c = parent[parent[c]]
+                return c
+
+            for r in range(len(na)):
+                own_ = slice(start[r], start[r + 1])
+                size = high[own_] - low[own_]
+                at = np.repeat(low[own_] - np.cumsum(size) + size, size) + np.arange(size.sum())
+                both = np.bincount(ds[at], weights=np.minimum(ws[at], np.repeat(wa[own_], size)), minlength=len(nb))
+                for k in np.flatnonzero(both >= (similarity - 1e-12) * (ta[r] + tb - both)):
+                    p, q = root(ca[r]), root(cb[k])
+                    if p != q:
+                        parent[max(p, q)] = min(p, q)
+                        found.append((int(na[r]), int(nb[k])))
+        return pa.table({"a": pa.array([x for x, _ in found], pa.int64()), "b": pa.array([y for _, y in found], pa.int64())})
+
+    by = ("key", "left", "right")
+    columns = [F.col(c).alias(c) for c in (*by, "node", "class", "text")]  # fresh ones: both sides come from the same tables
+    return left.select(columns).groupBy(*by).cogroup(right.select(columns).groupBy(*by)).applyInArrow(join, "a long, b long").distinct()
+
+
 def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, weighting: str = "set") -> DataFrame:
     """(doc_id, text) -> doc_id, class_id, a row a document: documents that chains of near-duplicate links join share a class,
     whose id is its smallest doc_id.
@@ -172,46 +219,27 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, weighting:
     first = F.min(F.struct("doc_id", "bands")).alias("f")
     nodes = materialize(with_text.groupBy("text_key").agg(first).select("text_key", F.col("f.doc_id").alias("node"), F.col("f.bands").alias("bands")))
     keyed = nodes.select("node", F.explode("bands").alias("key"))
-    shared = keyed.groupBy("key").agg(F.min("node").alias("center"), F.max("node").alias("last")).where("center < last").select("key", "center")
-    members = materialize(keyed.join(shared, "key").select("key", "node", "center").distinct())
+    shared = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("low"), F.max("node").alias("high")).where("low < high").select("key", "n")
+    met = materialize(keyed.join(shared, "key").select("key", "node", "n").distinct())
+    # the member that meets most others over all its buckets is the likeliest to be near to all
+    meeting = met.groupBy("node").agg(F.sum("n").alias("meets"))
+    members = met.join(meeting, "node").select("key", "node", F.struct(F.col("meets"), (-F.col("node")).alias("minus")).alias("rank"))
+    centers = members.groupBy("key").agg((-F.max("rank")["minus"]).alias("center"))
+    members = materialize(members.drop("rank").join(centers, "key"))
     wanted = members.select("node").distinct()
     keys = nodes.select("node", "text_key").join(wanted, "node", "left_semi")
     texts = materialize(docs.select("doc_id", "text").join(keys, (F.col("doc_id") == F.col("node")) & (F.md5("text") == F.col("text_key"))).select("node", "text").dropDuplicates(["node"]))
     side = lambda s: texts.select(F.col("node").alias(s), F.col("text").alias(f"text_{s}"))
 
     pairs = members.where("node != center").select(F.col("center").alias("a"), F.col("node").alias("b")).distinct()
-    tested = None
-    while True:
-        new = materialize(similarities(pairs.join(side("a"), "a").join(side("b"), "b"), weighting))
-        tested = new if tested is None else tested.unionByName(new)
-        labels = components(tested.where(F.col("similarity") >= similarity))
-        placed = members.join(labels, "node", "left").select("key", "node", "center", F.coalesce("label", "node").alias("class"))
-        open_ = placed.groupBy("key", "center").agg(F.min("class").alias("low"), F.max("class").alias("high"), F.count(F.lit(1)).alias("n")).where("low < high")
-        placed = materialize(placed.join(open_.select("key", "n"), "key"))
-        if placed.isEmpty():
-            break
-        # those outside the class of the bucket's centre, and all pairs of theirs with other classes that are still to compare
-        main = placed.where("node = center").select("key", F.col("class").alias("main"))
-        outside = placed.join(main, "key").where(F.col("class") != F.col("main")).select("key", F.col("node").alias("x"), F.col("class").alias("class_x"), "n")
-        counts = outside.groupBy("key").agg(F.count(F.lit(1)).alias("m"))
-        small = outside.join(counts, "key").where(F.col("m") * F.col("n") <= AT_ONCE).select("key", "x", "class_x")
-        seen = tested.select(F.least("a", "b").alias("low"), F.greatest("a", "b").alias("high")).distinct()
-
-        def against(centres: DataFrame, placed: DataFrame = placed, seen: DataFrame = seen) -> DataFrame:
-            found = centres.join(placed.select("key", "node", "class"), "key").where(F.col("class") != F.col("class_x"))
-            found = found.select("key", "x", F.least("x", "node").alias("low"), F.greatest("x", "node").alias("high"))
-            return found.join(seen, ["low", "high"], "left_anti")
-
-        large = outside.join(counts, "key").where(F.col("m") * F.col("n") > AT_ONCE)
-        turn = against(small)
-        if not large.isEmpty():
-            # one centre a bucket and turn: the smallest that hasn't had its turn
-            done = tested.select(F.col("a").alias("x")).distinct()
-            waiting = large.join(done, "x", "left_anti").groupBy("key").agg(F.min(F.struct("x", "class_x")).alias("c")).select("key", "c.x", "c.class_x")
-            turn = turn.unionByName(against(waiting))
-        pairs = materialize(turn.select("x", "low", "high").select(F.col("x").alias("a"), F.when(F.col("x") == F.col("low"), F.col("high")).otherwise(F.col("low")).alias("b")).dropDuplicates())
-        if pairs.isEmpty():
-            break
+    links = materialize(similarities(pairs.join(side("a"), "a").join(side("b"), "b"), weighting).where(F.col("similarity") >= similarity).select("a", "b"))
+    labels = components(links)
+    placed = members.join(labels, "node", "left").select("key", "node", "center", F.coalesce("label", "node").alias("class"))
+    open_ = placed.groupBy("key").agg(F.min("class").alias("low"), F.max("class").alias("high"), F.count(F.lit(1)).alias("n"), F.max(F.when(F.col("node") == F.col("center"), F.col("class"))).alias("main")).where("low < high")
+    rest = materialize(placed.join(open_.select("key", "n", "main"), "key").select("key", "node", "class", "n", "main"))
+    if not rest.isEmpty():
+        links = links.unionByName(materialize(_links_across(rest, texts, similarity, weighting)))
+        labels = components(links)
     node_class = nodes.select("text_key", "node").join(labels, "node", "left").select("text_key", F.coalesce("label", "node").alias("class"))
     found = signed.join(node_class, "text_key", "left")
     shingled = (F.col("n_shingles") > 0) & F.col("doc_id").isNotNull()
