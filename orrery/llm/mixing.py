@@ -28,10 +28,10 @@ def source_targets(totals: DataFrame, cap: float = 3.0) -> DataFrame:
         ranked.withColumn("total", F.sum("source_size").over(everything))
         .withColumn("below", F.coalesce(F.sum("most").over(fill.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)))
         .withColumn("open", F.sum("weight").over(fill.rowsBetween(0, Window.unboundedFollowing)))
-        # the level if this source and all after it stay under their caps; the first of them that holds is the level
+        # the level if this source and all after it stay under their caps; the first of them that holds is the level, and the highest
         .withColumn("level", (F.col("total") - F.col("below")) / F.col("open"))
         .withColumn("fits", F.col("level") * F.col("weight") <= F.col("most"))
-        .withColumn("water", F.min(F.when(F.col("fits"), F.col("level"))).over(everything))
+        .withColumn("water", F.max(F.when(F.col("fits"), F.col("level"))).over(everything))
     )
     target = F.least(F.col("most"), F.coalesce(F.col("water") * F.col("weight"), F.col("most")))
     return filled.select("source", "source_size", F.round(target, 4).alias("target"))
@@ -92,7 +92,7 @@ s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
 w AS (SELECT *, (row_number() OVER (ORDER BY source IS NULL, source) - 1) % 3 + 1 AS weight, 3.0::DOUBLE * source_size AS most FROM s),
 l AS (SELECT *, (sum(source_size) OVER ()::DOUBLE - coalesce(sum(most) OVER (ORDER BY most / weight, source IS NULL, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
              / sum(weight) OVER (ORDER BY most / weight, source IS NULL, source ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)::DOUBLE AS level FROM w),
-t AS (SELECT source, source_size, round(least(most, coalesce(min(CASE WHEN level * weight <= most THEN level END) OVER () * weight, most)), 4) AS target FROM l),
+t AS (SELECT source, source_size, round(least(most, coalesce(max(CASE WHEN level * weight <= most THEN level END) OVER () * weight, most)), 4) AS target FROM l),
 r AS (SELECT doc_id, source, size, row_number() OVER (PARTITION BY source ORDER BY size, key, doc_id) AS rank FROM d),
 c AS (SELECT r.doc_id, r.source, r.size, t.source_size, t.target, r.rank,
              CASE WHEN t.source_size > 0 THEN least(t.target / t.source_size, 3.0::DOUBLE) ELSE 0.0::DOUBLE END AS rate,
