@@ -48,7 +48,7 @@ def fold_text(text: str) -> str:
         words = text.split()
         for i, w in enumerate(words):
             if _SIGN.search(w):
-                core = w.strip("!#$%&*.,;:?\"'()|")
+                core = w.lstrip("!#%&*.,;:?\"'()|").rstrip("!#$%&*.,;:?\"'()|")
                 if _SIGN.search(core) and any(c.isalpha() for c in core):
                     words[i] = core.translate(_SWAP)
         text = " ".join(words)
