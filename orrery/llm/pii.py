@@ -159,6 +159,7 @@ def replace_entities(docs: DataFrame, key: str = KEY) -> DataFrame:
     A column named entities gives way. The surrogate of an identity is the same in all documents. Texts without entities pass as they are and aren't shuffled; the others
     meet their surrogates by the hash of their text, so that copies share them. Null and empty texts have no entities. Rows may repeat; ids aren't looked at.
     """
+    docs = docs.drop("entities")
     found = F.when(F.col("text").rlike(GUARD), F.regexp_extract_all("text", F.lit(PATTERN), F.lit(0))).otherwise(F.array().cast("array<string>"))
     listed = docs.withColumn("mentions__", found)
     some = F.coalesce(F.size("mentions__") > 0, F.lit(False))
@@ -169,7 +170,7 @@ def replace_entities(docs: DataFrame, key: str = KEY) -> DataFrame:
     by_text = written.groupBy("key__").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "e"))), lambda x: x["e"]).alias("entities"))
     parts = F.split("text", PATTERN, -1)
     new = F.array_join(F.transform(parts, lambda p, i: F.concat(p, F.coalesce(F.get(F.col("entities"), i)["surrogate"], F.lit("")))), "")
-    columns = [c for c in docs.columns if c != "entities"]
+    columns = docs.columns
     changed = having.join(by_text, "key__").withColumn("text", new).select(*columns, "entities")
     plain = listed.where(~some).select(*columns, F.array().cast("array<struct<kind: string, surrogate: string>>").alias("entities"))
     return plain.unionByName(changed)
