@@ -1,0 +1,251 @@
+import hashlib
+import random
+import re
+import zlib
+from collections import defaultdict
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from orrery.llm import decontamination, language, mixing, pii, quality, toxicity
+from orrery.llm.learning import fold
+
+WORDS = [f"w{i}" for i in range(400)]
+
+
+def test_held_out_rows(spark):
+    df = spark.range(50).withColumnRenamed("id", "doc_id")
+    got = {r.doc_id: r.f for r in df.select("doc_id", fold("doc_id", 5).alias("f")).collect()}
+    assert got == {i: zlib.crc32(str(i).encode()) % 5 for i in range(50)}
+
+
+# ---- benchmark leaks ----
+
+
+def _words(text):
+    return re.findall(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (text or "").encode().translate(bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))))
+
+
+def _leaks_by_hand(docs, items):
+    windows = defaultdict(set)
+    for k, text in items:
+        w = _words(text)
+        m = min(10, len(w))
+        for i in range(len(w) - m + 1 if m else 0):
+            windows[tuple(w[i : i + m])].add(k)
+    out = {}
+    for i, text in docs:
+        w, hit, seen = _words(text), set(), set()
+        for s, ids in windows.items():
+            for at in range(len(w) - len(s) + 1):
+                if tuple(w[at : at + len(s)]) == s:
+                    hit |= set(range(at, at + len(s)))
+                    seen |= ids
+        out[i] = (len(w), len(hit), len(seen), hashlib.sha256(",".join(sorted(map(str, seen))).encode()).hexdigest(), bool(hit))
+    return out
+
+
+def _leak_tables(spark):
+    rng = random.Random(2)
+    say = lambda n: " ".join(rng.choice(WORDS) for _ in range(n))
+    items = [(k, say(n)) for k, n in enumerate([30, 12, 10, 9, 3, 1, 0])] + [(20, None), (21, "Größe über alles"), (3, say(11))]
+    docs = []
+    for i in range(60):
+        _, text = rng.choice(items)
+        part = (text or "").split()
+        part = part[rng.randint(0, 3) :]
+        docs.append((i, f"{say(rng.randint(0, 30))}, {'-'.join(part).upper() if i % 2 else ' '.join(part)}! {say(5)}"))
+    docs += [(100, None), (101, ""), (102, "größe ÜBER alles"), (103, "größe Über alles")]
+    return docs, items, spark.createDataFrame([(*d, 0) for d in docs], "doc_id long, text string, n_words int"), spark.createDataFrame(items, "item_id long, text string")
+
+
+@pytest.mark.parametrize("shard", [50_000, 15])
+def test_leaks(spark, shard):
+    docs, items, d, b = _leak_tables(spark)
+    found = decontamination.report(decontamination.search(d, b, shard_windows=shard))
+    truth = _leaks_by_hand(docs, items)
+    assert {r.doc_id: (r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) for r in found.collect()} == truth
+    assert {r.doc_id for r in decontamination.keep_clean(d, b, shard_windows=shard).collect()} == {i for i, t in truth.items() if not t[4]}
+
+
+def test_leaks_of_nothing(spark):
+    docs, _, d, b = _leak_tables(spark)
+    assert decontamination.search(d.limit(0), b).count() == 0
+    assert decontamination.search(d, b.limit(0)).where("size(hits) > 0").count() == 0
+
+
+# ---- mixing ----
+
+
+def _targets_by_hand(sizes):
+    names = sorted((s for s in sizes if s is not None)) + ([None] if None in sizes else [])
+    weight = {s: k % 3 + 1 for k, s in enumerate(names)}
+    total, capped = sum(sizes.values()), {}
+    while True:
+        left = total - sum(capped.values())
+        free = [s for s in names if s not in capped]
+        share = {s: left * weight[s] / sum(weight[x] for x in free) for s in free} if free else {}
+        over = [s for s in free if share[s] > 3 * sizes[s] + 1e-9]
+        if not over:
+            return capped | share
+        capped |= {s: 3.0 * sizes[s] for s in over}
+
+
+def test_mix(spark):
+    rng = random.Random(6)
+    rows = [(i, " ".join(["x"] * int(rng.paretovariate(1) * 5)), rng.choice(["a", "a", "a", "a", "a", "b", "c", "d", None]), "kept") for i in range(900)]
+    rows += [(900, None, "b", "kept"), (901, "", "e", "kept"), (None, "one two", "c", "kept"), (None, "one two", "c", "kept")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, size string")
+    found = mixing.mix(docs, shards=16).collect()
+    assert len(found) == len(rows)
+    sizes, taken, target = defaultdict(int), defaultdict(int), {}
+    for r in found:
+        sizes[r.source] += r.size
+        taken[r.source] += r.taken
+        target[r.source] = r.target
+        assert 0 <= r.copies <= 3 and r.taken == r.copies * r.size
+    truth = _targets_by_hand(sizes)
+    assert {r.source: r.source_size for r in found} == dict(sizes)
+    for s, t in truth.items():
+        assert abs(target[s] - t) < 1e-3
+        assert abs(taken[s] - t) <= max((r.size for r in found if r.source == s), default=0) + 1
+    assert sorted(map(str, found)) == sorted(map(str, mixing.mix(docs.repartition(3), shards=16).collect()))
+    mixed = mixing.mixed_documents(docs)
+    assert mixed.columns == [*docs.columns, "copy"] and mixed.count() == sum(r.copies for r in found)
+    assert mixing.mix(docs.limit(0)).count() == 0
+
+
+def test_a_source_at_its_cap_gives_three_copies_each(spark):
+    docs = spark.createDataFrame([(i, "w " * (i % 7 + 1), "b") for i in range(50)] + [(99 + i, "w " * 3000, "a") for i in range(3)], "doc_id long, text string, source string")
+    assert {r.copies for r in mixing.mix(docs).where("source = 'b'").collect()} == {3}
+
+
+# ---- classifiers ----
+
+
+def _corpus(spark, n=400):
+    rng = random.Random(8)
+    rows, labels = [], []
+    for i in range(n):
+        lang = ["en", "xx"][i % 2]
+        syllables = ["the", "ing", "er", "an", "on"] if lang == "en" else ["zu", "ko", "mi", "ra", "fe"]
+        words = ["".join(rng.choice(syllables) for _ in range(rng.randint(1, 3))) for _ in range(rng.randint(5, 80))]
+        bad, toxic = i % 6 == 0, i % 5 == 0
+        if toxic:
+            for w in (("vileword", "grimtalk") if lang == "en" else ("mudbako", "mudbara", "mudbafe")):
+                words.insert(rng.randrange(len(words)), w)
+        text = " ".join(w + "$#" for w in words) if bad else " ".join(words) + "."
+        rows.append((i, text, lang if i % 7 else None, "s"))
+        labels.append((i, int(not bad), int(toxic)))
+    extra = [(10_000, None, "en", "s"), (10_001, "", None, "s"), (10_002, "12 34 !!", "en", "s")]
+    docs = spark.createDataFrame(rows + extra, "doc_id long, text string, lang string, score string")
+    return docs, spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+
+
+def test_quality(spark):
+    docs, labels = _corpus(spark)
+    known = labels.select("doc_id", F.col("quality").alias("label"))
+    found = quality.classify(docs, known)
+    assert found.count() == docs.count()
+    held = found.join(labels, "doc_id").where("held_out").agg(F.avg((F.col("predicted") == F.col("quality")).cast("double"))).first()[0]
+    assert held > 0.95
+    assert found.where("score IS NULL OR score < 0 OR score > 1 OR predicted <> int(score >= 0.3)").count() == 0
+    again = known.withColumn("label", F.when(fold("doc_id", 5) == 0, 1 - F.col("label")).otherwise(F.col("label")))
+    assert found.exceptAll(quality.classify(docs, again)).count() == 0  # held-out labels aren't read
+    kept = {r.doc_id for r in quality.keep_good(docs, known).collect()}
+    assert kept == {r.doc_id for r in found.where("predicted = 1").collect()}
+    assert {r.score for r in quality.classify(docs, known.limit(0)).collect()} == {0.5}
+    assert quality.classify(docs.limit(0), known).count() == 0
+
+
+def test_isotonic_is_the_best_rising_fit():
+    x, y = quality.isotonic(np.arange(6.0), np.array([0, 2, 1, 1, 4, 4.0]), np.array([4, 4, 4, 4, 4, 4.0]))
+    assert (np.diff(y) >= 0).all() and np.allclose(np.interp(np.arange(6.0), x, y)[[0, 5]], [0, 1]) and np.isclose(y, 1 / 3).any()
+
+
+def test_toxicity(spark):
+    docs, labels = _corpus(spark)
+    found = toxicity.classify(docs, labels.select("doc_id", F.col("toxic").alias("label")))
+    judged = found.join(labels, "doc_id").where("held_out")
+    wrong = judged.where("predicted <> toxic").count()
+    assert found.count() == docs.count() and wrong <= 0.05 * judged.count()
+    assert found.where("predicted <> int(score >= 0.7)").count() == 0
+    assert toxicity.classify(docs, labels.select("doc_id", F.lit(0).alias("label"))).where("predicted = 1").count() == 0
+    assert toxicity.classify(docs.limit(0), labels.select("doc_id", F.col("toxic").alias("label"))).count() == 0
+
+
+def test_folding():
+    assert toxicity.fold_text("An 1D10T, ѕсum​! and $tup1d## text 2024") == " an idiot scum and stupid text "
+    assert toxicity.fold_text("") == " "
+    lexicon = toxicity.Lexicon({" trash ": 5.0, " moro": 4.0}, [" trash can "], (-2.0, 1.0, 0.0))
+    auto = lexicon.automaton()
+    assert [h[2] for h in lexicon.hits(" a trash can and trash morons ", auto)] == [" trash ", " moro"]
+    assert lexicon.hits(" ", auto) == [] and toxicity.Lexicon({}).hits(" trash ", None) == []
+
+
+def test_language(spark):
+    docs, _ = _corpus(spark)
+    found = language.identify(docs, reject=None)
+    truth = spark.createDataFrame([(i, ["en", "xx"][i % 2]) for i in range(400)], "doc_id long, truth string")
+    assert found.join(truth, "doc_id").where("held_out AND lang_pred <> truth").count() == 0
+    assert {r.lang_pred for r in found.where("doc_id >= 10000").collect()} == {"und"}
+    odd = spark.createDataFrame([(1, "ωψξ " * 50, None), (2, "the ing er an on " * 9, None)], "doc_id long, text string, lang string")
+    assert {r.doc_id: r.lang_pred for r in language.identify(docs.select("doc_id", "text", "lang").union(odd)).where("doc_id < 3 AND doc_id > 0").collect()}[1] in ("und", "xx")
+    assert {r.lang_pred for r in language.identify(odd).collect()} == {"und"}
+    assert language.identify(docs.limit(0)).count() == 0
+
+
+# ---- personal data ----
+
+
+def test_surrogates(spark):
+    texts = [
+        "Mr. John Smith wrote to Frau Anna Müller from 10.0.0.1; mail John.Smith@Acme.co.uk or JOHN.SMITH@ACME.CO.UK!!",
+        "call +1 (017) 555-7713 or 017-555-7713; card 4111 1111 1111 1111, also 4111111111111111; id 123-45-6789",
+        'token = "04dbebab91ab85687d33eeaaf9ac699e1188f962" of john.smith@acme.co.uk',
+        "Господин Иванов и Госпожа Иванова", "no data, version 4.0 of 2.0", "", None, "no data, version 4.0 of 2.0",
+    ]
+    docs = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)], "doc_id long, text string, entities string")
+    found = {r.doc_id: r for r in pii.replace_entities(docs).collect()}
+    kinds = lambda i: [e.kind for e in found[i].entities]
+    assert kinds(0) == ["name", "name", "ip", "email", "email"] and kinds(1) == ["phone", "phone", "card", "card", "national_id"]
+    assert kinds(2) == ["secret", "email"] and kinds(3) == ["name", "name"]
+    for i in (4, 5, 6, 7):
+        assert found[i].text == texts[i] and found[i].entities == []
+    for i, private in ((0, ["Smith", "Müller", "10.0.0.1", "Acme"]), (1, ["555-7713", "4111", "123-45"]), (2, ["04dbebab", "smith"]), (3, ["Иванов"])):
+        assert not any(p in found[i].text for p in private)
+    e0, e1 = found[0].entities, found[1].entities
+    assert e0[3].surrogate.upper() == e0[4].surrogate and found[2].entities[1].surrogate == e0[3].surrogate
+    assert e0[0].surrogate.startswith("Mr. ") and e0[1].surrogate.startswith("Frau ") and e0[1].surrogate.endswith("a")
+    assert re.fullmatch(r"\+1 \(\d{3}\) \d{3}-\d{4}", e1[0].surrogate) and re.sub(r"\D", "", e1[0].surrogate)[1:] == re.sub(r"\D", "", e1[1].surrogate)
+    card = e1[3].surrogate
+    assert re.sub(" ", "", e1[2].surrogate) == card and sum(sum(divmod(int(c) * (1 + k % 2), 10)) for k, c in enumerate(card[::-1])) % 10 == 0
+    assert re.fullmatch(r"Господин [А-Я][а-я]+", found[3].entities[0].surrogate) and found[3].entities[1].surrogate.endswith("а")
+    assert pii.replace_entities(docs, key="another").where("doc_id = 0").first().text != found[0].text
+    assert pii.replace_entities(docs.limit(0)).count() == 0
+
+
+def test_surrogates_stay_distinct(spark):
+    # four digits, a third of them taken: draws must collide, with each other and with the real ones
+    found = pii.surrogates(spark.createDataFrame([("national_id", f"{k:04d}") for k in range(0, 10_000, 3)], "kind string, norm string")).collect()
+    assert len({r.core for r in found}) == len(found) == 3334 and not {r.core for r in found} & {r.norm for r in found}
+
+
+def test_pipeline(spark):
+    import corpus_pipeline as p
+
+    d = "/root/testdata/sf0.001"
+    docs, kept = spark.read.parquet(f"{d}/documents.parquet"), []
+    for name, stage in p.STAGES[:-1]:
+        new = stage(spark, docs, d)
+        assert new.columns == docs.columns, name
+        kept.append(len(new.collect()))
+        docs = p.materialize(new)
+    assert kept[0] < 200 and kept[1] == kept[0] and kept[2] <= kept[1] and kept[3] <= kept[2] and kept[3] > 100
+    assert docs.where("n_chars <> length(text)").count() == 0
+    items = [(r.item_id, r.text) for r in spark.read.parquet(f"{d}/benchmark.parquet").collect()]
+    assert not any(t[4] for t in _leaks_by_hand([(r.doc_id, r.text) for r in docs.collect()], items).values())
+    mixed = p.STAGES[-1][1](spark, docs, d)
+    copies = {r.doc_id: r.copies for r in mixing.mix(docs).collect()}
+    assert {r.doc_id: r["count"] for r in mixed.groupBy("doc_id").count().collect()} == {i: c for i, c in copies.items() if c}
