@@ -53,7 +53,7 @@ def read_idx_labels(spark: SparkSession, path: str) -> DataFrame:
 
 
 def fld_header(data: bytes) -> tuple[tuple[int, int, int], int, int]:
-    """Sides, bytes a voxel and the payload's place of a .fld file: key=value lines up to a form feed, then two bytes."""
+    """Sides, bytes a voxel and the payload's place of a .fld file: key=value lines up to the two form feeds before the voxels."""
     end = data.index(b"\f")
     found = {}
     for line in data[:end].decode("latin-1").splitlines():
