@@ -180,3 +180,26 @@ def hit_rectangle(found: DataFrame, low: tuple[float, ...], high: tuple[float, .
         inside = inside & (at[a] >= min(lo, hi) - 1e-9) & (at[a] <= max(lo, hi) + 1e-9)
     held = lambda a, k: F.least(F.greatest(at[a], F.lit(float(min(low[k], high[k])))), F.lit(float(max(low[k], high[k]))))
     return ahead.select("px", "py", inside.alias("hit"), held("x", 0).alias("qx"), held("y", 1).alias("qy"), at["z"].alias("qz"))
+
+
+def rays_by_aspect(spark, camera: Camera) -> DataFrame:
+    """px, py, dx, dy, dz: the same pinhole by field of view and aspect, looking down the negative third axis."""
+    i = F.col("id")
+    x = 2 * camera.aspect * (i % camera.width) / float(camera.width) - camera.aspect
+    y = 2 * F.floor(i / camera.width) / float(camera.height) - 1.0
+    z = F.lit(-1.0 / math.tan(camera.fovy / 2))
+    size = F.sqrt(x * x + y * y + z * z)
+    return spark.range(camera.width * camera.height).select((i % camera.width).cast("int").alias("px"), F.floor(i / camera.width).cast("int").alias("py"), (x / size).alias("dx"), (y / size).alias("dy"), (z / size).alias("dz"))
+
+
+def first_crossing_in_intervals(stretches: DataFrame, found: DataFrame, voxels: DataFrame, dims: tuple[int, int, int], iso: float, step: float) -> DataFrame:
+    """px, py, place, t: the first interval of each ray with a step over the value, either way, and where; stretches are (px, py, place, t0, t1)."""
+    last = F.floor((F.col("t1") - F.col("t0")) / step).cast("int")
+    p = stretches.withColumn("i", F.explode(F.sequence(F.lit(0), last))).withColumn("t", F.col("t0") + F.col("i") * step).join(found, ["px", "py"])
+    p = p.select("px", "py", "place", "i", "t", *((F.col(f"o{a}") + F.col("t") * F.col(f"d{a}")).alias(f"s{a}") for a in AXES))
+    key = ["px", "py", "place", "i"]
+    s = trilinear(p, voxels, dims, key).join(p.select(*key, "t"), key)
+    w = Window.partitionBy("px", "py", "place").orderBy("i")
+    s = s.withColumn("v0", F.lag("val").over(w))
+    hit = s.where((F.col("v0") < iso) & (F.col("val") >= iso) | (F.col("v0") > iso) & (F.col("val") <= iso))
+    return hit.groupBy("px", "py").agg(F.min(F.struct("place", "i", "t")).alias("h")).select("px", "py", "h.place", "h.t")

@@ -212,3 +212,21 @@ def ray_rect(spark: SparkSession, d: str) -> DataFrame:
     """Rays against a rectangle in the plane z = 0, as wide as the largest value."""
     most = voxels(spark, d).agg(F.max("val")).first()[0]
     return ops.hit_rectangle(_rays(spark), (0.0, 0.0, 0.0), (most, 10.0, 0.0), (0.0, 0.0, 1.0)).select("px", "py", "hit", F.round("qx", 6).alias("qx"), F.round("qy", 6).alias("qy"))
+
+
+@query(f"WITH {VOX}, n AS (SELECT max(val) AS most FROM vox), g2 AS (SELECT a.i::INT AS px, b.i::INT AS py, 2 * a.i / 24.0::DOUBLE - 1 AS x, 2 * b.i / 24.0::DOUBLE - 1 AS y, {-1.0 / _H!r} AS z FROM range(24) a(i), range(24) b(i)) SELECT px, py, round(x / sqrt(x * x + y * y + z * z), 6) + 0 AS dx, round(y / sqrt(x * x + y * y + z * z), 6) + 0 AS dy, round(z / sqrt(x * x + y * y + z * z), 6) AS dz, most FROM g2, n")
+def rays_gpu(spark: SparkSession, d: str) -> DataFrame:
+    """Directions by field of view and aspect, beside the largest value that they can meet."""
+    return _with_most(ops.rays_by_aspect(spark, CAMERA), spark, d).select("px", "py", *(tidy(F.col(c)).alias(c) for c in ("dx", "dy", "dz")), "most")
+
+
+_IV = f"""{_EMIT}, iv AS (SELECT px, py, place::BIGINT AS place, least(t, nx) AS t0, greatest(t, nx) AS t1 FROM (SELECT *, lead(t) OVER w AS nx, row_number() OVER w AS place FROM ev WINDOW w AS (PARTITION BY px, py ORDER BY seq DESC)) WHERE entry = 1 AND class = 1 AND nx IS NOT NULL),
+is_ AS (SELECT px, py, place, i, t, ox + t * dx AS sx, oy + t * dy AS sy, oz + t * dz AS sz FROM (SELECT *, unnest(range(floor((t1 - t0) / {STEP})::INT + 1)) AS i FROM iv) JOIN ry USING (px, py), LATERAL (SELECT t0 + i * {STEP} AS t)),
+{tri_sql('is_', 'px, py, place, i')}, lv AS (SELECT s.px, s.py, s.place, s.i, is_.t, s.val, lag(s.val) OVER (PARTITION BY s.px, s.py, s.place ORDER BY s.i) AS v0 FROM smp s JOIN is_ USING (px, py, place, i))"""
+
+
+@query(with_(_IV, f"SELECT px, py, arg_min(place, (place, i)) AS place, round(arg_min(t, (place, i)), 6) AS t FROM lv WHERE v0 < {ISO} AND val >= {ISO} OR v0 > {ISO} AND val <= {ISO} GROUP BY px, py"))
+def ray_intervals_iso(spark: SparkSession, d: str) -> DataFrame:
+    """The first stretch between faces in which the surface is met."""
+    stretches = ops.intervals(_events(spark, d))
+    return ops.first_crossing_in_intervals(stretches, _rays(spark), voxels(spark, d), DIMS, ISO, STEP).select("px", "py", "place", F.round("t", 6).alias("t"))
