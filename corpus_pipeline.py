@@ -16,8 +16,11 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def without_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without lines that many sites share; all documents stay, and n_chars follows the text."""
-    cleaned = line_dedup.remove_boilerplate(docs).select(*docs.columns)
+    """Texts without lines that many sites share; n_chars follows the text.
+
+    Documents of which nothing is left go: each of their lines stays in an earlier document. Blank ones that lost nothing stay.
+    """
+    cleaned = line_dedup.remove_boilerplate(docs).where((F.col("n_removed") == 0) | (F.trim(F.regexp_replace("text", "\\s+", " ")) != "")).select(*docs.columns)
     return cleaned.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else cleaned
 
 

@@ -242,7 +242,7 @@ def test_pipeline(spark):
         assert new.columns == docs.columns, name
         kept.append(len(new.collect()))
         docs = p.materialize(new)
-    assert kept[0] < 200 and kept[1] == kept[0] and kept[2] <= kept[1] and kept[3] <= kept[2] and kept[3] > 100
+    assert kept[0] < 200 and kept[1] <= kept[0] and kept[2] <= kept[1] and kept[3] <= kept[2] and kept[3] > 100
     assert docs.where("n_chars <> length(text)").count() == 0
     items = [(r.item_id, r.text) for r in spark.read.parquet(f"{d}/benchmark.parquet").collect()]
     assert not any(t[4] for t in _leaks_by_hand([(r.doc_id, r.text) for r in docs.collect()], items).values())
