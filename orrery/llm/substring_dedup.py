@@ -175,11 +175,12 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, shard_bytes: int = SHA
     keeps all. Rows with equal id don't remove from each other, but from later ones. Texts under a window of words stay whole.
     """
     everything = segments(docs, window)
+    # aggregates become tables before large sides join them: then these joins are ones that Spark may split
     recurring = everything.groupBy("phrase").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("phrase")
-    found = materialize(everything.join(recurring, "phrase", "left_semi"))
+    found = materialize(everything.join(materialize(recurring), "phrase", "left_semi"))
     key = ["phrase", "segment"]
     distinct = materialize(found.groupBy(*key).agg(F.min(F.struct("doc_id", "start", "length", "offset")).alias("at")))
-    varied = distinct.groupBy("phrase").agg(F.count(F.lit(1)).alias("variants"))
+    varied = materialize(distinct.groupBy("phrase").agg(F.count(F.lit(1)).alias("variants")))
     firsts = distinct.join(varied, "phrase").select("phrase", "segment", (F.col("variants") > 1).alias("varies"), "at.*")
     wanted = firsts.groupBy("doc_id").agg(F.collect_list(F.struct("phrase", "segment", "start", "length", "offset", "varies")).alias("segs"))
     runs = materialize(_runs(docs, wanted, window))
@@ -188,7 +189,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, shard_bytes: int = SHA
 
     windows = segs.select("s.phrase", "s.segment", "doc_id", F.explode("s.windows").alias("window"))
     first = windows.groupBy("window").agg(F.min(F.struct("doc_id", "segment")).alias("src"), F.count(F.lit(1)).alias("n")).where("n > 1").select("window", F.col("src.segment").alias("from"))
-    crossed = windows.join(first, "window").where(F.col("segment") != F.col("from")).select(*key, "from").distinct()
+    crossed = windows.join(materialize(first), "window").where(F.col("segment") != F.col("from")).select(*key, "from").distinct()
     sources = distinct.select(*key, F.col("segment").alias("from")).unionByName(crossed)
 
     total = docs.select(F.sum(F.octet_length("text"))).first()[0] or 0
