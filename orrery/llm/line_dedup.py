@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import materialize
+
 #: A line on at least so many distinct sites is boilerplate.
 MIN_SITES = 10
 #: log2 of the registers of a sketch; its relative standard error is 1.04 / sqrt(2^LG_K), 3.3 % here.
@@ -60,8 +62,8 @@ def remove_boilerplate(docs: DataFrame, site: str = "source", min_sites: int = M
         .where(F.col("line") != "")
         .select("doc_id", "site", line_key(F.col("line")).alias("key"))
     )
-    bad = boilerplate_lines(lines, min_sites)
-    # what each document loses; a frequent line's join is one that Spark may split
+    bad = materialize(boilerplate_lines(lines, min_sites))  # a table of its own, so that the join below is one that Spark may split
+    # what each document loses
     lost = lines.select("doc_id", "key").join(bad.select("key", "first_doc"), "key").where(~F.col("doc_id").eqNullSafe(F.col("first_doc")))
     lost = lost.groupBy("doc_id").agg(F.collect_set("key").alias("lost__"))
     kept = F.filter(text_lines, lambda x: ~F.array_contains(F.col("lost__"), line_key(x)))
