@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import discard, materialize
 
 KEY = "orrery"
 
@@ -26,13 +26,16 @@ TYPES = {
 PATTERN = "|".join(f"(?:{p})" for p in TYPES.values())
 #: A text without any of these has no entity; it saves the slower search on most texts.
 GUARD = rf"[@0-9]|{_TITLE}\s\p{{Lu}}|[A-Z]{{20}}|[a-f]{{32}}"
-#: Further draws for surrogates that collide.
+#: Further draws in the format of the identity for surrogates that collide; each draw after them is a character longer.
 MAX_DRAWS = 64
 
-_SETS = {  # script: consonants, vowels
-    "a-zß-ÿ": ("bcdfghjklmnprstvwz", "aeiou"),
-    "а-яё": ("бвгдзклмнпрстфх", "аеиоу"),
-    "α-ωά-ώ": ("βγδζθκλμνπρστφχ", "αεηιο"),
+_SETS = {  # script: consonants, vowels. The last one is for letters of all other scripts.
+    r"\p{IsLatin}": ("bcdfghjklmnprstvwz", "aeiou"),
+    r"\p{IsCyrillic}": ("бвгдзклмнпрстфх", "аеиоу"),
+    r"\p{IsGreek}": ("βγδζθκλμνπρστφχ", "αεηιο"),
+    r"\p{IsArmenian}": ("բգդզլկհմնպստրվ", "աեիոօ"),
+    r"\p{IsGeorgian}": ("ბგდვზთკლმნპრსტ", "აეიოუ"),
+    r"\p{L}": ("bcdfghjklmnprstvwz", "aeiou"),
 }
 
 
@@ -75,8 +78,8 @@ def _chars(text: Column, digest: Column, one) -> Column:
 
 
 def _same_kind(c: Column, n: Column, i: Column) -> Column:
-    """A digit for a digit, a letter for a letter of the same script."""
-    found = F.when(c.rlike("[0-9]"), (n % 10).cast("string"))
+    """A digit for a digit, a letter for a letter of the same script (a Latin one where _SETS has no such script)."""
+    found = F.when(c.rlike(r"\p{N}"), (n % 10).cast("string"))
     for script, (consonants, vowels) in _SETS.items():
         found = found.when(c.rlike(f"[{script}]"), _pick(consonants + vowels, n))
     return found.otherwise(c)
@@ -97,48 +100,57 @@ def _speakable(female: Column, length: Column):
     return one
 
 
-def surrogate(kind: Column, norm: Column, draw: Column, key: str = KEY) -> Column:
-    """The keyed replacement of an identity; another draw gives another one."""
+def surrogate(kind: Column, norm: Column, draw: Column, key: str = KEY, draws: int = MAX_DRAWS) -> Column:
+    """The keyed replacement of an identity; another draw gives another one, and each draw after the given number is a character longer."""
+    extra = F.greatest(draw - draws, F.lit(0))
+    # more digits than any phone has, as those before the last ten aren't part of the identity
+    extra = F.when((kind == "phone") & (extra > 0) & (F.length(norm) + extra > 10), extra + 14).otherwise(extra)
+    more = lambda c: F.repeat(c, extra)
     digest = F.sha2(F.concat_ws("|", F.lit(key), kind, norm, draw.cast("string")), 512)
     at = F.instr(norm, "@")
-    local, domain = F.substr(norm, F.lit(1), at - 1), F.substr(norm, at + 1)
+    local, domain = F.concat(F.substr(norm, F.lit(1), at - 1), more(F.lit("a"))), F.substr(norm, at + 1)
     host, top = F.regexp_extract(domain, r"^(.*)\.[^.]+$", 1), F.regexp_extract(domain, r"\.([^.]+)$", 1)
     email = F.concat(_chars(local, digest, _same_kind), F.lit("@"), _chars(host, F.sha2(F.concat_ws("|", F.lit(key), domain), 512), _same_kind), F.lit("."), top)
-    digits = _chars(norm, digest, _same_kind)
-    short = F.substr(digits, F.lit(1), F.length(norm) - 1)
+    digits = _chars(F.concat(norm, more(F.lit("0"))), digest, _same_kind)
+    short = F.substr(digits, F.lit(1), F.length(digits) - 1)
     check = F.element_at(F.filter(F.transform(F.sequence(F.lit(0), F.lit(9)), lambda d: F.concat(short, d.cast("string"))), _luhn), 1)
     octet = lambda k: (F.conv(F.substr(digest, F.lit(1 + 2 * k), F.lit(2)), 16, 10).cast("int") % 254 + 1).cast("string")
-    hexes = F.substr(F.repeat(digest, 2), F.lit(1), F.length(norm))
+    hexes = F.substr(F.repeat(digest, 2), F.lit(1), F.length(norm) + extra)
     bare = F.substr(norm, F.lit(3))
+    capital, rest = F.substr(bare, F.lit(1), F.lit(1)), F.substr(bare, F.lit(2))
+    bare = F.concat(bare, more(F.when(rest == F.upper(rest), capital).otherwise(F.lower(capital))))
     name = F.concat(F.substr(norm, F.lit(1), F.lit(2)), _chars(bare, digest, _speakable(norm.startswith("f"), F.length(bare))))
     return (
         F.when(kind == "email", email)
         .when(kind == "card", F.when(_luhn(norm), check).otherwise(digits))
         .when(kind.isin("phone", "national_id"), digits)
-        .when(kind == "ip", F.concat_ws(".", *(octet(k) for k in range(4))))
-        .when(kind == "secret", F.when(norm.rlike("^[0-9a-f]+$"), hexes).otherwise(F.concat(F.regexp_extract(norm, "^(akia|sk-|gh[pousr]_)", 1), _chars(F.regexp_replace(norm, "^(akia|sk-|gh[pousr]_)", ""), digest, _same_kind))))
-        .when(kind == "iban", F.concat(F.substr(norm, F.lit(1), F.lit(2)), _chars(F.substr(norm, F.lit(3)), digest, _same_kind)))
+        .when(kind == "ip", F.concat_ws(".", *(octet(k) for k in range(4)), F.when(extra > 0, _chars(more(F.lit("0")), F.sha2(digest, 512), _same_kind))))
+        .when(kind == "secret", F.when(norm.rlike("^[0-9a-f]+$"), hexes).otherwise(F.concat(F.regexp_extract(norm, "^(akia|sk-|gh[pousr]_)", 1), _chars(F.concat(F.regexp_replace(norm, "^(akia|sk-|gh[pousr]_)", ""), more(F.lit("a"))), digest, _same_kind))))
+        .when(kind == "iban", F.concat(F.substr(norm, F.lit(1), F.lit(2)), _chars(F.concat(F.substr(norm, F.lit(3)), more(F.lit("0"))), digest, _same_kind)))
         .when(kind == "name", name)
     )
 
 
-def surrogates(entities: DataFrame, key: str = KEY) -> DataFrame:
+def surrogates(entities: DataFrame, key: str = KEY, draws: int = MAX_DRAWS) -> DataFrame:
     """(kind, norm), distinct -> kind, norm, core: no two of a kind get the same, and none gets what is somebody's own.
 
-    Those whose draw collides draw again, all but the smallest identity of each collision, until none does.
+    Those whose draw collides draw again, all but the smallest identity of each collision, until none does. A format may have fewer surrogates than
+    identities, so draws after the given number are each a character longer: what an identity may get then grows tenfold at least with every draw.
     """
     table = entities.select("kind", "norm", F.lit(0).alias("draw"))
-    table = materialize(table.withColumn("core", surrogate(F.col("kind"), F.col("norm"), F.col("draw"), key)))
+    start = table = materialize(table.withColumn("core", surrogate(F.col("kind"), F.col("norm"), F.col("draw"), key, draws)))
     own = table.select("kind", F.col("norm").alias("core"), F.lit(True).alias("taken"))
-    for _ in range(MAX_DRAWS):
+    while True:
         first = table.groupBy("kind", "core").agg(F.min("norm").alias("first"), F.count(F.lit(1)).alias("n"))
         judged = table.join(first.where("n > 1"), ["kind", "core"], "left").join(own, ["kind", "core"], "left")
         judged = judged.withColumn("again", F.coalesce(F.col("taken"), F.lit(False)) | F.coalesce(F.col("norm") != F.col("first"), F.lit(False)))
         if judged.where("again").isEmpty():
-            break
+            return table.select("kind", "norm", "core")
         drawn = judged.withColumn("draw", F.when(F.col("again"), F.col("draw") + 1).otherwise(F.col("draw"))).select("kind", "norm", "draw", "again", "core")
-        table = materialize(drawn.withColumn("core", F.when(F.col("again"), surrogate(F.col("kind"), F.col("norm"), F.col("draw"), key)).otherwise(F.col("core"))).select("kind", "norm", "draw", "core"))
-    return table.select("kind", "norm", "core")
+        before = table
+        table = materialize(drawn.withColumn("core", F.when(F.col("again"), surrogate(F.col("kind"), F.col("norm"), F.col("draw"), key, draws)).otherwise(F.col("core"))).select("kind", "norm", "draw", "core"))
+        if before is not start:
+            discard(before)
 
 
 def in_format(kind: Column, mention: Column, core: Column) -> Column:
@@ -147,8 +159,9 @@ def in_format(kind: Column, mention: Column, core: Column) -> Column:
     char = lambda i: F.substr(mention, (i + 1).cast("int"), F.lit(1))
     title = F.regexp_extract(mention, rf"^({_TITLE}\s)", 1)
     digits = F.regexp_replace(mention, "[^0-9]", "")
-    core = F.when(kind == "phone", F.concat(F.substr(digits, F.lit(1), F.length(digits) - F.length(core)), core)).otherwise(core)
+    core = F.when(kind == "phone", F.concat(F.substr(digits, F.lit(1), F.greatest(F.length(digits) - 10, F.lit(0))), core)).otherwise(core)
     dealt = F.array_join(F.transform(F.sequence(F.lit(0), F.length(mention) - 1), lambda i: F.when(char(i).rlike("[0-9]"), F.substr(core, before(i).cast("int"), F.lit(1))).otherwise(char(i))), "")
+    dealt = F.concat(dealt, F.substr(core, F.length(digits) + 1))  # what a longer surrogate has beyond the digits of the mention
     cased = F.when((mention == F.upper(mention)) & (mention != F.lower(mention)), F.upper(core)).otherwise(core)
     return F.when(kind.isin("card", "phone", "national_id"), dealt).when(kind == "name", F.concat(title, F.substr(core, F.lit(3)))).when(kind == "ip", core).otherwise(cased)
 

@@ -232,6 +232,26 @@ def test_surrogates_stay_distinct(spark):
     assert len({r.core for r in found}) == len(found) == 3334 and not {r.core for r in found} & {r.norm for r in found}
 
 
+def test_surrogates_of_full_formats_stay_distinct(spark):
+    # more identities than surrogates of their length: women's names of two letters, one-letter e-mails, phones of four digits; and scripts of no set
+    low = "abcdefghijklmnopqrstuvwxyz"
+    full = [("name", f"f:{a.upper()}{b}") for a in low[:6] for b in low] + [("email", f"{a}@host.org") for a in low]
+    full += [("phone", f"{k:04d}") for k in range(10_000) if k % 3 < 2]
+    odd = [("name", "m:Ⲁⲃ"), ("name", "m:Արամ"), ("email", "李@例.cn"), ("name", "m:Łł"), ("email", "_@-.com")]
+    found = pii.surrogates(spark.createDataFrame(full + odd, "kind string, norm string"), draws=2).collect()
+    assert len(found) == len(full + odd) == len({(r.kind, r.core) for r in found})
+    assert not {(r.kind, r.core) for r in found} & {(r.kind, r.norm) for r in found}
+    assert all(re.fullmatch("f:[A-Z][a-z]+a|f:[A-Z]a", r.core) for r in found if r.norm.startswith("f:"))
+    core = {r.norm: r.core for r in found}
+    assert re.fullmatch("m:[Ա-Ֆ][ա-ֆ]{3}", core["m:Արամ"]) and not set("ⲀⲃŁł李例") & set("".join(core[n] for _, n in odd))
+
+
+def test_longer_surrogates_are_written(spark):
+    rows = [("phone", "+12-233", "2345678"), ("national_id", "123-45-6789", "9876543210"), ("phone", "+1 (017) 555-7713", "2" * 25), ("name", "Ms. Li", "f:Baka")]
+    got = spark.createDataFrame(rows, "kind string, mention string, core string")
+    assert [r[0] for r in got.select(pii.in_format(F.col("kind"), F.col("mention"), F.col("core"))).collect()] == ["+23-45678", "987-65-43210", "+1 (222) 222-2222" + "2" * 15, "Ms. Baka"]
+
+
 def test_pipeline(spark):
     import corpus_pipeline as p
 
