@@ -25,7 +25,7 @@ TYPES = {
 }
 PATTERN = "|".join(f"(?:{p})" for p in TYPES.values())
 #: A text without any of these has no entity; it saves the slower search on most texts.
-GUARD = rf"[@0-9]|{_TITLE}\s\p{{Lu}}|[A-Z]{{20}}|[a-f]{{32}}"
+GUARD = rf"[@0-9]|{_TITLE}\s\p{{Lu}}|[A-Z]{{20}}|[a-f]{{32}}|sk-[A-Za-z0-9]{{20}}|gh[pousr]_[A-Za-z0-9]{{20}}"
 #: Further draws in the format of the identity for surrogates that collide; each draw after them is a character longer.
 MAX_DRAWS = 64
 
