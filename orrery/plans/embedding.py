@@ -51,6 +51,13 @@ def matmul(spark: SparkSession, d: str) -> DataFrame:
     return matrices.matmul(matrices.transpose(m), m).withColumn("val", tidy(F.col("val")))
 
 
+@query(f"WITH {CELLS} SELECT a.j AS i, b.j AS j, round(sum(a.val * b.val), 6) + 0 AS val FROM cells a JOIN cells b USING (i) GROUP BY a.j, b.j")
+def matmul_whole(spark: SparkSession, d: str) -> DataFrame:
+    """The transposed matrix times the matrix, all columns."""
+    m = matrices.to_cells(points_hd(spark, d))
+    return matrices.matmul(matrices.transpose(m), m).withColumn("val", tidy(F.col("val")))
+
+
 @query(f"WITH {CELLS} SELECT j AS i, i AS j, val FROM cells")
 def transpose(spark: SparkSession, d: str) -> DataFrame:
     return matrices.transpose(matrices.to_cells(points_hd(spark, d)))

@@ -48,6 +48,14 @@ def voxel_lookup(spark: SparkSession, d: str) -> DataFrame:
     return wanted.join(flat, "idx")
 
 
+@query(f"WITH {VOX} SELECT (x + 50 * (y + 11 * z))::BIGINT AS idx, val FROM vox")
+def voxel_lookup_whole(spark: SparkSession, d: str) -> DataFrame:
+    """All voxels by their place in a flat array."""
+    v = voxels(spark, d)
+    flat = v.select((F.col("x") + DIMS[0] * (F.col("y") + DIMS[1] * F.col("z"))).cast("long").alias("idx"), "val")
+    return flat.select("idx").join(flat, "idx")
+
+
 @query(f"WITH {_GRAD} SELECT x, y, z, gx, gy, gz, round(mag, 6) AS mag FROM gr")
 def gradient_volume(spark: SparkSession, d: str) -> DataFrame:
     return volumes.gradients(voxels(spark, d)).withColumn("mag", F.round("mag", 6))

@@ -20,3 +20,16 @@ def test_every_event_is_transformed(spark, tmp_path):
         assert np.allclose([complex(re, im) for _, re, im in got], np.fft.fft(signal), atol=2e-3)
     assert np.allclose([v for _, v in run("ifft_1d_whole")], 1024 * padded, atol=2e-3)
     assert run("bit_reversal_whole") == [(n, int(f"{n:010b}"[::-1], 2)) for n in range(1024)]
+
+
+def test_every_column_is_multiplied(spark):
+    rows = spark.read.parquet(f"{D}/embeddings.parquet").select("embedding").collect()
+    m = np.array([r[0] for r in rows])
+    got = {(r.i, r.j): r.val for r in catalog.QUERIES["matmul_whole"](spark, D).collect()}
+    assert len(got) == 64 * 64 and np.allclose([[got[i, j] for j in range(64)] for i in range(64)], m.T @ m, atol=2e-6)
+
+
+def test_every_voxel_is_looked_up(spark):
+    got = sorted(map(tuple, catalog.QUERIES["voxel_lookup_whole"](spark, D).collect()))
+    want = sorted((r.x + 50 * (r.y + 11 * r.z), r.val) for r in catalog.QUERIES["voxel_grid"](spark, D).collect())
+    assert len(got) == 4950 and got == want
