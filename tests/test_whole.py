@@ -33,3 +33,14 @@ def test_every_voxel_is_looked_up(spark):
     got = sorted(map(tuple, catalog.QUERIES["voxel_lookup_whole"](spark, D).collect()))
     want = sorted((r.x + 50 * (r.y + 11 * r.z), r.val) for r in catalog.QUERIES["voxel_grid"](spark, D).collect())
     assert len(got) == 4950 and got == want
+
+
+def test_two_components_and_every_row(spark):
+    rows = spark.read.parquet(f"{D}/embeddings.parquet").select("vec_id", "embedding").orderBy("vec_id").collect()
+    m = np.array([r[1] for r in rows])
+    values, vectors = np.linalg.eigh(np.cov(m.T))
+    assert np.allclose([r.value for r in catalog.QUERIES["eigen_top2"](spark, D).orderBy("k").collect()], values[[-1, -2]], atol=1e-6)
+    y = (m - m.mean(0)) @ vectors[:, [-1, -2]]
+    y *= np.sign(y[np.abs(y).argmax(0), [0, 1]])
+    got = catalog.QUERIES["pca_embed2"](spark, D).orderBy("id").collect()
+    assert [r.id for r in got] == [r.vec_id for r in rows] and np.allclose([(r.x, r.y) for r in got], y, atol=2e-6)
