@@ -375,3 +375,31 @@ def fit_sum_q(spark: SparkSession, d: str) -> DataFrame:
 def fit_repulsive(spark: SparkSession, d: str) -> DataFrame:
     g = interpolation.negative_interpolated(_scaled(spark, d), _I)
     return g.select("i", tidy(F.col("gx"), 8).alias("gx"), tidy(F.col("gy"), 8).alias("gy"))
+
+
+# ---- the grid of the reference: 32 intervals a side, whose direct node sum is slow in SQL ----
+
+_FULL = 32
+
+
+@query()
+def fit_w_32(spark: SparkSession, d: str) -> DataFrame:
+    points = _scaled(spark, d)
+    w = interpolation.spread(points, *interpolation.bounds(points), _FULL)
+    return w.select(F.col("nx").cast("int").alias("nx"), F.col("ny").cast("int").alias("ny"), *(tidy(F.col(f"w{k}")).alias(f"w{k}") for k in range(4)))
+
+
+@query()
+def fit_potentials_32(spark: SparkSession, d: str) -> DataFrame:
+    return interpolation.potentials(_scaled(spark, d), _FULL).select("id", *(F.round(f"p{k}", 4).alias(f"p{k}") for k in range(4)))
+
+
+@query()
+def fit_sum_q_32(spark: SparkSession, d: str) -> DataFrame:
+    return interpolation.potentials(_scaled(spark, d), _FULL).agg(F.round(F.sum(interpolation.q_sum()), 3).alias("z"))
+
+
+@query()
+def fit_repulsive_32(spark: SparkSession, d: str) -> DataFrame:
+    g = interpolation.negative_interpolated(_scaled(spark, d), _FULL)
+    return g.select("i", tidy(F.col("gx"), 8).alias("gx"), tidy(F.col("gy"), 8).alias("gy"))

@@ -44,3 +44,19 @@ def test_two_components_and_every_row(spark):
     y *= np.sign(y[np.abs(y).argmax(0), [0, 1]])
     got = catalog.QUERIES["pca_embed2"](spark, D).orderBy("id").collect()
     assert [r.id for r in got] == [r.vec_id for r in rows] and np.allclose([(r.x, r.y) for r in got], y, atol=2e-6)
+
+
+def test_the_grid_of_the_reference(spark):
+    rows = spark.read.parquet(f"{D}/embeddings.parquet").selectExpr("vec_id", "double(embedding[0])", "double(embedding[1])").orderBy("vec_id").collect()
+    p = np.array([r[1:] for r in rows])
+    p = (p - p.min(0)) / (p.max(0) - p.min(0))
+    run = lambda name: catalog.QUERIES[name](spark, D)
+    away = p[:, None] - p[None]
+    q = 1 / (1 + (away**2).sum(2))
+    z = q.sum() - len(p)
+    assert abs(run("fit_sum_q_32").first().z - z) < 1e-5 * z
+    force = 4 * (q[:, :, None] ** 2 * away).sum(1) / z
+    assert np.allclose([(r.gx, r.gy) for r in run("fit_repulsive_32").orderBy("i").collect()], force, atol=1e-7)
+    assert np.allclose([r.p0 for r in run("fit_potentials_32").orderBy("id").collect()], (q**2).sum(1), atol=1e-3)
+    w = run("fit_w_32").collect()
+    assert max(r.nx for r in w) > 100 and np.allclose([sum(r.w0 for r in w), sum(r.w1 for r in w)], [len(p), p[:, 0].sum()], atol=1e-2)
