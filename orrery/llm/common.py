@@ -15,17 +15,22 @@ CHUNK_BYTES = 2 << 20
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where it is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, a temporary one in local mode; on a cluster that is an error."""
     sc = spark.sparkContext
     root = sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not root:
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="orrery-shared-"))
         root = sc.getCheckpointDir()
     return root.rstrip("/")
 
 
 def materialize(df: DataFrame) -> DataFrame:
-    """Cut the lineage: write df as a Parquet table in the shared folder and read it back."""
+    """Cut the lineage: write df as a Parquet table in the shared folder and read it back.
+
+    The library beside this subpackage has a function of its own for this, as neither imports the other.
+    """
     path = f"{shared_root(df.sparkSession)}/tables/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
@@ -41,13 +46,13 @@ def discard(df: DataFrame) -> None:
             path.getFileSystem(conf).delete(path, True)
 
 
-def text_chunks(batch: pa.RecordBatch, column: str = "text") -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
-    """Slices of a batch with at most CHUNK_BYTES of text (or one row), and their texts as UTF-8 bytes; null is empty."""
+def text_chunks(batch: pa.RecordBatch, column: str = "text", rows: int | None = None) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
+    """Slices of a batch with at most CHUNK_BYTES of text (or one row) and at most so many rows, and their texts as UTF-8 bytes; null is empty."""
     texts = batch.column(column).cast(pa.large_binary()).to_pylist()
     at, total = 0, 0
     for i, t in enumerate(texts):
         n = len(t) if t else 0
-        if i > at and total + n > CHUNK_BYTES:
+        if i > at and (total + n > CHUNK_BYTES or i - at == rows):
             yield batch.slice(at, i - at), [x or b"" for x in texts[at:i]]
             at, total = i, 0
         total += n

@@ -11,12 +11,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import text_chunks
-from .learning import fold, sample
+from .learning import RATE_UNIT, fold, rate
 
 #: Dimensions of the hashed 2- and 3-byte n-gram space, and centroids a language.
 DIMS, CENTROIDS = 4096, 4
 #: Training documents a language that centroids are clustered from, at most. Document frequencies come from all of them.
 MAX_PER_LANGUAGE = 500
+#: Rows that are counted at once: each takes DIMS numbers, however short its text is.
+ROWS = 512
 #: A text is rejected if its cosine is under its centroid's mean over members less so many standard deviations.
 REJECT_SIGMAS = 5.0
 
@@ -82,7 +84,7 @@ def fit(known: DataFrame, max_per_language: int = MAX_PER_LANGUAGE, k: int = CEN
     def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         df, n = np.zeros(DIMS), 0
         for batch in batches:
-            for _, texts in text_chunks(batch):
+            for _, texts in text_chunks(batch, rows=ROWS):
                 df += (counts(texts) > 0).sum(axis=0)
                 n += len(texts)
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(DIMS + 1), pa.int32()), pa.array(np.append(df, n))], names=["dim", "df"])
@@ -92,14 +94,13 @@ def fit(known: DataFrame, max_per_language: int = MAX_PER_LANGUAGE, k: int = CEN
     freq[df.dim] = df.df
     idf = np.log((1 + freq[-1]) / (1 + freq[:-1])) + 0.1
 
-    parts = [sample(known.where(F.col("lang") == lang), max_per_language, n, 10) for lang, n in sorted(by_lang.items())]
-    picked = parts[0] if parts else known
-    for p in parts[1:]:
-        picked = picked.unionByName(p)
+    # one scan for all languages, each with a rate of its own (a row a language: as many as there are names)
+    rates = [F.lit(x) for lang, n in sorted(by_lang.items()) for x in (lang, rate(max_per_language, n))]
+    picked = known.where(F.pmod(F.xxhash64(F.lit(10), "doc_id"), F.lit(RATE_UNIT)) < F.create_map(*rates)[F.col("lang")]) if rates else known
 
     def embed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part, texts in text_chunks(batch):
+            for part, texts in text_chunks(batch, rows=ROWS):
                 v = vectors(counts(texts), idf)
                 yield pa.RecordBatch.from_arrays([part.column("lang"), pa.array(list(v), pa.list_(pa.float32()))], names=["lang", "v"])
 
@@ -125,7 +126,7 @@ def identify(docs: DataFrame, held_out_mod: int = 4, held_out_is: int = 2, max_p
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part, texts in text_chunks(batch):
+            for part, texts in text_chunks(batch, rows=ROWS):
                 n = len(texts)
                 named, score, rejected = np.full(n, "und", dtype=object), np.zeros(n), np.zeros(n, dtype=bool)
                 lettered = np.array([has_letter(t) for t in texts])

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 #: Labelled rows that a model is fitted on, at most (a sample by the hash of the id beyond it).
 MAX_TRAIN = 20_000
+RATE_UNIT = 1_000_000
 
 
 def fold(doc_id: str, k: int) -> Column:
@@ -14,8 +15,13 @@ def fold(doc_id: str, k: int) -> Column:
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % k
 
 
+def rate(most: int, n: int) -> int:
+    """Out of RATE_UNIT hash values, how many select about most of n rows; all if n is no more."""
+    return RATE_UNIT if n <= most else int(RATE_UNIT * most / n)
+
+
 def sample(df: DataFrame, most: int, n: int, seed: int) -> DataFrame:
     """About most of df's n rows, by a hash of doc_id: the same ones in every run; all if n is no more."""
     if n <= most:
         return df
-    return df.where(F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(1_000_000)) < int(1_000_000 * most / n))
+    return df.where(F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(RATE_UNIT)) < rate(most, n))

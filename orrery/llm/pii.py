@@ -13,23 +13,27 @@ KEY = "orrery"
 MALE = ("Mr", "Herr", "Señor", "Monsieur", "Sir", "Господин", "Κύριος")
 FEMALE = ("Mrs", "Ms", "Miss", "Frau", "Señora", "Señorita", "Madame", "Mme", "Mlle", "Madam", "Госпожа", "Κυρία")
 _TITLE = "(?:" + "|".join(sorted(MALE + FEMALE, key=len, reverse=True)) + r")\.?"
+#: Nothing of a word before, or after. All repetitions without a bound are possessive, so that no text takes more than time in proportion to its length.
+_L, _R = r"(?<![\p{L}\p{N}_])", r"(?![\p{L}\p{N}_])"
+_LOCAL = r"[\p{L}\p{N}._%+-]"
+_SURNAME = r"\p{Lu}(?:\p{L}++(?:['’-](?!s(?!\p{L}))\p{L}++)*+|['’]\p{Lu}\p{L}++)"
 TYPES = {
-    "email": r"[\p{L}\p{N}._%+-]+@(?:[\p{L}\p{N}-]+\.)+\p{L}{2,}",
-    "secret": r"\b(?:[0-9a-f]{32,128}|[0-9A-F]{32,128}|AKIA[0-9A-Z]{16}|sk-[A-Za-z0-9]{20,}|gh[pousr]_[A-Za-z0-9]{20,})\b",
-    "iban": r"\b[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}\b",
-    "card": r"\b(?:[0-9]{4}[ -]?){3}[0-9]{4}\b|\b[0-9]{13,19}\b",
-    "phone": r"\+?[0-9]{1,3}[ .-]?\([0-9]{2,4}\)[ .-]?[0-9]{3,4}[ .-]?[0-9]{3,4}\b|\([0-9]{3}\) ?[0-9]{3}[ .-][0-9]{4}\b|\b[0-9]{3}[.-][0-9]{3}[.-][0-9]{4}\b|\+[0-9]{1,3}(?:[ .-]?[0-9]{2,4}){2,5}\b",
-    "national_id": r"\b[0-9]{3}-[0-9]{2}-[0-9]{4}\b",
-    "ip": r"\b(?:[0-9]{1,3}\.){3}[0-9]{1,3}\b",
-    "name": rf"\b{_TITLE}\s\p{{Lu}}[\p{{L}}'-]+(?: \p{{Lu}}[\p{{L}}'-]+)?",
+    # an address starts where such a run starts, or where the last entity ended; a domain is labels of which the last has letters alone
+    "email": rf"(?:(?<!{_LOCAL})|\G){_LOCAL}++@(?:(?:[\p{{L}}\p{{N}}-]++\.){{1,127}}?(?=\p{{L}}{{2}}))++\p{{L}}{{2,}}+",
+    "secret": rf"{_L}(?:[0-9a-f]{{32,}}+|[0-9A-F]{{32,}}+|AKIA[0-9A-Z]{{16}}|sk-[A-Za-z0-9]{{20,}}+|gh[pousr]_[A-Za-z0-9]{{20,}}+){_R}",
+    "iban": rf"{_L}[A-Z]{{2}}[0-9]{{2}}(?:[A-Z0-9]{{11,30}}|(?: [A-Z]{{4}})?(?: [0-9]{{4}}){{2,7}}(?: [0-9]{{1,3}})?){_R}",
+    "card": rf"{_L}(?:(?:[0-9]{{4}}[ -]?){{3}}[0-9]{{4}}|[0-9]{{13,19}}){_R}",
+    "phone": rf"\+?[0-9]{{1,3}}[ .-]?\([0-9]{{2,4}}\)[ .-]?[0-9]{{3,4}}[ .-]?[0-9]{{3,4}}{_R}|\([0-9]{{3}}\) ?[0-9]{{3}}[ .-][0-9]{{4}}{_R}|{_L}[0-9]{{3}}[.-][0-9]{{3}}[.-][0-9]{{4}}{_R}|\+[0-9]{{1,3}}(?:[ .-]?[0-9]{{2,4}}){{2,5}}{_R}",
+    "national_id": rf"{_L}[0-9]{{3}}-[0-9]{{2}}-[0-9]{{4}}{_R}",
+    "ip": rf"{_L}(?:[0-9]{{1,3}}\.){{3}}[0-9]{{1,3}}{_R}",
+    "name": rf"{_L}{_TITLE}\s{_SURNAME}(?: {_SURNAME})?",
 }
 PATTERN = "|".join(f"(?:{p})" for p in TYPES.values())
-#: A text without any of these has no entity; it saves the slower search on most texts.
-GUARD = rf"[@0-9]|{_TITLE}\s\p{{Lu}}|[A-Z]{{20}}|[a-f]{{32}}|sk-[A-Za-z0-9]{{20}}|gh[pousr]_[A-Za-z0-9]{{20}}"
 #: Further draws in the format of the identity for surrogates that collide; each draw after them is a character longer.
-MAX_DRAWS = 64
+MAX_DRAWS = 6
 
-_SETS = {  # script: consonants, vowels. The last one is for letters of all other scripts.
+#: script: consonants, vowels. The last one is for letters of all other scripts.
+_SETS = {
     r"\p{IsLatin}": ("bcdfghjklmnprstvwz", "aeiou"),
     r"\p{IsCyrillic}": ("бвгдзклмнпрстфх", "аеиоу"),
     r"\p{IsGreek}": ("βγδζθκλμνπρστφχ", "αεηιο"),
@@ -37,6 +41,18 @@ _SETS = {  # script: consonants, vowels. The last one is for letters of all othe
     r"\p{IsGeorgian}": ("ბგდვზთკლმნპრსტ", "აეიოუ"),
     r"\p{L}": ("bcdfghjklmnprstvwz", "aeiou"),
 }
+_VENDOR = "^(AKIA|sk-|gh[pousr]_)"
+# Marks around entities while a text is cut up: noncharacters of Unicode. Where a text has them, they stand escaped meanwhile.
+_MARK, _ESCAPE, _WAS_ESCAPE, _WAS_MARK = "﷐", "﷑", "﷑﷒", "﷑﷓"
+
+
+def pieces(text: Column) -> Column:
+    """A text cut up around its entities, which are the second, fourth, ... piece. One search a text."""
+    odd = text.rlike(f"[{_MARK}{_ESCAPE}]")
+    safe = F.when(odd, F.regexp_replace(F.regexp_replace(text, _ESCAPE, _WAS_ESCAPE), _MARK, _WAS_MARK)).otherwise(text)
+    cut = F.split(F.regexp_replace(safe, PATTERN, f"{_MARK}$0{_MARK}"), _MARK, -1)
+    plain = F.transform(cut, lambda p: F.regexp_replace(F.regexp_replace(p, _WAS_MARK, _MARK), _WAS_ESCAPE, _ESCAPE))
+    return F.when(odd, plain).otherwise(cut)
 
 
 def entity_type(e: Column) -> Column:
@@ -47,143 +63,172 @@ def entity_type(e: Column) -> Column:
 
 
 def identity(kind: Column, e: Column) -> Column:
-    """What mentions of one entity have in common: letter case, separators and forms of address aside (but for the gender they tell)."""
+    """What mentions of one entity have in common: separators, forms of address (but for the gender they tell) and letter case aside; case counts in secrets."""
     digits = F.regexp_replace(e, r"[^0-9]", "")
-    gender = F.when(e.rlike("^(?:" + "|".join(FEMALE) + r")\b"), "f").otherwise("m")
+    gender = F.when(e.rlike("^(?:" + "|".join(FEMALE) + r")(?!\p{L})"), "f:").otherwise("m:")
     return (
         F.when(kind == "phone", F.right(digits, F.lit(10)))  # a country code before the national number stays as it is
         .when(kind.isin("card", "national_id"), digits)
-        .when(kind == "name", F.concat(gender, F.lit(":"), F.regexp_replace(e, rf"^{_TITLE}\s", "")))
-        .when(kind == "ip", e)
-        .otherwise(F.lower(e))
+        .when(kind == "name", F.concat(gender, F.lower(F.regexp_replace(e, rf"^{_TITLE}\s", ""))))
+        .when(kind == "iban", F.regexp_replace(e, " ", ""))
+        .when(kind == "email", F.lower(e))
+        .otherwise(e)
     )
 
 
-def _luhn(number: Column) -> Column:
-    return F.call_function("luhn_check", number)
+def _hash(*parts: Column | str) -> Column:
+    """128 hexadecimal digits."""
+    return F.sha2(F.concat_ws("|", *(F.lit(p) if isinstance(p, str) else p for p in parts)), 512)
 
 
-def _pick(choices: str, number: Column) -> Column:
-    return F.substr(F.lit(choices), (number % len(choices) + 1).cast("int"), F.lit(1))
+def _let(value: Column, use) -> Column:
+    """use(value), with value computed once however often use names it."""
+    return F.element_at(F.transform(F.array(value), use), 1)
 
 
-def _chars(text: Column, digest: Column, one) -> Column:
-    """Each character through one(character, number from the digest, place from 0), joined again. The digest has 128 hex digits."""
+def _script(c: Column) -> Column:
+    """Consonants and vowels of the script of a letter."""
+    found = None
+    for script, both in _SETS.items():
+        sets = F.struct(F.lit(both[0]).alias("consonants"), F.lit(both[1]).alias("vowels"))
+        found = F.when(c.rlike(script), sets) if found is None else found.when(c.rlike(script), sets)
+    return found
 
-    def each(i: Column) -> Column:
-        number = F.conv(F.substr(digest, (F.lit(2) * (i % 64) + 1).cast("int"), F.lit(2)), 16, 10).cast("int")
-        return one(F.substr(text, (i + 1).cast("int"), F.lit(1)), number, i)
 
-    return F.when(F.length(text) > 0, F.array_join(F.transform(F.sequence(F.lit(0), F.length(text) - 1), each), "")).otherwise(text)
+def _pick(letters: Column, n: Column) -> Column:
+    return F.substr(letters, n % F.length(letters) + 1, F.lit(1))
 
 
-def _same_kind(c: Column, n: Column, i: Column) -> Column:
-    """A digit for a digit, a letter for a letter of the same script (a Latin one where _SETS has no such script)."""
-    found = F.when(c.rlike(r"\p{N}"), (n % 10).cast("string"))
-    for script, (consonants, vowels) in _SETS.items():
-        found = found.when(c.rlike(f"[{script}]"), _pick(consonants + vowels, n))
-    return found.otherwise(c)
+def _byte(digest: Column, i: Column | int) -> Column:
+    """A number from 0 to 255 of a digest of 64 bytes."""
+    at = 2 * (i % 64) + 1
+    return F.conv(F.substr(digest, at.cast("int") if isinstance(at, Column) else F.lit(at), F.lit(2)), 16, 10).cast("int")
 
 
-def _speakable(female: Column, length: Column):
-    """Consonants and vowels in turn, in the script of the letter that goes; the last letter tells the gender."""
+def _luhn(number: Column) -> Column:
+    return F.call_function("luhn_check", number)
 
-    def one(c: Column, n: Column, i: Column) -> Column:
-        low = F.lower(c)
-        last = i == length - 1
-        found = F.when(low == "", c)
-        for script, (consonants, vowels) in _SETS.items():
-            new = F.when(last & female, F.lit(vowels[0])).when(last, _pick(consonants, n)).when(i % 2 == 0, _pick(consonants, n)).otherwise(_pick(vowels, n))
-            found = found.when(low.rlike(f"[{script}]"), F.when(c == low, new).otherwise(F.upper(new)))
-        return found.otherwise(c)
 
-    return one
+def _mod97(account: Column) -> Column:
+    """Remainder of an account number (A to Z stand for 10 to 35) by 97."""
+    add = lambda acc, c: (F.when(c.rlike("[A-Z]"), acc * 100 + F.ascii(c) - 55).otherwise(acc * 10 + F.ascii(c) - 48) % 97).cast("int")
+    return F.aggregate(F.split(account, ""), F.lit(0), add)
 
 
 def surrogate(kind: Column, norm: Column, draw: Column, key: str = KEY, draws: int = MAX_DRAWS) -> Column:
     """The keyed replacement of an identity; another draw gives another one, and each draw after the given number is a character longer."""
-    extra = F.greatest(draw - draws, F.lit(0))
+    more = F.greatest(draw - draws, F.lit(0))
     # more digits than any phone has, as those before the last ten aren't part of the identity
-    extra = F.when((kind == "phone") & (extra > 0) & (F.length(norm) + extra > 10), extra + 14).otherwise(extra)
-    more = lambda c: F.repeat(c, extra)
-    digest = F.sha2(F.concat_ws("|", F.lit(key), kind, norm, draw.cast("string")), 512)
-    at = F.instr(norm, "@")
-    local, domain = F.concat(F.substr(norm, F.lit(1), at - 1), more(F.lit("a"))), F.substr(norm, at + 1)
-    host, top = F.regexp_extract(domain, r"^(.*)\.[^.]+$", 1), F.regexp_extract(domain, r"\.([^.]+)$", 1)
-    email = F.concat(_chars(local, digest, _same_kind), F.lit("@"), _chars(host, F.sha2(F.concat_ws("|", F.lit(key), domain), 512), _same_kind), F.lit("."), top)
-    digits = _chars(F.concat(norm, more(F.lit("0"))), digest, _same_kind)
-    short = F.substr(digits, F.lit(1), F.length(digits) - 1)
-    check = F.element_at(F.filter(F.transform(F.sequence(F.lit(0), F.lit(9)), lambda d: F.concat(short, d.cast("string"))), _luhn), 1)
-    octet = lambda k: (F.conv(F.substr(digest, F.lit(1 + 2 * k), F.lit(2)), 16, 10).cast("int") % 254 + 1).cast("string")
-    hexes = F.substr(F.repeat(digest, 2), F.lit(1), F.length(norm) + extra)
-    bare = F.substr(norm, F.lit(3))
-    capital, rest = F.substr(bare, F.lit(1), F.lit(1)), F.substr(bare, F.lit(2))
-    bare = F.concat(bare, more(F.when(rest == F.upper(rest), capital).otherwise(F.lower(capital))))
-    name = F.concat(F.substr(norm, F.lit(1), F.lit(2)), _chars(bare, digest, _speakable(norm.startswith("f"), F.length(bare))))
-    return (
-        F.when(kind == "email", email)
-        .when(kind == "card", F.when(_luhn(norm), check).otherwise(digits))
-        .when(kind.isin("phone", "national_id"), digits)
-        .when(kind == "ip", F.concat_ws(".", *(octet(k) for k in range(4)), F.when(extra > 0, _chars(more(F.lit("0")), F.sha2(digest, 512), _same_kind))))
-        .when(kind == "secret", F.when(norm.rlike("^[0-9a-f]+$"), hexes).otherwise(F.concat(F.regexp_extract(norm, "^(akia|sk-|gh[pousr]_)", 1), _chars(F.concat(F.regexp_replace(norm, "^(akia|sk-|gh[pousr]_)", ""), more(F.lit("a"))), digest, _same_kind))))
-        .when(kind == "iban", F.concat(F.substr(norm, F.lit(1), F.lit(2)), _chars(F.concat(F.substr(norm, F.lit(3)), more(F.lit("0"))), digest, _same_kind)))
-        .when(kind == "name", name)
-    )
+    more = F.when((kind == "phone") & (more > 0) & (F.length(norm) + more > 10), more + 14).otherwise(more)
+    local, domain = F.regexp_extract(norm, "^(.*)@", 1), F.regexp_extract(norm, "@(.*)$", 1)
+    host, top = (F.regexp_extract(domain, r"^(.*)(\.[^.]+)$", k) for k in (1, 2))
+    last = F.right(norm, F.lit(1))
+    extra = F.repeat(F.when(kind.isin("email", "secret", "name") & last.rlike(r"\p{L}"), last).when(kind.isin("email", "secret", "name"), "a").otherwise("0"), more)
+    head = F.when(kind == "secret", F.regexp_extract(norm, _VENDOR, 1)).when(kind.isin("name", "iban"), F.substr(norm, F.lit(1), F.lit(2))).otherwise("")
+    body = F.when(kind == "email", F.concat(local, extra, F.lit("@"), host)).otherwise(F.concat(F.substr(norm, F.length(head) + 1), extra))
+    start = F.struct(
+        head.alias("head"), body.alias("body"), top.alias("top"), more.alias("more"), _hash(key, kind, norm, draw.cast("string")).alias("digest"),
+        F.length(body).alias("length"), F.when(kind == "email", F.length(local) + more).otherwise(F.length(body)).alias("inner"), _hash(key, "domain", domain).alias("of_domain"),
+        ((kind == "secret") & norm.rlike("^[0-9a-f]+$|^[0-9A-F]+$")).alias("hexadecimal"), (norm == F.upper(norm)).alias("loud"),
+    )
+
+    def one(s: Column, c: Column, i: Column) -> Column:
+        n = _byte(F.when(i < s["inner"], s["digest"]).otherwise(s["of_domain"]), i)  # one domain stays one
+        final = i == s["length"] - 1
+        letters = _let(_script(c), lambda t: F.when(kind != "name", F.concat(t["consonants"], t["vowels"])).when(final & (s["head"] == "f:"), F.left(t["vowels"], F.lit(1))).when(final | (i % 2 == 0), t["consonants"]).otherwise(t["vowels"]))
+        new = F.when(s["hexadecimal"], _pick(F.lit("0123456789abcdef"), n)).when(c.rlike(r"\p{N}"), (n % 10).cast("string")).when(~c.rlike(r"\p{L}"), c)
+        new = new.otherwise(_let(letters, lambda x: _pick(x, n)))
+        return F.when(F.when(s["hexadecimal"], s["loud"]).otherwise(c != F.lower(c)), F.upper(new)).otherwise(new)
+
+    def finish(s: Column, drawn: Column) -> Column:
+        short = F.left(drawn, F.length(drawn) - 1)
+        check = F.element_at(F.filter(F.transform(F.sequence(F.lit(0), F.lit(9)), lambda d: F.concat(short, d.cast("string"))), _luhn), 1)
+        rest = F.substr(drawn, F.lit(3))
+        valid = _mod97(F.concat(F.substr(norm, F.lit(5)), F.left(norm, F.lit(4)))) == 1
+        digits = F.lpad((98 - _mod97(F.concat(rest, s["head"], F.lit("00")))).cast("string"), 2, "0")
+        octets = [(_byte(s["digest"], k) % 254 + 1).cast("string") for k in range(4)]
+        return (
+            F.when(kind == "email", F.concat(drawn, s["top"]))
+            .when((kind == "card") & _luhn(norm), check)
+            .when((kind == "iban") & valid, F.concat(s["head"], digits, rest))
+            .when(kind == "ip", F.concat_ws(".", *octets, F.when(s["more"] > 0, F.left(F.conv(F.substr(s["digest"], F.lit(9), F.lit(15)), 16, 10), s["more"]))))
+            .otherwise(F.concat(s["head"], drawn))
+        )
+
+    return _let(start, lambda s: _let(F.array_join(F.transform(F.split(s["body"], ""), lambda c, i: one(s, c, i)), ""), lambda drawn: finish(s, drawn)))
 
 
 def surrogates(entities: DataFrame, key: str = KEY, draws: int = MAX_DRAWS) -> DataFrame:
     """(kind, norm), distinct -> kind, norm, core: no two of a kind get the same, and none gets what is somebody's own.
 
-    Those whose draw collides draw again, all but the smallest identity of each collision, until none does. A format may have fewer surrogates than
-    identities, so draws after the given number are each a character longer: what an identity may get then grows tenfold at least with every draw.
+    In a round all open identities draw, and of those with the same surrogate the smallest gets it if it is free. A format may have fewer surrogates than
+    identities, so draws after the given number are each a character longer: what an identity may get then grows tenfold at least with every draw,
+    and no identity is left without. A round reads the settled surrogates and the open identities only.
     """
-    table = entities.select("kind", "norm", F.lit(0).alias("draw"))
-    start = table = materialize(table.withColumn("core", surrogate(F.col("kind"), F.col("norm"), F.col("draw"), key, draws)))
-    own = table.select("kind", F.col("norm").alias("core"), F.lit(True).alias("taken"))
+    own = materialize(entities.select("kind", F.col("norm").alias("core")))
+    taken, settled = own, None
+    open_ = own.select("kind", F.col("core").alias("norm"), F.lit(0).alias("draw"))
+    rounds = []
     while True:
-        first = table.groupBy("kind", "core").agg(F.min("norm").alias("first"), F.count(F.lit(1)).alias("n"))
-        judged = table.join(first.where("n > 1"), ["kind", "core"], "left").join(own, ["kind", "core"], "left")
-        judged = judged.withColumn("again", F.coalesce(F.col("taken"), F.lit(False)) | F.coalesce(F.col("norm") != F.col("first"), F.lit(False)))
-        if judged.where("again").isEmpty():
-            return table.select("kind", "norm", "core")
-        drawn = judged.withColumn("draw", F.when(F.col("again"), F.col("draw") + 1).otherwise(F.col("draw"))).select("kind", "norm", "draw", "again", "core")
-        before = table
-        table = materialize(drawn.withColumn("core", F.when(F.col("again"), surrogate(F.col("kind"), F.col("norm"), F.col("draw"), key, draws)).otherwise(F.col("core"))).select("kind", "norm", "draw", "core"))
-        if before is not start:
-            discard(before)
+        drawn = materialize(open_.withColumn("core", surrogate(F.col("kind"), F.col("norm"), F.col("draw"), key, draws)))
+        winners = materialize(drawn.groupBy("kind", "core").agg(F.min("norm").alias("norm")).join(taken, ["kind", "core"], "left_anti").select("kind", "norm", "core"))
+        settled = winners if settled is None else settled.unionByName(winners)
+        taken = taken.unionByName(winners.select("kind", "core"))
+        rounds.append(drawn)
+        open_ = drawn.select("kind", "norm", (F.col("draw") + 1).alias("draw")).join(winners, ["kind", "norm"], "left_anti")
+        if open_.isEmpty():
+            found = materialize(settled)
+            for table in (own, *rounds):
+                discard(table)
+            return found
 
 
 def in_format(kind: Column, mention: Column, core: Column) -> Column:
     """A core written as the mention is: its separators, its case, its form of address."""
-    before = lambda i: F.length(F.regexp_replace(F.substr(mention, F.lit(1), (i + 1).cast("int")), "[^0-9]", ""))
-    char = lambda i: F.substr(mention, (i + 1).cast("int"), F.lit(1))
-    title = F.regexp_extract(mention, rf"^({_TITLE}\s)", 1)
     digits = F.regexp_replace(mention, "[^0-9]", "")
-    core = F.when(kind == "phone", F.concat(F.substr(digits, F.lit(1), F.greatest(F.length(digits) - 10, F.lit(0))), core)).otherwise(core)
-    dealt = F.array_join(F.transform(F.sequence(F.lit(0), F.length(mention) - 1), lambda i: F.when(char(i).rlike("[0-9]"), F.substr(core, before(i).cast("int"), F.lit(1))).otherwise(char(i))), "")
-    dealt = F.concat(dealt, F.substr(core, F.length(digits) + 1))  # what a longer surrogate has beyond the digits of the mention
-    cased = F.when((mention == F.upper(mention)) & (mention != F.lower(mention)), F.upper(core)).otherwise(core)
-    return F.when(kind.isin("card", "phone", "national_id"), dealt).when(kind == "name", F.concat(title, F.substr(core, F.lit(3)))).when(kind == "ip", core).otherwise(cased)
+    full = F.when(kind == "phone", F.concat(F.left(digits, F.greatest(F.length(digits) - 10, F.lit(0))), core)).otherwise(core)
+    slot = F.when(kind == "iban", F.lit("[0-9A-Z]")).otherwise(F.lit("[0-9]"))
+    start = F.struct(full.alias("core"), slot.alias("slot"), F.split(mention, "").alias("chars"))
+
+    def dealt(s: Column) -> Column:
+        """Characters of the core in the places of the mention, and then what a longer core has beyond them. Such mentions are short."""
+        before = lambda i: F.size(F.filter(F.slice(s["chars"], 1, i + 1), lambda c: F.regexp_like(c, s["slot"])))
+        written = F.array_join(F.transform(s["chars"], lambda c, i: F.when(F.regexp_like(c, s["slot"]), F.substr(s["core"], before(i), F.lit(1))).otherwise(c)), "")
+        return F.concat(written, F.substr(s["core"], F.regexp_count(mention, s["slot"]) + 1))
+
+    title = F.when(kind == "name", F.regexp_extract(mention, rf"^({_TITLE}\s)", 1)).otherwise("")
+    bare = F.substr(mention, F.length(title) + 1)
+    loud = (bare == F.upper(bare)) & (bare != F.lower(bare)) & (F.length(bare) > 1)
+    raw = F.when(kind == "name", F.substr(core, F.lit(3))).otherwise(core)
+    # a character of the mention and what comes in its place; a longer core goes on as the whole mention is written
+    cased = _let(loud, lambda up: F.array_join(F.zip_with(F.split(raw, ""), F.split(bare, ""), lambda c, m: F.when(up | F.coalesce(m != F.lower(m), F.lit(False)), F.upper(c)).otherwise(c)), ""))
+    return F.when(kind.isin("card", "phone", "national_id", "iban"), _let(start, dealt)).when(kind.isin("name", "email"), F.concat(title, cased)).otherwise(core)
 
 
 def replace_entities(docs: DataFrame, key: str = KEY) -> DataFrame:
     """docs with doc_id and text -> the same columns with surrogates in text, and entities array<struct<kind, surrogate>>.
 
-    A column named entities gives way. The surrogate of an identity is the same in all documents. Texts without entities pass as they are and aren't shuffled; the others
-    meet their surrogates by the hash of their text, so that copies share them. Null and empty texts have no entities. Rows may repeat; ids aren't looked at.
+    A column named entities gives way; any other name may stand beside these. The surrogate of an identity is the same in all documents. Each text is searched once; its pieces
+    become a table. Texts without entities aren't shuffled; the others meet their surrogates by the hash of their text, so that copies share them, by joins
+    of tables, which Spark may split where a text or an identity is frequent. Null text stays null, with no entities; so do empty texts. Texts of any length
+    take time in proportion to it. Rows may repeat; equal texts get equal results; ids aren't looked at. No rows give no rows.
     """
-    docs = docs.drop("entities")
-    found = F.when(F.col("text").rlike(GUARD), F.regexp_extract_all("text", F.lit(PATTERN), F.lit(0))).otherwise(F.array().cast("array<string>"))
-    listed = docs.withColumn("mentions__", found)
-    some = F.coalesce(F.size("mentions__") > 0, F.lit(False))
-    having = listed.where(some).withColumn("key__", F.md5("text"))
-    mentions = materialize(having.select("key__", F.posexplode("mentions__").alias("at", "mention")).distinct().withColumn("kind", entity_type(F.col("mention"))).withColumn("norm", identity(F.col("kind"), F.col("mention"))))
+    others = [c for c in docs.columns if c not in ("text", "entities")]
+    cut = docs.select(F.struct(*(F.col(f"`{c}`") for c in others)).alias("doc"), pieces(F.col("text")).alias("pieces"), F.md5("text").alias("key"))
+    cut = materialize(cut.withColumn("key", F.when(F.size("pieces") > 1, F.col("key"))))
+    mentioned = F.filter("pieces", lambda p, i: i % 2 == 1)
+    texts = cut.where("key IS NOT NULL").select("key", mentioned.alias("mentions")).dropDuplicates(["key"])
+    mentions = texts.select("key", F.posexplode("mentions").alias("at", "mention")).withColumn("kind", entity_type(F.col("mention")))
+    mentions = materialize(mentions.withColumn("norm", identity(F.col("kind"), F.col("mention"))))
     cores = surrogates(mentions.select("kind", "norm").distinct(), key)
-    written = mentions.join(cores, ["kind", "norm"], "left").select("key__", "at", F.struct(F.col("kind"), F.coalesce(in_format(F.col("kind"), F.col("mention"), F.col("core")), F.col("mention")).alias("surrogate")).alias("e"))
-    by_text = written.groupBy("key__").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "e"))), lambda x: x["e"]).alias("entities"))
-    parts = F.split("text", PATTERN, -1)
-    new = F.array_join(F.transform(parts, lambda p, i: F.concat(p, F.coalesce(F.get(F.col("entities"), i)["surrogate"], F.lit("")))), "")
-    columns = docs.columns
-    changed = having.join(by_text, "key__").withColumn("text", new).select(*columns, "entities")
-    plain = listed.where(~some).select(*columns, F.array().cast("array<struct<kind: string, surrogate: string>>").alias("entities"))
-    return plain.unionByName(changed)
+    written = mentions.join(cores, ["kind", "norm"]).select("key", "at", "kind", in_format(F.col("kind"), F.col("mention"), F.col("core")).alias("surrogate"))
+    by_text = written.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("at", "kind", "surrogate"))).alias("found"))
+    by_text = materialize(by_text.select("key", F.transform("found", lambda e: F.struct(e["kind"].alias("kind"), e["surrogate"].alias("surrogate"))).alias("entities")))
+    discard(mentions)
+    discard(cores)
+    none = F.array().cast("array<struct<kind: string, surrogate: string>>")
+    plain = cut.where("key IS NULL").select("doc", F.array_join("pieces", "").alias("text"), none.alias("entities"))
+    new = F.transform("pieces", lambda p, i: F.when(i % 2 == 1, F.get(F.col("entities"), F.floor(i / 2).cast("int"))["surrogate"]).otherwise(p))
+    changed = cut.where("key IS NOT NULL").join(by_text, "key").select("doc", F.array_join(new, "").alias("text"), "entities")
+    columns = [F.col("text") if c == "text" else F.col("doc")[c].alias(c) for c in docs.columns if c != "entities"]
+    return plain.unionByName(changed).select(*columns, "entities")

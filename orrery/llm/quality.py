@@ -117,7 +117,7 @@ def fit(stats: DataFrame, labels: DataFrame, held_out_mod: int, held_out_is: int
     n = known.count()
     if not n:
         return Model(np.zeros(len(STATS)), np.ones(len(STATS)))
-    train = materialize(sample(known, max_train, n, 8).select("stats", F.col("label").cast("double").alias("label")).coalesce(8))
+    train = materialize(sample(known, max_train, n, 8).select("stats", F.col("label").cast("double").alias("label")).repartition(8))  # after the sample: what is shuffled is bounded, and what comes before keeps its tasks
     moments = train.select([f(F.col("stats")[i].cast("double")) for i in range(len(STATS)) for f in (F.avg, F.stddev_pop)]).first()
     model = Model(np.array(moments[0::2], dtype=float), np.array(moments[1::2], dtype=float))
     upper = np.triu_indices(N_FEATURES + 1)

@@ -34,9 +34,7 @@ _NOT_LETTERS = re.compile(r"[\W\d_]+")
 #: Lengths of word beginnings that may stand for all words that begin so.
 PREFIXES = (4, 5, 6, 7)
 #: A pattern is learned if the chance that any candidate were as frequent in toxic text by luck is under this.
-CHANCE = 0.02
-#: Patterns kept, at most; the strongest first. It bounds what tasks hold.
-MAX_TERMS = 20_000
+CHANCE = 0.2
 
 
 def fold_text(text: str) -> str:
@@ -92,7 +90,15 @@ class Lexicon:
                 spared.append((start, end))
             elif start not in found or found[start][0] < w:
                 found[start] = (w, p)
-        return [(at, w, p) for at, (w, p) in found.items() if not any(a <= at < b for a, b in spared)]
+        kept, reach, k = [], -1, 0  # one sweep over hits and exceptions in the order of their starts
+        spared.sort()
+        for at in sorted(found):
+            while k < len(spared) and spared[k][0] <= at:
+                reach = max(reach, spared[k][1])
+                k += 1
+            if at >= reach:
+                kept.append((at, *found[at]))
+        return kept
 
     @staticmethod
     def figures(hits: list[tuple[int, float, str]], n_words: int) -> tuple[float, float]:
@@ -168,7 +174,7 @@ def learn(docs: DataFrame, labels: DataFrame, held_out_mod: int, held_out_is: in
     log_choose = _log_choose(n_toxic, k)
     luck = F.log(F.lit(float(n_patterns))) + log_choose + k * F.log(by_luck)
     weight = F.log((k + 0.5) / (n + 1)) - F.log((F.col("clean") + 0.5) / (n_clean + 1.0))
-    rows = counted.where((k > by_luck * n) & (luck < math.log(CHANCE))).select("pattern", weight.alias("weight"), luck.alias("luck")).orderBy("luck", "pattern").limit(MAX_TERMS).collect()
+    rows = counted.where((k > by_luck * n) & (luck < math.log(CHANCE))).select("pattern", weight.alias("weight")).collect()
     weights: dict[str, float] = {}
     for r in sorted(rows, key=lambda r: (len(r.pattern), r.pattern)):  # a beginning stands for longer ones that are hardly purer
         if r.weight > 0.5 + max((weights.get(r.pattern[:i], -1.0) for i in range(2, len(r.pattern))), default=-1.0):
@@ -190,7 +196,7 @@ def learn(docs: DataFrame, labels: DataFrame, held_out_mod: int, held_out_is: in
             yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in seen], pa.string()), pa.array([x for _, x in seen], pa.int32()), pa.array(list(seen.values()), pa.int64())], names=["phrase", "label", "n"])
 
     spared = train.mapInArrow(phrases, "phrase string, label int, n long").groupBy("phrase").agg(F.sum(F.when(F.col("label") == 1, F.col("n")).otherwise(0)).alias("toxic"), F.sum(F.when(F.col("label") == 0, F.col("n")).otherwise(0)).alias("clean"))
-    lexicon.exceptions = [r.phrase for r in spared.where("clean >= 3 AND toxic * 20 < clean").orderBy(F.desc("clean"), "phrase").limit(MAX_TERMS).collect()]
+    lexicon.exceptions = [r.phrase for r in spared.where("clean >= 3 AND toxic * 20 < clean").orderBy("phrase").collect()]
 
     def figures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         auto = lexicon.automaton()
