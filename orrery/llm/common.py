@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Bytes of text that one vectorised step handles; a longer text is one step of its own.
 CHUNK_BYTES = 2 << 20
@@ -60,6 +61,11 @@ def text_chunks(batch: pa.RecordBatch, column: str = "text", rows: int | None =
         yield batch.slice(at), [x or b"" for x in texts[at:]]
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with value computed once however often use names it, within other functions over arrays too."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """A bijective finaliser of 64-bit words (multiply and xor-shift)."""
     x = x.astype(np.uint64, copy=True)

@@ -3,18 +3,19 @@
 from __future__ import annotations
 
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_chunks
+from .common import discard, materialize, text_chunks
 
 #: Everything but 0-9, a-z (after lower-casing) and bytes of non-ASCII characters parts words.
 _SPACES = bytes(b if 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A or b >= 0x80 else 32 for b in range(256))
-#: Test windows in one search table; more are searched for in further passes. It bounds what a task holds (about 1 KB a window).
-SHARD_WINDOWS = 50_000
+#: Bytes of windows that one search table is built from, and of texts that wait while the tables of several shards are built in turn. They bound what a task holds.
+SHARD_BYTES, WAITING_BYTES = 4 << 20, 32 << 20
 
 
 def bench_words(text: bytes) -> list[bytes]:
@@ -30,18 +31,19 @@ class WuManber:
     compared whole.
     """
 
-    def __init__(self, patterns: dict[tuple[bytes, ...], list[int]], m: int):
+    def __init__(self, patterns: dict[tuple[bytes, ...], int], m: int):
         self.m, self.block = m, min(2, m)
         self.most = m - self.block + 1
         self.shift: dict = {}
         self.bucket: dict = defaultdict(lambda: defaultdict(dict))
-        for words, items in patterns.items():
+        for words, number in patterns.items():
             for end in range(self.block, m + 1):
                 key = words[end - self.block : end]
                 self.shift[key] = min(self.shift.get(key, self.most), m - end)
-            self.bucket[words[m - self.block :]][words[0]][words] = items
+            self.bucket[words[m - self.block :]][words[0]][words] = number
 
-    def find(self, words: list[bytes]) -> Iterator[tuple[int, list[int]]]:
+    def find(self, words: list[bytes]) -> Iterator[tuple[int, int]]:
+        """Places and numbers of the windows that occur."""
         m, shift, most = self.m, self.shift, self.most
         at, n = m, len(words)
         two = self.block == 2
@@ -53,110 +55,146 @@ class WuManber:
                 continue
             same = self.bucket[key].get(words[at - m])
             if same:
-                items = same.get(tuple(words[at - m : at]))
-                if items is not None:
-                    yield at - m, items
+                number = same.get(tuple(words[at - m : at]))
+                if number is not None:
+                    yield at - m, number
             at += 1
 
 
-def item_windows(rows: list[tuple[int, str | None]], width: int) -> dict[int, dict[tuple[bytes, ...], list[int]]]:
-    """By length: the distinct windows of the items and the items that have each."""
-    found: dict[int, dict] = defaultdict(lambda: defaultdict(set))
-    for item, text in rows:
-        words = bench_words((text or "").encode())
-        m = min(width, len(words))
-        for i in range(len(words) - m + 1 if m else 0):
-            found[m][tuple(words[i : i + m])].add(item)
-    return {m: {w: sorted(i) for w, i in ws.items()} for m, ws in found.items()}
-
-
-def item_shards(items: DataFrame, shard_windows: int = SHARD_WINDOWS) -> list[list[tuple[int, str | None]]]:
-    """Items dealt to shards of at most shard_windows words, or one item. There is one shard at least."""
-    sized = items.select("item_id", "text", F.greatest(F.lit(1), F.size(F.split(F.coalesce("text", F.lit("")), r"\W+"))).cast("long").alias("w"))
-    shards: list[list[tuple[int, str | None]]] = [[]]
-    room = shard_windows
-    for r in sized.toLocalIterator():
-        if r.w > room and shards[-1]:
-            shards.append([])
-            room = shard_windows
-        shards[-1].append((r.item_id, r.text))
-        room -= r.w
-    return shards
-
-
-def keep_clean(docs: DataFrame, items: DataFrame, width: int = 10, shard_windows: int = SHARD_WINDOWS) -> DataFrame:
-    """Rows of docs (text and any others) in which no window of an item occurs, unchanged. Null and empty texts are clean. Text isn't shuffled."""
-    for shard in item_shards(items, shard_windows):
-        sent = docs.sparkSession.sparkContext.broadcast(shard)
-
-        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            tables = [WuManber(ws, m) for m, ws in item_windows(sent.value, width).items()]
-            for batch in batches:
-                for part, texts in text_chunks(batch):
-                    words = [bench_words(t) for t in texts]
-                    yield part.filter(pa.array([not any(next(t.find(w), None) for t in tables) for w in words], pa.bool_()))
-
-        docs = docs.mapInArrow(run, docs.schema)
-    return docs
-
-
-def search(docs: DataFrame, items: DataFrame, width: int = 10, shard_windows: int = SHARD_WINDOWS) -> DataFrame:
+def item_windows(items: DataFrame, width: int) -> DataFrame:
+    """(item_id, text) -> item_id, m, window: each run of width words (all words of a shorter item), joined by one space, with its number of words m."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, texts in text_chunks(batch):
+                for k, text in enumerate(texts):
+                    words = bench_words(text)
+                    m = min(width, len(words))
+                    for low in range(0, len(words) - m + 1 if m else 0, 10_000):
+                        found = [b" ".join(words[i : i + m]).decode() for i in range(low, min(low + 10_000, len(words) - m + 1))]
+                        yield pa.RecordBatch.from_arrays([part.column("item_id").take(pa.array([k] * len(found))), pa.array([m] * len(found), pa.int32()), pa.array(found)], names=["item_id", "m", "window"])
+
+    kind = items.schema["item_id"].dataType.simpleString()
+    return items.select("item_id", "text").mapInArrow(run, f"item_id {kind}, m int, window string")
+
+
+def numbered_windows(found: DataFrame) -> DataFrame:
+    """Distinct windows of item_windows() with a number each, as a table."""
+    return materialize(found.groupBy("m", "window").agg(F.count(F.lit(1)).alias("n")).select("m", "window", F.monotonically_increasing_id().alias("number")))
+
+
+def window_shards(windows: DataFrame, shard_bytes: int = SHARD_BYTES) -> list[Broadcast]:
+    """Numbered windows dealt by their hash to broadcasts of about shard_bytes, made one after the other. There is one at least."""
+    total = windows.agg(F.sum(F.octet_length("window"))).first()[0] or 0
+    n = max(1, -(-total // shard_bytes))
+    sc = windows.sparkSession.sparkContext
+    sent = []
+    for k in range(n):
+        rows = windows.where(F.pmod(F.xxhash64("window"), F.lit(n)) == k).select("m", "window", "number").toArrow()
+        sent.append(sc.broadcast(rows))
+    return sent
+
+
+def _tables(sent: Broadcast) -> list[WuManber]:
+    by_length: dict[int, dict] = defaultdict(dict)
+    rows = sent.value
+    for m, window, number in zip(*(rows.column(c).to_pylist() for c in ("m", "window", "number")), strict=True):
+        by_length[m][tuple(window.encode().split(b" "))] = number
+    if getattr(sent, "_path", None):  # a worker reads its broadcasts from files: this one again when its turn comes
+        sent.__dict__.pop("_value", None)
+    return [WuManber(windows, m) for m, windows in by_length.items()]
+
+
+def _searched(batches: Iterator[pa.RecordBatch], shards: list[Broadcast], look: Callable, waiting_bytes: int) -> Iterator[tuple[pa.RecordBatch, list]]:
+    """Parts of the batches, with a list a text of what look(tables, words) gives for each shard.
+
+    With one shard the tables stay. With more, texts wait until there are waiting_bytes of them and each shard's tables are built, used for all of them and dropped.
+    """
+
+    def done(parts: list) -> Iterator[tuple[pa.RecordBatch, list]]:
+        found: list[list[list]] = [[[] for _ in texts] for _, texts in parts]
+        for shard in shards:
+            tables = kept or _tables(shard)
+            for rows, (_, texts) in zip(found, parts, strict=True):
+                for row, text in zip(rows, texts, strict=True):
+                    row.append(look(tables, bench_words(text)))
+        for rows, (part, _) in zip(found, parts, strict=True):
+            yield part, rows
+
+    kept = _tables(shards[0]) if len(shards) == 1 else None
+    parts, size = [], 0
+    for batch in batches:
+        for part, texts in text_chunks(batch):
+            parts.append((part, texts))
+            size += sum(map(len, texts))
+            if kept or size >= waiting_bytes:
+                yield from done(parts)
+                parts, size = [], 0
+    yield from done(parts)
+
+
+def keep_clean(docs: DataFrame, items: DataFrame, width: int = 10, shard_bytes: int = SHARD_BYTES, waiting_bytes: int = WAITING_BYTES) -> DataFrame:
+    """Rows of docs (text and any others) in which no window of an item occurs, unchanged.
+
+    Null, empty and blank texts are clean. Texts of any length pass whole and aren't shuffled. Items are as in search(); without items all rows stay.
+    """
+    windows = numbered_windows(item_windows(items, width))
+    shards = window_shards(windows, shard_bytes)
+    discard(windows)
+    look = lambda tables, words: any(next(t.find(words), None) for t in tables)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, rows in _searched(batches, shards, look, waiting_bytes):
+            yield part.filter(pa.array([not any(r) for r in rows], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
+def search(docs: DataFrame, items: DataFrame, width: int = 10, shard_bytes: int = SHARD_BYTES, waiting_bytes: int = WAITING_BYTES) -> DataFrame:
     """(doc_id, text) and (item_id, text) -> doc_id, n_words, hits (word spans, merged), items (ids with occurring windows, sorted).
 
-    Items go to the searchers in shards of at most shard_windows windows (an item is never cut; one that is longer is a shard of its own), each a
-    pass of its own over the documents; their findings meet by document row. A shard is what is sent to the tasks.
-    Null and empty texts have no words and no hits. Items without words match nothing. Repeated rows count each.
+    Windows of the items become a table of distinct ones. They go to the searchers in shards of about shard_bytes; documents are read once, whatever the number
+    of shards, and texts aren't shuffled. What a document has is the numbers of its windows; the items of these are found by a join, as a window may
+    stand in very many items.
+
+    Null, empty and blank texts have no words and no hits; texts may be of any length. Items without words match nothing. An item without an id marks words but isn't listed.
+    Repeated rows of documents count each; items with equal ids are one item. Without items nothing is hit; no documents give no rows. Other columns don't matter.
     """
-    shards = item_shards(items, shard_windows)
-    found = None
-    ids = docs.select("doc_id", "text") if len(shards) == 1 else docs.select("doc_id", "text").withColumn("row", F.monotonically_increasing_id())
-    for shard in shards:
-        part = _search(ids, shard, width)
-        found = part if found is None else found.unionByName(part)
-    if len(shards) > 1:
-        found = found.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"), F.flatten(F.collect_list("hits")).alias("hits"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
-        spans = F.array_sort("hits")
-        merged = F.aggregate(
-            spans,
-            F.array().cast("array<struct<start: int, stop: int>>"),
-            lambda acc, s: F.when((F.size(acc) > 0) & (F.element_at(acc, -1)["stop"] >= s["start"]), F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(F.element_at(acc, -1)["start"].alias("start"), F.greatest(F.element_at(acc, -1)["stop"], s["stop"]).alias("stop"))))).otherwise(F.concat(acc, F.array(s))),
-        )
-        found = found.withColumn("hits", merged).drop("row")
-    return found.select("doc_id", "n_words", "hits", "items")
-
-
-def _search(docs: DataFrame, shard: list[tuple[int, str | None]], width: int) -> DataFrame:
-    sent = docs.sparkSession.sparkContext.broadcast(shard)
-    keep = [c for c in docs.columns if c != "text"]
+    of_items = materialize(item_windows(items, width))
+    windows = numbered_windows(of_items)
+    shards = window_shards(windows, shard_bytes)
+
+    def look(tables: list[WuManber], words: list[bytes]) -> tuple:
+        return len(words), [(at, at + t.m, number) for t in tables for at, number in t.find(words)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tables = [WuManber(ws, m) for m, ws in item_windows(sent.value, width).items()]
-        for batch in batches:
-            for part, texts in text_chunks(batch):
-                n, hits, items = [], [], []
-                for t in texts:
-                    words = bench_words(t)
-                    spans, seen = [], set()
-                    for table in tables:
-                        for at, ids in table.find(words):
-                            spans.append((at, at + table.m))
-                            seen.update(ids)
-                    merged: list[dict] = []
-                    for a, b in sorted(spans):
-                        if merged and merged[-1]["stop"] >= a:
-                            merged[-1]["stop"] = max(merged[-1]["stop"], b)
-                        else:
-                            merged.append({"start": a, "stop": b})
-                    n.append(len(words))
-                    hits.append(merged)
-                    items.append(sorted(seen))
-                yield pa.RecordBatch.from_arrays(
-                    [*(part.column(c) for c in keep), pa.array(n, pa.int64()), pa.array(hits, pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())]))), pa.array(items, pa.list_(pa.int64()))],
-                    names=[*keep, "n_words", "hits", "items"],
-                )
-
-    schema = ", ".join(f"{c} long" for c in keep) + ", n_words long, hits array<struct<start: int, stop: int>>, items array<long>"
-    return docs.mapInArrow(run, schema)
+        for part, rows in _searched(batches, shards, look, waiting_bytes):
+            n, hits, numbers = [], [], []
+            for row in rows:
+                n.append(row[0][0])
+                spans = sorted(s for _, found in row for s in found)
+                merged: list[dict] = []
+                for a, b, _ in spans:
+                    if merged and merged[-1]["stop"] >= a:
+                        merged[-1]["stop"] = max(merged[-1]["stop"], b)
+                    else:
+                        merged.append({"start": a, "stop": b})
+                hits.append(merged)
+                numbers.append(sorted({k for _, _, k in spans}))
+            yield pa.RecordBatch.from_arrays(
+                [part.column("doc_id"), pa.array(n, pa.int64()), pa.array(hits, pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())]))), pa.array(numbers, pa.list_(pa.int64()))],
+                names=["doc_id", "n_words", "hits", "numbers"],
+            )
+
+    found = docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_words long, hits array<struct<start: int, stop: int>>, numbers array<long>")
+    found = materialize(found.withColumn("row", F.monotonically_increasing_id()))  # a table: from here on a row's number stays
+    owners = materialize(of_items.where("item_id IS NOT NULL").join(windows, ["m", "window"]).select("number", "item_id").distinct())
+    discard(of_items)
+    discard(windows)
+    listed = found.select("row", F.explode("numbers").alias("number")).join(owners, "number").select("row", "item_id").distinct()
+    listed = materialize(listed.groupBy("row").agg(F.array_sort(F.collect_list("item_id")).alias("items")))
+    none = F.array().cast(listed.schema["items"].dataType)
+    return found.join(listed, "row", "left").select("doc_id", "n_words", "hits", F.coalesce("items", none).alias("items"))
 
 
 def report(found: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import discard, let, materialize
 
 #: A line on at least so many distinct sites is boilerplate.
 MIN_SITES = 10
@@ -24,10 +24,11 @@ def boilerplate_lines(lines: DataFrame, min_sites: int = MIN_SITES, lg_k: int =
     """(key, site, doc_id) a line -> key, first_doc, n_sites of the lines on at least min_sites sites.
 
     Sketches of the sites merge by aggregation, on the map side too, so a line of any frequency is a row a task. Estimates
-    clear of the threshold by SIGMAS standard errors decide; the lines between get an exact distinct count.
+    clear of the threshold by SIGMAS standard errors decide; the lines between get an exact distinct count. What lines join is a table,
+    and so is what comes of it: such a join is one that Spark may split where a line is frequent.
     """
     error = SIGMAS * 1.04 / 2 ** (lg_k / 2)
-    sketched = (
+    sketched = materialize(
         lines.groupBy("key")
         .agg(F.hll_sketch_agg("site", lg_k).alias("sketch"), F.min("doc_id").alias("first_doc"), F.count(F.lit(1)).alias("n"))
         .where(F.col("n") >= min_sites)  # a line has as many sites as rows at most
@@ -37,42 +38,45 @@ def boilerplate_lines(lines: DataFrame, min_sites: int = MIN_SITES, lg_k: int =
     )
     sure = sketched.where(F.col("estimate") > min_sites * (1 + error)).select("key", "first_doc", F.col("estimate").alias("n_sites"))
     near = sketched.where(F.col("estimate") <= min_sites * (1 + error))
-    exact = (
-        lines.join(near.select("key", "first_doc"), "key")
-        .groupBy("key", "first_doc", "site")
-        .agg(F.lit(1).alias("one"))
-        .groupBy("key", "first_doc")
-        .agg(F.count(F.lit(1)).alias("n_sites"))
-        .where(F.col("n_sites") >= min_sites)
-    )
-    return sure.unionByName(exact)
+    met = materialize(lines.select("key", "site").join(near.select("key", "first_doc"), "key"))
+    exact = met.distinct().groupBy("key", "first_doc").agg(F.count(F.lit(1)).alias("n_sites")).where(F.col("n_sites") >= min_sites)
+    found = materialize(sure.unionByName(exact))
+    discard(sketched)
+    discard(met)
+    return found
 
 
 def remove_boilerplate(docs: DataFrame, site: str = "source", min_sites: int = MIN_SITES) -> DataFrame:
     """docs with doc_id, text and a site column -> the same columns, with text rid of boilerplate, and n_lines, n_removed (columns of these names give way).
 
     Lines are parted by \\n and compared after trimming spaces; blank ones stay. A boilerplate line stays in the document
-    with the smallest id that has it (all its occurrences there). A null site is a site. Null text stays null with no lines. A
-    null id is never the first while another exists. All documents stay, also those left with no line; rows may repeat; no rows give no rows.
+    with the smallest id that has it (all its occurrences there). A null site is a site. Null text stays null with no lines; an empty text is one blank line. A
+    null id is never the first while another exists. All documents stay, also those left with no line. Rows may repeat: those with equal id and text share
+    what they lose, and none with an id loses the lines of which it is the first. Texts of any number of lines take time in proportion to it. No rows give no rows.
+    Columns of any other name may stand beside these.
     """
-    # rows are told apart by id: equal ids share their findings
-    text_lines = F.split(F.col("text"), "\n")
-    lines = (
-        docs.select("doc_id", F.coalesce(F.concat(F.lit("s"), F.col(site)), F.lit("")).alias("site"), F.explode(F.array_distinct(F.transform(text_lines, lambda x: F.trim(x)))).alias("line"))
-        .where(F.col("line") != "")
-        .select("doc_id", "site", line_key(F.col("line")).alias("key"))
-    )
-    bad = materialize(boilerplate_lines(lines, min_sites))  # a table of its own, so that the join below is one that Spark may split
-    # what each document loses
-    lost = lines.select("doc_id", "key").join(bad.select("key", "first_doc"), "key").where(~F.col("doc_id").eqNullSafe(F.col("first_doc")))
-    lost = lost.groupBy("doc_id").agg(F.collect_set("key").alias("lost__"))
-    kept = F.filter(text_lines, lambda x: ~F.array_contains(F.col("lost__"), line_key(x)))
-    joined = docs.alias("d").join(lost.alias("l"), F.col("d.doc_id").eqNullSafe(F.col("l.doc_id")), "left").select("d.*", "l.lost__")
-    cleaned = F.when(F.col("lost__").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
-    full = joined.withColumn("new__", cleaned)
-    count = lambda c: F.when(F.col(c).isNull(), 0).otherwise(F.size(F.split(F.col(c), "\n"))).cast("long")
-    n_removed = F.when(F.col("lost__").isNull(), 0).otherwise(F.size(text_lines) - F.size(kept)).cast("long")
-    return full.select(*[F.col("new__").alias("text") if c == "text" else F.col(c) for c in docs.columns if c not in ("n_lines", "n_removed")], count("text").alias("n_lines"), n_removed.alias("n_removed"))
+    lines = docs.select("doc_id", F.xxhash64("text").alias("text_key"), F.coalesce(F.concat(F.lit("s"), F.col(site)), F.lit("")).alias("site"), F.posexplode(F.split("text", "\n")).alias("at", "line"))
+    lines = lines.where(F.trim("line") != "").select("doc_id", "text_key", "site", "at", line_key(F.col("line")).alias("key"))
+    bad = boilerplate_lines(lines, min_sites)
+    # the places that each document loses
+    lost = lines.drop("site").join(bad.select("key", "first_doc"), "key").where(~F.col("doc_id").eqNullSafe(F.col("first_doc")))
+    lost = materialize(lost.groupBy("doc_id", "text_key").agg(F.sort_array(F.collect_set("at")).alias("gone")))
+    discard(bad)
+    whole = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("text_key"))
+    joined = whole.join(lost, F.col("id").eqNullSafe(F.col("doc_id")) & (whole["text_key"] == lost["text_key"]), "left").select("doc", "gone")
+    text, gone = F.col("doc.text"), F.col("gone")
+    cleaned = F.when(gone.isNull(), text).otherwise(let(F.struct(F.split(text, "\n").alias("parts"), gone.alias("gone")), _without))
+    n_lines = F.when(text.isNull(), 0).otherwise(F.size(F.split(text, "\n"))).cast("long")
+    columns = [cleaned.alias("text") if c == "text" else F.col("doc")[c].alias(c) for c in docs.columns if c not in ("n_lines", "n_removed")]
+    return joined.select(*columns, n_lines.alias("n_lines"), F.when(gone.isNull(), 0).otherwise(F.size(gone)).cast("long").alias("n_removed"))
+
+
+def _without(s: Column) -> Column:
+    """The parts joined again, but for those in the places gone: the stretches between these."""
+    start = lambda j: F.when(j == 0, 0).otherwise(F.get(s["gone"], j - 1) + 1)
+    stop = lambda j: F.coalesce(F.get(s["gone"], j), F.size(s["parts"]))
+    stretches = F.transform(F.sequence(F.lit(0), F.size(s["gone"])), lambda j: F.slice(s["parts"], start(j) + 1, stop(j) - start(j)))
+    return F.array_join(F.flatten(stretches), "\n")
 
 
 #: DuckDB SQL for the digest of remove_boilerplate().

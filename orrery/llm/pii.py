@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, materialize
+from .common import discard, let, materialize
 
 KEY = "orrery"
 
@@ -81,11 +81,6 @@ def _hash(*parts: Column | str) -> Column:
     return F.sha2(F.concat_ws("|", *(F.lit(p) if isinstance(p, str) else p for p in parts)), 512)
 
 
-def _let(value: Column, use) -> Column:
-    """use(value), with value computed once however often use names it."""
-    return F.element_at(F.transform(F.array(value), use), 1)
-
-
 def _script(c: Column) -> Column:
     """Consonants and vowels of the script of a letter."""
     found = None
@@ -135,9 +130,9 @@ def surrogate(kind: Column, norm: Column, draw: Column, key: str = KEY, draws: i
     def one(s: Column, c: Column, i: Column) -> Column:
         n = _byte(F.when(i < s["inner"], s["digest"]).otherwise(s["of_domain"]), i)  # one domain stays one
         final = i == s["length"] - 1
-        letters = _let(_script(c), lambda t: F.when(kind != "name", F.concat(t["consonants"], t["vowels"])).when(final & (s["head"] == "f:"), F.left(t["vowels"], F.lit(1))).when(final | (i % 2 == 0), t["consonants"]).otherwise(t["vowels"]))
+        letters = let(_script(c), lambda t: F.when(kind != "name", F.concat(t["consonants"], t["vowels"])).when(final & (s["head"] == "f:"), F.left(t["vowels"], F.lit(1))).when(final | (i % 2 == 0), t["consonants"]).otherwise(t["vowels"]))
         new = F.when(s["hexadecimal"], _pick(F.lit("0123456789abcdef"), n)).when(c.rlike(r"\p{N}"), (n % 10).cast("string")).when(~c.rlike(r"\p{L}"), c)
-        new = new.otherwise(_let(letters, lambda x: _pick(x, n)))
+        new = new.otherwise(let(letters, lambda x: _pick(x, n)))
         return F.when(F.when(s["hexadecimal"], s["loud"]).otherwise(c != F.lower(c)), F.upper(new)).otherwise(new)
 
     def finish(s: Column, drawn: Column) -> Column:
@@ -155,7 +150,7 @@ def surrogate(kind: Column, norm: Column, draw: Column, key: str = KEY, draws: i
             .otherwise(F.concat(s["head"], drawn))
         )
 
-    return _let(start, lambda s: _let(F.array_join(F.transform(F.split(s["body"], ""), lambda c, i: one(s, c, i)), ""), lambda drawn: finish(s, drawn)))
+    return let(start, lambda s: let(F.array_join(F.transform(F.split(s["body"], ""), lambda c, i: one(s, c, i)), ""), lambda drawn: finish(s, drawn)))
 
 
 def surrogates(entities: DataFrame, key: str = KEY, draws: int = MAX_DRAWS) -> DataFrame:
@@ -201,8 +196,8 @@ def in_format(kind: Column, mention: Column, core: Column) -> Column:
     loud = (bare == F.upper(bare)) & (bare != F.lower(bare)) & (F.length(bare) > 1)
     raw = F.when(kind == "name", F.substr(core, F.lit(3))).otherwise(core)
     # a character of the mention and what comes in its place; a longer core goes on as the whole mention is written
-    cased = _let(loud, lambda up: F.array_join(F.zip_with(F.split(raw, ""), F.split(bare, ""), lambda c, m: F.when(up | F.coalesce(m != F.lower(m), F.lit(False)), F.upper(c)).otherwise(c)), ""))
-    return F.when(kind.isin("card", "phone", "national_id", "iban"), _let(start, dealt)).when(kind.isin("name", "email"), F.concat(title, cased)).otherwise(core)
+    cased = let(loud, lambda up: F.array_join(F.zip_with(F.split(raw, ""), F.split(bare, ""), lambda c, m: F.when(up | F.coalesce(m != F.lower(m), F.lit(False)), F.upper(c)).otherwise(c)), ""))
+    return F.when(kind.isin("card", "phone", "national_id", "iban"), let(start, dealt)).when(kind.isin("name", "email"), F.concat(title, cased)).otherwise(core)
 
 
 def replace_entities(docs: DataFrame, key: str = KEY) -> DataFrame:

@@ -33,7 +33,7 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return webp.read_media(webp.store_texts(documents(spark, sf_dir))).drop("error")
+    return webp.digest(webp.read_media(webp.store_texts(documents(spark, sf_dir))))
 
 
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
