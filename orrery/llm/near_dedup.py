@@ -7,7 +7,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import Words, discard, materialize, mix64, text_chunks
@@ -16,8 +17,8 @@ from .common import Words, discard, materialize, mix64, text_chunks
 SHINGLE, SIMILARITY = 5, 0.8
 #: Bands and rows a band: of pairs at similarity 0.8, all but (1 - 0.8^5)^20 = 0.03 % share a band.
 BANDS, ROWS = 20, 5
-#: Documents a block, where members of a bucket are compared block against block.
-BLOCK = 1500
+#: Bytes of shingle hashes a block, where members of a bucket are compared block against block.
+BLOCK_BYTES = 8 << 20
 
 _C = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
 
@@ -155,23 +156,42 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def _links_across(members: DataFrame, texts: DataFrame, similarity: float, weighting: str) -> DataFrame:
-    """(key, node, class, n, main) -> links (a, b) that join different classes of a bucket.
+def shingle_sets(texts: DataFrame, weighting: str = "set") -> DataFrame:
+    """(node, text) -> node, shingles array<long> (hashes), weights array<float>."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, found in text_chunks(batch):
+                doc, x, weight = shingles(found, weighting)
+                edge = pa.array(np.searchsorted(doc, np.arange(len(found) + 1)), pa.int32())
+                lists = [pa.ListArray.from_arrays(edge, pa.array(v)) for v in (x.view(np.int64), weight.astype(np.float32))]
+                yield pa.RecordBatch.from_arrays([part.column("node"), *lists], names=["node", "shingles", "weights"])
+
+    return texts.select("node", "text").mapInArrow(run, "node long, shingles array<long>, weights array<float>")
+
+
+def _links_across(members: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """(key, node, class, main) -> links (a, b) that join different classes of a bucket.
 
     Members outside the main class meet all members, block against block; a block pair gives the links that its classes need to join, not all pairs.
+    A bucket has as many blocks as its shingles fill, so that few copies of them are made.
     """
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    own = F.pmod(F.xxhash64("node"), blocks.cast("long")).cast("int")
-    every = F.explode(F.sequence(F.lit(0), blocks - 1))
-    left = members.where("class != main").select("key", "node", "class", own.alias("left"), every.alias("right")).join(texts, "node")
-    right = members.select("key", "node", "class", own.alias("right"), every.alias("left")).join(texts, "node")
+    sized = members.join(sets.select("node", F.size("shingles").alias("size")), "node").groupBy("key").agg(F.ceil(F.sum("size") * 12 / BLOCK_BYTES).cast("int").alias("blocks"))
+    members = members.join(materialize(sized), "key")
+    own = F.pmod(F.xxhash64("node"), F.greatest("blocks", F.lit(1)).cast("long")).cast("int")
+    every = F.explode(F.sequence(F.lit(0), F.greatest("blocks", F.lit(1)) - 1))
+    left = members.where("class != main").select("key", "node", "class", own.alias("left"), every.alias("right")).join(sets, "node")
+    right = members.select("key", "node", "class", own.alias("right"), every.alias("left")).join(sets, "node")
 
     def join(a: pa.Table, b: pa.Table) -> pa.Table:
         found: list[tuple[int, int]] = []
         if a.num_rows and b.num_rows:
             sides = []
             for t in (a, b):
-                doc, x, w = shingles([s or b"" for s in t.column("text").cast(pa.large_binary()).to_pylist()], weighting)
+                t = t.combine_chunks()
+                x, w = (np.asarray(pc.list_flatten(t.column(c))) for c in ("shingles", "weights"))
+                x, w = x.view(np.uint64), w.astype(float)
+                doc = np.asarray(pc.list_parent_indices(t.column("shingles"))).astype(np.int64)
                 sides.append((doc, x, w, np.bincount(doc, weights=w, minlength=t.num_rows), t.column("node").to_numpy(), t.column("class").to_pylist()))
             (da, xa, wa, ta, na, ca), (db, xb, wb, tb, nb, cb) = sides
             order = np.argsort(xb, kind="stable")
@@ -198,57 +218,88 @@ def _links_across(members: DataFrame, texts: DataFrame, similarity: float, weigh
         return pa.table({"a": pa.array([x for x, _ in found], pa.int64()), "b": pa.array([y for _, y in found], pa.int64())})
 
     by = ("key", "left", "right")
-    columns = [F.col(c).alias(c) for c in (*by, "node", "class", "text")]  # fresh ones: both sides come from the same tables
+    columns = [F.col(c).alias(c) for c in (*by, "node", "class", "shingles", "weights")]  # fresh ones: both sides come from the same tables
     return left.select(columns).groupBy(*by).cogroup(right.select(columns).groupBy(*by)).applyInArrow(join, "a long, b long").distinct()
 
 
-def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, weighting: str = "set") -> DataFrame:
-    """(doc_id, text) -> doc_id, class_id, a row a document: documents that chains of near-duplicate links join share a class,
-    whose id is its smallest doc_id.
-
-    Texts that are equal fall together first, by their hash, so that a group of copies is one node. Nodes that share a band meet in its
-    bucket. There, the smallest is compared with all others (links are checked exactly, by their shingles); members that this
-    leaves outside its class are compared with all members of other classes in turn, until no pair of a bucket is neither in one class
-    nor compared. So no link within a bucket is lost, and a bucket of copies costs as many comparisons as it has members.
-
-    Null, empty and blank texts have no shingles and are classes of their own; so is a null id (class_id null). Repeated rows
-    share a class, as do rows with equal id. No rows give no rows.
-    """
+def classes(docs: DataFrame, similarity: float = SIMILARITY, weighting: str = "set") -> tuple[DataFrame, DataFrame]:
+    """(doc_id, text) -> two tables: doc_id, text_key (a hash of the text), n_shingles of each document; and text_key, label, class_id of each text that has shingles and an id."""
     signed = materialize(signatures(docs, weighting=weighting))
     with_text = signed.where("n_shingles > 0 AND doc_id IS NOT NULL")
     first = F.min(F.struct("doc_id", "bands")).alias("f")
-    nodes = materialize(with_text.groupBy("text_key").agg(first).select("text_key", F.col("f.doc_id").alias("node"), F.col("f.bands").alias("bands")))
+    # a number a text; once it is in a table it stays
+    nodes = materialize(with_text.groupBy("text_key").agg(first).select("text_key", F.monotonically_increasing_id().alias("node"), F.col("f.doc_id").alias("first_id"), F.col("f.bands").alias("bands")))
     keyed = nodes.select("node", F.explode("bands").alias("key"))
-    shared = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("low"), F.max("node").alias("high")).where("low < high").select("key", "n")
+    # aggregates become tables before large sides join them: then these joins are ones that Spark may split
+    shared = materialize(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("low"), F.max("node").alias("high")).where("low < high").select("key", "n"))
     met = materialize(keyed.join(shared, "key").select("key", "node", "n").distinct())
+    discard(shared)
     # the member that meets most others over all its buckets is the likeliest to be near to all
     meeting = met.groupBy("node").agg(F.sum("n").alias("meets"))
     members = met.join(meeting, "node").select("key", "node", F.struct(F.col("meets"), (-F.col("node")).alias("minus")).alias("rank"))
-    centers = members.groupBy("key").agg((-F.max("rank")["minus"]).alias("center"))
+    centers = materialize(members.groupBy("key").agg((-F.max("rank")["minus"]).alias("center")))
     members = materialize(members.drop("rank").join(centers, "key"))
-    wanted = members.select("node").distinct()
-    keys = nodes.select("node", "text_key").join(wanted, "node", "left_semi")
-    texts = materialize(docs.select("doc_id", "text").join(keys, (F.col("doc_id") == F.col("node")) & (F.md5("text") == F.col("text_key"))).select("node", "text").dropDuplicates(["node"]))
+    discard(met)
+    discard(centers)
+    wanted = nodes.select("node", "first_id", F.col("text_key").alias("wanted_key")).join(members.select("node").distinct(), "node", "left_semi")
+    some = docs.select("doc_id", "text", F.md5("text").alias("key_of_text")).join(wanted, (F.col("doc_id") == F.col("first_id")) & (F.col("key_of_text") == F.col("wanted_key")))
+    texts = materialize(some.select("node", "text").dropDuplicates(["node"]))
     side = lambda s: texts.select(F.col("node").alias(s), F.col("text").alias(f"text_{s}"))
 
     pairs = members.where("node != center").select(F.col("center").alias("a"), F.col("node").alias("b")).distinct()
     links = materialize(similarities(pairs.join(side("a"), "a").join(side("b"), "b"), weighting).where(F.col("similarity") >= similarity).select("a", "b"))
     labels = components(links)
-    placed = members.join(labels, "node", "left").select("key", "node", "center", F.coalesce("label", "node").alias("class"))
-    open_ = placed.groupBy("key").agg(F.min("class").alias("low"), F.max("class").alias("high"), F.count(F.lit(1)).alias("n"), F.max(F.when(F.col("node") == F.col("center"), F.col("class"))).alias("main")).where("low < high")
-    rest = materialize(placed.join(open_.select("key", "n", "main"), "key").select("key", "node", "class", "n", "main"))
+    placed = materialize(members.join(labels, "node", "left").select("key", "node", "center", F.coalesce("label", "node").alias("class")))
+    discard(members)
+    open_ = placed.groupBy("key").agg(F.min("class").alias("low"), F.max("class").alias("high"), F.max(F.when(F.col("node") == F.col("center"), F.col("class"))).alias("main")).where("low < high")
+    rest = materialize(placed.join(materialize(open_.select("key", "main")), "key").select("key", "node", "class", "main"))
+    discard(placed)
     if not rest.isEmpty():
-        links = links.unionByName(materialize(_links_across(rest, texts, similarity, weighting)))
+        sets = materialize(shingle_sets(texts.join(rest.select("node").distinct(), "node", "left_semi"), weighting))
+        links = links.unionByName(materialize(_links_across(rest, sets, similarity)))
+        discard(labels)
         labels = components(links)
-    node_class = nodes.select("text_key", "node").join(labels, "node", "left").select("text_key", F.coalesce("label", "node").alias("class"))
-    found = signed.join(node_class, "text_key", "left")
+    discard(rest)
+    discard(texts)
+    labelled = nodes.select("text_key", "first_id", "node").join(labels, "node", "left").select("text_key", "first_id", F.coalesce("label", "node").alias("label"))
+    ids = materialize(labelled.groupBy("label").agg(F.min("first_id").alias("class_id")))
+    found = materialize(labelled.join(ids, "label").select("text_key", "label", "class_id"))
+    for table in (nodes, labels, ids):
+        discard(table)
+    return signed.select("doc_id", "text_key", "n_shingles"), found
+
+
+def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, weighting: str = "set") -> DataFrame:
+    """(doc_id, text) -> doc_id, class_id, n_shingles, a row a document: documents that chains of near-duplicate links join share a class,
+    whose id is its smallest doc_id.
+
+    Texts that are equal fall together first, by their hash, so that a group of copies is one node. Nodes that share a band meet in its
+    bucket. There, the smallest is compared with all others (links are checked exactly, by their shingles); members that this
+    leaves outside its class are compared with all members of other classes in turn, until no pair of a bucket is neither in one class
+    nor compared. So no link within a bucket is lost, and a bucket of copies costs as many comparisons as it has members.
+
+    Null, empty and blank texts have no shingles and are classes of their own; so is a null id (class_id null). Repeated rows
+    share a class. Rows with equal id and different texts are different documents, with classes of their own. Texts may be of any length. No rows give no rows.
+    Other columns don't matter.
+    """
+    signed, found = classes(docs, similarity, weighting)
     shingled = (F.col("n_shingles") > 0) & F.col("doc_id").isNotNull()
-    return found.select("doc_id", F.when(shingled, F.col("class")).otherwise(F.col("doc_id")).alias("class_id"), "n_shingles")
+    return signed.join(found, "text_key", "left").select("doc_id", F.when(shingled, F.col("class_id")).otherwise(F.col("doc_id")).alias("class_id"), "n_shingles")
 
 
 def keep_first(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """Rows of docs, one of each class: the one with the smallest id. Rows with equal id count as one document; those without an id all stay."""
-    classes = near_duplicates(docs, similarity)
-    firsts = classes.where("doc_id = class_id").select(F.col("doc_id").alias("first__")).distinct()
-    kept = docs.join(firsts, F.col("doc_id") == F.col("first__"), "left_semi").dropDuplicates(["doc_id"])
-    return kept.unionByName(docs.where("doc_id IS NULL"))
+    """Rows of docs, one of each class: the one with the smallest id (of equal ids, the one whose text has the smallest hash).
+
+    Rows without an id, and those without words, all stay but for repeated ones: of rows with equal id and text one stays, the first by its other columns.
+    Rows with equal id and different texts are told apart. No rows give no rows; columns of any name may stand beside doc_id and text.
+    """
+    signed, found = classes(docs, similarity)
+    firsts = signed.where("doc_id IS NOT NULL AND n_shingles > 0").join(found, "text_key").groupBy("label").agg(F.min(F.struct("doc_id", "text_key")).alias("f"))
+    firsts = materialize(firsts.select(F.col("f.doc_id").alias("first_id"), F.col("f.text_key").alias("first_key")).unionByName(
+        signed.where("doc_id IS NOT NULL AND n_shingles = 0").select(F.col("doc_id").alias("first_id"), F.coalesce("text_key", F.lit("")).alias("first_key")).distinct()))
+    discard(found)
+    others = F.struct(*(F.col(f"`{c}`") for c in docs.columns if c != "text"))
+    whole = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc"), F.col("doc_id").alias("id"), F.coalesce(F.md5("text"), F.lit("")).alias("key_of_text"), F.to_json(others).alias("rest"))
+    mine = whole.join(firsts, (F.col("id") == F.col("first_id")) & (F.col("key_of_text") == F.col("first_key")), "left_semi")
+    one = mine.withColumn("place", F.row_number().over(Window.partitionBy("id", "key_of_text").orderBy("rest"))).where("place = 1")
+    return one.unionByName(whole.where("id IS NULL").withColumn("place", F.lit(1))).select("doc.*")

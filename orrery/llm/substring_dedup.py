@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from bisect import bisect_left
 from collections import defaultdict
 from collections.abc import Iterable, Iterator
@@ -13,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, materialize, mix64, text_chunks
+from .common import CHUNK_BYTES, Words, discard, materialize, mix64, text_chunks
 
 #: Words a window, and words an anchor phrase. Every window holds WINDOW - ANCHOR + 1 phrases, of which the least hash is its anchor.
 WINDOW, ANCHOR = 50, 10
@@ -21,6 +22,7 @@ WINDOW, ANCHOR = 50, 10
 SHARD_BYTES = 4 << 20
 
 _PLACE = np.uint64((1 << 28) - 1)
+_GAP = re.compile(rb"[\t-\r ]")
 
 
 class Segments:
@@ -31,9 +33,7 @@ class Segments:
 
     def __init__(self, texts: list[bytes], window: int = WINDOW):
         words = Words(texts)
-        n = len(words.hash)
-        if n >= 1 << 28:
-            raise ValueError("a text of over 2^28 words")
+        n = len(words.hash)  # under 2^28, as texts come in slices
         phrases = words.grams(ANCHOR)
         self.words, self.window = words, window
         self.doc = self.start = self.stop = self.anchor = np.zeros(0, dtype=np.int64)
@@ -60,17 +60,35 @@ class Segments:
         self.hash = mix64(words.span(self.start, self.stop) + (self.anchor - self.start).astype(np.uint64))
 
 
-def segments(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """(doc_id, text) -> doc_id, phrase, segment (hashes), start (word number), length, offset of the anchor."""
+def slices(text: bytes, most: int, overlap: int) -> Iterator[tuple[int, bytes]]:
+    """A text in slices of about most bytes, cut between words, each with the number of its first word. The last overlap words of a slice begin the next one."""
+    at, number, size = 0, 0, most
+    while len(text) - at > size:
+        gap = _GAP.search(text, at + size)
+        words = Words([text[at : gap.start() if gap else len(text)]])
+        n = len(words.start)
+        if n <= overlap:  # words so long that a slice has too few
+            size *= 2
+            continue
+        yield number, text[at : gap.start() if gap else len(text)]
+        at, number, size = at + int(words.start[n - overlap]), number + n - overlap, most
+    yield number, text[at:]
+
+
+def segments(docs: DataFrame, window: int = WINDOW, slice_bytes: int = CHUNK_BYTES) -> DataFrame:
+    """(doc_id, text) -> doc_id, phrase, segment (hashes), start (word number), length, offset of the anchor. A long text is cut into slices whose windows are all of its windows, each once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, texts in text_chunks(batch):
-                s = Segments(texts, window)
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id").take(pa.array(s.doc)), pa.array(s.phrase.view(np.int64)), pa.array(s.hash.view(np.int64)), pa.array(s.start - s.words.first[s.doc], pa.int32()), pa.array(s.stop - s.start, pa.int16()), pa.array(s.anchor - s.start, pa.int16())],
-                    names=["doc_id", "phrase", "segment", "start", "length", "offset"],
-                )
+                long = len(texts) == 1 and len(texts[0]) > slice_bytes
+                work = [([piece], number) for number, piece in slices(texts[0], slice_bytes, window - 1)] if long else [(texts, 0)]
+                for pieces, number in work:
+                    s = Segments(pieces, window)
+                    yield pa.RecordBatch.from_arrays(
+                        [part.column("doc_id").take(pa.array(s.doc)), pa.array(s.phrase.view(np.int64)), pa.array(s.hash.view(np.int64)), pa.array(s.start - s.words.first[s.doc] + number, pa.int32()), pa.array(s.stop - s.start, pa.int16()), pa.array(s.anchor - s.start, pa.int16())],
+                        names=["doc_id", "phrase", "segment", "start", "length", "offset"],
+                    )
 
     return docs.where("doc_id IS NOT NULL").select("doc_id", "text").mapInArrow(run, "doc_id long, phrase long, segment long, start int, length short, offset short")
 
@@ -85,8 +103,6 @@ def _runs(docs: DataFrame, wanted: DataFrame, window: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, texts in text_chunks(batch):
-                words = Words(texts)
-                words.grams(ANCHOR)
                 rows: dict[str, list] = {"doc_id": [], "run": [], "passage": [], "segs": []}
                 for k, (doc_id, segs) in enumerate(zip(part.column("doc_id").to_pylist(), part.column("segs").to_pylist(), strict=True)):
                     own = texts[k].split()
@@ -99,13 +115,20 @@ def _runs(docs: DataFrame, wanted: DataFrame, window: int) -> DataFrame:
                             runs[-1] = (runs[-1][0], max(stop, runs[-1][1]), runs[-1][2])
                         else:
                             runs.append((g["start"], stop, []))
-                        at = words.first[k] + np.arange(g["start"], stop - window + 1 if g["varies"] else g["start"])
-                        runs[-1][2].append({"phrase": g["phrase"], "segment": g["segment"], "place": g["start"] + g["offset"] - runs[-1][0], "windows": words.span(at, at + window).view(np.int64)})
+                        runs[-1][2].append(g)
                     for start, stop, listed in runs:
+                        passage = b" ".join(own[start:stop])
+                        words = Words([passage])
+                        words.grams(ANCHOR)
+                        found = []
+                        for g in listed:
+                            low = g["start"] - start
+                            at = np.arange(low, low + g["length"] - window + 1 if g["varies"] else low)
+                            found.append({"phrase": g["phrase"], "segment": g["segment"], "place": low + g["offset"], "windows": words.span(at, at + window).view(np.int64)})
                         rows["doc_id"].append(doc_id)
                         rows["run"].append(start)
-                        rows["passage"].append(b" ".join(own[start:stop]).decode())
-                        rows["segs"].append(listed)
+                        rows["passage"].append(passage.decode())
+                        rows["segs"].append(found)
                 yield pa.RecordBatch.from_arrays([pa.array(rows["doc_id"], pa.int64()), pa.array(rows["run"], pa.int32()), pa.array(rows["passage"], pa.string()), pa.array(rows["segs"], pa.list_(seg_type))], names=list(rows))
 
     both = docs.select("doc_id", "text").join(wanted, "doc_id")
@@ -169,15 +192,20 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, shard_bytes: int = SHA
     2. Each distinct segment of a recurring phrase gets its text from its first document. Where a phrase has several variants of its segment,
        their windows are grouped to see which variant has each window first.
     3. Documents are dealt to shards of about shard_bytes. A shard gets the passages that its documents' segments point to, compiles their anchor
-       phrases into an automaton, and streams its documents through it; a hit counts as far as the words themselves agree, so that hashes decide nothing.
+       phrases into an automaton, and streams its documents through it; a hit counts as far as the words themselves agree.
 
-    A document compares windows as they are in the input. Null text has no words. A null id is neither smaller nor larger than any, so it
-    keeps all. Rows with equal id don't remove from each other, but from later ones. Texts under a window of words stay whole.
+    Hashes (128 bits each: of a phrase with its segment, of a phrase with a window) choose which passages reach a shard, so that two different ones with the
+    same hash could lose a removal; what is removed is always equal word for word. A document compares windows as they are in the input. Null and empty texts have no
+    words. A null id is neither smaller nor larger than any, so it keeps all. Rows with equal id, whether their texts are equal or not, don't remove from each other, but
+    from later ones. Texts under a window of words stay whole; those of any length are taken whole, in slices where they are hashed. No rows give no rows; other columns don't matter.
     """
-    everything = segments(docs, window)
+    everything = materialize(segments(docs, window))
     # aggregates become tables before large sides join them: then these joins are ones that Spark may split
     recurring = everything.groupBy("phrase").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("phrase")
-    found = materialize(everything.join(materialize(recurring), "phrase", "left_semi"))
+    recurring = materialize(recurring)
+    found = materialize(everything.join(recurring, "phrase", "left_semi"))
+    discard(everything)
+    discard(recurring)
     key = ["phrase", "segment"]
     distinct = materialize(found.groupBy(*key).agg(F.min(F.struct("doc_id", "start", "length", "offset")).alias("at")))
     varied = materialize(distinct.groupBy("phrase").agg(F.count(F.lit(1)).alias("variants")))
@@ -188,8 +216,8 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, shard_bytes: int = SHA
     places = segs.select("s.phrase", F.col("s.segment").alias("from"), "doc_id", "run", "s.place")
 
     windows = segs.select("s.phrase", "s.segment", "doc_id", F.explode("s.windows").alias("window"))
-    first = windows.groupBy("window").agg(F.min(F.struct("doc_id", "segment")).alias("src"), F.count(F.lit(1)).alias("n")).where("n > 1").select("window", F.col("src.segment").alias("from"))
-    crossed = windows.join(materialize(first), "window").where(F.col("segment") != F.col("from")).select(*key, "from").distinct()
+    first = windows.groupBy("phrase", "window").agg(F.min(F.struct("doc_id", "segment")).alias("src"), F.count(F.lit(1)).alias("n")).where("n > 1").select("phrase", "window", F.col("src.segment").alias("from"))
+    crossed = windows.join(materialize(first), ["phrase", "window"]).where(F.col("segment") != F.col("from")).select(*key, "from").distinct()
     sources = distinct.select(*key, F.col("segment").alias("from")).unionByName(crossed)
 
     total = docs.select(F.sum(F.octet_length("text"))).first()[0] or 0
