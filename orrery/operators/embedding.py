@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numbers import cauchy
-from ..plans.shared import materialize
+from ..functions.tables import materialize
 from .neighbours import BLOCK_ROWS, block_pairs
 
 LEARNING_RATE, EXAGGERATION, EXAGGERATED_STEPS = 100.0, 3.0, 2500

@@ -9,7 +9,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numbers import with_phong
-from ..plans.shared import materialize
+from ..functions.tables import materialize
+from . import volumes
 from .volumes import AXES, trilinear
 
 
@@ -76,8 +77,7 @@ def along(clipped: DataFrame, step: float) -> DataFrame:
 
 def samples(clipped: DataFrame, voxels: DataFrame, dims: tuple[int, int, int], step: float) -> DataFrame:
     """px, py, i, t, val along each ray."""
-    places = along(clipped, step)
-    return trilinear(places, voxels, dims, ["px", "py", "i"]).join(places.select("px", "py", "i", "t"), ["px", "py", "i"])
+    return trilinear(along(clipped, step), voxels, dims, ["px", "py", "i", "t"])
 
 
 def mip(found: DataFrame, most: Column) -> DataFrame:
@@ -143,29 +143,46 @@ def shade(hits: DataFrame, gradients: DataFrame, dims: tuple[int, int, int], eye
     return with_phong(g, colour, [F.col(f"g{a}") for a in AXES], to_eye, to_eye, **model).select("px", "py", "r", "g", "b")
 
 
-def box_events(found: DataFrame, boxes: DataFrame) -> DataFrame:
-    """Rays against emitted box faces (seq, corners, class, front): px, py, seq, t, entry, class; front faces give entries at t or 0, back faces exits.
+def visited_boxes(found: DataFrame, dims: tuple[int, int, int], least: int) -> DataFrame:
+    """px, py, path, t_in, t_out: the boxes of the octree over dims that each ray passes ahead of its origin, at all depths.
 
-    Boxes are as many as a tree over the dimensions has, rays as many as pixels.
+    A ray walks down from the root: a box that it passes becomes its eight halves, which arithmetic gives, and those that it misses go. So no box is looked up
+    and no ray meets boxes far from it.
     """
-    both = found.crossJoin(F.broadcast(boxes))
-    enter, leave = [], []
-    for a in AXES:
-        d = F.nullif(F.col(f"d{a}"), F.lit(0.0))
-        t0, t1 = (F.col(f"{a}0") - F.col(f"o{a}")) / d, (F.col(f"{a}1") - F.col(f"o{a}")) / d
-        enter.append(F.coalesce(F.least(t0, t1), F.lit(-1e30)))
-        leave.append(F.coalesce(F.greatest(t0, t1), F.lit(1e30)))
-    both = both.withColumns({"t_in": F.greatest(*enter), "t_out": F.least(*leave)}).where(F.col("t_out") >= F.greatest(F.col("t_in"), F.lit(0.0)))
+    o, d = ({a: F.col(f"{k}{a}") for a in AXES} for k in "od")
+    level = found.select("px", "py", *o.values(), *d.values(), volumes.root_box(dims).alias("b"))
+    passed = None
+    for _ in range(volumes.tree_depth(dims, least) + 1):
+        enter, leave = [], []
+        for a in AXES:
+            by = F.nullif(d[a], F.lit(0.0))
+            t0, t1 = (F.col(f"b.{a}0") - o[a]) / by, (F.col(f"b.{a}1") - o[a]) / by
+            enter.append(F.coalesce(F.least(t0, t1), F.lit(-1e30)))
+            leave.append(F.coalesce(F.greatest(t0, t1), F.lit(1e30)))
+        level = level.withColumns({"t_in": F.greatest(*enter), "t_out": F.least(*leave)}).where(F.col("t_out") >= F.greatest(F.col("t_in"), F.lit(0.0)))
+        here = level.select("px", "py", "b.path", "t_in", "t_out")
+        passed = here if passed is None else passed.unionByName(here)
+        level = level.where("NOT b.leaf").select("px", "py", *o.values(), *d.values(), F.explode(volumes.children(F.col("b"), least)).alias("b"))
+    return passed
+
+
+def box_events(found: DataFrame, faces: DataFrame, dims: tuple[int, int, int], least: int) -> DataFrame:
+    """Rays against emitted box faces (seq, path, class, front): px, py, seq, t, entry, class; front faces give entries at t or 0, back faces exits."""
+    both = visited_boxes(found, dims, least).join(faces.select("seq", "path", "class", "front"), "path")
     t = F.when(F.col("front") == 1, F.greatest(F.col("t_in"), F.lit(0.0))).otherwise(F.col("t_out"))
     return both.select("px", "py", "seq", t.alias("t"), F.col("front").alias("entry"), "class")
 
 
+def ordered_events(events: DataFrame) -> DataFrame:
+    """Events with their place in each ray's list (from 1), the last emitted first, and the next event's t: as lists are that grow at their head."""
+    w = Window.partitionBy("px", "py").orderBy(F.desc("seq"))
+    return events.withColumns({"next": F.lead("t").over(w), "place": F.row_number().over(w).cast("long")})
+
+
 def intervals(events: DataFrame) -> DataFrame:
     """Stretches to sample: from the entry into a full box to the ray's next event in its list, the last emitted first."""
-    w = Window.partitionBy("px", "py").orderBy(F.desc("seq"))
-    nxt = events.withColumns({"next": F.lead("t").over(w), "place": F.row_number().over(w)})
-    used = nxt.where("entry = 1 AND class = 1 AND next IS NOT NULL")
-    return used.select("px", "py", F.col("place").cast("long").alias("place"), F.least("t", "next").alias("t0"), F.greatest("t", "next").alias("t1"))
+    used = ordered_events(events).where("entry = 1 AND class = 1 AND next IS NOT NULL")
+    return used.select("px", "py", "place", F.least("t", "next").alias("t0"), F.greatest("t", "next").alias("t1"))
 
 
 def hit_rectangle(found: DataFrame, low: tuple[float, ...], high: tuple[float, ...], normal: tuple[float, ...]) -> DataFrame:

@@ -7,6 +7,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.tables import numbered
+
 AXES = ("x", "y", "z")
 
 
@@ -58,15 +60,14 @@ def trilinear(points: DataFrame, voxels: DataFrame, dims: tuple[int, int, int],
     p = points.withColumn("inside", inside)
     for a in AXES:
         p = p.withColumn(f"b{a}", F.floor(F.col(f"s{a}") - shift).cast("int")).withColumn(f"f{a}", F.col(f"s{a}") - shift - F.col(f"b{a}"))
-    corner = F.explode(F.array(*(F.struct(*(F.lit((c >> k) & 1).alias(f"c{a}") for k, a in enumerate(AXES))) for c in range(8)))).alias("c")
-    p = p.where("inside").select(*key, *(f"b{a}" for a in AXES), *(f"f{a}" for a in AXES), corner)
+    corners = F.array(*(F.struct(*(F.lit((c >> k) & 1).alias(f"c{a}") for k, a in enumerate(AXES))) for c in range(8)))
+    p = p.select(*key, "inside", *(f"b{a}" for a in AXES), *(f"f{a}" for a in AXES), F.explode(F.when(F.col("inside"), corners).otherwise(F.slice(corners, 1, 1))).alias("c"))
     weight = F.lit(1.0)
     for a in AXES:
         weight = weight * F.when(F.col(f"c.c{a}") == 1, F.col(f"f{a}")).otherwise(1 - F.col(f"f{a}"))
-    at = {a: F.least(F.greatest(F.col(f"b{a}") + F.col(f"c.c{a}"), F.lit(0)), F.lit(n - 1)).cast("int").alias(a) for a, n in zip(AXES, dims, strict=True)}
-    rows = p.select(*key, *at.values(), weight.alias("weight"))
-    found = rows.join(voxels, list(AXES)).groupBy(*key).agg(*(F.sum(F.col("weight") * F.col(v)).alias(v) for v in values))
-    return points.select(*key).join(found, key, "left").select(*key, *(F.coalesce(v, F.lit(0.0)).alias(v) for v in values))
+    at = {a: F.when(F.col("inside"), F.least(F.greatest(F.col(f"b{a}") + F.col(f"c.c{a}"), F.lit(0)), F.lit(n - 1))).cast("int").alias(a) for a, n in zip(AXES, dims, strict=True)}
+    rows = p.select(*key, *at.values(), weight.alias("weight"))  # a point outside is a row without a place
+    return rows.join(voxels, list(AXES), "left").groupBy(*key).agg(*(F.sum(F.coalesce(F.col("weight") * F.col(v), F.lit(0.0))).alias(v) for v in values))
 
 
 def bilinear(points: DataFrame, voxels: DataFrame, key: list[str]) -> DataFrame:
@@ -93,24 +94,16 @@ def active(ranges: DataFrame, least: float = 1.0) -> DataFrame:
 
 
 def pack_dims(n: int, most: int) -> tuple[int, int, int]:
-    """Sides up to most of the smallest box for n bricks; the first in the order of z, y, x among equals, a row if it fits."""
+    """Sides under most of the smallest box for n bricks, of those the one with the smallest z, then y; a row if it fits in most; a single cell if no box does."""
     if n <= most:
         return n, 1, 1
-    best = None
-    for z in range(1, most):
-        for y in range(1, most):
-            x = max(1, math.ceil(n / (y * z)))
-            if x < most and (best is None or x * y * z < best[0]):
-                best = (x * y * z, (x, y, z))
-                if best[0] == n:
-                    return best[1]
-    return best[1] if best else (1, 1, 1)
+    sides = ((math.ceil(n / (y * z)), y, z) for z in range(1, most) for y in range(1, most))
+    return min(((x, y, z) for x, y, z in sides if x < most), key=lambda d: (d[0] * d[1] * d[2], d[2], d[1]), default=(1, 1, 1))
 
 
 def brick_index(ranges: DataFrame, dims: tuple[int, int, int]) -> DataFrame:
     """Each brick with its slot in the packed cache (and place cx, cy, cz), or -1 for those that aren't active."""
-    w = Window.orderBy("bz", "by", "bx")
-    slots = ranges.where("active").select("bx", "by", "bz", (F.row_number().over(w) - 1).cast("int").alias("slot"))
+    slots = numbered(ranges.where("active").select("bx", "by", "bz"), "bz", ["by", "bx"], "slot").withColumn("slot", F.col("slot").cast("int"))
     found = ranges.join(slots, ["bx", "by", "bz"], "left").withColumn("slot", F.coalesce("slot", F.lit(-1)))
     at = lambda v: F.when(F.col("slot") >= 0, v).otherwise(-1).cast("int")
     return found.withColumns({"cx": at(F.col("slot") % dims[0]), "cy": at(F.floor(F.col("slot") / dims[0]) % dims[1]), "cz": at(F.floor(F.col("slot") / (dims[0] * dims[1])))})
@@ -129,35 +122,82 @@ def brick_cache(index: DataFrame, voxels: DataFrame, size: int, padding: int = 2
 # ---- octree --------------------------------------------------------------------------------------------------------
 
 
+def tree_depth(dims: tuple[int, int, int], least: int) -> int:
+    """Depth of the tree: the halvings after which the largest piece of some side is least or shorter."""
+    depth = 0
+    while all(-(-n >> depth) > least for n in dims):
+        depth += 1
+    return depth
+
+
+def root_box(dims: tuple[int, int, int]) -> Column:
+    """The box of all voxels, as a struct with its path."""
+    sides = [F.lit(v).alias(f"{a}{e}") for e in (0, 1) for a, v in zip(AXES, (0, 0, 0) if e == 0 else dims, strict=True)]
+    return F.struct(F.lit("").alias("path"), *sides, F.lit(False).alias("leaf"))
+
+
+def _middle(box: Column, a: str) -> Column:
+    return F.floor((box[f"{a}0"] + box[f"{a}1"]) / 2).cast("int")
+
+
+def _child(box: Column, high: dict[str, Column], least: int) -> Column:
+    """The half of a box along each axis that high says (its upper one or not)."""
+    low = {a: F.when(high[a], _middle(box, a)).otherwise(box[f"{a}0"]) for a in AXES}
+    top = {a: F.when(high[a], box[f"{a}1"]).otherwise(_middle(box, a)) for a in AXES}
+    digit = sum((high[a].cast("int") * (1 << k) for k, a in enumerate(AXES)), F.lit(0)).cast("string")
+    short = [top[a] - low[a] <= least for a in AXES]
+    return F.struct(F.concat(box["path"], digit).alias("path"), *(low[a].alias(f"{a}0") for a in AXES), *(top[a].alias(f"{a}1") for a in AXES), (short[0] | short[1] | short[2]).alias("leaf"))
+
+
+def children(box: Column, least: int) -> Column:
+    """The eight halves of a box, in the order of their digits."""
+    return F.array(*(_child(box, {a: F.lit(bool((k >> i) & 1)) for i, a in enumerate(AXES)}, least) for k in range(8)))
+
+
 def octree(spark, dims: tuple[int, int, int], least: int) -> DataFrame:
-    """path, depth, box corners, leaf: boxes split in the middle until a side is least or shorter. Boxes depend on the dimensions alone."""
-    box = "x0 int, y0 int, z0 int, x1 int, y1 int, z1 int"
-    level = spark.createDataFrame([("", 0, 0, 0, 0, *dims)], f"path string, depth int, {box}")
-    small = (F.col("x1") - F.col("x0") <= least) | (F.col("y1") - F.col("y0") <= least) | (F.col("z1") - F.col("z0") <= least)
-    found = None
-    while True:
-        level = level.withColumn("leaf", small)
-        found = level if found is None else found.unionByName(level)
-        if level.where("NOT leaf").isEmpty():
-            return found
-        mid = {a: F.floor((F.col(f"{a}0") + F.col(f"{a}1")) / 2).cast("int") for a in AXES}
-        child = lambda k: F.struct(F.lit(str(k)).alias("k"), *(c for i, a in enumerate(AXES) for c in ((mid[a] if (k >> i) & 1 else F.col(f"{a}0")).alias(f"{a}0"), (F.col(f"{a}1") if (k >> i) & 1 else mid[a]).alias(f"{a}1"))))
-        level = level.where("NOT leaf").select("path", "depth", F.explode(F.array(*map(child, range(8)))).alias("c")).select(F.concat("path", "c.k").alias("path"), (F.col("depth") + 1).alias("depth"), *(f"c.{a}{e}" for e in (0, 1) for a in AXES))
-
-
-def occupied_leaves(boxes: DataFrame, voxels: DataFrame, occupied: Column) -> DataFrame:
-    """Leaves with whether a condition over their voxels holds (occupied: an aggregate of val). Leaves are as many as the dimensions make. A box covers few ranges of cells, so voxels find it by a band join."""
-    v = voxels.alias("v")
-    leaves = boxes.where("leaf").alias("b")
-    inside = [F.col(f"v.{a}").between(F.col(f"b.{a}0"), F.col(f"b.{a}1") - 1) for a in AXES]
-    hit = v.join(F.broadcast(leaves), inside).groupBy(F.col("b.path").alias("held")).agg(occupied.alias("full"))
-    return leaves.join(hit, F.col("b.path") == F.col("held"), "left").select("b.*", F.coalesce("full", F.lit(False)).alias("full"))
+    """path, depth, box corners, leaf: boxes split in the middle until a side is least or shorter. The root is never a leaf.
+
+    Boxes depend on the dimensions alone, so each number of a range is a path that is walked down from the root; no box needs another one's row.
+    """
+    depth = tree_depth(dims, least)
+    before = [(8**k - 1) // 7 for k in range(depth + 2)]  # boxes of the depths above
+    level = F.lit(0)
+    for k in range(1, depth + 1):
+        level = F.when(F.col("id") >= before[k], k).otherwise(level)
+    codes = spark.range(before[depth + 1]).select(level.alias("depth"), "id")
+    code = codes.select("depth", (F.col("id") - F.element_at(F.array(*map(F.lit, before)), F.col("depth") + 1)).alias("code"))
+
+    def step(box: Column, k: Column) -> Column:
+        digit = F.floor(F.col("code") / F.pow(F.lit(8.0), F.col("depth") - k)).cast("long") % 8
+        return F.when(box.isNull() | box["leaf"], None).otherwise(_child(box, {a: digit.bitwiseAND(F.lit(1 << i)) > 0 for i, a in enumerate(AXES)}, least))
+
+    walk = F.when(F.col("depth") > 0, F.aggregate(F.sequence(F.lit(1), F.greatest(F.col("depth"), F.lit(1))), root_box(dims), step)).otherwise(root_box(dims))
+    return code.select("depth", walk.alias("b")).where("b IS NOT NULL").select("b.path", "depth", *(f"b.{a}{e}" for e in (0, 1) for a in AXES), "b.leaf")
+
+
+def leaf_path(dims: tuple[int, int, int], least: int) -> Column:
+    """The path of the leaf that holds a voxel (x, y, z): halves are taken by its place, without looking at any box."""
+
+    def step(box: Column, k: Column) -> Column:
+        return F.when(box["leaf"], box).otherwise(_child(box, {a: F.col(a) >= _middle(box, a) for a in AXES}, least))
+
+    return F.aggregate(F.sequence(F.lit(1), F.lit(max(tree_depth(dims, least), 1))), root_box(dims), step)["path"]
+
+
+def prefixes(path: Column) -> Column:
+    """A path and all paths above it."""
+    return F.transform(F.sequence(F.lit(0), F.length(path)), lambda k: F.substr(path, F.lit(1), k))
+
+
+def occupied_leaves(boxes: DataFrame, voxels: DataFrame, dims: tuple[int, int, int], least: int, occupied: Column) -> DataFrame:
+    """Leaves with whether a condition over their voxels holds (occupied: an aggregate of val). Voxels are grouped by the paths that their places give."""
+    hit = voxels.groupBy(leaf_path(dims, least).alias("path")).agg(occupied.alias("full"))
+    return boxes.where("leaf").join(hit, "path", "left").withColumn("full", F.coalesce("full", F.lit(False)))
 
 
 def occupancy(boxes: DataFrame, leaves: DataFrame) -> DataFrame:
     """Every box with its numbers of empty and full leaves, and its class: 0 if more are empty, else 1."""
-    prefixes = leaves.select(F.explode(F.transform(F.sequence(F.lit(0), F.length("path")), lambda k: F.substr(F.col("path"), F.lit(1), k))).alias("path"), "full")
-    rolled = prefixes.groupBy("path").agg(F.sum(F.when(F.col("full"), 0).otherwise(1)).cast("long").alias("n_empty"), F.sum(F.when(F.col("full"), 1).otherwise(0)).cast("long").alias("n_full"))
+    rolled = leaves.select(F.explode(prefixes(F.col("path"))).alias("path"), "full").groupBy("path").agg(F.sum(F.when(F.col("full"), 0).otherwise(1)).cast("long").alias("n_empty"), F.sum(F.when(F.col("full"), 1).otherwise(0)).cast("long").alias("n_full"))
     return boxes.join(rolled, "path").withColumn("class", F.when(F.col("n_empty") > F.col("n_full"), 0).otherwise(1))
 
 
@@ -168,4 +208,18 @@ def emitted(classed: DataFrame) -> DataFrame:
     shown = own.join(up, "parent", "left").where(F.col("parent_class").isNull() | (F.col("parent_class") != F.col("class")))
     faces = shown.select("path", "x0", "y0", "z0", "x1", "y1", "z1", "class", F.explode(F.array(F.lit(0), F.lit(1))).alias("front"))
     # a box's back comes before its children and its front after them: ~ sorts behind all digits
-    return faces.withColumn("seq", F.row_number().over(Window.orderBy(F.when(F.col("front") == 0, F.col("path")).otherwise(F.concat("path", F.lit("~"))))).cast("long"))
+    keyed = faces.withColumn("key__", F.when(F.col("front") == 0, F.col("path")).otherwise(F.concat("path", F.lit("~")))).withColumn("top__", F.left("key__", F.lit(2)))
+    return numbered(keyed, "top__", ["key__"], "seq", start=1).drop("key__", "top__")
+
+
+def edges(boxes: DataFrame) -> DataFrame:
+    """path, edge (0 to 11), ax, ay, az, bx, by, bz: the edges of boxes, four along each axis, with their end points."""
+    along, first, second = F.floor(F.col("e") / 4), F.col("e") % 2 == 1, F.floor(F.col("e") / 2) % 2 == 1
+    cut = boxes.select("path", *(f"{a}{e}" for a in AXES for e in (0, 1)), F.explode(F.sequence(F.lit(0), F.lit(11))).alias("e"))
+    ends = []
+    for end in (0, 1):
+        for k, a in enumerate(AXES):
+            # of the two other axes the first one has the lower bit
+            high = {0: F.when(along == 2, first).when(along == 1, first), 1: F.when(along == 0, first).when(along == 2, second), 2: second}[k]
+            ends.append(F.when(along == k, F.col(f"{a}{end}")).when(high, F.col(f"{a}1")).otherwise(F.col(f"{a}0")).alias(f"{'ab'[end]}{a}"))
+    return cut.select("path", F.col("e").alias("edge"), *ends)

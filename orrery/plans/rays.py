@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.numbers import tidy, with_phong
@@ -15,7 +15,7 @@ from .inputs import DIMS, VOX, voxels
 from .neighbours import with_
 from .registry import query
 from .shared import materialize
-from .volumes import _GRAD, TREE, _classed, tri_sql
+from .volumes import _GRAD, _LEAST, TREE, _classed, tri_sql
 
 CAMERA = Camera(eye=(24.5, 5.0, -30.0), width=24, height=24)
 LOW, HIGH, STEP, ISO = (0.0, 0.0, 0.0), tuple(float(n - 1) for n in DIMS), 0.75, 11.0
@@ -184,24 +184,28 @@ def phong_gpu(spark: SparkSession, d: str) -> DataFrame:
 
 # ---- boxes along rays ----------------------------------------------------------------------------------------------
 
-_EMIT = f"""{TREE}, em AS (SELECT (row_number() OVER (ORDER BY CASE WHEN front = 0 THEN path ELSE path || '~' END))::BIGINT AS seq, * FROM (SELECT c.path, c.class, c.x0, c.y0, c.z0, c.x1, c.y1, c.z1 FROM cl c WHERE c.leaf) CROSS JOIN (VALUES (0), (1)) f(front)),
+_EMIT = f"""{TREE}, em AS (SELECT (row_number() OVER (ORDER BY CASE WHEN front = 0 THEN path ELSE path || '~' END))::BIGINT AS seq, * FROM (SELECT c.path, c.class, c.x0, c.y0, c.z0, c.x1, c.y1, c.z1 FROM cl c LEFT JOIN cl p ON c.path <> '' AND p.path = substr(c.path, 1, length(c.path) - 1) WHERE p.path IS NULL OR p.class <> c.class) CROSS JOIN (VALUES (0), (1)) f(front)),
 {RAYS}, ev AS (SELECT px, py, seq, CASE WHEN front = 1 THEN greatest(a, 0) ELSE b END AS t, front AS entry, class FROM (SELECT px, py, seq, front, class,
   greatest(coalesce(least((x0 - ox) / nullif(dx, 0), (x1 - ox) / nullif(dx, 0)), -1e30), coalesce(least((y0 - oy) / nullif(dy, 0), (y1 - oy) / nullif(dy, 0)), -1e30), least((z0 - oz) / dz, (z1 - oz) / dz)) AS a,
   least(coalesce(greatest((x0 - ox) / nullif(dx, 0), (x1 - ox) / nullif(dx, 0)), 1e30), coalesce(greatest((y0 - oy) / nullif(dy, 0), (y1 - oy) / nullif(dy, 0)), 1e30), greatest((z0 - oz) / dz, (z1 - oz) / dz)) AS b FROM ry, em) WHERE b >= greatest(a, 0))"""
 
 
 def _events(spark: SparkSession, d: str) -> DataFrame:
-    leaves = _classed(spark, d).where("leaf").withColumn("front", F.explode(F.array(F.lit(0), F.lit(1))))
-    ordered = leaves.withColumn("seq", F.row_number().over(Window.orderBy(F.when(F.col("front") == 0, F.col("path")).otherwise(F.concat("path", F.lit("~"))))).cast("long"))
-    return ops.box_events(_rays(spark), ordered.select("seq", "x0", "y0", "z0", "x1", "y1", "z1", "class", "front"))
+    return ops.box_events(_rays(spark), volumes.emitted(_classed(spark, d)), DIMS, _LEAST)
 
 
 @query(with_(_EMIT, "SELECT px, py, seq, round(t, 6) AS t, entry::INT AS entry, class::INT AS class FROM ev"))
 def ray_box_events(spark: SparkSession, d: str) -> DataFrame:
-    """Where rays pass the faces of the leaves."""
+    """Where rays pass the faces of the emitted boxes."""
     return _events(spark, d).withColumn("t", F.round("t", 6))
 
 
+@query(with_(_EMIT, "SELECT px, py, seq, place::BIGINT AS place, round(t, 6) AS t, round(nx, 6) AS next, entry::INT AS entry, class::INT AS class FROM (SELECT *, lead(t) OVER w AS nx, row_number() OVER w AS place FROM ev WINDOW w AS (PARTITION BY px, py ORDER BY seq DESC))"))
+def ray_events_ordered(spark: SparkSession, d: str) -> DataFrame:
+    """Each ray's events as a list that grows at its head."""
+    return ops.ordered_events(_events(spark, d)).withColumns({"t": F.round("t", 6), "next": F.round("next", 6)})
+
+
 @query(with_(_EMIT, "SELECT px, py, place::BIGINT AS place, round(least(t, nx), 6) AS t0, round(greatest(t, nx), 6) AS t1 FROM (SELECT *, lead(t) OVER w AS nx, row_number() OVER w AS place FROM ev WINDOW w AS (PARTITION BY px, py ORDER BY seq DESC)) WHERE entry = 1 AND class = 1 AND nx IS NOT NULL"))
 def ray_intervals(spark: SparkSession, d: str) -> DataFrame:
     return ops.intervals(_events(spark, d)).select("px", "py", "place", F.round("t0", 6).alias("t0"), F.round("t1", 6).alias("t1"))

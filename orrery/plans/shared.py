@@ -1,20 +1,7 @@
-"""Cutting lineage between rounds of an iteration."""
+"""What plans share with the operators: tables in the shared folder."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+from ..functions.tables import discard, materialize, new_path, numbered
 
-from pyspark.sql import DataFrame
-
-
-def materialize(df: DataFrame) -> DataFrame:
-    """Write df as a Parquet table under spark.checkpoint.dir and read it back; where that is unset (tests), under a temporary folder."""
-    sc = df.sparkSession.sparkContext
-    root = sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
-    if not root:
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="orrery-"))
-        root = sc.getCheckpointDir()
-    path = f"{root.rstrip('/')}/tables/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+__all__ = ["discard", "materialize", "new_path", "numbered"]

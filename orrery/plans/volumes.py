@@ -39,15 +39,7 @@ def histogram_raster(spark: SparkSession, d: str) -> DataFrame:
     return rows.where((64 - F.col("y")) < F.col("n") * 64 / (1.1 * F.col("m"))).groupBy("bin").agg(F.count(F.lit(1)).alias("lit"))
 
 
-@query(f"WITH {VOX} SELECT (x + 50 * (y + 11 * z))::BIGINT AS idx, val FROM vox WHERE (x + y + z) % 7 = 0")
-def voxel_lookup(spark: SparkSession, d: str) -> DataFrame:
-    """Voxels by their place in a flat array."""
-    v = voxels(spark, d)
-    flat = v.select((F.col("x") + DIMS[0] * (F.col("y") + DIMS[1] * F.col("z"))).cast("long").alias("idx"), "val")
-    wanted = v.where((F.col("x") + F.col("y") + F.col("z")) % 7 == 0).select((F.col("x") + DIMS[0] * (F.col("y") + DIMS[1] * F.col("z"))).cast("long").alias("idx"))
-    return wanted.join(flat, "idx")
-
-
+@query(f"WITH {VOX} SELECT (x + 50 * (y + 11 * z))::BIGINT AS idx, val FROM vox", name="voxel_lookup")
 @query(f"WITH {VOX} SELECT (x + 50 * (y + 11 * z))::BIGINT AS idx, val FROM vox")
 def voxel_lookup_whole(spark: SparkSession, d: str) -> DataFrame:
     """All voxels by their place in a flat array."""
@@ -182,12 +174,14 @@ def brick_cache(spark: SparkSession, d: str) -> DataFrame:
 
 # ---- octree --------------------------------------------------------------------------------------------------------
 
-_LEAST, _ISO = 4, 12.0
-TREE = f"""{VOX}, oc(path, depth, x0, y0, z0, x1, y1, z1, leaf) AS (SELECT '', 0, 0, 0, 0, 50, 11, 9, false
+_LEAST = 2
+# The value whose surface the octree is for: rare enough that boxes differ in class, whatever the size of the table.
+ISO_SQL = "iso AS (SELECT floor(avg(val) + 2.2 * stddev_pop(val)) + 0.5 AS iso FROM vox)"
+TREE = f"""{VOX}, {ISO_SQL}, oc(path, depth, x0, y0, z0, x1, y1, z1, leaf) AS (SELECT '', 0, 0, 0, 0, 50, 11, 9, false
  UNION ALL SELECT path || k::VARCHAR, depth + 1, nx0, ny0, nz0, nx1, ny1, nz1, nx1 - nx0 <= {_LEAST} OR ny1 - ny0 <= {_LEAST} OR nz1 - nz0 <= {_LEAST} FROM
  (SELECT path, depth, k, CASE WHEN k & 1 = 1 THEN (x0 + x1) // 2 ELSE x0 END AS nx0, CASE WHEN k & 1 = 1 THEN x1 ELSE (x0 + x1) // 2 END AS nx1, CASE WHEN k & 2 = 2 THEN (y0 + y1) // 2 ELSE y0 END AS ny0, CASE WHEN k & 2 = 2 THEN y1 ELSE (y0 + y1) // 2 END AS ny1,
   CASE WHEN k & 4 = 4 THEN (z0 + z1) // 2 ELSE z0 END AS nz0, CASE WHEN k & 4 = 4 THEN z1 ELSE (z0 + z1) // 2 END AS nz1 FROM oc, range(8) r(k) WHERE NOT leaf)),
-lf AS (SELECT path, min(val) <= {_ISO} AND max(val) >= {_ISO} AS full_ FROM oc JOIN vox ON x >= x0 AND x < x1 AND y >= y0 AND y < y1 AND z >= z0 AND z < z1 WHERE leaf GROUP BY path),
+lf AS (SELECT path, min(val) <= any_value(iso) AND max(val) >= any_value(iso) AS full_ FROM oc JOIN vox ON x >= x0 AND x < x1 AND y >= y0 AND y < y1 AND z >= z0 AND z < z1, iso WHERE leaf GROUP BY path),
 cl AS (SELECT oc.*, n_empty, n_full, CASE WHEN n_empty > n_full THEN 0 ELSE 1 END AS class FROM oc JOIN (SELECT o.path, count(*) FILTER (NOT full_) AS n_empty, count(*) FILTER (full_) AS n_full FROM oc o JOIN lf ON starts_with(lf.path, o.path) GROUP BY o.path) USING (path))"""
 
 
@@ -196,7 +190,9 @@ def _boxes(spark: SparkSession) -> DataFrame:
 
 
 def _leaves(spark: SparkSession, d: str) -> DataFrame:
-    return volumes.occupied_leaves(_boxes(spark), voxels(spark, d), (F.min("val") <= _ISO) & (F.max("val") >= _ISO))
+    v = voxels(spark, d)
+    iso = v.agg(F.floor(F.avg("val") + 2.2 * F.stddev_pop("val")) + 0.5).first()[0]
+    return volumes.occupied_leaves(_boxes(spark), v, DIMS, _LEAST, (F.min("val") <= iso) & (F.max("val") >= iso))
 
 
 def _classed(spark: SparkSession, d: str) -> DataFrame:
@@ -205,10 +201,10 @@ def _classed(spark: SparkSession, d: str) -> DataFrame:
 
 @query(with_(TREE, "SELECT path, depth::INT AS depth, x0::INT AS x0, y0::INT AS y0, z0::INT AS z0, x1::INT AS x1, y1::INT AS y1, z1::INT AS z1, leaf, count(val)::BIGINT AS n, sum(val) AS total FROM oc JOIN vox ON x >= x0 AND x < x1 AND y >= y0 AND y < y1 AND z >= z0 AND z < z1 GROUP BY ALL"))
 def octree_boxes(spark: SparkSession, d: str) -> DataFrame:
-    """Boxes with the number and sum of their voxels."""
-    boxes, v = F.broadcast(_boxes(spark)).alias("b"), voxels(spark, d).alias("v")
-    inside = [F.col(f"v.{a}").between(F.col(f"b.{a}0"), F.col(f"b.{a}1") - 1) for a in "xyz"]
-    return v.join(boxes, inside).groupBy(*(f"b.{c}" for c in ("path", "depth", "x0", "y0", "z0", "x1", "y1", "z1", "leaf"))).agg(F.count(F.lit(1)).alias("n"), F.sum("val").alias("total"))
+    """Boxes with the number and sum of their voxels: those of the leaves, rolled up."""
+    leaves = voxels(spark, d).groupBy(volumes.leaf_path(DIMS, _LEAST).alias("path")).agg(F.count(F.lit(1)).alias("n"), F.sum("val").alias("total"))
+    rolled = leaves.select(F.explode(volumes.prefixes(F.col("path"))).alias("path"), "n", "total").groupBy("path").agg(F.sum("n").alias("n"), F.sum("total").alias("total"))
+    return _boxes(spark).join(rolled, "path")
 
 
 @query(with_(TREE, "SELECT path, full_ AS full FROM lf"))
@@ -242,7 +238,10 @@ def octree_emit(spark: SparkSession, d: str) -> DataFrame:
     return volumes.emitted(_classed(spark, d)).select("seq", "path", "front", "class")
 
 
-@query(with_(TREE, "SELECT path, e::INT AS edge FROM oc CROSS JOIN range(12) r(e) WHERE leaf"))
+@query(with_(TREE, """SELECT path, e::INT AS edge, (CASE WHEN a = 0 THEN x0 WHEN a = 1 THEN CASE WHEN u = 0 THEN x0 ELSE x1 END ELSE CASE WHEN u = 0 THEN x0 ELSE x1 END END)::INT AS ax,
+(CASE WHEN a = 1 THEN y0 WHEN a = 0 THEN CASE WHEN u = 0 THEN y0 ELSE y1 END ELSE CASE WHEN w = 0 THEN y0 ELSE y1 END END)::INT AS ay, (CASE WHEN a = 2 THEN z0 ELSE CASE WHEN w = 0 THEN z0 ELSE z1 END END)::INT AS az,
+(CASE WHEN a = 0 THEN x1 ELSE CASE WHEN u = 0 THEN x0 ELSE x1 END END)::INT AS bx, (CASE WHEN a = 1 THEN y1 WHEN a = 0 THEN CASE WHEN u = 0 THEN y0 ELSE y1 END ELSE CASE WHEN w = 0 THEN y0 ELSE y1 END END)::INT AS "by", (CASE WHEN a = 2 THEN z1 ELSE CASE WHEN w = 0 THEN z0 ELSE z1 END END)::INT AS bz
+FROM (SELECT oc.*, e, e // 4 AS a, e & 1 AS u, (e >> 1) & 1 AS w FROM oc CROSS JOIN range(12) r(e) WHERE leaf)"""))
 def box_edges(spark: SparkSession, d: str) -> DataFrame:
-    """The twelve edges of each leaf that holds voxels."""
-    return _leaves(spark, d).select("path", F.explode(F.sequence(F.lit(0), F.lit(11))).alias("edge"))
+    """The twelve edges of each leaf, with their end points a and b: four along each axis."""
+    return volumes.edges(_leaves(spark, d))
