@@ -150,7 +150,7 @@ def visited_boxes(found: DataFrame, dims: tuple[int, int, int], least: int) -> D
     and no ray meets boxes far from it.
     """
     o, d = ({a: F.col(f"{k}{a}") for a in AXES} for k in "od")
-    level = found.select("px", "py", *o.values(), *d.values(), volumes.root_box(dims).alias("b"))
+    level = found.select("px", "py", *o.values(), *d.values(), volumes.root_box(dims, least).alias("b"))
     passed = None
     for _ in range(volumes.tree_depth(dims, least) + 1):
         enter, leave = [], []

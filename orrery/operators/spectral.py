@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -23,11 +24,29 @@ def _power_of_two(n: int) -> int:
     return n.bit_length() - 1
 
 
+def _lines_of(batches: Iterator[pa.RecordBatch], group: str, place: str, length: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Groups of length rows each, from rows that stand in the order of (group, place): group numbers, and a line of complex values a group, many at once."""
+    left: list[np.ndarray] = [np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), np.zeros(0, dtype=complex)]
+    for batch in batches:
+        z = batch.column("re").to_numpy(zero_copy_only=False) + 1j * batch.column("im").to_numpy(zero_copy_only=False)
+        new = (batch.column(group).to_numpy(zero_copy_only=False), batch.column(place).to_numpy(zero_copy_only=False), z)
+        left = [np.concatenate(x) for x in zip(left, new, strict=True)]
+        whole = len(left[0]) // length * length
+        if whole:
+            of, at, values = (x[:whole].reshape(-1, length) for x in left)
+            if (at != np.arange(length)).any() or (of != of[:, :1]).any():
+                raise ValueError("the signal has gaps or repeated places")
+            yield of[:, 0], values
+            left = [x[whole:] for x in left]
+    if len(left[0]):
+        raise ValueError("the signal has gaps or repeated places")
+
+
 def fft(signal: DataFrame, n: int | None = None, inverse: bool = False) -> DataFrame:
-    """(n, re, im) -> (k, re, im). The length is a power of two; the inverse isn't normalised.
+    """(n, re, im) -> (k, re, im). The length is a power of two, places run from 0 without gaps; the inverse isn't normalised.
 
     With N = A B and n = B a + b: transforms of length A for each b, twiddle factors, then transforms of length B for each of the first ones'
-    frequencies. So two shuffles, and groups as long as the root of N.
+    frequencies. So two shuffles, and lines as long as the root of N, many of which a task transforms at once.
     """
     n = signal.count() if n is None else n
     bits = _power_of_two(n)
@@ -36,25 +55,23 @@ def fft(signal: DataFrame, n: int | None = None, inverse: bool = False) -> DataF
     sign = 1 if inverse else -1
 
     def transform(z: np.ndarray) -> np.ndarray:
-        return np.fft.ifft(z) * len(z) if inverse else np.fft.fft(z)
-
-    def first(t: pa.Table) -> pa.Table:
-        order = np.argsort(t.column("a").to_numpy())
-        b = int(t.column("b")[0].as_py())
-        z = transform((t.column("re").to_numpy() + 1j * t.column("im").to_numpy())[order])
-        f = np.arange(len(z))
-        z = z * np.exp(sign * 2j * np.pi * ((f * b) % n) / n)
-        return pa.table({"f": pa.array(f, pa.int64()), "b": pa.array(np.full(len(z), b), pa.int64()), "re": z.real, "im": z.imag})
-
-    def second(t: pa.Table) -> pa.Table:
-        order = np.argsort(t.column("b").to_numpy())
-        f = int(t.column("f")[0].as_py())
-        z = transform((t.column("re").to_numpy() + 1j * t.column("im").to_numpy())[order])
-        return pa.table({"k": pa.array(f + a_len * np.arange(len(z)), pa.int64()), "re": z.real, "im": z.imag})
+        return np.fft.ifft(z, axis=1) * z.shape[1] if inverse else np.fft.fft(z, axis=1)
+
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        f = np.arange(a_len)
+        for b, z in _lines_of(batches, "b", "a", a_len):
+            z = (transform(z) * np.exp(sign * 2j * np.pi * (np.outer(b, f) % n) / n)).ravel()
+            yield pa.RecordBatch.from_arrays([pa.array(np.tile(f, len(b))), pa.array(np.repeat(b, a_len)), pa.array(z.real), pa.array(z.imag)], names=["f", "b", "re", "im"])
+
+    def second(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for f, z in _lines_of(batches, "f", "b", b_len):
+            z = transform(z).ravel()
+            k = np.add.outer(f, a_len * np.arange(b_len)).ravel()
+            yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(z.real), pa.array(z.imag)], names=["k", "re", "im"])
 
     split = signal.select(F.floor(F.col("n") / b_len).cast("long").alias("a"), (F.col("n") % b_len).cast("long").alias("b"), "re", "im")
-    half = split.groupBy("b").applyInArrow(first, "f long, b long, re double, im double")
-    return half.groupBy("f").applyInArrow(second, "k long, re double, im double")
+    half = split.repartition("b").sortWithinPartitions("b", "a").mapInArrow(first, "f long, b long, re double, im double")
+    return half.repartition("f").sortWithinPartitions("f", "b").mapInArrow(second, "k long, re double, im double")
 
 
 def dft(signal: DataFrame, n: int | None = None, inverse: bool = False) -> DataFrame:

@@ -130,10 +130,10 @@ def tree_depth(dims: tuple[int, int, int], least: int) -> int:
     return depth
 
 
-def root_box(dims: tuple[int, int, int]) -> Column:
+def root_box(dims: tuple[int, int, int], least: int) -> Column:
     """The box of all voxels, as a struct with its path."""
     sides = [F.lit(v).alias(f"{a}{e}") for e in (0, 1) for a, v in zip(AXES, (0, 0, 0) if e == 0 else dims, strict=True)]
-    return F.struct(F.lit("").alias("path"), *sides, F.lit(False).alias("leaf"))
+    return F.struct(F.lit("").alias("path"), *sides, F.lit(min(dims) <= least).alias("leaf"))
 
 
 def _middle(box: Column, a: str) -> Column:
@@ -155,7 +155,7 @@ def children(box: Column, least: int) -> Column:
 
 
 def octree(spark, dims: tuple[int, int, int], least: int) -> DataFrame:
-    """path, depth, box corners, leaf: boxes split in the middle until a side is least or shorter. The root is never a leaf.
+    """path, depth, box corners, leaf: boxes split in the middle until a side is least or shorter.
 
     Boxes depend on the dimensions alone, so each number of a range is a path that is walked down from the root; no box needs another one's row.
     """
@@ -171,7 +171,7 @@ def octree(spark, dims: tuple[int, int, int], least: int) -> DataFrame:
         digit = F.floor(F.col("code") / F.pow(F.lit(8.0), F.col("depth") - k)).cast("long") % 8
         return F.when(box.isNull() | box["leaf"], None).otherwise(_child(box, {a: digit.bitwiseAND(F.lit(1 << i)) > 0 for i, a in enumerate(AXES)}, least))
 
-    walk = F.when(F.col("depth") > 0, F.aggregate(F.sequence(F.lit(1), F.greatest(F.col("depth"), F.lit(1))), root_box(dims), step)).otherwise(root_box(dims))
+    walk = F.when(F.col("depth") > 0, F.aggregate(F.sequence(F.lit(1), F.greatest(F.col("depth"), F.lit(1))), root_box(dims, least), step)).otherwise(root_box(dims, least))
     return code.select("depth", walk.alias("b")).where("b IS NOT NULL").select("b.path", "depth", *(f"b.{a}{e}" for e in (0, 1) for a in AXES), "b.leaf")
 
 
@@ -181,7 +181,7 @@ def leaf_path(dims: tuple[int, int, int], least: int) -> Column:
     def step(box: Column, k: Column) -> Column:
         return F.when(box["leaf"], box).otherwise(_child(box, {a: F.col(a) >= _middle(box, a) for a in AXES}, least))
 
-    return F.aggregate(F.sequence(F.lit(1), F.lit(max(tree_depth(dims, least), 1))), root_box(dims), step)["path"]
+    return F.aggregate(F.sequence(F.lit(1), F.lit(max(tree_depth(dims, least), 1))), root_box(dims, least), step)["path"]
 
 
 def prefixes(path: Column) -> Column:

@@ -19,10 +19,13 @@ def _cells(spark: SparkSession, d: str) -> DataFrame:
 SHAPE = (DIMS[2], DIMS[1], DIMS[0])
 
 
-@query(f"WITH {VOX} SELECT x AS i2, y AS i1, z AS i0, 0.0::DOUBLE AS val, val AS seen FROM vox")
+@query("""WITH m AS (SELECT max(round(l_tax * 100))::INT AS i0, max(round(l_discount * 100))::INT AS i1, max(round(l_quantity - 1))::INT AS i2 FROM lineitem)
+SELECT a.k::INT AS i0, b.k::INT AS i1, c.k::INT AS i2, 0.0::DOUBLE AS val FROM m, range(m.i0 + 1) a(k), range(m.i1 + 1) b(k), range(m.i2 + 1) c(k)""")
 def dense_grid(spark: SparkSession, d: str) -> DataFrame:
-    """A zero array, beside what the table has in its cells."""
-    return arrays.dense(spark, SHAPE).join(_cells(spark, d).withColumnRenamed("val", "seen"), ["i0", "i1", "i2"])
+    """A zero array as large as the table's quantities, discounts and taxes need."""
+    cell = lambda c: F.max(F.round(c).cast("int"))
+    m = spark.read.parquet(f"{d}/lineitem.parquet").agg(cell(F.col("l_tax") * 100), cell(F.col("l_discount") * 100), cell(F.col("l_quantity") - 1)).first()
+    return arrays.dense(spark, tuple(n + 1 for n in m))
 
 
 @query(f"WITH {VOX} SELECT val FROM vox WHERE x = 20 AND y = 5 AND z = 4")

@@ -44,15 +44,12 @@ def covariance(spark: SparkSession, d: str) -> DataFrame:
     return matrices.covariance(points_hd(spark, d)).withColumn("val", tidy(F.col("val")))
 
 
-@query(f"WITH {CELLS} SELECT a.j AS i, b.j AS j, round(sum(a.val * b.val), 6) + 0 AS val FROM cells a JOIN cells b USING (i) WHERE a.j < 16 AND b.j < 16 GROUP BY a.j, b.j")
-def matmul(spark: SparkSession, d: str) -> DataFrame:
-    """The leading part of the transposed matrix times the matrix."""
-    m = matrices.to_cells(points_hd(spark, d)).where("j < 16")
-    return matrices.matmul(matrices.transpose(m), m).withColumn("val", tidy(F.col("val")))
+_PRODUCT = f"WITH {CELLS} SELECT a.j AS i, b.j AS j, round(sum(a.val * b.val), 6) + 0 AS val FROM cells a JOIN cells b USING (i) GROUP BY a.j, b.j"
 
 
-@query(f"WITH {CELLS} SELECT a.j AS i, b.j AS j, round(sum(a.val * b.val), 6) + 0 AS val FROM cells a JOIN cells b USING (i) GROUP BY a.j, b.j")
-def matmul_whole(spark: SparkSession, d: str) -> DataFrame:
+@query(_PRODUCT, name="matmul_whole")
+@query(_PRODUCT)
+def matmul(spark: SparkSession, d: str) -> DataFrame:
     """The transposed matrix times the matrix, all columns."""
     m = matrices.to_cells(points_hd(spark, d))
     return matrices.matmul(matrices.transpose(m), m).withColumn("val", tidy(F.col("val")))
@@ -81,21 +78,27 @@ _POWER = """cov AS (SELECT a.j AS i, b.j AS j, covar_samp(a.val, b.val) AS c FRO
 rows_ AS (SELECT i, list(c ORDER BY j) AS r FROM cov GROUP BY i), m AS (SELECT list(r ORDER BY i) AS m FROM rows_),
 s AS (SELECT list((((i + 1) * 1103515245 + 12345) % 2147483648) / 2147483648.0::DOUBLE ORDER BY i) AS v FROM rows_),
 p1(step, v) AS (SELECT 0, v FROM s UNION ALL SELECT step + 1, list_transform(w, lambda x: x / sqrt(list_inner_product(w, w))) FROM (SELECT step, list_transform(m, lambda r: list_inner_product(r, v)) AS w FROM p1, m WHERE step < 100)),
-v1 AS (SELECT v FROM p1 WHERE step = 100), l1 AS (SELECT list_inner_product(v, list_transform(m, lambda r: list_inner_product(r, v))) AS l FROM v1, m)"""
+v1 AS (SELECT v FROM p1 WHERE step = 100), l1 AS (SELECT list_inner_product(v, list_transform(m, lambda r: list_inner_product(r, v))) AS l FROM v1, m),
+m2 AS (SELECT list(row ORDER BY i) AS m FROM (SELECT i, list_transform(list_zip(r, v1.v), lambda x: x[1] - l * v1.v[i + 1] * x[2]) AS row FROM rows_, v1, l1)),
+p2(step, v) AS (SELECT 0, v FROM s UNION ALL SELECT step + 1, list_transform(w, lambda x: x / sqrt(list_inner_product(w, w))) FROM (SELECT step, list_transform(m, lambda r: list_inner_product(r, v)) AS w FROM p2, m2 WHERE step < 100)),
+v2 AS (SELECT v FROM p2 WHERE step = 100), l2 AS (SELECT list_inner_product(v, list_transform(m, lambda r: list_inner_product(r, v))) AS l FROM v2, m2),
+pairs AS (SELECT k, l, list_transform(v, lambda x: x * sign(v[list_position(list_transform(v, lambda y: abs(y)), list_max(list_transform(v, lambda y: abs(y))))])) AS v
+  FROM (SELECT 0 AS k, l, v FROM l1, v1 UNION ALL SELECT 1, l, v FROM l2, v2))"""
 
 
-@query(with_(f"{CELLS}, {_POWER}", "SELECT round(l, 4) AS value FROM l1"))
+@query(with_(f"{CELLS}, {_POWER}", "SELECT k::INT AS k, round(l, 4) AS value, list_transform(v, lambda x: round(x, 4) + 0) AS vector FROM pairs"))
 def eigen_top(spark: SparkSession, d: str) -> DataFrame:
-    """The largest eigenvalue of the covariance, by power iteration."""
-    _, values, _ = matrices.components(points_hd(spark, d), 1)
-    return spark.createDataFrame([(float(values[0]),)], "value double").select(F.round("value", 4).alias("value"))
+    """The two largest eigenvalues of the covariance with their vectors, by a hundred rounds of power iteration and deflation; the largest entry of a vector is positive."""
+    _, values, vectors = matrices.components(points_hd(spark, d), 2)
+    rows = [(k, round(float(v), 4), [round(float(x), 4) + 0.0 for x in w]) for k, (v, w) in enumerate(zip(values, vectors, strict=True))]
+    return spark.createDataFrame(rows, "k int, value double, vector array<double>")
 
 
-@query(with_(f"{CELLS}, {_POWER}, pr AS (SELECT sum((c.val - a.m) * v1.v[c.j + 1]) AS t FROM cells c JOIN (SELECT j, avg(val) AS m FROM cells GROUP BY j) a USING (j), v1 GROUP BY c.i)", "SELECT round(var_samp(t), 4) AS variance, abs(round(avg(t), 6)) AS mean FROM pr"))
+@query(with_(f"{CELLS}, {_POWER}, mn AS (SELECT j, avg(val) AS m FROM cells GROUP BY j)", "SELECT c.i AS id, round(sum((c.val - mn.m) * a.v[c.j + 1]), 4) + 0 AS x, round(sum((c.val - mn.m) * b.v[c.j + 1]), 4) + 0 AS y FROM cells c JOIN mn USING (j), pairs a, pairs b WHERE a.k = 0 AND b.k = 1 GROUP BY c.i"))
 def pca_embed(spark: SparkSession, d: str) -> DataFrame:
-    """Variance of the first principal coordinate, as its loadings' signs and near ties are arbitrary."""
-    p = matrices.pca(points_hd(spark, d), 1)
-    return p.agg(F.round(F.var_samp(p.v[0]), 4).alias("variance"), F.abs(F.round(F.avg(p.v[0]), 6)).alias("mean"))
+    """Both coordinates of every row along the vectors of eigen_top."""
+    p = matrices.pca(points_hd(spark, d), 2)
+    return p.select("id", tidy(F.col("v")[0], 4).alias("x"), tidy(F.col("v")[1], 4).alias("y"))
 
 
 #: Rounds for two components, as their eigenvalues are within 1 to 7 % of the next ones in the given tables.
@@ -188,6 +191,18 @@ def mean_displacement(spark: SparkSession, d: str) -> DataFrame:
     return embedding.displacement(_first_step(spark, d)).select(F.round("displacement", 6).alias("displacement"))
 
 
+_TWO = f"""{_STEP}, e2 AS (SELECT a.id AS i, b.id AS j, b.x - a.x AS dx, b.y - a.y AS dy FROM st a JOIN st b ON a.id <> b.id), q2 AS (SELECT *, 1 / (1 + dx * dx + dy * dy) AS q FROM e2),
+n2 AS (SELECT i, -4 * sum(q * q * dx) / (SELECT sum(q) FROM q2) AS gx, -4 * sum(q * q * dy) / (SELECT sum(q) FROM q2) AS gy FROM q2 GROUP BY i),
+a2 AS (SELECT pm.i, sum(12.0 * p * dx * q) AS gx, sum(12.0 * p * dy * q) AS gy FROM pm JOIN q2 USING (i, j) GROUP BY pm.i)"""
+
+
+@query(with_(_TWO, "SELECT st.id, round(st.x + 100 * (n2.gx + a2.gx) + 0.5 * (st.x - px), 5) + 0 AS x, round(st.y + 100 * (n2.gy + a2.gy) + 0.5 * (st.y - py), 5) + 0 AS y FROM st JOIN n2 ON n2.i = st.id JOIN a2 ON a2.i = st.id"))
+def tsne_two_steps(spark: SparkSession, d: str) -> DataFrame:
+    """Two steps with exact gradients, the second with momentum."""
+    state, _ = embedding.run(_scaled(spark, d), p_matrix_of(spark, d), 2)
+    return state.select("id", tidy(F.col("x"), 5).alias("x"), tidy(F.col("y"), 5).alias("y"))
+
+
 @query()
 def tsne_run(spark: SparkSession, d: str) -> DataFrame:
     """Five steps from the random start, Barnes-Hut repulsion, with what moved."""
@@ -333,6 +348,18 @@ def fit_nodes(spark: SparkSession, d: str) -> DataFrame:
     return spark.range(_I * _N).select(F.col("id").cast("int").alias("node"), F.round(low + (F.col("id") + 0.5) * ((high - low) / (_I * _N)), 6).alias("place"))
 
 
+_NUM = " ".join(f"WHEN {k} THEN " + " * ".join(f"(rx - {interpolation.node_positions()[j]})" for j in range(_N) if j != k) for k in range(_N))
+_DEN = " ".join(f"WHEN {k} THEN {v!r}" for k, v in enumerate(interpolation.denominators()))
+
+
+@query(f"WITH {FIT} SELECT id, k::INT AS node, round(CASE k {_NUM} END, 6) + 0 AS numerator, CASE k {_DEN} END::DOUBLE AS denominator FROM rl, range({_N}) r(k)")
+def lagrange_denominator(spark: SparkSession, d: str) -> DataFrame:
+    """Each point's weights along the first axis as fractions: the product over the other nodes for its place, and that for the node itself."""
+    weights, by = interpolation.lagrange(F.col("rx")), interpolation.denominators()
+    parts = F.array(*(F.struct(F.lit(k).alias("node"), tidy(w * by[k]).alias("numerator"), F.lit(by[k]).alias("denominator")) for k, w in enumerate(weights)))
+    return _placed(spark, d).select("id", F.explode(parts).alias("p")).select("id", "p.*")
+
+
 @query(f"WITH {FIT} SELECT id, nx::INT AS nx, ny::INT AS ny, round(weight, 6) + 0 AS weight FROM nw")
 def lagrange_weights(spark: SparkSession, d: str) -> DataFrame:
     points = _scaled(spark, d)

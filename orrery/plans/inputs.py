@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .shared import numbered
+
 PERPLEXITY, K = 10.0, 31
 
 
@@ -33,32 +35,19 @@ def dense(spark: SparkSession, nx: int, ny: int, nz: int) -> DataFrame:
     return spark.range(nx * ny * nz).select((i % nx).cast("int").alias("x"), (F.floor(i / nx) % ny).cast("int").alias("y"), F.floor(i / (nx * ny)).cast("int").alias("z"))
 
 
-def signal(spark: SparkSession, d: str) -> DataFrame:
-    """Event values in the order of ids, as many as the largest power of two allows: (n, value)."""
-    events = spark.read.parquet(f"{d}/events.parquet").select(F.col("event_id").alias("n"), "value")
-    size = 1 << (events.count().bit_length() - 1)
-    return events.where(F.col("n") < size)
-
-
-def whole_signal(spark: SparkSession, d: str) -> DataFrame:
-    """All event values in the order of ids, then zeros up to a power of two: (n, value). Numbers come from shards of ids, so that no task sees all rows."""
-    from pyspark.sql import Window
-
+def signal(spark: SparkSession, d: str) -> tuple[DataFrame, int]:
+    """All event values in the order of ids, then zeros up to a power of two, as (n, value); and their number."""
     events = spark.read.parquet(f"{d}/events.parquet").select("event_id", F.coalesce("value", F.lit(0.0)).alias("value"), F.coalesce(F.floor(F.col("event_id") / 65536), F.lit(1 << 62)).alias("shard"))
-    sizes = events.groupBy("shard").agg(F.count(F.lit(1)).alias("rows"))
-    starts = sizes.select("shard", (F.sum("rows").over(Window.orderBy("shard")) - F.col("rows")).alias("start"))
-    place = F.row_number().over(Window.partitionBy("shard").orderBy("event_id"))
-    numbered = events.withColumn("place", place).join(starts, "shard").select((F.col("start") + F.col("place") - 1).alias("n"), "value")
     count = events.count()
-    return numbered.unionByName(spark.range(count, 1 << max(count - 1, 0).bit_length()).select(F.col("id").alias("n"), F.lit(0.0).alias("value")))
+    size = 1 << max(count - 1, 0).bit_length()
+    rows = numbered(events, "shard", ["event_id"], "n").select("n", "value")
+    return rows.unionByName(spark.range(count, size).select(F.col("id").alias("n"), F.lit(0.0).alias("value"))), size
 
 
 def hourly(spark: SparkSession, d: str) -> DataFrame:
     """Mean event value of each hour that has events, numbered in order: (n, value)."""
-    from pyspark.sql import Window
-
     h = spark.read.parquet(f"{d}/events.parquet").groupBy(F.date_trunc("hour", "ts").alias("h")).agg(F.avg("value").alias("value"))
-    return h.select((F.row_number().over(Window.orderBy("h")) - 1).cast("long").alias("n"), "value")
+    return numbered(h.withColumn("day", F.to_date("h")), "day", ["h"], "n").select("n", "value")
 
 
 # DuckDB SQL of the same inputs, as common table expressions.
@@ -67,8 +56,7 @@ P2 = "p2 AS (SELECT vec_id AS id, embedding[1]::DOUBLE AS x, embedding[2]::DOUBL
 VOX = """g AS (SELECT a.x::INT AS x, b.y::INT AS y, c.z::INT AS z FROM range(50) a(x), range(11) b(y), range(9) c(z)),
 cnt AS (SELECT round(l_quantity - 1)::INT AS x, round(l_discount * 100)::INT AS y, round(l_tax * 100)::INT AS z, count(*) AS n FROM lineitem GROUP BY ALL),
 vox AS (SELECT g.x, g.y, g.z, coalesce(n, 0)::DOUBLE AS val FROM g LEFT JOIN cnt USING (x, y, z))"""
-SIGNAL = "sig AS (SELECT event_id AS n, value FROM events WHERE event_id < (SELECT pow(2, floor(log2(count(*))))::BIGINT FROM events))"
-WHOLE_SIGNAL = """num AS (SELECT row_number() OVER (ORDER BY event_id) - 1 AS n, value FROM events), pl AS (SELECT unnest(range((SELECT pow(2, ceil(log2(count(*))))::BIGINT FROM events))) AS n),
+SIGNAL = """num AS (SELECT row_number() OVER (ORDER BY event_id) - 1 AS n, value FROM events), pl AS (SELECT unnest(range((SELECT pow(2, ceil(log2(count(*))))::BIGINT FROM events))) AS n),
 sig AS (SELECT pl.n, coalesce(value, 0) AS value FROM pl LEFT JOIN num ON num.n = pl.n)"""
 HOURLY = "hrs AS (SELECT (row_number() OVER (ORDER BY h) - 1)::BIGINT AS n, value FROM (SELECT date_trunc('hour', ts) AS h, avg(value) AS value FROM events GROUP BY 1))"
 KNN = f"""{HD}, dist AS (SELECT a.id AS i, b.id AS j, pow(list_distance(a.v, b.v), 2) AS d2 FROM pts a JOIN pts b ON a.id <> b.id),

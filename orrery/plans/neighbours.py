@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.numbers import tidy
-from ..operators import affinity, neighbours
+from ..operators import affinity, embedding, neighbours
 from .inputs import BETA, HD, K, KNN, P2, PCOND, PERPLEXITY, PMAT, PSYM, points_2d, points_hd
 from .registry import query
+from .shared import discard, materialize
 
 with_ = lambda ctes, select: f"WITH RECURSIVE {ctes} {select}"
 
@@ -63,7 +64,7 @@ def p_conditional(spark: SparkSession, d: str) -> DataFrame:
 
 @query(with_(PSYM, "SELECT i, rank, j, round(p, 6) AS p FROM ps"))
 def p_symmetrized(spark: SparkSession, d: str) -> DataFrame:
-    return affinity.symmetrized(_p(spark, d)).withColumn("p", tidy(F.col("p")))
+    return affinity.symmetrized(materialize(_p(spark, d))).withColumn("p", tidy(F.col("p")))
 
 
 @query(with_(PMAT, "SELECT i, rank, j, round(p, 8) AS p FROM pm"))
@@ -72,8 +73,11 @@ def p_normalized(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p_matrix_of(spark: SparkSession, d: str) -> DataFrame:
-    """Neighbours, calibration, symmetry and normalisation in one plan: (i, rank, j, p)."""
-    return affinity.normalized(affinity.symmetrized(_p(spark, d)))
+    """Neighbours, calibration, symmetry and normalisation: (i, rank, j, p). What is read more than once is a table, so that neighbours are searched for once."""
+    conditional = materialize(_p(spark, d))
+    symmetric = materialize(affinity.symmetrized(conditional))
+    discard(conditional)
+    return affinity.normalized(symmetric)
 
 
 @query(with_(PMAT, "SELECT i, count(*)::BIGINT AS n, round(sum(p), 8) AS total, arg_max(j, struct_pack(p := p, j := j)) AS strongest FROM pm GROUP BY i"))
@@ -90,10 +94,16 @@ def p_dense_100(spark: SparkSession, d: str) -> DataFrame:
     return ids.join(p, "i", "left").select("i", F.transform(F.sequence(F.lit(0).cast("long"), F.lit(99).cast("long")), cell).alias("row"))
 
 
-@query("SELECT label, count(*)::BIGINT AS n, min(vec_id) AS first FROM embeddings GROUP BY label")
+@query(with_(PMAT, """SELECT e.vec_id AS id, e.label, c.code, s.u / 2147483648.0::DOUBLE AS x, ((s.u * 1103515245 + 12345) % 2147483648) / 2147483648.0::DOUBLE AS y, q.n, q.strongest FROM embeddings e
+JOIN (SELECT label, row_number() OVER (ORDER BY min(vec_id)) - 1 AS code FROM embeddings GROUP BY label) c USING (label)
+JOIN (SELECT vec_id, (vec_id % 2147483648 * 1103515245 + 12345) % 2147483648 AS u FROM embeddings) s USING (vec_id)
+JOIN (SELECT i, count(*)::BIGINT AS n, arg_max(j, struct_pack(p := p, j := j)) AS strongest FROM pm GROUP BY i) q ON q.i = e.vec_id"""))
 def tsne_dataset(spark: SparkSession, d: str) -> DataFrame:
-    """The labels that go with the points."""
-    return spark.read.parquet(f"{d}/embeddings.parquet").groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.min("vec_id").alias("first"))
+    """From the table to what the optimiser starts with: labels with their codes, neighbours and affinities of each point, and its start."""
+    labelled = encode_labels(spark.read.parquet(f"{d}/embeddings.parquet").select(F.col("vec_id").alias("id"), "label"), "id", "label")
+    start = embedding.random_start(points_2d(spark, d).select("id"))
+    near = p_matrix_of(spark, d).groupBy("i").agg(F.count(F.lit(1)).alias("n"), F.max_by("j", F.struct("p", "j")).alias("strongest"))
+    return labelled.join(start, "id").join(near, F.col("id") == F.col("i")).select("id", "label", "code", "x", "y", "n", "strongest")
 
 
 @query("""WITH f AS (SELECT event_type, (row_number() OVER (ORDER BY min(event_id)) - 1)::BIGINT AS code FROM events GROUP BY event_type)

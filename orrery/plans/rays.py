@@ -45,11 +45,20 @@ def _with_most(df: DataFrame, spark: SparkSession, d: str) -> DataFrame:
     return df.crossJoin(F.broadcast(voxels(spark, d).agg(F.max("val").alias("most"))))
 
 
-@query(f"WITH {RAYS}, n AS (SELECT count(*)::BIGINT AS n FROM lineitem) SELECT px, py, round(dx, 6) + 0 AS dx, round(dy, 6) + 0 AS dy, round(dz, 6) AS dz, n AS voxels_from FROM ry, n")
+_ORBIT = ops.OrbitCamera((0.0, 0.0, 0.0), 40.0, 0.3, 0.5)
+_TURNED = [[f"({row[0]!r}) * cx / q + ({row[1]!r}) * cy / q + ({row[2]!r}) / q" for row in _ORBIT.rotation()]][0]
+
+
+@query(f"""WITH {VOX}, c AS (SELECT {', '.join(f"sum({a} * val) / sum(val) - 40.0::DOUBLE * ({row[2]!r})::DOUBLE AS o{a}" for a, row in zip("xyz", _ORBIT.rotation(), strict=True))} FROM vox),
+l AS (SELECT px, py, cx, cy, sqrt(cx * cx + cy * cy + 1) AS q FROM (SELECT a.i::INT AS px, b.i::INT AS py, (a.i / 24.0::DOUBLE * 2 - 1) * {_H!r} AS cx, (b.i / 24.0::DOUBLE * 2 - 1) * {_H!r} AS cy FROM range(24) a(i), range(24) b(i)))
+SELECT px, py, {', '.join(f"round(o{a}, 6) + 0 AS o{a}" for a in "xyz")}, {', '.join(f"round({t}, 6) + 0 AS d{a}" for a, t in zip("xyz", _TURNED, strict=True))} FROM l, c""")
 def rays(spark: SparkSession, d: str) -> DataFrame:
-    """Rays of the view of the volume."""
-    n = spark.read.parquet(f"{d}/lineitem.parquet").agg(F.count(F.lit(1)).alias("voxels_from"))
-    return _rays(spark).crossJoin(F.broadcast(n)).select("px", "py", *(tidy(F.col(c)).alias(c) for c in ("dx", "dy", "dz")), "voxels_from")
+    """Rays of a camera that orbits the centre of mass of the volume."""
+    v = voxels(spark, d)
+    centre = v.agg(*(F.sum(F.col(a) * F.col("val")) / F.sum("val") for a in "xyz")).first()
+    orbit = ops.OrbitCamera(tuple(centre), _ORBIT.distance, _ORBIT.pitch, _ORBIT.yaw)
+    found = ops.rays(spark, Camera(orbit.eye(), CAMERA.width, CAMERA.height), orbit.rotation())
+    return found.select("px", "py", *(tidy(F.col(f"{k}{a}")).alias(f"{k}{a}") for k in "od" for a in "xyz"))
 
 
 @query(f"WITH {SAMPLED} SELECT px, py, round(min(t), 6) AS tmin, round(max(t), 6) AS tmax, count(*)::BIGINT AS n, sum((val > 0)::INT)::BIGINT AS hit FROM sv GROUP BY px, py")
@@ -84,7 +93,15 @@ def render_iso_bidir(spark: SparkSession, d: str) -> DataFrame:
     return h.select("px", "py", F.round(F.col("t0") + (ISO - F.col("v0")) / (F.col("v1") - F.col("v0")) * (F.col("t1") - F.col("t0")), 4).alias("t"))
 
 
-@query()
+_AT = lambda i, j, k: f"vv[1 + floor(sx)::INT + {i} + 50 * (floor(sy)::INT + {j} + 11 * (floor(sz)::INT + {k}))]"
+_W = lambda a, c: f"(s{a} - floor(s{a}))" if c else f"(1 - s{a} + floor(s{a}))"
+_TRI = " + ".join(f"{_W('x', i)} * {_W('y', j)} * {_W('z', k)} * {_AT(i, j, k)}" for i in (0, 1) for j in (0, 1) for k in (0, 1))
+
+
+@query(with_(f"""{_CROSS}, fc AS (SELECT px, py, arg_min(t0, i) AS a, arg_min(t, i) AS b FROM lg WHERE v0 < {ISO} AND val >= {ISO} GROUP BY px, py), fl AS (SELECT list(val ORDER BY z, y, x) AS vv FROM vox),
+bi(px, py, a, b, t, n) AS (SELECT px, py, a, b, NULL::DOUBLE, 0 FROM fc UNION ALL
+SELECT px, py, CASE WHEN t IS NULL AND v <= {ISO} THEN m ELSE a END, CASE WHEN t IS NULL AND v > {ISO} THEN m ELSE b END, CASE WHEN t IS NULL AND abs(v - {ISO}) < 0.01 THEN m ELSE t END, n + 1
+FROM (SELECT px, py, a, b, t, n, m, CASE WHEN sx >= 0 AND sx < 49 AND sy >= 0 AND sy < 10 AND sz >= 0 AND sz < 8 THEN {_TRI} ELSE 0 END AS v FROM (SELECT bi.*, (a + b) / 2 AS m, ox + (a + b) / 2 * dx AS sx, oy + (a + b) / 2 * dy AS sy, oz + (a + b) / 2 * dz AS sz FROM bi JOIN ry USING (px, py)), fl WHERE n < 6))""", "SELECT px, py, round(coalesce(t, (a + b) / 2), 4) AS t FROM bi WHERE n = 6"))
 def iso_bisection(spark: SparkSession, d: str) -> DataFrame:
     """Crossings made precise by six halvings."""
     clipped, v = _clipped(spark), materialize(voxels(spark, d))
@@ -218,10 +235,12 @@ def ray_rect(spark: SparkSession, d: str) -> DataFrame:
     return ops.hit_rectangle(_rays(spark), (0.0, 0.0, 0.0), (most, 10.0, 0.0), (0.0, 0.0, 1.0)).select("px", "py", "hit", F.round("qx", 6).alias("qx"), F.round("qy", 6).alias("qy"))
 
 
-@query(f"WITH {VOX}, n AS (SELECT max(val) AS most FROM vox), g2 AS (SELECT a.i::INT AS px, b.i::INT AS py, 2 * a.i / 24.0::DOUBLE - 1 AS x, 2 * b.i / 24.0::DOUBLE - 1 AS y, {-1.0 / _H!r} AS z FROM range(24) a(i), range(24) b(i)) SELECT px, py, round(x / sqrt(x * x + y * y + z * z), 6) + 0 AS dx, round(y / sqrt(x * x + y * y + z * z), 6) + 0 AS dy, round(z / sqrt(x * x + y * y + z * z), 6) AS dz, most FROM g2, n")
+@query(f"WITH {VOX}, n AS (SELECT (max(x) + 1.0) / (max(y) + 1.0) AS r FROM vox WHERE val > 0), g2 AS (SELECT a.i::INT AS px, b.i::INT AS py, 2 * r * a.i / 24.0::DOUBLE - r AS x, 2 * b.i / 24.0::DOUBLE - 1 AS y, {-1.0 / _H!r} AS z FROM range(24) a(i), range(24) b(i), n) SELECT px, py, round(x / sqrt(x * x + y * y + z * z), 6) + 0 AS dx, round(y / sqrt(x * x + y * y + z * z), 6) + 0 AS dy, round(z / sqrt(x * x + y * y + z * z), 6) AS dz FROM g2")
 def rays_gpu(spark: SparkSession, d: str) -> DataFrame:
-    """Directions by field of view and aspect, beside the largest value that they can meet."""
-    return _with_most(ops.rays_by_aspect(spark, CAMERA), spark, d).select("px", "py", *(tidy(F.col(c)).alias(c) for c in ("dx", "dy", "dz")), "most")
+    """Directions by field of view and aspect; the picture is as wide for its height as what the volume holds."""
+    r = voxels(spark, d).where("val > 0").agg((F.max("x") + 1.0) / (F.max("y") + 1.0)).first()[0]
+    camera = Camera(CAMERA.eye, CAMERA.width, CAMERA.height, aspect=float(r))
+    return ops.rays_by_aspect(spark, camera).select("px", "py", *(tidy(F.col(c)).alias(c) for c in ("dx", "dy", "dz")))
 
 
 _IV = f"""{_EMIT}, iv AS (SELECT px, py, place::BIGINT AS place, least(t, nx) AS t0, greatest(t, nx) AS t1 FROM (SELECT *, lead(t) OVER w AS nx, row_number() OVER w AS place FROM ev WINDOW w AS (PARTITION BY px, py ORDER BY seq DESC)) WHERE entry = 1 AND class = 1 AND nx IS NOT NULL),

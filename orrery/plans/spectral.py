@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.numbers import bit_reverse, tidy
 from ..operators import spectral
-from .inputs import HOURLY, SIGNAL, WHOLE_SIGNAL, hourly, signal, whole_signal
+from .inputs import HOURLY, SIGNAL, hourly, signal
 from .registry import query
 
 _OUT = lambda k, d: f"SELECT {k} AS k, round(re, {d}) + 0 AS re, round(im, {d}) + 0 AS im"
@@ -36,58 +36,49 @@ def idft_1d(spark: SparkSession, d: str) -> DataFrame:
     return spectral.dft(there.withColumnRenamed("k", "n"), inverse=True).select("k", F.round("re", 6).alias("value"))
 
 
-@query(f"WITH {SIGNAL}, {_dft_sql('sig', digits=3)}")
-def fft_1d(spark: SparkSession, d: str) -> DataFrame:
-    return _rounded(spectral.fft(spectral.complex_signal(signal(spark, d))), 3)
+# Each query of the fast transform has two names; both transform every event.
+_FFT = f"WITH {SIGNAL}, {_dft_sql('sig', digits=3)}"
 
 
-@query(f"""WITH {SIGNAL}, c AS (SELECT count(*) AS n FROM sig), f AS (SELECT k.n AS k, sum(s.value * cos(2 * pi() * ((k.n * s.n) % c.n) / c.n) + (s.value / 2) * sin(2 * pi() * ((k.n * s.n) % c.n) / c.n)) AS re,
-sum((s.value / 2) * cos(2 * pi() * ((k.n * s.n) % c.n) / c.n) - s.value * sin(2 * pi() * ((k.n * s.n) % c.n) / c.n)) AS im FROM sig k, sig s, c GROUP BY k.n, c.n)
-{_OUT('k', 3)} FROM f""")
-def fft_1d_complex(spark: SparkSession, d: str) -> DataFrame:
-    z = spectral.complex_signal(signal(spark, d)).withColumn("im", F.col("re") / 2)
-    return _rounded(spectral.fft(z), 3)
+@query(_FFT, name="fft_1d_whole")
+@query(_FFT)
+def fft_1d(spark: SparkSession, d: str) -> DataFrame:
+    s, n = signal(spark, d)
+    return _rounded(spectral.fft(spectral.complex_signal(s), n), 3)
 
 
-@query(f"WITH {SIGNAL} SELECT n AS k, round(value * (SELECT count(*) FROM sig), 3) AS value FROM sig")
-def ifft_1d(spark: SparkSession, d: str) -> DataFrame:
-    """The inverse isn't normalised: N times the signal."""
-    there = spectral.fft(spectral.complex_signal(signal(spark, d)))
-    return spectral.fft(there.withColumnRenamed("k", "n"), inverse=True).select("k", F.round("re", 3).alias("value"))
+_COMPLEX = f"""WITH {SIGNAL}, c AS (SELECT count(*) AS n FROM sig), f AS (SELECT k.n AS k, sum(s.value * cos(2 * pi() * ((k.n * s.n) % c.n) / c.n) + (s.value / 2) * sin(2 * pi() * ((k.n * s.n) % c.n) / c.n)) AS re,
+sum((s.value / 2) * cos(2 * pi() * ((k.n * s.n) % c.n) / c.n) - s.value * sin(2 * pi() * ((k.n * s.n) % c.n) / c.n)) AS im FROM sig k, sig s, c GROUP BY k.n, c.n)
+{_OUT('k', 3)} FROM f"""
 
 
-@query(f"WITH {SIGNAL}, b AS (SELECT log2(count(*))::INT AS b FROM sig) SELECT n, list_sum(list_transform(range(b), lambda i: ((n >> i::INT) & 1) << (b - 1 - i)::INT))::BIGINT AS reversed FROM sig, b")
-def bit_reversal(spark: SparkSession, d: str) -> DataFrame:
-    s = signal(spark, d)
-    bits = s.count().bit_length() - 1
-    return s.select("n", bit_reverse(F.col("n"), bits).alias("reversed"))
+@query(_COMPLEX, name="fft_1d_complex_whole")
+@query(_COMPLEX)
+def fft_1d_complex(spark: SparkSession, d: str) -> DataFrame:
+    s, n = signal(spark, d)
+    return _rounded(spectral.fft(spectral.complex_signal(s).withColumn("im", F.col("re") / 2), n), 3)
 
 
-# The same over every event, padded with zeros.
-@query(f"WITH {WHOLE_SIGNAL}, {_dft_sql('sig', digits=3)}")
-def fft_1d_whole(spark: SparkSession, d: str) -> DataFrame:
-    return _rounded(spectral.fft(spectral.complex_signal(whole_signal(spark, d))), 3)
+_INVERSE = f"WITH {SIGNAL} SELECT n AS k, round(value * (SELECT count(*) FROM sig), 3) AS value FROM sig"
 
 
-@query(f"""WITH {WHOLE_SIGNAL}, c AS (SELECT count(*) AS n FROM sig), f AS (SELECT k.n AS k, sum(s.value * cos(2 * pi() * ((k.n * s.n) % c.n) / c.n) + (s.value / 2) * sin(2 * pi() * ((k.n * s.n) % c.n) / c.n)) AS re,
-sum((s.value / 2) * cos(2 * pi() * ((k.n * s.n) % c.n) / c.n) - s.value * sin(2 * pi() * ((k.n * s.n) % c.n) / c.n)) AS im FROM sig k, sig s, c GROUP BY k.n, c.n)
-{_OUT('k', 3)} FROM f""")
-def fft_1d_complex_whole(spark: SparkSession, d: str) -> DataFrame:
-    z = spectral.complex_signal(whole_signal(spark, d)).withColumn("im", F.col("re") / 2)
-    return _rounded(spectral.fft(z), 3)
+@query(_INVERSE, name="ifft_1d_whole")
+@query(_INVERSE)
+def ifft_1d(spark: SparkSession, d: str) -> DataFrame:
+    """The inverse isn't normalised: N times the signal."""
+    s, n = signal(spark, d)
+    there = spectral.fft(spectral.complex_signal(s), n)
+    return spectral.fft(there.withColumnRenamed("k", "n"), n, inverse=True).select("k", F.round("re", 3).alias("value"))
 
 
-@query(f"WITH {WHOLE_SIGNAL} SELECT n AS k, round(value * (SELECT count(*) FROM sig), 3) AS value FROM sig")
-def ifft_1d_whole(spark: SparkSession, d: str) -> DataFrame:
-    there = spectral.fft(spectral.complex_signal(whole_signal(spark, d)))
-    return spectral.fft(there.withColumnRenamed("k", "n"), inverse=True).select("k", F.round("re", 3).alias("value"))
+_REVERSED = f"WITH {SIGNAL}, b AS (SELECT log2(count(*))::INT AS b FROM sig) SELECT n, list_sum(list_transform(range(b), lambda i: ((n >> i::INT) & 1) << (b - 1 - i)::INT))::BIGINT AS reversed FROM sig, b"
 
 
-@query(f"WITH {WHOLE_SIGNAL}, b AS (SELECT log2(count(*))::INT AS b FROM sig) SELECT n, list_sum(list_transform(range(b), lambda i: ((n >> i::INT) & 1) << (b - 1 - i)::INT))::BIGINT AS reversed FROM sig, b")
-def bit_reversal_whole(spark: SparkSession, d: str) -> DataFrame:
-    s = whole_signal(spark, d)
-    bits = s.count().bit_length() - 1
-    return s.select("n", bit_reverse(F.col("n"), bits).alias("reversed"))
+@query(_REVERSED, name="bit_reversal_whole")
+@query(_REVERSED)
+def bit_reversal(spark: SparkSession, d: str) -> DataFrame:
+    s, n = signal(spark, d)
+    return s.select("n", bit_reverse(F.col("n"), n.bit_length() - 1).alias("reversed"))
 
 
 GRID = "gr AS (SELECT b.y::INT AS y, a.x::INT AS x, coalesce(v, 0) AS v FROM range(32) a(x) CROSS JOIN range(32) b(y) LEFT JOIN (SELECT (user_id % 32)::INT AS x, (event_id % 32)::INT AS y, round(sum(value), 6) AS v FROM events GROUP BY ALL) s ON s.x = a.x AND s.y = b.y)"

@@ -1,4 +1,7 @@
-"""Binary formats, read by Spark's binaryFile source: IDX images and labels, volumes with short headers."""
+"""Binary formats, read by Spark's binaryFile source: IDX images and labels, volumes with short headers.
+
+A file is a row, so that a task decodes it and yields its rows some at a time; many files are many tasks. The source takes files of up to 2 GB.
+"""
 
 from __future__ import annotations
 
@@ -21,11 +24,16 @@ def _files(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_idx_images(spark: SparkSession, path: str) -> DataFrame:
-    """id, features array<float>: pixels over 255. Another magic number, or a file shorter than its header says, is an error."""
+    """path, id, features of the files at a path."""
+    return idx_images(_files(spark, path))
+
+
+def idx_images(files: DataFrame) -> DataFrame:
+    """(path, content) -> path, id (within the file), features array<float>: pixels over 255. Another magic number, or a file shorter than its header says, is an error."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for data in batch.column("content").to_pylist():
+            for name, data in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist(), strict=True):
                 if big_endian(data, 0) != IDX_IMAGES:
                     raise ValueError("not an IDX image file")
                 n, size = big_endian(data, 4), big_endian(data, 8) * big_endian(data, 12)
@@ -33,23 +41,28 @@ def read_idx_images(spark: SparkSession, path: str) -> DataFrame:
                 for at in range(0, n, 1024):
                     part = px[at : at + 1024].astype(np.float32) / np.float32(255)
                     lists = pa.ListArray.from_arrays(pa.array(np.arange(len(part) + 1, dtype=np.int32) * size), pa.array(part.ravel()))
-                    yield pa.RecordBatch.from_arrays([pa.array(np.arange(at, at + len(part))), lists], names=["id", "features"])
+                    yield pa.RecordBatch.from_arrays([pa.array([name] * len(part), pa.string()), pa.array(np.arange(at, at + len(part))), lists], names=["path", "id", "features"])
 
-    return _files(spark, path).mapInArrow(run, "id long, features array<float>")
+    return files.select("path", "content").mapInArrow(run, "path string, id long, features array<float>")
 
 
 def read_idx_labels(spark: SparkSession, path: str) -> DataFrame:
-    """id, label."""
+    """path, id, label of the files at a path."""
+    return idx_labels(_files(spark, path))
+
+
+def idx_labels(files: DataFrame) -> DataFrame:
+    """(path, content) -> path, id (within the file), label."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for data in batch.column("content").to_pylist():
+            for name, data in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist(), strict=True):
                 if big_endian(data, 0) != IDX_LABELS:
                     raise ValueError("not an IDX label file")
                 labels = np.frombuffer(data, dtype=np.uint8, offset=8, count=big_endian(data, 4))
-                yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(labels))), pa.array(labels.astype(np.int32))], names=["id", "label"])
+                yield pa.RecordBatch.from_arrays([pa.array([name] * len(labels), pa.string()), pa.array(np.arange(len(labels))), pa.array(labels.astype(np.int32))], names=["path", "id", "label"])
 
-    return _files(spark, path).mapInArrow(run, "id long, label int")
+    return files.select("path", "content").mapInArrow(run, "path string, id long, label int")
 
 
 def fld_header(data: bytes) -> tuple[tuple[int, int, int], int, int]:
@@ -77,16 +90,21 @@ def read_volume(spark: SparkSession, path: str) -> DataFrame:
     ending = path.lower().rsplit(".", 1)[-1]
     if ending not in ("fld", "dat"):
         raise ValueError(f"no volume format .{ending}")
-    header = fld_header if ending == "fld" else dat_header
+    return volume(_files(spark, path), ending).drop("path")
+
+
+def volume(files: DataFrame, ending: str) -> DataFrame:
+    """(path, content) -> path, x, y, z, val of volumes in the format of an ending, a plane at a time."""
+    header = {"fld": fld_header, "dat": dat_header}[ending]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for data in batch.column("content").to_pylist():
+            for name, data in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist(), strict=True):
                 (nx, ny, nz), width, at = header(data)
                 flat = np.frombuffer(data, dtype=np.uint8 if width == 1 else "<u2", offset=at, count=nx * ny * nz)
+                y, x = np.divmod(np.arange(nx * ny, dtype=np.int32), nx)
                 for z in range(nz):
-                    y, x = np.divmod(np.arange(nx * ny, dtype=np.int32), nx)
                     val = flat[z * nx * ny : (z + 1) * nx * ny].astype(np.float64)
-                    yield pa.RecordBatch.from_arrays([pa.array(x, pa.int32()), pa.array(y, pa.int32()), pa.array(np.full(nx * ny, z), pa.int32()), pa.array(val)], names=["x", "y", "z", "val"])
+                    yield pa.RecordBatch.from_arrays([pa.array([name] * len(val), pa.string()), pa.array(x, pa.int32()), pa.array(y, pa.int32()), pa.array(np.full(nx * ny, z), pa.int32()), pa.array(val)], names=["path", "x", "y", "z", "val"])
 
-    return _files(spark, path).mapInArrow(run, "x int, y int, z int, val double")
+    return files.select("path", "content").mapInArrow(run, "path string, x int, y int, z int, val double")

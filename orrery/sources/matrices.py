@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.tables import materialize, numbered
+
 
 def read_matrix(spark: SparkSession, path: str, columns: int, sep: str = ",", header: bool = True) -> DataFrame:
     """features array<double>, a row a line. A cell that is no number is null. Short lines are padded with nulls, further cells ignored."""
@@ -20,15 +22,12 @@ def read_columns(spark: SparkSession, path: str, sep: str = ",") -> DataFrame:
 
 
 def read_labels(spark: SparkSession, path: str, every: int = 1) -> DataFrame:
-    """line, label, code: one label a line, numbered by first appearance; every k-th line only."""
-    from pyspark.sql import Window
-
-    text = spark.read.text(path).select(F.monotonically_increasing_id().alias("at"), F.trim("value").alias("label"))
-    # a line's number: lines before its part of the file, and before it within
-    part = text.withColumns({"part": F.shiftright("at", 33), "within": F.col("at").bitwiseAND(F.lit((1 << 33) - 1))})
-    sizes = part.groupBy("part").agg(F.count(F.lit(1)).alias("n"))
-    before = sizes.select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
-    lines = part.join(F.broadcast(before), "part").select((F.col("before") + F.col("within")).alias("line"), "label").where(F.col("line") % every == 0)
+    """line, label, code: one label a line, numbered by first appearance; every k-th line only. Several files count on in the order of their names."""
+    text = spark.read.text(path)
+    block = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start")).alias("block")
+    # a table, so that the numbers of one scan are the ones that are counted
+    lines = materialize(text.select(block, F.monotonically_increasing_id().alias("at"), F.trim("value").alias("label")))
+    lines = numbered(lines, "block", ["at"], "line").where(F.col("line") % every == 0).select("line", "label")
     firsts = lines.groupBy("label").agg(F.min("line").alias("first"))
-    codes = firsts.select("label", (F.row_number().over(Window.orderBy("first")) - 1).cast("int").alias("code"))
+    codes = firsts.select("label", (F.row_number().over(Window.orderBy("first")) - 1).cast("int").alias("code"))  # a row a label
     return lines.join(codes, "label").select("line", "label", "code")

@@ -180,13 +180,72 @@ def test_octree_covers_the_volume(spark):
     boxes = volumes.octree(spark, (20, 9, 9), 4)
     assert boxes.where("leaf").select(F.sum((F.col("x1") - F.col("x0")) * (F.col("y1") - F.col("y0")) * (F.col("z1") - F.col("z0")))).first()[0] == 20 * 9 * 9
     v = _volume(spark, lambda x, y, z: 1.0 if x == 19 and y == 8 and z == 8 else 0.0, (20, 9, 9))
-    leaves = volumes.occupied_leaves(boxes, v, F.max("val") > 0)
+    leaves = volumes.occupied_leaves(boxes, v, (20, 9, 9), 4, F.max("val") > 0)
     assert leaves.where("full").count() == 1
     classed = volumes.occupancy(boxes, leaves)
     faces = volumes.emitted(classed).orderBy("seq").collect()
     assert faces[0].path == "" and faces[0].front == 0 and faces[-1].path == "" and faces[-1].front == 1 and len(faces) % 2 == 0
 
 
+def test_leaves_by_arithmetic_hold_their_voxels(spark):
+    for dims, least in (((20, 9, 9), 4), ((13, 30, 7), 2), ((3, 3, 3), 4), ((1, 1, 1), 1)):
+        boxes = {r.path: r for r in volumes.octree(spark, dims, least).collect()}
+        v = _volume(spark, lambda x, y, z: 0.0, dims)
+        for r in v.select("x", "y", "z", volumes.leaf_path(dims, least).alias("p")).collect():
+            b = boxes[r.p]
+            assert b.leaf and b.x0 <= r.x < b.x1 and b.y0 <= r.y < b.y1 and b.z0 <= r.z < b.z1
+        assert sum((b.x1 - b.x0) * (b.y1 - b.y0) * (b.z1 - b.z0) for b in boxes.values() if b.leaf) == math.prod(dims)
+
+
+def test_rays_pass_the_boxes_that_a_plain_search_finds(spark):
+    dims, least = (20, 9, 9), 3
+    found = rays.rays(spark, rays.Camera((9.0, 4.0, -12.0), 6, 6))
+    boxes = volumes.octree(spark, dims, least).collect()
+    want = set()
+    for r in found.collect():
+        for b in boxes:
+            with np.errstate(divide="ignore"):
+                t = np.array([[(b[f"{a}{e}"] - r[f"o{a}"]) / r[f"d{a}"] if r[f"d{a}"] else (-np.inf, np.inf)[e] for e in (0, 1)] for a in "xyz"])
+            low, high = t.min(1).max(), t.max(1).min()
+            if high >= max(low, 0.0):
+                want.add((r.px, r.py, b.path))
+    assert {(r.px, r.py, r.path) for r in rays.visited_boxes(found, dims, least).collect()} == want
+
+
+def test_edges_join_corners(spark):
+    e = volumes.edges(volumes.octree(spark, (4, 6, 8), 8)).collect()
+    corners = {(x, y, z) for x in (0, 4) for y in (0, 6) for z in (0, 8)}
+    pairs = {frozenset([(r.ax, r.ay, r.az), (r.bx, r.by, r.bz)]) for r in e}
+    assert len(pairs) == 12 and all(p <= corners and sum(a != b for a, b in zip(*p)) == 1 for p in pairs)
+
+
+def test_numbers_follow_the_order(spark):
+    from orrery.functions.tables import numbered
+
+    df = spark.createDataFrame([(k // 7 if k % 5 else None, k) for k in range(60)], "shard int, v int").repartition(5)
+    got = sorted((r.n, r.shard, r.v) for r in numbered(df, "shard", ["v"], "n", start=1).collect())
+    assert [g[0] for g in got] == list(range(1, 61))
+    assert [(-1 if s is None else s, v) for _, s, v in got] == sorted((-1 if k % 5 == 0 else k // 7, k) for k in range(60))
+
+
+def test_transforms_refuse_gaps(spark):
+    from orrery.operators import spectral
+
+    df = spark.createDataFrame([(n, float(n), 0.0) for n in (0, 1, 2, 2, 4, 5, 6, 7)], "n long, re double, im double")
+    with pytest.raises(Exception, match="gaps"):
+        spectral.fft(df).collect()
+
+
+def test_barnes_hut_with_points_at_one_place(spark):
+    rng = np.random.default_rng(2)
+    xy = np.concatenate([rng.random((60, 2)), np.tile([[0.25, 0.75]], (40, 1))])
+    points = spark.createDataFrame([(i, float(a), float(b)) for i, (a, b) in enumerate(xy)], "id long, x double, y double")
+    exact = {r.i: (r.z, r.fx, r.fy) for r in embedding.repulsion(points).collect()}
+    for levels in (2, 8, 12):  # theta 0 takes no cell for its points
+        got = {r.i: (r.z, r.fx, r.fy) for r in embedding.barnes_hut(points, 0.0, 5, levels).collect()}
+        assert got.keys() == exact.keys() and all(np.allclose(got[i], exact[i]) for i in exact)
+
+
 def test_orbit_camera():
     c = rays.OrbitCamera((1.0, 2.0, 3.0), 10.0)
     assert np.allclose(c.eye(), (1, 2, -7))
