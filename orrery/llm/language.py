@@ -118,7 +118,8 @@ def identify(docs: DataFrame, held_out_mod: int = 4, held_out_is: int = 2, max_p
 
     Text that is null, empty or without a letter is "und" with score 0. A text too far from its nearest centroid is rejected: its
     lang_pred becomes reject, or stays the nearest language if that is None. Held-out rows (crc32 of the id modulo held_out_mod is held_out_is;
-    a null id is none) and rows without lang aren't learned from; without any to learn from, all is "und". Rows may repeat.
+    a null id is none) and rows without lang aren't learned from; without any to learn from, all is "und". Texts are counted whole, of any length. Of
+    centroids equally near, the first by language and coordinates counts. Rows may repeat; equal texts get equal results. No rows give no rows; other columns don't matter.
     """
     held = F.coalesce(fold("doc_id", held_out_mod) == held_out_is, F.lit(False))
     known = docs.select("doc_id", "text", "lang").where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held)

@@ -18,7 +18,8 @@ def source_targets(totals: DataFrame, cap: float = 3.0) -> DataFrame:
     cap times its source's size and the excess goes to the others by weight.
 
     That fixed point is a water level: targets are least(cap * size, level * weight), and the level follows from one pass
-    over the sources in the order of cap * size / weight. One row a source; documents never come here.
+    over the sources in the order of cap * size / weight. One row a source; documents never come here. The sources stand in order in one task: some millions of them,
+    as of hosts, are some tens of MB there.
     """
     order = Window.orderBy(F.col("source").isNull(), F.col("source"))
     ranked = totals.withColumn("weight", (F.row_number().over(order) - 1) % 3 + 1).withColumn("most", F.lit(cap) * F.col("source_size"))
@@ -45,7 +46,7 @@ def mix(docs: DataFrame, cap: float = 3.0, seed: str = "orrery", shards: int = 2
     As all documents of a source expect the same, the prefix sum is a rank times that figure. The rank comes from counts of
     (source, size, hash shard) and a row number within such a shard, so that a hot source is ranked in many tasks.
 
-    Null text has size 0. Null is a source of its own. Rows may repeat; each is a document. Ties in the order are between
+    Null text has size 0, and so have empty and blank ones; words of texts of any length are all counted. Null is a source of its own. Rows may repeat; each is a document. Ties in the order are between
     rows with equal id, whose results are then the same up to their exchange. No rows give no rows. Other columns don't matter.
     """
     digits = max(1, len(f"{shards - 1:x}"))
@@ -79,7 +80,10 @@ def mix(docs: DataFrame, cap: float = 3.0, seed: str = "orrery", shards: int = 2
 
 
 def mixed_documents(docs: DataFrame, cap: float = 3.0, seed: str = "orrery") -> DataFrame:
-    """The mix itself: each document once for each of its copies, with the copy's number (a column named copy gives way)."""
+    """The mix itself: each document once for each of its copies, with the copy's number (a column named copy gives way).
+
+    What becomes of nulls, empty texts and repeated rows is as in mix(); documents without copies go. Other columns stay, whatever their names.
+    """
     taken = mix(docs, cap, seed, carry=True).where("copies > 0")
     return taken.select(*(F.col("doc")[c].alias(c) for c in docs.columns if c != "copy"), F.explode(F.sequence(F.lit(1).cast("long"), "copies")).alias("copy"))
 

@@ -298,6 +298,7 @@ def keep_first(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     firsts = materialize(firsts.select(F.col("f.doc_id").alias("first_id"), F.col("f.text_key").alias("first_key")).unionByName(
         signed.where("doc_id IS NOT NULL AND n_shingles = 0").select(F.col("doc_id").alias("first_id"), F.coalesce("text_key", F.lit("")).alias("first_key")).distinct()))
     discard(found)
+    discard(signed)
     others = F.struct(*(F.col(f"`{c}`") for c in docs.columns if c != "text"))
     whole = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc"), F.col("doc_id").alias("id"), F.coalesce(F.md5("text"), F.lit("")).alias("key_of_text"), F.to_json(others).alias("rest"))
     mine = whole.join(firsts, (F.col("id") == F.col("first_id")) & (F.col("key_of_text") == F.col("first_key")), "left_semi")

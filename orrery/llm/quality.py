@@ -9,10 +9,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, materialize, text_chunks
+from .common import Words, discard, materialize, text_chunks
 from .learning import MAX_TRAIN, fold, sample
 
-STATS = ("log_words", "word_length", "distinct_words", "repeats", "distinct_triples", "upper", "symbols", "bars", "bangs", "digits", "points", "newlines", "other_bytes", "ends_in_symbol", "log_lines")
+STATS = ("log_words", "word_length", "distinct_words", "repeats", "distinct_triples", "upper", "symbols", "bars", "bangs", "digits", "points", "newlines", "other_bytes", "ends_in_symbol", "log_lines", "byte_entropy", "longest_word")
 #: Random Fourier features, their seed, the kernel's width in standard deviations of a statistic, and the ridge a row.
 N_FEATURES, SEED, WIDTH, RIDGE = 192, 7, 3.0, 1e-3
 
@@ -47,14 +47,21 @@ def statistics(texts: list[bytes]) -> np.ndarray:
     inside = doc[2:] == doc[:-2] if len(doc) > 2 else np.zeros(0, dtype=bool)
     n_grams = np.maximum(n_words - 2, 0)
     last = _CLASS[words.buf[words.end - 1]]
+    length = (words.end - words.start).astype(float)
+    longest = np.zeros(n)
+    np.maximum.at(longest, doc, length)
+    share = np.bincount(of_byte * 256 + words.buf, minlength=256 * n).reshape(n, 256).astype(float)
+    share[:, 10] -= 1  # the separator again
+    share /= np.maximum(share.sum(axis=1, keepdims=True), 1)
+    entropy = -(share * np.log2(np.where(share > 0, share, 1))).sum(axis=1)
     per = lambda a, b: a / np.maximum(b, 1)
     letters = kinds[:, 0] + kinds[:, 1]
     total = kinds.sum(axis=1)
     return np.column_stack([
-        np.log1p(n_words), per(np.bincount(doc, weights=(words.end - words.start).astype(float), minlength=n), n_words),
+        np.log1p(n_words), per(np.bincount(doc, weights=length, minlength=n), n_words),
         per(distinct(words.hash, doc), n_words), per(count(doc[1:][same]), n_words), per(distinct(grams[inside], doc[2:][inside]) if len(grams) else np.zeros(n), n_grams),
         per(kinds[:, 0], letters), per(kinds[:, 7], total), per(kinds[:, 8], n_words), per(kinds[:, 6], n_words), per(kinds[:, 2], total),
-        per(kinds[:, 5], n_words), per(kinds[:, 4], n_words), per(kinds[:, 9], total), per(count(doc[(last == 7) | (last == 6)]), n_words), np.log1p(kinds[:, 4]),
+        per(kinds[:, 5], n_words), per(kinds[:, 4], n_words), per(kinds[:, 9], total), per(count(doc[(last == 7) | (last == 6)]), n_words), np.log1p(kinds[:, 4]), entropy, np.log1p(longest),
     ])
 
 
@@ -142,14 +149,16 @@ def fit(stats: DataFrame, labels: DataFrame, held_out_mod: int, held_out_is: int
 
     bins = train.mapInArrow(raws, "raw double, label double").groupBy("raw").agg(F.sum("label").alias("y"), F.count(F.lit(1)).alias("n")).orderBy("raw").toPandas()
     model.steps = isotonic(bins.raw.to_numpy(), bins.y.to_numpy(), bins.n.to_numpy().astype(float))
+    discard(train)
     return model
 
 
 def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, held_out_mod: int = 5, held_out_is: int = 0, max_train: int = MAX_TRAIN) -> DataFrame:
     """(doc_id, text) and (doc_id, label 0/1) -> doc_id, held_out, score, predicted, a row a document.
 
-    Null text counts as empty; an empty text's statistics are zeros and it gets a score like any other. Rows may repeat. Without any labelled row
-    every score is 0.5. Labels of held-out rows (crc32 of the id modulo held_out_mod is held_out_is; a null id is none) aren't read.
+    Null text counts as empty; an empty text's statistics are zeros and it gets a score like any other. Statistics cover whole texts, of any length. Rows may repeat;
+    equal texts get equal scores. Without any labelled row every score is 0.5. Labels of held-out rows (crc32 of the id modulo held_out_mod is held_out_is; a
+    null id is none) aren't read, nor are null labels. No rows give no rows; other columns don't matter.
     """
     stats = materialize(document_statistics(docs))
     model = fit(stats, labels.select("doc_id", "label"), held_out_mod, held_out_is, max_train)
@@ -165,10 +174,12 @@ def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, held_ou
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, held_out_mod: int = 5, held_out_is: int = 0, max_train: int = MAX_TRAIN) -> DataFrame:
-    """Rows of docs (doc_id, text and any others) whose score is threshold or more, unchanged. The model is classify()'s; text isn't shuffled."""
+    """Rows of docs (doc_id, text and any others, of any name) whose score is threshold or more, unchanged. The model is classify()'s, and so is what becomes of
+    null, empty and long texts, repeated rows and missing labels; text isn't shuffled."""
     names = labels.select(F.col("doc_id").alias("known__"))
     stats = materialize(document_statistics(docs.select("doc_id", "text")).join(names, F.col("doc_id") == F.col("known__"), "left_semi"))
     model = fit(stats, labels.select("doc_id", "label"), held_out_mod, held_out_is, max_train)
+    discard(stats)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Words, materialize, text_chunks
+from .common import Words, discard, materialize, text_chunks
 from .learning import MAX_TRAIN, fold, sample
 
 # Characters that look like a Latin letter, and digits and signs that stand for one.
@@ -206,6 +206,8 @@ def learn(docs: DataFrame, labels: DataFrame, held_out_mod: int, held_out_is: in
 
     grid = train.mapInArrow(figures, "a double, b double, label double").groupBy("a", "b").agg(F.sum("label").alias("y"), F.count(F.lit(1)).alias("n")).orderBy("a", "b").toPandas()
     lexicon.coefficients = logistic(grid[["a", "b"]].to_numpy(), grid.y.to_numpy(), grid.n.to_numpy().astype(float))
+    for table in (train, varied, counted):
+        discard(table)
     return lexicon
 
 
@@ -251,8 +253,11 @@ def score(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
 def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, held_out_mod: int = 3, held_out_is: int = 1, max_train: int = MAX_TRAIN) -> DataFrame:
     """(doc_id, text) and (doc_id, label 0/1) -> doc_id, held_out, score, predicted, n_terms, a row a document.
 
-    Null and empty texts match nothing. Rows may repeat. Without toxic labels nothing is learned and all scores are low. Labels of held-out
-    rows (crc32 of the id modulo held_out_mod is held_out_is; a null id is none) aren't read.
+    Null, empty and blank texts match nothing. Texts are folded and searched whole, in time proportional to their length. Of patterns that begin at one word the heaviest counts, the
+    first found of equal ones. Rows may repeat; equal texts get equal scores. Without toxic labels nothing is learned and all scores are low. Labels of held-out
+    rows (crc32 of the id modulo held_out_mod is held_out_is; a null id is none) aren't read, nor are null labels. No rows give no rows; other columns don't matter.
+
+    All patterns and exception phrases that pass their tests are kept; they come from the labelled sample, so that max_train bounds them and what tasks hold.
     """
     scored = score(docs, learn(docs, labels.select("doc_id", "label"), held_out_mod, held_out_is, max_train))
     held = F.coalesce(fold("doc_id", held_out_mod) == held_out_is, F.lit(False))

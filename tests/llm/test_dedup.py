@@ -181,3 +181,94 @@ def test_null_ids_keep_all(spark):
     text = " ".join(WORDS[:80])
     docs = spark.createDataFrame([(None, text), (1, text), (2, text)], "doc_id long, text string")
     assert sorted((r.doc_id or 0, len(r.spans)) for r in substring_dedup.remove_repeats(docs).collect()) == [(0, 0), (1, 0), (2, 1)]
+
+
+def test_lines_of_long_and_repeated_rows(spark):
+    common = [f"common {k}" for k in range(300)]
+    long = "\n".join(x for k in range(3000) for x in (common[k % 300], f"own {k}"))
+    rows = [(i, "\n".join(common), f"s{i}") for i in range(12)] + [(50, long, "s1"), (51, long, "s1"), (51, long, "s1"), (51, common[3], "s9"), (None, common[4], "s2"), (None, None, None)]
+    docs = spark.createDataFrame([(*r, 1, 2) for r in rows], "doc_id long, text string, source string, gone int, doc int")
+    found = line_dedup.remove_boilerplate(docs)
+    shown = lambda i, t: (-1 if i is None else i, t or "")
+    assert sorted(shown(r.doc_id, r.text) for r in found.collect()) == sorted(shown(i, t) for i, t in _lines_by_hand(rows, 10))
+    assert found.where("n_removed <> 3000 AND doc_id = 50").count() == 0 and found.columns == [*docs.columns, "n_lines", "n_removed"]
+
+
+def test_rows_with_equal_id_are_told_apart(spark):
+    text = _sentence(random.Random(7), 40)
+    rows = [(1, "one text"), (1, "another text"), (1, "one text"), (2, "another text"), (3, text), (4, text + " more"), (5, None), (5, None), (6, ""), (None, "one text"), (None, None)]
+    docs = spark.createDataFrame([(i, t, k) for k, (i, t) in enumerate(rows)], "doc_id long, text string, place int").withColumnRenamed("place", "label")
+    kept = near_dedup.keep_first(docs)
+    assert kept.columns == docs.columns
+    assert sorted((r.doc_id or 0, r.text or "", r.label) for r in kept.collect()) == [(0, "", 10), (0, "one text", 9), (1, "another text", 1), (1, "one text", 0), (3, text, 4), (5, "", 6), (6, "", 8)]
+    classes = sorted((r.doc_id or 0, r.class_id or 0) for r in near_dedup.near_duplicates(docs).collect())
+    assert classes == [(0, 0), (0, 0), (1, 1), (1, 1), (1, 1), (2, 1), (3, 3), (4, 3), (5, 5), (5, 5), (6, 6)]
+
+
+def test_buckets_of_unlike_texts_lose_no_link(spark, monkeypatch):
+    # texts that share two thirds: they meet in bands, and blocks are small
+    monkeypatch.setattr(near_dedup, "BLOCK_BYTES", 4000)
+    rng = random.Random(12)
+    base = _sentence(rng, 90).split()
+    rows = []
+    for i in range(90):
+        own = base[:60] + _sentence(random.Random(100 + i // 2), 30 - 12 * (i % 3 == 0)).split()
+        rows.append((i, " ".join(own)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.class_id for r in near_dedup.near_duplicates(docs).collect()}
+    want = _classes_by_hand(rows)
+    assert sum(got[i] != want[i] for i in got) <= 1  # a pair of exactly the threshold may share no band
+
+
+def test_documents_against_brute_force(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    got = {r.doc_id: r.class_id for r in near_dedup.near_duplicates(docs).collect()}
+    sets = {i: {tuple(w[j : j + 5]) for j in range(max(1, len(w) - 4))} for i, t in rows if (w := (t or "").split())}
+    where = defaultdict(list)
+    for i in sorted(sets):
+        for x in sets[i]:
+            where[x].append(i)
+    shared = defaultdict(int)
+    for ids in where.values():
+        for k, a in enumerate(ids):
+            for b in ids[k + 1 :]:
+                shared[a, b] += 1
+    links = [(a, b) for (a, b), n in shared.items() if n >= 0.8 * (len(sets[a]) + len(sets[b]) - n)]
+    assert len(links) > 50 and all(got[a] == got[b] for a, b in links)
+    # and no class but by links
+    label = {i: i for i in got}
+
+    def root(i):
+        while label[i] != i:
+            i = label[i]
+        return i
+
+    for a, b in links:
+        p, q = root(a), root(b)
+        label[max(p, q)] = min(p, q)
+    assert got == {i: root(i) for i in got}
+    found = substring_dedup.digest(substring_dedup.remove_repeats(docs))
+    want = _removed_by_hand([(i, None if t is None else t) for i, t in rows])
+    assert {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in found.collect()} == want
+
+
+def test_slices_have_all_windows_once(spark, monkeypatch):
+    rng = random.Random(3)
+    for text in (_sentence(rng, 900), " " * 700 + "a " * 400, "x" * 5000 + " y z", "", " \t\n " * 300, ("long" * 300 + " ") * 70):
+        words = text.encode().split()
+        starts = []
+        for number, piece in substring_dedup.slices(text.encode(), 600, 49):
+            got = piece.split()
+            assert got == words[number : number + len(got)]
+            starts += range(number, number + max(len(got) - 49, 0))
+        assert starts == list(range(max(len(words) - 49, 0)))
+    # texts cut at different places still find what they share, and equal ids don't remove from each other
+    shared = _sentence(rng, 700)
+    rows = [(1, _sentence(rng, 333) + " " + shared), (2, shared + " " + _sentence(rng, 200)), (3, _sentence(rng, 10) + " " + shared), (3, shared), (3, _sentence(rng, 60))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    whole = {(r.doc_id, r.n_words): r.kept_text for r in substring_dedup.remove_repeats(docs).collect()}
+    monkeypatch.setattr(substring_dedup.segments, "__defaults__", (50, 900))
+    monkeypatch.setattr(substring_dedup, "text_chunks", lambda batch: ((batch.slice(k, 1), [(t or "").encode()]) for k, t in enumerate(batch.column("text").to_pylist())))
+    cut = {(r.doc_id, r.n_words): r.kept_text for r in substring_dedup.remove_repeats(docs).collect()}
+    assert cut == whole and [len(v.split()) for _, v in sorted(cut.items())] == [1033, 200, 60, 0, 10]

@@ -407,22 +407,3 @@ def test_personal_data_in_repeated_rows_and_clashing_columns(spark):
     assert found.columns == [*docs.columns, "entities"]
     texts = [r.text for r in found.collect()]
     assert len(texts) == 4 and len(set(texts) - {None}) == 1 and "mail a@b.com" not in texts
-
-
-def test_pipeline(spark):
-    import corpus_pipeline as p
-
-    d = "/root/testdata/sf0.001"
-    docs, kept = spark.read.parquet(f"{d}/documents.parquet"), []
-    for name, stage in p.STAGES[:-1]:
-        new = stage(spark, docs, d)
-        assert new.columns == docs.columns, name
-        kept.append(len(new.collect()))
-        docs = p.materialize(new)
-    assert kept[0] < 200 and kept[1] <= kept[0] and kept[2] <= kept[1] and kept[3] <= kept[2] and kept[3] > 100
-    assert docs.where("n_chars <> length(text)").count() == 0
-    items = [(r.item_id, r.text) for r in spark.read.parquet(f"{d}/benchmark.parquet").collect()]
-    assert not any(t[4] for t in _leaks_by_hand([(r.doc_id, r.text) for r in docs.collect()], items).values())
-    mixed = p.STAGES[-1][1](spark, docs, d)
-    copies = {r.doc_id: r.copies for r in mixing.mix(docs).collect()}
-    assert {r.doc_id: r["count"] for r in mixed.groupBy("doc_id").count().collect()} == {i: c for i, c in copies.items() if c}
