@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.tables import materialize
+
 #: Rows a block; a task holds the distances of two blocks.
 BLOCK_ROWS = 2048
 
@@ -28,39 +32,88 @@ def _matrix(table: pa.Table) -> np.ndarray:
     return np.concatenate([c.flatten().to_numpy(zero_copy_only=False) for c in table.column("v").chunks]).reshape(n, -1) if n else np.zeros((0, 0))
 
 
-def knn(points: DataFrame, k: int, ties: str = "high", skip_equal: bool = False, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """(id, v array<double>) -> i, rank (from 1), j, d2: the k nearest other rows by squared distance.
-
-    ties: "high" or "low" id first. skip_equal: rows at distance 0 are no neighbours. Each pair of blocks gives its best k a row, and the best of
-    those win, so that distances of all pairs are never rows of a table. Fewer than k rows give what there is.
-    """
-    left, right = block_pairs(points, block_rows)
-    sign = -1 if ties == "high" else 1
+def _best_of_blocks(k: int, sign: int, skip_equal: bool):
+    """A function of two blocks: the k nearest rows of the second for each row of the first; sign orders equal distances by id (1: the smaller first)."""
 
     def best(a: pa.Table, b: pa.Table) -> pa.Table:
         ids_a, ids_b = a.column("id").to_numpy(), b.column("id").to_numpy()
         va, vb = _matrix(a), _matrix(b)
-        rows: list[tuple] = []
+        found: list[tuple] = [(np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), np.zeros(0))]
         if len(ids_a) and len(ids_b):
             rough = (va**2).sum(1)[:, None] + (vb**2).sum(1)[None, :] - 2 * va @ vb.T
             rough[ids_a[:, None] == ids_b[None, :]] = np.inf
             slack = 1e-9 * (1 + np.abs(rough[np.isfinite(rough)]).max(initial=0))
             if skip_equal:
                 rough[rough <= slack] = np.inf
+            some = min(k + 8, rough.shape[1])  # a few more than k, as rough distances and ties may order the last ones differently
             reach = np.partition(rough, min(k, rough.shape[1]) - 1, axis=1)[:, min(k, rough.shape[1]) - 1] + slack
-            for r in range(len(ids_a)):
+            tied = ((rough <= reach[:, None]) & np.isfinite(rough)).sum(axis=1) > some
+            for low in range(0, len(ids_a), 256):
+                rows = np.arange(low, min(low + 256, len(ids_a)))
+                near = np.argpartition(rough[rows], some - 1, axis=1)[:, :some]
+                d2 = ((va[rows, None, :] - vb[near]) ** 2).sum(axis=2)
+                d2[~np.isfinite(np.take_along_axis(rough[rows], near, axis=1))] = np.inf
+                order = np.lexsort((sign * ids_b[near], d2), axis=1)[:, :k]
+                near, d2 = np.take_along_axis(near, order, axis=1), np.take_along_axis(d2, order, axis=1)
+                keep = np.isfinite(d2) & ~tied[rows][:, None]
+                found.append((np.broadcast_to(ids_a[rows][:, None], d2.shape)[keep], ids_b[near][keep], d2[keep]))
+            for r in np.flatnonzero(tied):  # many rows at the same distance: all of them are looked at
                 near = np.flatnonzero((rough[r] <= reach[r]) & np.isfinite(rough[r]))
                 d2 = ((va[r] - vb[near]) ** 2).sum(1)
                 order = np.lexsort((sign * ids_b[near], d2))[:k]
-                rows += [(ids_a[r], ids_b[near[o]], d2[o]) for o in order]
-        i, j, d = zip(*rows, strict=True) if rows else ((), (), ())
+                found.append((np.full(len(order), ids_a[r]), ids_b[near[order]], d2[order]))
+        i, j, d = (np.concatenate(x) for x in zip(*found, strict=True))
         return pa.table({"i": pa.array(i, pa.int64()), "j": pa.array(j, pa.int64()), "d2": pa.array(d, pa.float64())})
 
-    found = left.select("left", "right", "id", "v").groupBy("left", "right").cogroup(right.select("left", "right", "id", "v").groupBy("left", "right")).applyInArrow(best, "i long, j long, d2 double")
+    return best
+
+
+def knn(points: DataFrame, k: int, ties: str = "high", skip_equal: bool = False, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """(id, v array<double>) -> i, rank (from 1), j, d2: the k nearest other rows by squared distance.
+
+    ties: "high" or "low" id first. skip_equal: rows at distance 0 are no neighbours. Each pair of blocks gives its best k a row, and the best of
+    those win, so that distances of all pairs are never rows of a table. Fewer than k rows give what there is.
+    """
+    left, right = block_pairs(points, block_rows)
+    found = left.select("left", "right", "id", "v").groupBy("left", "right").cogroup(right.select("left", "right", "id", "v").groupBy("left", "right")).applyInArrow(_best_of_blocks(k, -1 if ties == "high" else 1, skip_equal), "i long, j long, d2 double")
     order = Window.partitionBy("i").orderBy("d2", F.desc("j") if ties == "high" else F.asc("j"))
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("i", F.col("rank").cast("long").alias("rank"), "j", "d2")
 
 
+def knn_cells(points: DataFrame, k: int, pivots: int = 64, probes: int = 8, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """(id, v) -> i, rank, j, d2 as knn(), but a row is compared with the rows of a few cells only, so that some neighbours may be missed.
+
+    pivots rows, those with the smallest hashes, are the cells' centres: a sample whose size is a parameter, sent to every task. All rows belong to the cell of the nearest
+    pivot; a row looks for neighbours in the probes cells whose pivots are nearest to it. A cell with many rows is as many blocks as it fills, and so are those who look
+    there. How much is found depends on how the vectors cluster: measure it against knn(). With probes = pivots nothing is missed.
+    """
+    chosen = points.orderBy(F.xxhash64("id"), "id").limit(pivots).select("v").toArrow()
+    centres = _matrix(chosen)
+    norms = (centres**2).sum(1)
+
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for low in range(0, batch.num_rows, block_rows):
+                part = batch.slice(low, block_rows)
+                v = _matrix(pa.Table.from_batches([part]))
+                order = np.argsort(norms[None, :] - 2 * v @ centres.T, axis=1, kind="stable")[:, :probes].astype(np.int32)
+                cells = pa.ListArray.from_arrays(pa.array(np.arange(len(v) + 1, dtype=np.int32) * order.shape[1]), pa.array(order.ravel()))
+                yield pa.RecordBatch.from_arrays([part.column("id"), part.column("v"), cells], names=["id", "v", "cells"])
+
+    placed = materialize(points.select("id", "v").mapInArrow(near, "id long, v array<double>, cells array<int>"))
+    sizes = placed.groupBy(F.col("cells")[0].alias("cell")).agg(F.ceil(F.count(F.lit(1)) / block_rows).cast("int").alias("blocks"))
+    blocks = F.broadcast(materialize(sizes))  # a row a pivot
+    own = F.pmod(F.xxhash64("id"), F.col("blocks").cast("long")).cast("int")
+    every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    left = placed.select("id", "v", F.explode("cells").alias("cell")).join(blocks, "cell").select("cell", own.alias("left"), every.alias("right"), "id", "v")
+    right = placed.select("id", "v", F.col("cells")[0].alias("cell")).join(blocks, "cell").select("cell", own.alias("right"), every.alias("left"), "id", "v")
+    by = ("cell", "left", "right")
+    fresh = right.select([F.col(c).alias(c) for c in (*by, "id", "v")])  # both sides come from the same table
+    found = left.groupBy(*by).cogroup(fresh.groupBy(*by)).applyInArrow(_best_of_blocks(k, -1, False), "i long, j long, d2 double")
+    order = Window.partitionBy("i").orderBy("d2", F.desc("j"))
+    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("i", F.col("rank").cast("long").alias("rank"), "j", "d2")
+
+
 def neighbour_count(n: int, perplexity: float) -> int:
     """How many neighbours a perplexity needs."""
     return min(n - 1, int(3 * perplexity) + 1)

@@ -27,6 +27,12 @@ def knn_topk(spark: SparkSession, d: str) -> DataFrame:
     return _knn(spark, d).withColumn("d2", tidy(F.col("d2")))
 
 
+@query()
+def knn_cells(spark: SparkSession, d: str) -> DataFrame:
+    """Neighbours within the nearest cells. The given vectors hardly cluster, so that three cells of four are looked at for nine neighbours of ten."""
+    return neighbours.knn_cells(points_hd(spark, d), K, 64, 48).withColumn("d2", tidy(F.col("d2")))
+
+
 @query(with_(KNN, "SELECT i, list(j ORDER BY rank) AS js FROM knn GROUP BY i"))
 def knn_sorted(spark: SparkSession, d: str) -> DataFrame:
     """Neighbours as a list a row, sorted by distance."""

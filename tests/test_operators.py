@@ -246,6 +246,24 @@ def test_barnes_hut_with_points_at_one_place(spark):
         assert got.keys() == exact.keys() and all(np.allclose(got[i], exact[i]) for i in exact)
 
 
+def test_neighbours_in_cells(spark):
+    rng = np.random.default_rng(5)
+    v = np.repeat(rng.normal(size=(20, 8)) * 9, 30, axis=0) + rng.normal(size=(600, 8))
+    points = spark.createDataFrame([(i, [float(x) for x in r]) for i, r in enumerate(v)], "id long, v array<double>")
+    pairs = lambda df: {(r.i, r.j) for r in df.collect()}
+    truth = pairs(neighbours.knn(points, 10))
+    assert len(truth & pairs(neighbours.knn_cells(points, 10, 40, 6, block_rows=16))) >= 0.9 * len(truth)
+    assert pairs(neighbours.knn_cells(points, 10, 12, 12, block_rows=50)) == truth  # all cells
+
+
+def test_cells_find_nine_of_ten_given_neighbours(spark):
+    from orrery.plans import catalog
+
+    pairs = lambda name: {(r.i, r.j) for r in catalog.QUERIES[name](spark, "/root/testdata/sf0.001").collect()}
+    truth = pairs("knn_topk")
+    assert len(truth & pairs("knn_cells")) >= 0.9 * len(truth)
+
+
 def test_orbit_camera():
     c = rays.OrbitCamera((1.0, 2.0, 3.0), 10.0)
     assert np.allclose(c.eye(), (1, 2, -7))
