@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.tables import numbered
@@ -19,26 +21,47 @@ def histogram(voxels: DataFrame) -> DataFrame:
     return every.join(counted, "bin", "left").select("bin", F.coalesce("n", F.lit(0)).cast("long").alias("n"))
 
 
-def gradients(voxels: DataFrame, clamped: bool = False) -> DataFrame:
-    """x, y, z, gx, gy, gz, mag: central differences along each axis.
+#: Voxels along the side of a brick of which gradients are taken at once.
+SIDE = 32
 
-    Halved and 0 on the border; or, clamped, neither halved nor 0 there: the border value stands in for the missing one.
+
+def gradients(voxels: DataFrame, clamped: bool = False, side: int = SIDE) -> DataFrame:
+    """x, y, z, gx, gy, gz, mag: central differences along each axis, of a dense volume.
+
+    Halved and 0 on the border; or, clamped, neither halved nor 0 there: the border value stands in for the missing one. Voxels go to bricks, those at a brick's
+    face to the brick beyond it too, so that one shuffle serves all three axes.
     """
-    found = voxels
+    at = {a: F.floor(F.col(a) / side).cast("int") for a in AXES}
+    own = F.struct(*(at[a].alias(f"b{a}") for a in AXES))
+    beyond = []
     for a in AXES:
-        others = [o for o in AXES if o != a]
-        w = Window.partitionBy(*others).orderBy(a)
-        after, before = F.lead("val").over(w), F.lag("val").over(w)
-        step = F.coalesce(after, F.col("val")) - F.coalesce(before, F.col("val")) if clamped else (after - before) / 2
-        found = found.withColumn(f"g{a}", step)
-    if not clamped:
-        inner = F.col("gx").isNotNull() & F.col("gy").isNotNull() & F.col("gz").isNotNull()
-        found = found.withColumns({f"g{a}": F.when(inner, F.col(f"g{a}")).otherwise(0.0) for a in AXES})
-    return found.select("x", "y", "z", "gx", "gy", "gz", F.sqrt(sum((F.col(f"g{a}") * F.col(f"g{a}") for a in ("y", "z")), F.col("gx") * F.col("gx"))).alias("mag"))
-
-
-def _key(df: DataFrame, key: list[str]) -> list[str]:
-    return [c for c in df.columns if c in key]
+        for edge, step in ((0, -1), (side - 1, 1)):
+            there = F.struct(*((at[o] + (step if o == a else 0)).alias(f"b{o}") for o in AXES))
+            beyond.append(F.when(F.pmod(F.col(a), F.lit(side)) == edge, there))
+    rows = voxels.select(*(F.col(a).cast("int").alias(a) for a in AXES), F.col("val").cast("double").alias("val"), F.explode(F.array_compact(F.array(own, *beyond))).alias("b"))
+
+    def differences(t: pa.Table) -> pa.Table:
+        place = np.stack([t.column(a).to_numpy() for a in AXES]).astype(np.int64)
+        low = np.array([[t.column(f"b{a}")[0].as_py()] for a in AXES]) * side
+        local, val = place - low + 1, t.column("val").to_numpy()
+        grid = np.full((side + 2,) * 3, np.nan)
+        grid[tuple(local)] = val
+        mine = ((local > 0) & (local <= side)).all(axis=0)
+        local, val, place = local[:, mine], val[mine], place[:, mine]
+        found = []
+        for k in range(3):
+            step = np.zeros((3, 1), dtype=np.int64)
+            step[k] = 1
+            after, before = grid[tuple(local + step)], grid[tuple(local - step)]
+            found.append(np.where(np.isnan(after), val, after) - np.where(np.isnan(before), val, before) if clamped else (after - before) / 2)
+        if not clamped:
+            inner = ~np.isnan(found).any(axis=0)
+            found = [np.where(inner, f, 0.0) for f in found]
+        columns = [pa.array(p, pa.int32()) for p in place] + [pa.array(f) for f in found]
+        return pa.table(columns, names=[*AXES, *(f"g{a}" for a in AXES)])
+
+    flat = rows.select("b.*", *AXES, "val").groupBy(*(f"b{a}" for a in AXES)).applyInArrow(differences, "x int, y int, z int, gx double, gy double, gz double")
+    return flat.select("*", F.sqrt(sum((F.col(f"g{a}") * F.col(f"g{a}") for a in ("y", "z")), F.col("gx") * F.col("gx"))).alias("mag"))
 
 
 def nearest(points: DataFrame, voxels: DataFrame, dims: tuple[int, int, int], key: list[str], values: list[str] = ["val"]) -> DataFrame:  # noqa: B006

@@ -187,6 +187,22 @@ def test_octree_covers_the_volume(spark):
     assert faces[0].path == "" and faces[0].front == 0 and faces[-1].path == "" and faces[-1].front == 1 and len(faces) % 2 == 0
 
 
+def test_gradients_cross_bricks(spark):
+    rng = np.random.default_rng(6)
+    a = rng.random((9, 7, 5))
+    v = _volume(spark, lambda x, y, z: float(a[x, y, z]), a.shape)
+    for clamped in (False, True):
+        pad = np.pad(a, 1, mode="edge")
+        g = [(np.roll(pad, -1, k) - np.roll(pad, 1, k))[1:-1, 1:-1, 1:-1] for k in range(3)]
+        if not clamped:
+            inner = np.zeros(a.shape, dtype=bool)
+            inner[1:-1, 1:-1, 1:-1] = True
+            g = [np.where(inner, x / 2, 0) for x in g]
+        for side in (3, 32):
+            rows = volumes.gradients(v, clamped, side).collect()
+            assert len(rows) == a.size and all(np.allclose((r.gx, r.gy, r.gz), [x[r.x, r.y, r.z] for x in g]) for r in rows)
+
+
 def test_leaves_by_arithmetic_hold_their_voxels(spark):
     for dims, least in (((20, 9, 9), 4), ((13, 30, 7), 2), ((3, 3, 3), 4), ((1, 1, 1), 1)):
         boxes = {r.path: r for r in volumes.octree(spark, dims, least).collect()}
