@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numbers import cauchy
-from ..functions.tables import materialize
+from ..functions.tables import materialize, numbered
 from .neighbours import BLOCK_ROWS, block_pairs
 
 LEARNING_RATE, EXAGGERATION, EXAGGERATED_STEPS = 100.0, 3.0, 2500
@@ -109,16 +110,42 @@ def run(start: DataFrame, p: DataFrame, steps: int, negative=negative_exact, thr
     return state, smooth
 
 
-def ema(series: DataFrame, order: str, value: str, keep: float = 0.9) -> DataFrame:
-    """Exponential mean of an ordered series, seeded by its first value: order, value, ema.
+#: Terms of a series that one task folds.
+EMA_TERMS = 1 << 16
 
-    A term weighs (1 - keep) keep^age, so the mean is a running sum of value / keep^rank times keep^rank, in one window; meant for series of some hundreds of terms.
+
+def ema(series: DataFrame, order: str, value: str, keep: float = 0.9, terms: int = EMA_TERMS) -> DataFrame:
+    """Exponential mean of a series in an order, seeded by its first value: order, value, ema. Terms with equal order are in no order; null values are an error.
+
+    Stretches of the series are folded by themselves, as if nothing came before; their last values, a row a stretch, are folded in turn, and what is left of them is added to
+    each term of the next stretch.
     """
-    w = Window.orderBy(order)
-    run_ = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ranked = series.select(order, value, (F.row_number().over(w) - 1).alias("r"))
-    term = F.when(F.col("r") == 0, F.col(value)).otherwise((1 - keep) * F.col(value) / F.pow(F.lit(keep), F.col("r")))
-    return ranked.select(order, value, (F.sum(term).over(run_) * F.pow(F.lit(keep), F.col("r"))).alias("ema"))
+    placed = series.select(order, value).repartitionByRange(order)  # as many ranges as there are partitions, in order
+    ranked = numbered(materialize(placed.withColumn("shard", F.spark_partition_id())), "shard", [order], "r").drop("shard").withColumn("part", F.floor(F.col("r") / terms).cast("long"))
+
+    def fold(values: np.ndarray, weights: np.ndarray, decay: np.ndarray) -> np.ndarray:
+        out, last = np.zeros(len(values)), 0.0
+        for k, (v, w, d) in enumerate(zip(values.tolist(), weights.tolist(), decay.tolist(), strict=True)):
+            out[k] = last = d * last + w * v
+        return out
+
+    def stretch(t: pa.Table) -> pa.Table:
+        t = t.sort_by("r")
+        r, v = t.column("r").to_numpy(), t.column(value).to_numpy().astype(float)
+        e = fold(v, np.where(r == 0, 1.0, 1 - keep), np.full(len(v), keep))
+        return pa.table({"part": t.column("part"), "r": t.column("r"), "e": e})
+
+    def carry(t: pa.Table) -> pa.Table:
+        t = t.sort_by("part")
+        e = fold(t.column("e").to_numpy(), np.ones(t.num_rows), keep ** t.column("n").to_numpy().astype(float))
+        return pa.table({"next": pa.array(t.column("part").to_numpy() + 1, pa.int64()), "before": e})
+
+    own = ranked.select("part", "r", value).groupBy("part").applyInArrow(stretch, "part long, r long, e double")
+    ends = own.groupBy("part").agg(F.max_by("e", "r").alias("e"), F.count(F.lit(1)).alias("n"))
+    before = ends.groupBy(F.lit(0).alias("all")).applyInArrow(carry, "next long, before double")
+    found = ranked.join(own.select("r", "e"), "r").join(before, F.col("part") == F.col("next"), "left")
+    age = (F.col("r") - F.col("part") * terms + 1).cast("double")
+    return found.select(order, value, (F.col("e") + F.coalesce(F.col("before") * F.pow(F.lit(keep), age), F.lit(0.0))).alias("ema"))
 
 
 def compare(a: DataFrame, b: DataFrame) -> DataFrame:

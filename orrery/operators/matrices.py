@@ -10,6 +10,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+#: Components of a vector, at most, where a matrix of their square is held.
+MOST_COMPONENTS = 8192
+
+
 def to_cells(points: DataFrame) -> DataFrame:
     """(id, v) -> (i, j, val)."""
     return points.select(F.col("id").alias("i"), F.posexplode("v").alias("j", "val")).select("i", F.col("j").cast("long").alias("j"), "val")
@@ -48,6 +52,8 @@ def covariance(points: DataFrame) -> DataFrame:
     means = to_cells(points).groupBy("j").agg(F.avg("val").alias("m"), F.count(F.lit(1)).alias("n")).orderBy("j").collect()
     mean, n = np.array([r.m for r in means]), means[0].n if means else 0
     d = len(mean)
+    if d > MOST_COMPONENTS:
+        raise ValueError(f"vectors of {d} components; each task and the driver hold the square of that, so {MOST_COMPONENTS} are the most")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((d, d))

@@ -187,6 +187,17 @@ def test_octree_covers_the_volume(spark):
     assert faces[0].path == "" and faces[0].front == 0 and faces[-1].path == "" and faces[-1].front == 1 and len(faces) % 2 == 0
 
 
+def test_long_exponential_means(spark):
+    v = np.random.default_rng(3).random(9000) + 1
+    df = spark.createDataFrame([(i, float(x)) for i, x in enumerate(v)], "n long, v double").repartition(5)
+    want = [v[0]]
+    for x in v[1:]:
+        want.append(0.9 * want[-1] + 0.1 * x)
+    for terms in (1 << 16, 1000):
+        got = [r.ema for r in embedding.ema(df, "n", "v", terms=terms).orderBy("n").collect()]
+        assert np.allclose(got, want, atol=1e-12)
+
+
 def test_gradients_cross_bricks(spark):
     rng = np.random.default_rng(6)
     a = rng.random((9, 7, 5))
