@@ -49,7 +49,7 @@ def numbered(df: DataFrame, shard: str, order: list[str], name: str, start: int
     Rows are numbered within their shards, and only the shards' sizes stand in order in one task; shard is a column whose values follow the order.
     """
     sizes = df.groupBy(shard).agg(F.count(F.lit(1)).alias("rows__"))
-    before = sizes.select(F.col(shard).alias("shard__"), (F.sum("rows__").over(Window.orderBy(shard)) - F.col("rows__")).alias("before__"))
+    before = sizes.select(F.col(shard).alias("of__"), (F.sum("rows__").over(Window.orderBy(shard)) - F.col("rows__")).alias("before__"))
     within = df.withColumn("place__", F.row_number().over(Window.partitionBy(shard).orderBy(*order)))
-    found = within.join(before, F.col(shard).eqNullSafe(F.col("shard__")))
+    found = within.join(before, F.col(shard).eqNullSafe(F.col("of__")))
     return found.select(*df.columns, (F.col("before__") + F.col("place__") + (start - 1)).cast("long").alias(name))

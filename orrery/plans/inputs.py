@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .shared import numbered
@@ -37,11 +37,15 @@ def dense(spark: SparkSession, nx: int, ny: int, nz: int) -> DataFrame:
 
 def signal(spark: SparkSession, d: str) -> tuple[DataFrame, int]:
     """All event values in the order of ids, then zeros up to a power of two, as (n, value); and their number."""
-    events = spark.read.parquet(f"{d}/events.parquet").select("event_id", F.coalesce("value", F.lit(0.0)).alias("value"), F.coalesce(F.floor(F.col("event_id") / 65536), F.lit(1 << 62)).alias("shard"))
-    count = events.count()
+    return padded_signal(spark.read.parquet(f"{d}/events.parquet"), F.coalesce(F.floor(F.col("event_id") / 65536), F.lit(1 << 62)), ["event_id"], F.coalesce("value", F.lit(0.0)))
+
+
+def padded_signal(rows: DataFrame, shard: Column, order: list[str], value: Column) -> tuple[DataFrame, int]:
+    """Values of rows in an order, then zeros up to a power of two, as (n, value); and their number. shard is rows' coarse place in that order."""
+    count = rows.count()
     size = 1 << max(count - 1, 0).bit_length()
-    rows = numbered(events, "shard", ["event_id"], "n").select("n", "value")
-    return rows.unionByName(spark.range(count, size).select(F.col("id").alias("n"), F.lit(0.0).alias("value"))), size
+    found = numbered(rows.select(*order, value.alias("value__"), shard.alias("shard__")), "shard__", order, "n").select("n", F.col("value__").alias("value"))
+    return found.unionByName(rows.sparkSession.range(count, size).select(F.col("id").alias("n"), F.lit(0.0).alias("value"))), size
 
 
 def hourly(spark: SparkSession, d: str) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.numbers import bit_reverse, tidy
 from ..operators import spectral
-from .inputs import HOURLY, SIGNAL, hourly, signal
+from .inputs import HOURLY, SIGNAL, hourly, padded_signal, signal
 from .registry import query
 
 _OUT = lambda k, d: f"SELECT {k} AS k, round(re, {d}) + 0 AS re, round(im, {d}) + 0 AS im"
@@ -81,6 +81,17 @@ def bit_reversal(spark: SparkSession, d: str) -> DataFrame:
     return s.select("n", bit_reverse(F.col("n"), n.bit_length() - 1).alias("reversed"))
 
 
+_PRICES = """num AS (SELECT row_number() OVER (ORDER BY l_orderkey, l_linenumber, l_extendedprice) - 1 AS n, l_extendedprice::DOUBLE AS value FROM lineitem), size AS (SELECT pow(2, ceil(log2(count(*))))::BIGINT AS n FROM lineitem)"""
+
+
+@query(f"WITH {_PRICES} SELECT k, round(coalesce(value, 0) * size.n, 0) + 0 AS value FROM size, (SELECT unnest(range((SELECT n FROM size))) AS k) LEFT JOIN num ON num.n = k")
+def ifft_lineitem(spark: SparkSession, d: str) -> DataFrame:
+    """Prices of all line items there and back again: the longest signal of the tables."""
+    s, n = padded_signal(spark.read.parquet(f"{d}/lineitem.parquet"), F.floor(F.col("l_orderkey") / 16384), ["l_orderkey", "l_linenumber", "l_extendedprice"], F.col("l_extendedprice").cast("double"))
+    there = spectral.fft(spectral.complex_signal(s), n)
+    return spectral.fft(there.withColumnRenamed("k", "n"), n, inverse=True).select("k", tidy(F.col("re"), 0).alias("value"))
+
+
 GRID = "gr AS (SELECT b.y::INT AS y, a.x::INT AS x, coalesce(v, 0) AS v FROM range(32) a(x) CROSS JOIN range(32) b(y) LEFT JOIN (SELECT (user_id % 32)::INT AS x, (event_id % 32)::INT AS y, round(sum(value), 6) AS v FROM events GROUP BY ALL) s ON s.x = a.x AND s.y = b.y)"
 
 
