@@ -119,7 +119,7 @@ def _spread(df: DataFrame) -> DataFrame:
 
 
 def _folded(labelled: DataFrame) -> DataFrame:
-    """(doc_id, text, label) -> doc_id, label, words (folded, distinct), folded, sketch_a, sketch_b."""
+    """(doc_id, text, label) -> doc_id, label, folded, sketch_a, sketch_b."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -132,11 +132,11 @@ def _folded(labelled: DataFrame) -> DataFrame:
                     g = grams * np.uint64(salt | 1)
                     low.append([int(g[a : b - 2].min() >> np.uint64(1)) if b - a >= 3 else hash_of(f) for a, b, f in zip(words.first[:-1], words.first[1:], folded, strict=True)])
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), part.column("label").cast(pa.int32()), pa.array([sorted(set(f.split())) for f in folded], pa.list_(pa.string())), pa.array(folded), pa.array(low[0], pa.int64()), pa.array(low[1], pa.int64())],
-                    names=["doc_id", "label", "words", "folded", "sketch_a", "sketch_b"],
+                    [part.column("doc_id"), part.column("label").cast(pa.int32()), pa.array(folded), pa.array(low[0], pa.int64()), pa.array(low[1], pa.int64())],
+                    names=["doc_id", "label", "folded", "sketch_a", "sketch_b"],
                 )
 
-    return labelled.select("doc_id", "text", "label").mapInArrow(run, "doc_id long, label int, words array<string>, folded string, sketch_a long, sketch_b long")
+    return labelled.select("doc_id", "text", "label").mapInArrow(run, "doc_id long, label int, folded string, sketch_a long, sketch_b long")
 
 
 def hash_of(text: str) -> int:
@@ -153,28 +153,46 @@ def learn(docs: DataFrame, labels: DataFrame, held_out_mod: int, held_out_is: in
     known = labels.where(F.col("label").isNotNull() & F.col("doc_id").isNotNull() & (fold("doc_id", held_out_mod) != held_out_is)).select("doc_id", "label")
     chosen = sample(known, max_train, known.count(), 4)
     train = materialize(_folded(docs.select("doc_id", "text").join(chosen, "doc_id")))
-    varied = materialize(_spread(train).select("label", "words"))
+    varied = materialize(_spread(train).select("label", "folded"))
     sizes = {r.label: r.n for r in varied.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
     n_toxic, n_clean = sizes.get(1, 0), sizes.get(0, 0)
     if not n_toxic:
         return Lexicon({}, [], (-4.0, 0.0, 0.0))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Of each pattern: clean documents that have it and its occurrences there; or the size of one toxic document that has it. And all clean words, under no pattern."""
         for batch in batches:
-            each = (Counter(), Counter())
-            for label, words in zip(batch.column("label").to_pylist(), batch.column("words").to_pylist(), strict=True):
-                each[label == 1].update({p for w in words for p in patterns_of(w)})
-            names = list(each[0].keys() | each[1].keys())
-            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array([each[1][p] for p in names], pa.int64()), pa.array([each[0][p] for p in names], pa.int64())], names=["pattern", "toxic", "clean"])
-
-    counted = materialize(varied.mapInArrow(count, "pattern string, toxic long, clean long").groupBy("pattern").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")))
+            documents, occurrences, n_words = Counter(), Counter(), 0
+            names, sizes = [], []
+            for label, folded in zip(batch.column("label").to_pylist(), batch.column("folded").to_pylist(), strict=True):
+                words = folded.split()
+                found = Counter(p for w, n in Counter(words).items() for p in patterns_of(w) for _ in range(n))
+                if label == 1:
+                    names += found
+                    sizes += [len(words)] * len(found)
+                else:
+                    documents.update(found.keys())
+                    occurrences.update(found)
+                    n_words += len(words)
+            clean = list(documents)
+            columns = [names + clean + [None], sizes + [None] * (len(clean) + 1), [None] * len(names) + [documents[p] for p in clean] + [0], [None] * len(names) + [occurrences[p] for p in clean] + [n_words]]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int64(), pa.int64(), pa.int64()), strict=True)], names=["pattern", "size", "documents", "occurrences"])
+
+    counts = materialize(varied.mapInArrow(count, "pattern string, size long, documents long, occurrences long"))
+    clean_words = counts.where("pattern IS NULL").agg(F.sum("occurrences")).first()[0] or 0
+    counted = materialize(counts.where("pattern IS NOT NULL").groupBy("pattern").agg(F.coalesce(F.sum("documents"), F.lit(0)).alias("clean"), F.coalesce(F.sum("occurrences"), F.lit(0)).alias("occurrences"), F.count("size").alias("toxic")))
     n_patterns = max(counted.count(), 1)
-    n, k = F.lit(float(n_toxic)), F.col("toxic")
-    by_luck = (F.col("clean") + 1.0) / (n_clean + 2.0)
-    log_choose = _log_choose(n_toxic, k)
-    luck = F.log(F.lit(float(n_patterns))) + log_choose + k * F.log(by_luck)
+    # the chance that a toxic document of some size has the pattern if its words were clean ones; and that so many of them have it
+    rate = (F.col("occurrences") + 1.0) / (clean_words + 1.0)
+    each = counts.where("size IS NOT NULL").select("pattern", "size").join(counted, "pattern").groupBy("pattern").agg(F.sum(F.log(-F.expm1(-rate * F.col("size")))).alias("by_luck"), F.first("clean").alias("clean"), F.first("toxic").alias("k"))
+    n, k = F.lit(float(n_toxic)), F.col("k")
+    # or the chance that any document has it, whatever its size: better for patterns that come in bursts. There are two tests, so each gets half the chance
+    share = (F.col("clean") + 1.0) / (n_clean + 2.0)
+    best = F.least(F.col("by_luck"), F.when(k > share * n, k * F.log(share)).otherwise(F.lit(0.0)))
+    luck = F.log(F.lit(2.0 * n_patterns)) + _log_choose(n_toxic, k) + best
     weight = F.log((k + 0.5) / (n + 1)) - F.log((F.col("clean") + 0.5) / (n_clean + 1.0))
-    rows = counted.where((k > by_luck * n) & (luck < math.log(CHANCE))).select("pattern", weight.alias("weight")).collect()
+    rows = each.where((luck < math.log(CHANCE)) & (weight > 0)).select("pattern", weight.alias("weight")).collect()
+    discard(counts)
     weights: dict[str, float] = {}
     for r in sorted(rows, key=lambda r: (len(r.pattern), r.pattern)):  # a beginning stands for longer ones that are hardly purer
         if r.weight > 0.5 + max((weights.get(r.pattern[:i], -1.0) for i in range(2, len(r.pattern))), default=-1.0):
