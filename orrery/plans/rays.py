@@ -165,6 +165,26 @@ def framebuffer(spark: SparkSession, d: str) -> DataFrame:
     return image.select((F.col("px") + CAMERA.width * F.col("py")).cast("long").alias("idx"), F.coalesce("v", F.lit(0.0)).alias("v"))
 
 
+_FULL = f"""{_FOLD}, lg AS (SELECT *, lag(val) OVER w AS v0, lag(t) OVER w AS t0 FROM sv WINDOW w AS (PARTITION BY px, py ORDER BY i)),
+mi AS (SELECT px, py, max(val) / any_value(most) AS v FROM sv, mx GROUP BY px, py), fi AS (SELECT px, py, 1.0::DOUBLE AS v FROM lg WHERE v0 < {ISO} AND val >= {ISO} GROUP BY px, py),
+co2 AS (SELECT px, py, sum(tr.t * a * r) AS r, sum(tr.t * a * g) AS g, sum(tr.t * a * b) AS b, sum(tr.t * a) AS a FROM tr WHERE tr.t > 0.01 GROUP BY px, py),
+modes AS (SELECT 'maximum' AS mode, px, py, v AS r, v AS g, v AS b, 1.0::DOUBLE AS a FROM mi UNION ALL SELECT 'surface', px, py, v * 0.8, v * 0.8, v * 0.2, v FROM fi UNION ALL SELECT 'composite', px, py, r, g, b, a FROM co2)"""
+
+
+@query(f"WITH {_FULL} SELECT m.mode, (a.i + 24 * b.i)::BIGINT AS idx, {', '.join(f'round(coalesce({c}, 0), 6) AS {c}' for c in 'rgba')} FROM (VALUES ('maximum'), ('surface'), ('composite')) m(mode) CROSS JOIN range(24) a(i) CROSS JOIN range(24) b(i) LEFT JOIN modes ON modes.mode = m.mode AND px = a.i AND py = b.i")
+def render_full(spark: SparkSession, d: str) -> DataFrame:
+    """Whole pictures in the three modes, from one set of samples: mode, place in the frame, colour; black where a ray meets nothing."""
+    s = materialize(_with_most(_samples(spark, d), spark, d))
+    colour = lambda df, mode, r, g, b, a: df.select(F.lit(mode).alias("mode"), "px", "py", *(c.alias(n) for n, c in zip("rgba", (r, g, b, a), strict=True)))
+    v, one = F.col("v"), F.lit(1.0)
+    modes = colour(ops.mip(s, F.first("most")), "maximum", v, v, v, one)
+    modes = modes.unionByName(colour(ops.first_crossing(s, ISO), "surface", F.lit(0.8), F.lit(0.8), F.lit(0.2), one))
+    modes = modes.unionByName(colour(ops.composite(s, _table(spark), F.col("most")), "composite", *(F.col(c) for c in "rgba")))
+    frame = _rays(spark).select("px", "py", F.explode(F.array(*map(F.lit, ("maximum", "surface", "composite")))).alias("mode"))
+    found = frame.join(modes, ["mode", "px", "py"], "left")
+    return found.select("mode", (F.col("px") + CAMERA.width * F.col("py")).cast("long").alias("idx"), *(F.round(F.coalesce(c, F.lit(0.0)), 6).alias(c) for c in "rgba"))
+
+
 # ---- shading -------------------------------------------------------------------------------------------------------
 
 _COLOUR = [0.8, 0.8, 0.2]
