@@ -169,7 +169,7 @@ def surrogates(entities: DataFrame, key: str = KEY, draws: int = MAX_DRAWS) -> D
         winners = materialize(drawn.groupBy("kind", "core").agg(F.min("norm").alias("norm")).join(taken, ["kind", "core"], "left_anti").select("kind", "norm", "core"))
         settled = winners if settled is None else settled.unionByName(winners)
         taken = taken.unionByName(winners.select("kind", "core"))
-        rounds.append(drawn)
+        rounds += [drawn, winners]
         open_ = drawn.select("kind", "norm", (F.col("draw") + 1).alias("draw")).join(winners, ["kind", "norm"], "left_anti")
         if open_.isEmpty():
             found = materialize(settled)
