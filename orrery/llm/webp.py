@@ -96,38 +96,50 @@ def read_lengths(r: Reader, size: int) -> list[int]:
         if two:
             lengths[r.bits(8)] = 1
         return lengths
-    outer = [0] * 19
-    for k in range(4 + r.bits(4)):
-        outer[CODE_LENGTH_ORDER[k]] = r.bits(3)
-    code = code_of(tuple(outer))
+    n = 4 + r.bits(4)
+    code = _outer_code(n, r.bits(3 * n))
     left = 2 + r.bits(2 + 2 * r.bits(3)) if r.bits(1) else size
     symbols, widths, mask = ([code.lone], [0], 0) if code.lone is not None else (code.symbols, code.lengths, (1 << code.width) - 1)
-    data, pos, end = r.data, r.pos, 8 * len(r.data)
+    data, ahead = r.data, (r.pos >> 3) + 8
+    word, have = int.from_bytes(data[ahead - 8 : ahead], "little") >> (r.pos & 7), 64 - (r.pos & 7)
     at, last = 0, 8
     while at < size and left:
         left -= 1
-        word = int.from_bytes(data[pos >> 3 : (pos >> 3) + 4], "little") >> (pos & 7)
-        s, n = symbols[word & mask], widths[word & mask]
+        if have < 16:
+            word |= int.from_bytes(data[ahead : ahead + 8], "little") << have
+            ahead, have = ahead + 8, have + 64
+        k = word & mask
+        s, n = symbols[k], widths[k]
         if s < 16:
-            pos += n
             lengths[at] = s
             at += 1
             last = s or last
         else:
             extra = 2 if s == 16 else 3 if s == 17 else 7
             run = (word >> n & ((1 << extra) - 1)) + (11 if s == 18 else 3)
-            pos += n + extra
+            n += extra
             if at + run > size:
                 raise ValueError("code lengths run over")
             if s == 16:
                 lengths[at : at + run] = [last] * run
             at += run
-        if pos > end:
-            raise ValueError("the stream ends early")
-    r.pos = pos
+        word >>= n
+        have -= n
+    r.pos = 8 * ahead - have
+    if r.pos > 8 * len(data):
+        raise ValueError("the stream ends early")
     return lengths
 
 
+@lru_cache(256)
+def _outer_code(n: int, bits: int) -> Code:
+    """The code of code lengths, from n lengths of three bits each."""
+    outer = [0] * 19
+    for k in range(n):
+        outer[CODE_LENGTH_ORDER[k]] = bits >> 3 * k & 7
+    return code_of(tuple(outer))
+
+
 class Writer:
     """Collects bits of numbers, the least significant first."""
 
@@ -365,9 +377,9 @@ def abreast(images: list[Pixels]) -> list[np.ndarray | Exception]:
     end = data_at * 8 + np.array([8 * len(p.reader.data) for p in images])
 
     def start() -> tuple:
-        """What the live images look symbols up with."""
+        """What the live images look symbols up with, and where their cached colours stand."""
         code = 5 * first_group[live]
-        return code, *((place[code + c], mask[code + c]) for c in range(4))
+        return code, cache_at[live], 32 - cache_bits[live], *((place[code + c], mask[code + c]) for c in range(4))
 
     def copy(k: int, pos_k: int, at_k: int, s: int, code: int) -> tuple[int, int]:
         """A back-reference of image k: the places in its stream and its pixels after it."""
@@ -399,7 +411,7 @@ def abreast(images: list[Pixels]) -> list[np.ndarray | Exception]:
 
     at = np.zeros(len(live), dtype=np.int64)
     pos = pos[live]
-    code, *channels = start()
+    code, slots, shift, *channels = start()
     while len(live):
         if some_tiled:
             code = 5 * (first_group[live] + tiles[tile_at[live] + ((at // width[live]) >> tile_bits[live]) * across[live] + ((at % width[live]) >> tile_bits[live])])
@@ -409,39 +421,40 @@ def abreast(images: list[Pixels]) -> list[np.ndarray | Exception]:
         pos += e >> 16
         plain = s < 256
         every = bool(plain.all())
-        which = slice(None) if every else np.flatnonzero(plain)
-        p, pixel = pos[which], s[which] << 8
-        for c, shift in ((1, 16), (2, 0), (3, 24)):
-            e = table[channels[c][0][which] + (four[p >> 3] >> (p & 7) & channels[c][1][which])]
-            pixel |= (e & 0xFFFF) << shift
-            p = p + (e >> 16)
-        pos[which] = p
-        lanes = live[which]
-        out[out_at[lanes] + at[which]] = pixel
+        pixel = s << 8
+        for c, by in ((1, 16), (2, 0), (3, 24)):
+            e = table[channels[c][0] + (four[pos >> 3] >> (pos & 7) & channels[c][1])]
+            if not every:
+                e *= plain  # other symbols have no further channels
+            pixel |= (e & 0xFFFF) << by
+            pos += e >> 16
+        here, which = out_at[live] + at, slice(None)
+        copies = ()
         if not every:
             hit = np.flatnonzero(s >= 280)
-            if len(hit):
-                lanes_hit = live[hit]
-                found = cache[cache_at[lanes_hit] + s[hit] - 280]
-                out[out_at[lanes_hit] + at[hit]] = found
-                lanes, pixel = np.concatenate((lanes, lanes_hit)), np.concatenate((pixel, found))
+            pixel[hit] = cache[slots[hit] + s[hit] - 280]
+            copying = ~plain & (s < 280)
+            copies = np.flatnonzero(copying)
+            if len(copies):
+                which = np.flatnonzero(~copying)
+        out[here[which]] = pixel[which]
         if some_cached:
-            cache[cache_at[lanes] + ((CACHE_MULTIPLIER * pixel & 0xFFFFFFFF) >> (32 - cache_bits[lanes]))] = pixel
+            cached = pixel[which]
+            cache[slots[which] + ((CACHE_MULTIPLIER * cached & 0xFFFFFFFF) >> shift[which])] = cached
         at += 1
-        if not every:
-            for j in np.flatnonzero(~plain & (s < 280)):
-                try:
-                    pos[j], at[j] = copy(int(live[j]), int(pos[j]), int(at[j]) - 1, int(s[j]), int(code[j]))
-                except ValueError as e:
-                    wrong[int(live[j])] = e
-                    at[j] = n[live[j]]
+        for j in copies:
+            try:
+                pos[j], at[j] = copy(int(live[j]), int(pos[j]), int(at[j]) - 1, int(s[j]), int(code[j]))
+            except ValueError as e:
+                wrong[int(live[j])] = e
+                at[j] = n[live[j]]
         over = pos > end[live]
         stop = over | (at >= n[live])
         if stop.any():
             for k in live[over]:
                 wrong.setdefault(int(k), ValueError("the stream ends early"))
             live, pos, at = live[~stop], pos[~stop], at[~stop]
-            code, *channels = start()
+            code, slots, shift, *channels = start()
     return [wrong[k] if k in wrong else out[out_at[k] : out_at[k] + n[k]].astype(np.uint32) for k in range(len(images))]
 
 
@@ -590,6 +603,8 @@ _MIN_COPY, _PROBE = 4, 3
 _CACHE_BITS = 8
 #: Predictors that payload images may have (left, top, and the one of both that the corner favours), and bits of a tile's side.
 _MODES, _TILE_BITS = (1, 2, 11), 4
+#: Mean step from pixel to pixel under which transforms are tried.
+_SMOOTH = 24
 
 
 def _entropy(counts: np.ndarray) -> np.ndarray:
@@ -636,9 +651,23 @@ def _cross_multipliers(px: np.ndarray, owner: np.ndarray, images: int) -> np.nda
 def _transformed(px: np.ndarray, owner: np.ndarray, first: np.ndarray, heights: np.ndarray, width: int) -> tuple[np.ndarray, list[list[np.ndarray]]]:
     """For each image the pixels under the transforms that promise the least bits, and these transforms' bits in the stream.
 
-    Candidates: none, subtract-green, each predictor, and cross-colour; and these are tried on what the best predictor leaves.
+    Candidates: none, subtract-green, each predictor, and cross-colour; and these are tried on what the best predictor leaves. They are tried on images in which
+    samples are like those of the pixel before; in others, as in most text, they leave more bits than there were.
     """
     k = len(heights)
+    c = _channels(px).reshape(-1, 4)
+    steps = np.zeros(len(px), dtype=np.int64)
+    steps[1:] = np.abs((c[1:] - c[:-1]).view(np.int8).astype(np.int16)).sum(axis=1)
+    smooth = np.bincount(owner, weights=steps, minlength=k) < 4 * _SMOOTH * width * heights
+    if not smooth.all():
+        best, heads = px.copy(), [[] for _ in range(k)]
+        some = np.flatnonzero(smooth)
+        if len(some):
+            at = smooth[owner]
+            best[at], found = _transformed(px[at], (np.cumsum(smooth) - 1)[owner[at]], first[at], heights[some], width)
+            for i, head in zip(some, found, strict=True):
+                heads[i] = head
+        return best, heads
     best, bits = px.copy(), _literal_bits(px, owner, k)
     heads: list[list[np.ndarray]] = [[] for _ in range(k)]
 
@@ -860,12 +889,13 @@ def encode_images(payloads: list[bytes]) -> list[bytes]:
     channels = [(px >> np.uint32(s)).astype(np.int64) & 255 for s in (8, 16, 0, 24)]  # in the order of the stream
     size = 280 + (1 << _CACHE_BITS)
 
-    def counted(cached: np.ndarray) -> list[np.ndarray]:
-        plain = literal & ~cached
-        green = _histogram(channels[0][plain], owner[plain], k, size) + _histogram(280 + slot[cached], owner[cached], k, size)
-        return [green, *(_histogram(c[plain], owner[plain], k) for c in channels[1:])]
-
-    without, with_cache = counted(np.zeros_like(hit)), counted(hit)
+    counted = lambda which: [_histogram(c[which], owner[which], k) for c in channels]
+    green, *rest = counted(literal)
+    without = [np.pad(green, ((0, 0), (0, size - 256))), *rest]
+    green, *rest = counted(hit)
+    slots = _histogram(slot[hit], owner[hit], k, 1 << _CACHE_BITS)
+    with_cache = [without[0] - np.pad(green, ((0, 0), (0, size - 256))), *(a - b for a, b in zip(without[1:], rest, strict=True))]
+    with_cache[0][:, 280:] += slots
     use_cache = sum(map(_entropy, with_cache)) + 5 < sum(map(_entropy, without))
     counts = [np.where(use_cache[:, None], a, b) for a, b in zip(with_cache, without, strict=True)]
     hit &= use_cache[owner]
@@ -883,21 +913,30 @@ def encode_images(payloads: list[bytes]) -> list[bytes]:
         code[used] = canonical_all(x.ravel()[used], used // x.shape[1])[1]
         values.append(code.reshape(x.shape))
     taken = [np.where((x > 0).sum(axis=1, keepdims=True) > 1, x, 0) for x in lengths]
-    # four fields a token: a literal's channels; a cached colour; or length, its extra bits, distance, its extra bits
+    # the fields of a token as one number: a literal's channels; a cached colour; or length, its extra bits, distance, its extra bits: 60 bits at most
+    packed = [(v | t << 16).ravel() for v, t in zip(values, taken, strict=True)]
+    widths = [x.shape[1] for x in lengths]
     where = np.flatnonzero(token)
     own = owner[where]
-    field, bits = np.zeros((len(where), 4), dtype=np.int64), np.zeros((len(where), 4), dtype=np.int64)
-    plain = (literal & ~hit)[where]
-    for c in range(4):
-        v = channels[c][where[plain]]
-        field[plain, c], bits[plain, c] = values[c][own[plain], v], taken[c][own[plain], v]
-    cached = hit[where]
-    v = 280 + slot[where[cached]]
-    field[cached, 0], bits[cached, 0] = values[0][own[cached], v], taken[0][own[cached], v]
+    field, bits = np.zeros(len(where), dtype=np.int64), np.zeros(len(where), dtype=np.int64)
+
+    def joined(fields: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+        value, n = fields[0]
+        for v, m in fields[1:]:
+            value, n = value | v << n, n + m
+        return value, n
+
+    def coded(c: int, image: np.ndarray, symbol: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        e = packed[c][image * widths[c] + symbol]
+        return e & 0xFFFF, e >> 16
+
+    plain, cached = np.flatnonzero((literal & ~hit)[where]), np.flatnonzero(hit[where])
+    place, image = where[plain], own[plain]
+    field[plain], bits[plain] = joined([coded(c, image, channels[c][place]) for c in range(4)])
+    field[cached], bits[cached] = coded(0, own[cached], 280 + slot[where[cached]])
     if len(at):
         t, o = np.searchsorted(where, at), owner[at]
-        for c, (value, bit) in enumerate(((values[0][o, 256 + l_symbol], taken[0][o, 256 + l_symbol]), (l_extra, l_bits), (values[4][o, d_symbol], taken[4][o, d_symbol]), (d_extra, d_bits))):
-            field[t, c], bits[t, c] = value, bit
+        field[t], bits[t] = joined([coded(0, o, 256 + l_symbol), (l_extra, l_bits), coded(4, o, d_symbol), (d_extra, d_bits)])
     # what comes before the tokens of each image
     sections: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []  # image, value, bits; in the order of the stream
     everyone = np.arange(k)
@@ -917,9 +956,7 @@ def encode_images(payloads: list[bytes]) -> list[bytes]:
                 sections.append((rows[row], value, bit))
         else:
             sections.append(_code_fields(x))
-    # the fields of a token as one: 15, 10, 15 and 18 bits at most
-    shift = np.cumsum(bits, axis=1) - bits
-    sections.append((own, np.bitwise_or.reduce(field << shift, axis=1), bits.sum(axis=1)))
+    sections.append((own, field, bits))
     image = np.concatenate([x for x, _, _ in sections])
     order = np.argsort(image, kind="stable")
     order = order[np.concatenate([b for _, _, b in sections])[order] > 0]
