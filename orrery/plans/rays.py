@@ -228,7 +228,7 @@ _EMIT = f"""{TREE}, em AS (SELECT (row_number() OVER (ORDER BY CASE WHEN front =
 
 
 def _events(spark: SparkSession, d: str) -> DataFrame:
-    return ops.box_events(_rays(spark), volumes.emitted(_classed(spark, d)), DIMS, _LEAST)
+    return ops.box_events(_rays(spark), materialize(volumes.emitted(materialize(_classed(spark, d)))), DIMS, _LEAST)
 
 
 @query(with_(_EMIT, "SELECT px, py, seq, round(t, 6) AS t, entry::INT AS entry, class::INT AS class FROM ev"))

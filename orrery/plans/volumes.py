@@ -10,6 +10,7 @@ from ..operators import volumes
 from .inputs import DIMS, VOX, voxels
 from .neighbours import with_
 from .registry import query
+from .shared import materialize
 
 _GRAD = f"""{VOX}, ga AS (SELECT x, y, z, (lead(val) OVER (PARTITION BY y, z ORDER BY x) - lag(val) OVER (PARTITION BY y, z ORDER BY x)) / 2 AS gx, (lead(val) OVER (PARTITION BY x, z ORDER BY y) - lag(val) OVER (PARTITION BY x, z ORDER BY y)) / 2 AS gy, (lead(val) OVER (PARTITION BY x, y ORDER BY z) - lag(val) OVER (PARTITION BY x, y ORDER BY z)) / 2 AS gz FROM vox),
 gr AS (SELECT x, y, z, CASE WHEN ok THEN gx ELSE 0 END AS gx, CASE WHEN ok THEN gy ELSE 0 END AS gy, CASE WHEN ok THEN gz ELSE 0 END AS gz, CASE WHEN ok THEN sqrt(gx * gx + gy * gy + gz * gz) ELSE 0 END AS mag FROM (SELECT *, gx IS NOT NULL AND gy IS NOT NULL AND gz IS NOT NULL AS ok FROM ga))"""
@@ -235,7 +236,7 @@ def occ_sort(spark: SparkSession, d: str) -> DataFrame:
 @query(with_(TREE, """SELECT (row_number() OVER (ORDER BY CASE WHEN front = 0 THEN path ELSE path || '~' END))::BIGINT AS seq, path, front::INT AS front, class::INT AS class
 FROM (SELECT c.path, c.class FROM cl c LEFT JOIN cl p ON c.path <> '' AND p.path = substr(c.path, 1, length(c.path) - 1) WHERE p.path IS NULL OR p.class <> c.class) CROSS JOIN (VALUES (0), (1)) f(front)"""))
 def octree_emit(spark: SparkSession, d: str) -> DataFrame:
-    return volumes.emitted(_classed(spark, d)).select("seq", "path", "front", "class")
+    return volumes.emitted(materialize(_classed(spark, d))).select("seq", "path", "front", "class")
 
 
 @query(with_(TREE, """SELECT path, e::INT AS edge, (CASE WHEN a = 0 THEN x0 WHEN a = 1 THEN CASE WHEN u = 0 THEN x0 ELSE x1 END ELSE CASE WHEN u = 0 THEN x0 ELSE x1 END END)::INT AS ax,
