@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, fill_middle, language, line_dedup, mixing, near_dedup, pii, quality, substring_dedup, toxicity, webp
+from . import decontamination, fill_middle, filter_audit, language, line_dedup, mixing, near_dedup, pii, quality, substring_dedup, toxicity, webp
 from .common import documents
 
 
@@ -59,6 +59,10 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(documents(spark, sf_dir), reject=None)  # "und" is for texts without letters here; rejected says the rest
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op12_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fill_middle.digest(fill_middle.fill_in_middle(documents(spark, sf_dir)))
 
@@ -74,6 +78,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality": op8_quality,
     "op9_mixing": op9_mixing,
     "op10_language": op10_language,
+    "op11_filter_audit": op11_filter_audit,
     "op12_fill_middle": op12_fill_middle,
 }
 
@@ -81,5 +86,6 @@ ORACLES: dict[str, str] = {
     "op1_line_dedup": line_dedup.LINES_SQL.replace("{documents}", "documents"),
     "op6_decontamination": decontamination.REPORT_SQL.replace("{documents}", "documents"),
     "op9_mixing": mixing.MIX_SQL.replace("{documents}", "documents"),
+    "op11_filter_audit": filter_audit.AUDIT_SQL.replace("{documents}", "documents"),
     "op12_fill_middle": fill_middle.FILL_SQL.replace("{documents}", "documents"),
 }
