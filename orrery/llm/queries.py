@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, fill_middle, filter_audit, language, line_dedup, mixing, near_dedup, pii, quality, substring_dedup, toxicity, webp
+from . import decontamination, embedding_dedup, fill_middle, filter_audit, language, line_dedup, mixing, near_dedup, pii, quality, substring_dedup, toxicity, webp
 from .common import documents
 
 
@@ -67,6 +67,10 @@ def op12_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fill_middle.digest(fill_middle.fill_in_middle(documents(spark, sf_dir)))
 
 
+def op13_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
     "op2_near_dedup": op2_near_dedup,
@@ -80,6 +84,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_language": op10_language,
     "op11_filter_audit": op11_filter_audit,
     "op12_fill_middle": op12_fill_middle,
+    "op13_embedding_dedup": op13_embedding_dedup,
 }
 
 ORACLES: dict[str, str] = {
@@ -88,4 +93,5 @@ ORACLES: dict[str, str] = {
     "op9_mixing": mixing.MIX_SQL.replace("{documents}", "documents"),
     "op11_filter_audit": filter_audit.AUDIT_SQL.replace("{documents}", "documents"),
     "op12_fill_middle": fill_middle.FILL_SQL.replace("{documents}", "documents"),
+    "op13_embedding_dedup": embedding_dedup.PAIRS_SQL.replace("{embeddings}", "embeddings"),
 }
