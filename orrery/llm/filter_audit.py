@@ -116,8 +116,10 @@ def postings(rows: DataFrame, filters: str = FILTERS, range_bits: int = RANGE_BI
     Rows are numbered first, so that repeated ids count each; a range has 2^range_bits numbers at most, and so a hot part has many lists, none of them longer.
     """
     numbered = materialize(rows.withColumn("row", F.monotonically_increasing_id()))
+    # as many partitions as a shuffle has, however small the lists: merging them is the work
+    dealt = numbered.withColumn("range", F.shiftright("row", range_bits)).repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "part", "range")
     listed = lambda c: F.sort_array(F.collect_list(F.when(F.col(c), F.col("row")))).alias(c)
-    return numbered.groupBy("part", F.shiftright("row", range_bits).alias("range")).agg(F.count(F.lit(1)).alias("n"), *(listed(c) for c in (*filters, "good", "toxic")))
+    return dealt.groupBy("part", "range").agg(F.count(F.lit(1)).alias("n"), *(listed(c) for c in (*filters, "good", "toxic")))
 
 
 def _merge(filters: str):
