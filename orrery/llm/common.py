@@ -47,6 +47,12 @@ def discard(df: DataFrame) -> None:
             path.getFileSystem(conf).delete(path, True)
 
 
+def filtered(docs: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> DataFrame:
+    """Rows of docs that run leaves in their batches; columns may have any name, also one with a dot, which mapInArrow() alone can't have."""
+    plain = docs.toDF(*(c if c.isidentifier() else f"column {k}" for k, c in enumerate(docs.columns)))
+    return plain.mapInArrow(run, plain.schema).toDF(*docs.columns)
+
+
 def text_chunks(batch: pa.RecordBatch, column: str = "text", rows: int | None = None) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
     """Slices of a batch with at most CHUNK_BYTES of text (or one row) and at most so many rows, and their texts as UTF-8 bytes; null is empty."""
     texts = batch.column(column).cast(pa.large_binary()).to_pylist()

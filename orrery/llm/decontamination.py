@@ -10,7 +10,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, materialize, text_chunks
+from .common import discard, filtered, materialize, text_chunks
 
 #: Everything but 0-9, a-z (after lower-casing) and bytes of non-ASCII characters parts words.
 _SPACES = bytes(b if 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A or b >= 0x80 else 32 for b in range(256))
@@ -147,7 +147,7 @@ def keep_clean(docs: DataFrame, items: DataFrame, width: int = 10, shard_bytes:
         for part, rows in _searched(batches, shards, look, waiting_bytes):
             yield part.filter(pa.array([not any(r) for r in rows], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return filtered(docs, run)
 
 
 def search(docs: DataFrame, items: DataFrame, width: int = 10, shard_bytes: int = SHARD_BYTES, waiting_bytes: int = WAITING_BYTES) -> DataFrame:

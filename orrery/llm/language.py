@@ -10,8 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_chunks
-from .learning import RATE_UNIT, fold, rate
+from .common import discard, materialize, text_chunks
+from .learning import drawn, fold
 
 #: Dimensions of the hashed 2- and 3-byte n-gram space, and centroids a language.
 DIMS, CENTROIDS = 4096, 4
@@ -79,8 +79,6 @@ def fit(known: DataFrame, max_per_language: int = MAX_PER_LANGUAGE, k: int = CEN
 
     Document frequencies are counted over all rows, summed a partition and then by Spark. A language's clusters come from a sample.
     """
-    by_lang = {r.lang: r.n for r in known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
-
     def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         df, n = np.zeros(DIMS), 0
         for batch in batches:
@@ -94,9 +92,9 @@ def fit(known: DataFrame, max_per_language: int = MAX_PER_LANGUAGE, k: int = CEN
     freq[df.dim] = df.df
     idf = np.log((1 + freq[-1]) / (1 + freq[:-1])) + 0.1
 
-    # one scan for all languages, each with a rate of its own (a row a language: as many as there are names)
-    rates = [F.lit(x) for lang, n in sorted(by_lang.items()) for x in (lang, rate(max_per_language, n))]
-    picked = known.where(F.pmod(F.xxhash64(F.lit(10), "doc_id"), F.lit(RATE_UNIT)) < F.create_map(*rates)[F.col("lang")]) if rates else known
+    # one scan for all languages, each with a rate of its own
+    sizes = materialize(known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).select(F.col("lang").alias("of"), "n"))
+    picked = known.join(sizes, F.col("lang") == F.col("of")).where(drawn(10, max_per_language, F.col("n")))
 
     def embed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -110,6 +108,7 @@ def fit(known: DataFrame, max_per_language: int = MAX_PER_LANGUAGE, k: int = CEN
 
     found = picked.select("lang", "text").mapInArrow(embed, "lang string, v array<float>").groupBy("lang").applyInPandas(centroids, "lang string, centroid array<float>, bound double")
     rows = sorted(found.collect(), key=lambda r: (r.lang, list(r.centroid)))
+    discard(sizes)
     return idf, [r.lang for r in rows], np.array([r.centroid for r in rows], dtype=np.float32).reshape(-1, DIMS), np.array([r.bound for r in rows])
 
 
@@ -118,11 +117,11 @@ def identify(docs: DataFrame, held_out_mod: int = 4, held_out_is: int = 2, max_p
 
     Text that is null, empty or without a letter is "und" with score 0. A text too far from its nearest centroid is rejected: its
     lang_pred becomes reject, or stays the nearest language if that is None. Held-out rows (crc32 of the id modulo held_out_mod is held_out_is;
-    a null id is none) and rows without lang aren't learned from; without any to learn from, all is "und". Texts are counted whole, of any length. Of
+    a null id is none) and rows without id or lang aren't learned from; without any to learn from, all is "und". Texts are counted whole, of any length. Of
     centroids equally near, the first by language and coordinates counts. Rows may repeat; equal texts get equal results. No rows give no rows; other columns don't matter.
     """
     held = F.coalesce(fold("doc_id", held_out_mod) == held_out_is, F.lit(False))
-    known = docs.select("doc_id", "text", "lang").where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held)
+    known = docs.select("doc_id", "text", "lang").where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~held)
     idf, langs, centroids, bounds = fit(known, max_per_language)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 #: Labelled rows that a model is fitted on, at most (a sample by the hash of the id beyond it).
 MAX_TRAIN = 20_000
-RATE_UNIT = 1_000_000
 
 
 def fold(doc_id: str, k: int) -> Column:
@@ -15,13 +14,16 @@ def fold(doc_id: str, k: int) -> Column:
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % k
 
 
-def rate(most: int, n: int) -> int:
-    """Out of RATE_UNIT hash values, how many select about most of n rows; all if n is no more."""
-    return RATE_UNIT if n <= most else int(RATE_UNIT * most / n)
+def fraction(seed: int, doc_id: str = "doc_id") -> Column:
+    """A number in [0, 1) from 53 bits of a hash of the id: fine enough for a sample of any number of rows."""
+    return F.shiftrightunsigned(F.xxhash64(F.lit(seed), doc_id), 11) * F.lit(2.0**-53)
+
+
+def drawn(seed: int, most: int, n: int | Column) -> Column:
+    """Whether a row is among about most of n, the same ones in every run; all are if n is no more."""
+    return fraction(seed) * n < most
 
 
 def sample(df: DataFrame, most: int, n: int, seed: int) -> DataFrame:
-    """About most of df's n rows, by a hash of doc_id: the same ones in every run; all if n is no more."""
-    if n <= most:
-        return df
-    return df.where(F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(RATE_UNIT)) < rate(most, n))
+    """About most of df's n rows, by a hash of doc_id; all if n is no more."""
+    return df if n <= most else df.where(drawn(seed, most, n))

@@ -51,7 +51,7 @@ def mix(docs: DataFrame, cap: float = 3.0, seed: str = "orrery", shards: int = 2
     """
     digits = max(1, len(f"{shards - 1:x}"))
     key = F.md5(F.concat_ws(":", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
-    with_row = [F.struct(*docs.columns).alias("doc")] if carry else []
+    with_row = [F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc")] if carry else []
     rows = docs.select("doc_id", "source", n_words().alias("size"), key.alias("key"), *with_row).withColumn("shard", F.substring("key", 1, digits))
     counts = rows.groupBy("source", "size", "shard").agg(F.count(F.lit(1)).alias("n"))
     sizes = counts.groupBy("source", "size").agg(F.sum("n").alias("n_size"))

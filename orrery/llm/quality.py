@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, discard, materialize, text_chunks
+from .common import Words, discard, filtered, materialize, text_chunks
 from .learning import MAX_TRAIN, fold, sample
 
 STATS = ("log_words", "word_length", "distinct_words", "repeats", "distinct_triples", "upper", "symbols", "bars", "bangs", "digits", "points", "newlines", "other_bytes", "ends_in_symbol", "log_lines", "byte_entropy", "longest_word")
@@ -186,4 +186,4 @@ def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, held_o
             for part, texts in text_chunks(batch):
                 yield part.filter(pa.array(model.score(statistics(texts).astype(np.float32).astype(float)) >= threshold))
 
-    return docs.mapInArrow(run, docs.schema)
+    return filtered(docs, run)

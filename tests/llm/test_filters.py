@@ -113,7 +113,7 @@ def test_mix(spark):
     rng = random.Random(6)
     rows = [(i, " ".join(["x"] * int(rng.paretovariate(1) * 5)), rng.choice(["a", "a", "a", "a", "a", "b", "c", "d", None]), "kept") for i in range(900)]
     rows += [(900, None, "b", "kept"), (901, "", "e", "kept"), (None, "one two", "c", "kept"), (None, "one two", "c", "kept")]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, size string")
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, size string").withColumn("x.y", F.lit(1))
     found = mixing.mix(docs, shards=16).collect()
     assert len(found) == len(rows)
     sizes, taken, target = defaultdict(int), defaultdict(int), {}

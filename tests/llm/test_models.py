@@ -10,7 +10,7 @@ from collections import Counter, defaultdict
 import numpy as np
 from pyspark.sql import functions as F
 
-from orrery.llm import language, mixing, quality, toxicity
+from orrery.llm import language, learning, mixing, quality, toxicity
 
 from .test_dedup import _lines_by_hand
 from .test_filters import _corpus, _targets_by_hand, _words
@@ -118,7 +118,24 @@ def test_one_scan_samples_each_language(spark):
     known = spark.createDataFrame(rows, "doc_id long, text string, lang string")
     _, langs, _, _ = language.fit(known, max_per_language=200)
     assert set(langs) == {"en", "xx"}
-    assert language.rate(200, 100) == language.RATE_UNIT and language.rate(200, 400) == language.RATE_UNIT // 2
+
+
+def test_samples_of_any_number_of_rows(spark):
+    rows = spark.range(1_000_000).withColumnRenamed("id", "doc_id")
+    for n, most in ((1_000_000, 500), (10**12, 500_000_000), (10**12, 10**12), (10**15, 5 * 10**11)):  # as if rows stood for n of them
+        want = min(1.0, most / n) * 1_000_000
+        assert abs(rows.where(learning.drawn(10, most, n)).count() - want) <= 6 * want**0.5
+        assert rows.withColumn("n", F.lit(n)).where(learning.drawn(10, most, F.col("n"))).count() == rows.where(learning.drawn(10, most, n)).count()
+    low = rows.agg(F.min(learning.fraction(10)), F.countDistinct(learning.fraction(10))).first()
+    assert 0 < low[0] < 1e-4 and low[1] == 1_000_000
+
+
+def test_no_language_vanishes_among_many_rows(spark, monkeypatch):
+    """Every language counted as 10^12 times as many rows, and as many asked for: what a table of that size gives."""
+    docs = spark.createDataFrame([(i, t, la) for i in range(400) for t, la in ((f"the cat and the dog {i % 7}", "en"),)] + [(400 + i, f"der hund und die katze {i % 7}", "de") for i in range(400)], "doc_id long, text string, lang string")
+    monkeypatch.setattr(language, "drawn", lambda seed, most, n: learning.drawn(seed, most * 10**12, n * 10**12))
+    found = language.identify(docs, max_per_language=100, reject=None).collect()
+    assert all(r.lang_pred == ("en" if r.doc_id < 400 else "de") for r in found)
 
 
 # ---- the pipeline ----
@@ -187,7 +204,7 @@ def test_stages_of_odd_rows(spark):
     import corpus_pipeline as p
 
     odd = [(1, None, "a"), (1, None, "a"), (None, "some words", None), (None, "some words", None), (2, "", "b"), (3, "x " * 50_000, "b"), (4, " \n ", None)]
-    docs = spark.createDataFrame([(i, t, "en", s, len(t or ""), 1) for i, t, s in odd], "doc_id long, text string, lang string, source string, n_chars long, copy int")
+    docs = spark.createDataFrame([(i, t, "en", s, len(t or ""), 1, 2) for i, t, s in odd], "doc_id long, text string, lang string, source string, n_chars long, copy int, `a.b` int")
     for name, stage in p.STAGES:
         for table in (docs, docs.limit(0)):
             found = stage(spark, table, D)
