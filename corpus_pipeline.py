@@ -25,7 +25,8 @@ def without_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
     Documents of which nothing is left go: each of their lines stays in an earlier document of this stage's input. Blank ones that lost nothing stay.
     """
-    cleaned = line_dedup.remove_boilerplate(docs).where((F.col("n_removed") == 0) | (F.trim(F.regexp_replace("text", "\\s+", " ")) != "")).select(*docs.columns)
+    cleaned = line_dedup.remove_boilerplate(docs).where((F.col("n_removed") == 0) | (F.trim(F.regexp_replace("text", "\\s+", " ")) != ""))
+    cleaned = cleaned.select(*(F.col(f"`{c}`") for c in docs.columns))
     return cleaned.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else cleaned
 
 
