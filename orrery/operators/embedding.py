@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.numbers import cauchy
 from ..functions.tables import materialize, numbered
 from .neighbours import BLOCK_ROWS, block_pairs
+from .quadtree import barnes_hut, bounding_square, quadtree  # noqa: F401  part of this module's interface
 
 LEARNING_RATE, EXAGGERATION, EXAGGERATED_STEPS = 100.0, 3.0, 2500
 
@@ -158,97 +159,6 @@ def compare(a: DataFrame, b: DataFrame) -> DataFrame:
 # ---- Barnes-Hut ----------------------------------------------------------------------------------------------------
 
 
-def bounding_square(points: DataFrame) -> dict[str, float]:
-    """Centre and side of the square around all points, a little larger than they need."""
-    m = points.agg(F.min("x"), F.max("x"), F.min("y"), F.max("y")).first()
-    side = max(m[1] - m[0], m[3] - m[2])
-    return {"cx": (m[0] + m[1]) * 0.5, "cy": (m[2] + m[3]) * 0.5, "side": side * (1 + 1e-9)}
-
-
-def quadtree(points: DataFrame, bucket: int = 100, levels: int = 24) -> DataFrame:
-    """(id, x, y) -> depth, ix, iy, n, mx, my, w, leaf: the cells of a quadtree whose leaves hold at most bucket points.
-
-    A point's cells at all depths are its coordinates on ever finer grids, so the whole tree is one aggregation; cells under a leaf are dropped.
-    """
-    box = bounding_square(points)
-    side = box["side"] if box["side"] > 0 else 1.0
-    at = lambda c, k: F.least(F.floor((F.col(c) - (box[f"c{c}"] - side / 2)) / side * F.pow(F.lit(2.0), k)), F.pow(F.lit(2.0), k) - 1).cast("long")
-    cells = points.select("x", "y", F.explode(F.sequence(F.lit(0), F.lit(levels))).alias("depth"))
-    cells = cells.withColumns({"ix": at("x", F.col("depth")), "iy": at("y", F.col("depth"))})
-    cells = cells.groupBy("depth", "ix", "iy").agg(F.count(F.lit(1)).alias("n"), F.avg("x").alias("mx"), F.avg("y").alias("my"))
-    up = cells.select((F.col("depth") + 1).alias("depth"), F.col("ix").alias("ux"), F.col("iy").alias("uy"), F.col("n").alias("parent_n"))
-    child = cells.withColumns({"ux": F.shiftright("ix", 1), "uy": F.shiftright("iy", 1)})
-    kept = child.join(up, ["depth", "ux", "uy"], "left").where((F.col("depth") == 0) | (F.col("parent_n") > bucket))
-    leaf = (F.col("n") <= bucket) | (F.col("depth") == levels)
-    return kept.select(F.col("depth").cast("int").alias("depth"), "ix", "iy", "n", "mx", "my", (F.lit(side) / F.pow(F.lit(2.0), "depth")).alias("w"), leaf.alias("leaf"))
-
-
-#: Depths whose cells, 5461 at most in all, are sent to every task.
-SENT_DEPTHS = 6
-
-
-def barnes_hut(points: DataFrame, theta: float = 0.6, bucket: int = 100, levels: int = 24) -> DataFrame:
-    """(id, x, y) -> i, z, fx, fy as repulsion(), with far cells standing for their points.
-
-    All points start at the root. At each depth a point either takes a cell (far enough for its width), or opens it: a leaf into its points,
-    another cell into its children. The first depths have few cells, which are sent to the points: no row is shuffled there. Each
-    deeper one is a join on the cell. A leaf's points that stand at one place are one row with their number.
-    """
-    points = materialize(points.select("id", "x", "y"))
-    tree = materialize(quadtree(points, bucket, levels))
-    box = bounding_square(points)
-    side = box["side"] if box["side"] > 0 else 1.0
-    state = points.select(F.col("id").alias("i"), "x", "y", F.lit(0).alias("depth"), F.lit(0).cast("long").alias("ix"), F.lit(0).cast("long").alias("iy"), F.lit("open").alias("kind"), *(F.lit(None).cast(t).alias(c) for c, t in (("n", "long"), ("mx", "double"), ("my", "double"))))
-    columns = state.columns
-    top = min(SENT_DEPTHS, levels)
-    for depth in range(top + 1):
-        state = _opened(state, tree, depth, theta, F.broadcast)
-        if depth < top:
-            state = _children(state, columns)
-    parts = [materialize(state)]
-    for depth in range(top + 1, levels + 1):
-        open_ = _children(parts[-1].where("kind = 'open'"), columns)
-        if open_.isEmpty():
-            break
-        parts.append(materialize(_opened(open_, tree, depth, theta, lambda df: df)))
-    met = parts[0]
-    for part in parts[1:]:
-        met = met.unionByName(part)
-    dx, dy = F.col("mx") - F.col("x"), F.col("my") - F.col("y")
-    q = cauchy(dx * dx + dy * dy)
-    far = met.where("kind = 'far'").select("i", (F.col("n") * q).alias("z"), (F.col("n") * q * q * dx).alias("fx"), (F.col("n") * q * q * dy).alias("fy"))
-    # where each place is a member: the one leaf among its cells of all depths
-    own = lambda c: F.least(F.floor((F.col(c) - (box[f"c{c}"] - side / 2)) / side * F.pow(F.lit(2.0), F.col("depth"))), F.pow(F.lit(2.0), F.col("depth")) - 1).cast("long")
-    places = points.groupBy(F.col("x").alias("px"), F.col("y").alias("py")).agg(F.count(F.lit(1)).alias("m")).select("px", "py", "m", F.col("px").alias("x"), F.col("py").alias("y"), F.explode(F.sequence(F.lit(0), F.lit(levels))).alias("depth"))
-    members = places.select("depth", own("x").alias("ix"), own("y").alias("iy"), "px", "py", "m").join(tree.where("leaf").select("depth", "ix", "iy"), ["depth", "ix", "iy"])
-    ex, ey = F.col("px") - F.col("x"), F.col("py") - F.col("y")
-    e = cauchy(ex * ex + ey * ey)
-    others = F.col("m") - F.when((F.col("px") == F.col("x")) & (F.col("py") == F.col("y")), 1).otherwise(0)  # a point isn't its own neighbour
-    near = met.where("kind = 'leaf'").select("i", "x", "y", "depth", "ix", "iy").join(materialize(members), ["depth", "ix", "iy"])
-    near = near.select("i", (others * e).alias("z"), (others * e * e * ex).alias("fx"), (others * e * e * ey).alias("fy"))
-    return far.unionByName(near).groupBy("i").agg(*(F.sum(c).alias(c) for c in ("z", "fx", "fy")))
-
-
-def _opened(state: DataFrame, tree: DataFrame, depth: int, theta: float, send) -> DataFrame:
-    """Rows that are open at a depth learn of their cell whether it is a leaf, far enough, or to be opened; cells without points go. Other rows stay."""
-    cell = tree.where(F.col("depth") == depth).select(F.col("ix").alias("cx"), F.col("iy").alias("cy"), F.col("n").alias("cn"), F.col("mx").alias("cmx"), F.col("my").alias("cmy"), "w", "leaf")
-    met = state.join(send(cell), (F.col("kind") == "open") & (F.col("ix") == F.col("cx")) & (F.col("iy") == F.col("cy")), "left").where("kind <> 'open' OR cn IS NOT NULL")
-    dx, dy = F.col("cmx") - F.col("x"), F.col("cmy") - F.col("y")
-    d2 = dx * dx + dy * dy
-    is_far = (d2 > 0) & (F.col("w") * F.col("w") < theta * theta * d2)
-    kind = F.when(F.col("kind") != "open", F.col("kind")).when(F.col("leaf"), "leaf").when(is_far, "far").otherwise("open")
-    return met.select("i", "x", "y", "depth", "ix", "iy", kind.alias("kind"), F.coalesce("n", "cn").alias("n"), F.coalesce("mx", "cmx").alias("mx"), F.coalesce("my", "cmy").alias("my"))
-
-
-def _children(state: DataFrame, columns: list[str]) -> DataFrame:
-    """Open rows become four, one for each quarter of their cell; other rows stay."""
-    quarters = [F.struct((F.col("ix") * 2 + a).alias("ix"), (F.col("iy") * 2 + b).alias("iy")) for a in (0, 1) for b in (0, 1)]
-    is_open = F.col("kind") == "open"
-    each = state.withColumn("c", F.explode(F.when(is_open, F.array(*quarters)).otherwise(F.array(F.struct("ix", "iy")))))
-    blank = {c: F.when(~is_open, F.col(c)) for c in ("n", "mx", "my")}
-    return each.withColumns({"ix": F.col("c.ix"), "iy": F.col("c.iy"), "depth": F.when(is_open, F.col("depth") + 1).otherwise(F.col("depth")), **blank}).select(*columns)
-
-
 def negative_barnes_hut(points: DataFrame, theta: float = 0.6, bucket: int = 100) -> DataFrame:
     r = materialize(barnes_hut(points, theta, bucket))
     z = r.agg(F.sum("z").alias("total"))

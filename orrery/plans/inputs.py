@@ -19,6 +19,14 @@ def points_2d(spark: SparkSession, d: str) -> DataFrame:
     return e.select(F.col("vec_id").alias("id"), e.embedding[0].cast("double").alias("x"), e.embedding[1].cast("double").alias("y"))
 
 
+def orders_3d(spark: SparkSession, d: str) -> DataFrame:
+    """Orders by price, date and customer, each brought to 0 to 1."""
+    o = spark.read.parquet(f"{d}/orders.parquet").select(F.col("o_orderkey").alias("id"), F.col("o_totalprice").cast("double").alias("a"), F.unix_date(F.to_date("o_orderdate")).cast("double").alias("b"), F.col("o_custkey").cast("double").alias("c"))
+    m = o.agg(*(f(c).alias(f"{f.__name__}_{c}") for c in "abc" for f in (F.min, F.max)))
+    scale = lambda c: (F.col(c) - F.col(f"min_{c}")) / F.greatest(F.col(f"max_{c}") - F.col(f"min_{c}"), F.lit(1e-300))
+    return o.crossJoin(F.broadcast(m)).select("id", F.array(*(scale(c) for c in "abc")).alias("v"))
+
+
 DIMS = (50, 11, 9)
 
 

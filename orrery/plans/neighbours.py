@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.numbers import tidy
-from ..operators import affinity, embedding, neighbours
-from .inputs import BETA, HD, K, KNN, P2, PCOND, PERPLEXITY, PMAT, PSYM, points_2d, points_hd
+from ..operators import affinity, descent, embedding, neighbours
+from .inputs import BETA, HD, K, KNN, P2, PCOND, PERPLEXITY, PMAT, PSYM, orders_3d, points_2d, points_hd
 from .registry import query
 from .shared import discard, materialize
 
@@ -33,6 +33,18 @@ def knn_cells(spark: SparkSession, d: str) -> DataFrame:
     return neighbours.knn_cells(points_hd(spark, d), K, 64, 48).withColumn("d2", tidy(F.col("d2")))
 
 
+@query()
+def knn_descent(spark: SparkSession, d: str) -> DataFrame:
+    """Neighbours by descent on a graph."""
+    return descent.knn_descent(points_hd(spark, d), K)[0].withColumn("d2", tidy(F.col("d2")))
+
+
+@query()
+def order_neighbours(spark: SparkSession, d: str) -> DataFrame:
+    """The ten orders most alike in price, date and customer, by descent on a graph."""
+    return descent.knn_descent(orders_3d(spark, d), 10)[0].withColumn("d2", tidy(F.col("d2"), 9))
+
+
 @query(with_(KNN, "SELECT i, list(j ORDER BY rank) AS js FROM knn GROUP BY i"))
 def knn_sorted(spark: SparkSession, d: str) -> DataFrame:
     """Neighbours as a list a row, sorted by distance."""
