@@ -7,6 +7,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .spectral import fft_grids
+
 INTERVALS, NODES = 8, 4
 
 
@@ -83,10 +85,44 @@ def kernel(m: int, h: float) -> np.ndarray:
     return 1 / (1 + off[:, None] ** 2 + off[None, :] ** 2) ** 2
 
 
+def convolved(charges: DataFrame, m: int, h: float) -> DataFrame:
+    """spread() -> nx, ny, v0 to v3 of all m x m nodes: charges convolved with the kernel, however large the grid is.
+
+    The grid is rows throughout. Two charges are one complex grid, so that there are two of these and the kernel's, whose transform is real, on 2 m x 2 m nodes; all are
+    transformed line by line, multiplied by an equi-join, and transformed back.
+    """
+    side = 2 * m
+    every = charges.sparkSession.range(side * side).select((F.col("id") % side).cast("int").alias("y"), F.floor(F.col("id") / side).cast("int").alias("x"))
+    off = lambda c: F.least(F.col(c), side - F.col(c)) * h
+    k = 1 / F.pow(1 + off("x") * off("x") + off("y") * off("y"), F.lit(2.0))
+    held = every.join(charges.withColumnsRenamed({"nx": "x", "ny": "y"}), ["x", "y"], "left").select("x", "y", *(F.coalesce(f"w{c}", F.lit(0.0)).alias(f"w{c}") for c in range(4)))
+    grids = F.explode(F.array(*(F.struct(F.lit(g).alias("grid"), F.col(f"w{2 * g}").alias("re"), F.col(f"w{2 * g + 1}").alias("im")) for g in (0, 1)))).alias("g")
+    there = fft_grids(held.select("x", "y", grids).select("g.grid", "y", "x", "g.re", "g.im"), side, side)
+    by = fft_grids(every.select(F.lit(0).alias("grid"), "y", "x", k.alias("re"), F.lit(0.0).alias("im")), side, side).select("x", "y", F.col("re").alias("k"))
+    back = fft_grids(there.join(by, ["x", "y"]).select("grid", "y", "x", (F.col("re") * F.col("k")).alias("re"), (F.col("im") * F.col("k")).alias("im")), side, side, inverse=True)
+    pick = lambda g, c: F.max(F.when(F.col("grid") == g, F.col(c)))
+    found = back.where((F.col("x") < m) & (F.col("y") < m)).groupBy(F.col("x").alias("nx"), F.col("y").alias("ny"))
+    return found.agg(*(pick(g, c).alias(f"v{2 * g + (c == 'im')}") for g in (0, 1) for c in ("re", "im")))
+
+
+def gathered(points: DataFrame, grid: DataFrame, low: float, high: float, intervals: int = INTERVALS, nodes: int = NODES) -> DataFrame:
+    """(id, x, y) and nx, ny, v0 to v3 -> id, x, y, p0 to p3: what the nodes around each point hold, weighted."""
+    near = node_weights(points, low, high, intervals, nodes).join(grid, ["nx", "ny"])
+    return near.groupBy("id", "x", "y").agg(*(F.sum(F.col("weight") * F.col(f"v{k}")).alias(f"p{k}") for k in range(4)))
+
+
+def potentials_by_lines(points: DataFrame, intervals: int = INTERVALS, nodes: int = NODES) -> DataFrame:
+    """As potentials(), for grids that no task can hold; intervals x nodes is a power of two."""
+    low, high = bounds(points)
+    m = intervals * nodes
+    grid = convolved(spread(points, low, high, intervals, nodes), m, (high - low) / m)
+    return gathered(points, grid, low, high, intervals, nodes)
+
+
 def potentials(points: DataFrame, intervals: int = INTERVALS, nodes: int = NODES) -> DataFrame:
     """(id, x, y) -> id, x, y, p0 to p3: the kernel's sums over all points, by convolution on the grid.
 
-    Only the grid (its size is a parameter) meets in one task, where an FFT convolves it; points never do.
+    Only the grid (its size is a parameter) meets in one task, where an FFT convolves it; points never do. potentials_by_lines() is for larger ones.
     """
     low, high = bounds(points)
     m = intervals * nodes
@@ -102,8 +138,7 @@ def potentials(points: DataFrame, intervals: int = INTERVALS, nodes: int = NODES
         return pa.table({"nx": pa.array(gx, pa.int32()), "ny": pa.array(gy, pa.int32()), **{f"v{k}": v[k].ravel() for k in range(4)}})
 
     grid = spread(points, low, high, intervals, nodes).withColumn("grid", F.lit(0)).groupBy("grid").applyInArrow(convolve, "nx int, ny int, v0 double, v1 double, v2 double, v3 double")
-    near = node_weights(points, low, high, intervals, nodes).join(F.broadcast(grid), ["nx", "ny"])  # 16 intervals^2 rows, a parameter
-    return near.groupBy("id", "x", "y").agg(*(F.sum(F.col("weight") * F.col(f"v{k}")).alias(f"p{k}") for k in range(4)))
+    return gathered(points, F.broadcast(grid), low, high, intervals, nodes)  # 16 intervals^2 rows, a parameter
 
 
 def q_sum(p: Column | None = None) -> Column:

@@ -118,7 +118,11 @@ def composite(found: DataFrame, table: DataFrame, most: Column) -> DataFrame:
 
     A ray's samples are an array in order, folded until its opacity is 0.99.
     """
-    coloured = found.withColumn("bin", transfer_bin(F.col("val"), most)).join(F.broadcast(table), "bin")  # 256 rows
+    return blended(found.withColumn("bin", transfer_bin(F.col("val"), most)).join(F.broadcast(table), "bin"))  # 256 rows
+
+
+def blended(coloured: DataFrame) -> DataFrame:
+    """(px, py, i, r, g, b, a) samples -> px, py, r, g, b, a, front to back."""
     lists = coloured.groupBy("px", "py").agg(F.array_sort(F.collect_list(F.struct("i", "r", "g", "b", "a"))).alias("s"))
     zero = F.struct(*(F.lit(0.0).alias(c) for c in "rgba"))
 

@@ -7,7 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Positions and frequencies a block of the direct transform.
@@ -42,13 +42,12 @@ def _lines_of(batches: Iterator[pa.RecordBatch], group: str, place: str, length:
         raise ValueError("the signal has gaps or repeated places")
 
 
-def fft(signal: DataFrame, n: int | None = None, inverse: bool = False) -> DataFrame:
-    """(n, re, im) -> (k, re, im). The length is a power of two, places run from 0 without gaps; the inverse isn't normalised.
+def fft_lines(lines: DataFrame, n: int, inverse: bool = False) -> DataFrame:
+    """(line, n, re, im), lines of one length n, a power of two -> (line, k, re, im), each line's transform; the inverse isn't normalised.
 
-    With N = A B and n = B a + b: transforms of length A for each b, twiddle factors, then transforms of length B for each of the first ones'
-    frequencies. So two shuffles, and lines as long as the root of N, many of which a task transforms at once.
+    With n = A B and places B a + b: transforms of length A for each b, twiddle factors, then transforms of length B for each of the first ones'
+    frequencies. So two shuffles, and pieces as long as the root of n, many of which, of whatever lines, a task transforms at once: no line has to fit anywhere.
     """
-    n = signal.count() if n is None else n
     bits = _power_of_two(n)
     a_len = 1 << (bits - bits // 2)
     b_len = n // a_len
@@ -59,23 +58,68 @@ def fft(signal: DataFrame, n: int | None = None, inverse: bool = False) -> DataF
 
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f = np.arange(a_len)
-        for b, z in _lines_of(batches, "b", "a", a_len):
+        for piece, z in _lines_of(batches, "piece", "a", a_len):
+            line, b = np.divmod(piece, b_len)
             z = (transform(z) * np.exp(sign * 2j * np.pi * (np.outer(b, f) % n) / n)).ravel()
-            yield pa.RecordBatch.from_arrays([pa.array(np.tile(f, len(b))), pa.array(np.repeat(b, a_len)), pa.array(z.real), pa.array(z.imag)], names=["f", "b", "re", "im"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.add.outer(line * a_len, f).ravel()), pa.array(np.repeat(b, a_len)), pa.array(z.real), pa.array(z.imag)], names=["piece", "b", "re", "im"])
 
     def second(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for f, z in _lines_of(batches, "f", "b", b_len):
+        for piece, z in _lines_of(batches, "piece", "b", b_len):
+            line, f = np.divmod(piece, a_len)
             z = transform(z).ravel()
             k = np.add.outer(f, a_len * np.arange(b_len)).ravel()
-            yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(z.real), pa.array(z.imag)], names=["k", "re", "im"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(line, b_len)), pa.array(k), pa.array(z.real), pa.array(z.imag)], names=["line", "k", "re", "im"])
+
+    place = F.col("n")
+    split = lines.select((F.col("line") * b_len + place % b_len).cast("long").alias("piece"), F.floor(place / b_len).cast("long").alias("a"), "re", "im")
+    half = split.repartition("piece").sortWithinPartitions("piece", "a").mapInArrow(first, "piece long, b long, re double, im double")
+    return half.repartition("piece").sortWithinPartitions("piece", "b").mapInArrow(second, "line long, k long, re double, im double")
+
+
+def fft(signal: DataFrame, n: int | None = None, inverse: bool = False) -> DataFrame:
+    """(n, re, im) -> (k, re, im). The length is a power of two, places run from 0 without gaps; the inverse isn't normalised."""
+    n = signal.count() if n is None else n
+    return fft_lines(signal.select(F.lit(0).cast("long").alias("line"), "n", "re", "im"), n, inverse).drop("line")
+
+
+def _chirp(place: str, n: int, sign: int) -> tuple[Column, Column]:
+    """cos and sin of sign pi place^2 / n; the square is reduced before it is divided, so that long signals lose no digits (places below 3 x 10^9)."""
+    angle = ((F.col(place) * F.col(place)) % (2 * n)).cast("double") * (sign * math.pi / n)
+    return F.cos(angle), F.sin(angle)
+
 
-    split = signal.select(F.floor(F.col("n") / b_len).cast("long").alias("a"), (F.col("n") % b_len).cast("long").alias("b"), "re", "im")
-    half = split.repartition("b").sortWithinPartitions("b", "a").mapInArrow(first, "f long, b long, re double, im double")
-    return half.repartition("f").sortWithinPartitions("f", "b").mapInArrow(second, "k long, re double, im double")
+def _times(a: tuple[Column, Column], b: tuple[Column, Column]) -> tuple[Column, Column]:
+    return a[0] * b[0] - a[1] * b[1], a[0] * b[1] + a[1] * b[0]
+
+
+def fft_any(signal: DataFrame, n: int | None = None, inverse: bool = False) -> DataFrame:
+    """(n, re, im) of any length -> (k, re, im) in N log N, by chirps; the inverse is normalised, as dft()'s.
+
+    As k p = (k^2 + p^2 - (k - p)^2) / 2, the transform is a convolution with a chirp between two multiplications with its conjugate: three transforms of a power of two of at least 2 N - 1.
+    """
+    n = signal.count() if n is None else n
+    spark = signal.sparkSession
+    if not n:
+        return signal.select(F.col("n").alias("k"), "re", "im")
+    m = 1 << (2 * n - 2).bit_length()
+    sign = 1 if inverse else -1
+    value = (F.col("re"), F.col("im"))
+    named = lambda pair: (pair[0].alias("re"), pair[1].alias("im"))
+    zeros = (F.lit(0.0), F.lit(0.0))
+    turned = signal.select("n", *named(_times(value, _chirp("n", n, sign)))).unionByName(spark.range(n, m).select(F.col("id").alias("n"), *named(zeros)))
+    back = F.when(F.col("id") < n, F.col("id")).when(F.col("id") > m - n, m - F.col("id"))
+    chirp = spark.range(m).select(F.col("id").alias("n"), back.alias("p")).select("n", *(F.coalesce(c, F.lit(0.0)).alias(x) for c, x in zip(_chirp("p", n, -sign), ("re", "im"), strict=True)))
+    left = fft(turned, m)
+    right = fft(chirp, m).select(F.col("k").alias("kb"), F.col("re").alias("rb"), F.col("im").alias("ib"))
+    product = left.join(right, F.col("k") == F.col("kb")).select(F.col("k").alias("n"), *named(_times(value, (F.col("rb"), F.col("ib")))))
+    found = fft(product, m, inverse=True).where(F.col("k") < n)
+    scale = 1.0 / m / (n if inverse else 1)
+    re, im = _times(value, _chirp("k", n, sign))
+    return found.select("k", (re * scale).alias("re"), (im * scale).alias("im"))
 
 
 def dft(signal: DataFrame, n: int | None = None, inverse: bool = False) -> DataFrame:
-    """(n, re, im) of any length -> (k, re, im) straight from the definition; the inverse is normalised.
+    """(n, re, im) of any length -> (k, re, im) straight from the definition; the inverse is normalised. fft_any() gives the same in N log N.
 
     Blocks of positions against blocks of frequencies, summed by Spark: the work of N^2, but no row a pair.
     """
@@ -95,28 +139,40 @@ def dft(signal: DataFrame, n: int | None = None, inverse: bool = False) -> DataF
     return every.groupBy("from", "to").applyInArrow(part, "k long, re double, im double").groupBy("k").agg(*((F.sum(c) * scale).alias(c) for c in ("re", "im")))
 
 
-def _lines(grid: DataFrame, along: str, across: str, inverse: bool, direct: bool) -> DataFrame:
+def _direct(grid: DataFrame, along: str, across: str, inverse: bool) -> DataFrame:
     def line(t: pa.Table) -> pa.Table:
         order = np.argsort(t.column(along).to_numpy())
         z = (t.column("re").to_numpy() + 1j * t.column("im").to_numpy())[order]
         n = len(z)
-        if direct:
-            k = np.arange(n)
-            z = np.exp((2j if inverse else -2j) * np.pi * (np.outer(k, k) % n) / n) @ z / (n if inverse else 1)
-        else:
-            _power_of_two(n)
-            z = np.fft.ifft(z) if inverse else np.fft.fft(z)
+        k = np.arange(n)
+        z = np.exp((2j if inverse else -2j) * np.pi * (np.outer(k, k) % n) / n) @ z / (n if inverse else 1)
         fixed = np.full(n, t.column(across)[0].as_py())
         return pa.table({along: pa.array(np.arange(n), pa.int32()), across: pa.array(fixed, pa.int32()), "re": z.real, "im": z.imag}).select(["y", "x", "re", "im"])
 
     return grid.groupBy(across).applyInArrow(line, "y int, x int, re double, im double")
 
 
+def fft_grids(grids: DataFrame, height: int, width: int, inverse: bool = False) -> DataFrame:
+    """(grid, y, x, re, im), grids of one size, sides powers of two -> the same, each grid's transform; the inverse is normalised.
+
+    All rows of all grids are lines of one transform, then all columns are, which are cut into pieces in turn: four shuffles, and no line has to fit in a task.
+    """
+    rows = grids.select((F.col("grid") * height + F.col("y")).cast("long").alias("line"), F.col("x").cast("long").alias("n"), "re", "im")
+    half = fft_lines(rows, width, inverse)
+    columns = half.select((F.floor(F.col("line") / height) * width + F.col("k")).cast("long").alias("line"), (F.col("line") % height).alias("n"), "re", "im")
+    found = fft_lines(columns, height, inverse)
+    scale = 1.0 / (height * width) if inverse else 1.0
+    return found.select(F.floor(F.col("line") / width).cast("int").alias("grid"), F.col("k").cast("int").alias("y"), (F.col("line") % width).cast("int").alias("x"), *((F.col(c) * scale).alias(c) for c in ("re", "im")))
+
+
 def fft_2d(grid: DataFrame, inverse: bool = False) -> DataFrame:
-    """(y, x, re, im) -> the same: rows, then columns, each a group. Sides are powers of two; the inverse is normalised."""
-    return _lines(_lines(grid, "x", "y", inverse, False), "y", "x", inverse, False)
+    """(y, x, re, im) -> the same: rows, then columns. Sides are powers of two; the inverse is normalised."""
+    size = grid.agg(F.max("y"), F.max("x")).first()
+    if size[0] is None:
+        return grid
+    return fft_grids(grid.withColumn("grid", F.lit(0)), size[0] + 1, size[1] + 1, inverse).drop("grid")
 
 
 def dft_2d(grid: DataFrame, inverse: bool = False) -> DataFrame:
     """As fft_2d by the definition, for sides of any length."""
-    return _lines(_lines(grid, "x", "y", inverse, True), "y", "x", inverse, True)
+    return _direct(_direct(grid, "x", "y", inverse), "y", "x", inverse)

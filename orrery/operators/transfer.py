@@ -47,5 +47,19 @@ def insert_point(points: DataFrame, pos: float, opacity: float) -> DataFrame:
 
 
 def opacity_sums(table: DataFrame) -> DataFrame:
-    """Running sums of the opacity, which tell whether a range of values is invisible."""
+    """bin, total: running sums of the opacity, which tell whether a range of values is invisible."""
     return table.select("bin", F.sum("a").over(Window.orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)).alias("total"))
+
+
+def shown(ranges: DataFrame, table: DataFrame, most: Column, least: float = 1.0) -> DataFrame:
+    """Ranges (low, high) with opacity, the table's over the entries after that of low up to that of high; active: whether it is over least; and visible: whether any entry of the range, low's too, has some.
+
+    Two lookups in the running sums answer for a range, however many values it has.
+    """
+    sums = opacity_sums(table)  # as many rows as the table
+    entry = lambda c: F.greatest(F.least(F.floor(F.col(c) / most * 256), F.lit(255)), F.lit(0)).cast("int")
+    low = sums.join(table.select("bin", "a"), "bin").select(F.col("bin").alias("from"), F.col("total").alias("t0"), F.col("a").alias("a0"))
+    high = sums.select(F.col("bin").alias("to"), F.col("total").alias("t1"))
+    met = ranges.withColumns({"from": entry("low"), "to": entry("high")}).join(F.broadcast(low), "from").join(F.broadcast(high), "to")
+    opacity = F.greatest(F.col("t1") - F.col("t0"), F.lit(0.0))
+    return met.select(*ranges.columns, opacity.alias("opacity"), (opacity > least).alias("active"), ((F.col("a0") > 0) | (opacity > 1e-12)).alias("visible"))

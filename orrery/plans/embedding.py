@@ -266,10 +266,11 @@ def quadtree_leaves(spark: SparkSession, d: str) -> DataFrame:
     return own.join(leaves, ["depth", "ix", "iy"]).groupBy("depth", "ix", "iy").agg(F.array_sort(F.collect_list("id")).alias("members"))
 
 
-@query(f"WITH {SCALED} SELECT (min(x) + max(x)) * 0.5 AS cx, (min(y) + max(y)) * 0.5 AS cy, round(greatest(max(x) - min(x), max(y) - min(y)) * (1 + 1e-9), 9) AS side FROM sc")
+@query(f"WITH {P2} SELECT round((min(x) + max(x)) * 0.5, 9) AS cx, round((min(y) + max(y)) * 0.5, 9) AS cy, round(greatest(max(x) - min(x), max(y) - min(y)) * (1 + 1e-9), 9) AS side FROM p2")
 def bounding_square(spark: SparkSession, d: str) -> DataFrame:
-    box = embedding.bounding_square(_scaled(spark, d))
-    return spark.createDataFrame([box], "cx double, cy double, side double").withColumn("side", F.round("side", 9))
+    """Of the points as they are."""
+    box = embedding.bounding_square(points_2d(spark, d))
+    return spark.createDataFrame([box], "cx double, cy double, side double").select(*(F.round(c, 9).alias(c) for c in ("cx", "cy", "side")))
 
 
 @query(with_(TREE, "SELECT round(sum(z), 4) AS z FROM bh"))
@@ -310,9 +311,13 @@ vs AS (SELECT a.nx, a.ny, sum(w.w0 * k) AS v0, sum(w.w1 * k) AS v1, sum(w.w2 * k
 po AS (SELECT id, x, y, sum(weight * v0) AS p0, sum(weight * v1) AS p1, sum(weight * v2) AS p2, sum(weight * v3) AS p3 FROM nw JOIN vs USING (nx, ny) GROUP BY id, x, y)"""
 
 
-@query(f"WITH {FIT} SELECT lo, hi FROM b")
+# Of the points as they are, so that the grid follows the data.
+FIT_RAW = FIT.replace(SCALED, f"{P2}, sc AS (SELECT id, x, y FROM p2)")
+
+
+@query(f"WITH {FIT_RAW} SELECT round(lo, 9) AS lo, round(hi, 9) AS hi FROM b")
 def fit_bounds(spark: SparkSession, d: str) -> DataFrame:
-    return spark.createDataFrame([interpolation.bounds(_scaled(spark, d))], "lo double, hi double")
+    return spark.createDataFrame([interpolation.bounds(points_2d(spark, d))], "lo double, hi double").select(F.round("lo", 9).alias("lo"), F.round("hi", 9).alias("hi"))
 
 
 def _placed(spark: SparkSession, d: str) -> DataFrame:
@@ -335,16 +340,16 @@ def fit_rel_interval(spark: SparkSession, d: str) -> DataFrame:
     return _placed(spark, d).select("id", tidy(F.col("rx")).alias("rx"), tidy(F.col("ry")).alias("ry"))
 
 
-@query(f"WITH {FIT} SELECT a.k::INT AS ix, c.k::INT AS iy, round(lo + a.k * (hi - lo) / {_I}, 6) AS x, round(lo + c.k * (hi - lo) / {_I}, 6) AS y FROM b, range({_I}) a(k), range({_I}) c(k)")
+@query(f"WITH {FIT_RAW} SELECT a.k::INT AS ix, c.k::INT AS iy, round(lo + a.k * (hi - lo) / {_I}, 6) AS x, round(lo + c.k * (hi - lo) / {_I}, 6) AS y FROM b, range({_I}) a(k), range({_I}) c(k)")
 def fit_lower_bounds(spark: SparkSession, d: str) -> DataFrame:
-    low, high = interpolation.bounds(_scaled(spark, d))
+    low, high = interpolation.bounds(points_2d(spark, d))
     return interpolation.lower_bounds(spark, low, high).select("ix", "iy", F.round("x", 6).alias("x"), F.round("y", 6).alias("y"))
 
 
-@query(f"WITH {FIT} SELECT k::INT AS node, round(lo + (k + 0.5) * (hi - lo) / {_I * _N}, 6) AS place FROM b, range({_I * _N}) r(k)")
+@query(f"WITH {FIT_RAW} SELECT k::INT AS node, round(lo + (k + 0.5) * (hi - lo) / {_I * _N}, 6) AS place FROM b, range({_I * _N}) r(k)")
 def fit_nodes(spark: SparkSession, d: str) -> DataFrame:
     """Places of the nodes along an axis."""
-    low, high = interpolation.bounds(_scaled(spark, d))
+    low, high = interpolation.bounds(points_2d(spark, d))
     return spark.range(_I * _N).select(F.col("id").cast("int").alias("node"), F.round(low + (F.col("id") + 0.5) * ((high - low) / (_I * _N)), 6).alias("place"))
 
 
@@ -379,13 +384,15 @@ def fit_w(spark: SparkSession, d: str) -> DataFrame:
     return w.select(F.col("nx").cast("int").alias("nx"), F.col("ny").cast("int").alias("ny"), *(tidy(F.col(f"w{k}")).alias(f"w{k}") for k in range(4)))
 
 
-@query(f"WITH {FIT} SELECT a.k::INT AS ox, c.k::INT AS oy, round(1 / pow(1 + pow(a.k * h, 2) + pow(c.k * h, 2), 2), 6) AS k FROM hh, range({_I * _N}) a(k), range({_I * _N}) c(k)")
+@query(f"WITH {FIT_RAW} SELECT a.k::INT AS ox, c.k::INT AS oy, round(1 / pow(1 + pow(a.k * h, 2) + pow(c.k * h, 2), 2), 6) AS k FROM hh, range({_I * _N}) a(k), range({_I * _N}) c(k)")
 def fit_kernel(spark: SparkSession, d: str) -> DataFrame:
     """The kernel by offset, the part that isn't mirrored."""
-    low, high = interpolation.bounds(_scaled(spark, d))
+    low, high = interpolation.bounds(points_2d(spark, d))
     m = _I * _N
-    k = interpolation.kernel(m, (high - low) / m)
-    return spark.createDataFrame([(x, y, float(k[x, y])) for x in range(m) for y in range(m)], "ox int, oy int, k double").withColumn("k", F.round("k", 6))
+    h = (high - low) / m
+    offset = spark.range(m * m).select(F.floor(F.col("id") / m).cast("int").alias("ox"), (F.col("id") % m).cast("int").alias("oy"))
+    d2 = F.pow(F.col("ox") * h, F.lit(2.0)) + F.pow(F.col("oy") * h, F.lit(2.0))
+    return offset.select("ox", "oy", F.round(1 / F.pow(1 + d2, F.lit(2.0)), 6).alias("k"))
 
 
 @query(f"WITH {FIT} SELECT id, round(p0, 4) AS p0, round(p1, 4) AS p1, round(p2, 4) AS p2, round(p3, 4) AS p3 FROM po")
@@ -393,6 +400,12 @@ def fit_potentials(spark: SparkSession, d: str) -> DataFrame:
     return interpolation.potentials(_scaled(spark, d)).select("id", *(F.round(f"p{k}", 4).alias(f"p{k}") for k in range(4)))
 
 
+@query(f"WITH {FIT} SELECT id, round(p0, 4) AS p0, round(p1, 4) AS p1, round(p2, 4) AS p2, round(p3, 4) AS p3 FROM po")
+def fit_potentials_lines(spark: SparkSession, d: str) -> DataFrame:
+    """The same, with the grid transformed line by line."""
+    return interpolation.potentials_by_lines(_scaled(spark, d)).select("id", *(F.round(f"p{k}", 4).alias(f"p{k}") for k in range(4)))
+
+
 @query(f"WITH {FIT} SELECT round(sum((1 + x * x + y * y) * p0 - 2 * (x * p1 + y * p2) + p3 - 1), 3) AS z FROM po")
 def fit_sum_q(spark: SparkSession, d: str) -> DataFrame:
     return interpolation.potentials(_scaled(spark, d)).agg(F.round(F.sum(interpolation.q_sum()), 3).alias("z"))

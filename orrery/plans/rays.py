@@ -8,14 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.numbers import tidy, with_phong
+from ..operators import bricked, transfer, volumes
 from ..operators import rays as ops
-from ..operators import transfer, volumes
 from ..operators.rays import Camera
 from .inputs import DIMS, VOX, voxels
 from .neighbours import with_
 from .registry import query
 from .shared import materialize
-from .volumes import _GRAD, _LEAST, TREE, _classed, tri_sql
+from .volumes import _GRAD, _LEAST, TREE, _boxes, _classed, tri_sql
 
 CAMERA = Camera(eye=(24.5, 5.0, -30.0), width=24, height=24)
 LOW, HIGH, STEP, ISO = (0.0, 0.0, 0.0), tuple(float(n - 1) for n in DIMS), 0.75, 11.0
@@ -73,6 +73,17 @@ def render_mip(spark: SparkSession, d: str) -> DataFrame:
     return ops.mip(s, F.first("most")).withColumn("v", F.round("v", 6))
 
 
+_SIDE = 6
+
+
+@query(f"WITH {SAMPLED} SELECT px, py, round(max(val) / any_value(most), 6) AS v FROM sv, mx GROUP BY px, py")
+def render_mip_bricks(spark: SparkSession, d: str) -> DataFrame:
+    """The picture of render_mip, from bricks that may hold a ray's maximum."""
+    v = materialize(voxels(spark, d))
+    most = v.agg(F.max("val")).first()[0]
+    return bricked.mip(_clipped(spark), v, DIMS, STEP, _SIDE, F.lit(most)).withColumn("v", F.round("v", 6))
+
+
 @query(f"WITH {SAMPLED} SELECT count(*)::BIGINT AS samples, round(sum(val), 3) AS total FROM sv")
 def sample_count(spark: SparkSession, d: str) -> DataFrame:
     return _samples(spark, d).agg(F.count(F.lit(1)).alias("samples"), F.round(F.sum("val"), 3).alias("total"))
@@ -140,6 +151,25 @@ def tf_lookup(spark: SparkSession, d: str) -> DataFrame:
     return v.join(F.broadcast(_table(spark)), "bin").select("x", "y", "z", "bin", F.round("r", 6).alias("r"), F.round("a", 6).alias("a"))
 
 
+_SHOWN = f"""{VOX}, {TABLE}, m AS (SELECT max(val) AS m FROM vox), os AS (SELECT bin, sum(a) OVER (ORDER BY bin) AS total, a FROM tb),
+rg AS (SELECT x // 4 AS bx, y // 4 AS by_, z // 4 AS bz, least(floor(min(val) / any_value(m) * 256), 255)::INT AS f, least(floor(max(val) / any_value(m) * 256), 255)::INT AS t FROM vox, m GROUP BY ALL)"""
+
+
+@query(f"WITH {_SHOWN} SELECT bx, by_ AS by, bz, round(h.total - l.total + 1e-7, 4) + 0 AS opacity, h.total - l.total > 1 AS active, (SELECT max(a) FROM tb WHERE bin BETWEEN f AND t) > 0 AS visible FROM rg JOIN os l ON l.bin = f JOIN os h ON h.bin = t")
+def brick_active_composite(spark: SparkSession, d: str) -> DataFrame:
+    """Bricks by the opacity that the table gives to their range of values."""
+    v = voxels(spark, d)
+    most = v.agg(F.max("val")).first()[0]
+    return transfer.shown(volumes.bricks(v, 4), _table(spark), F.lit(most)).select("bx", "by", "bz", tidy(F.col("opacity") + 1e-7, 4).alias("opacity"), "active", "visible")
+
+
+@query(with_(f"{TREE}, {TABLE}, m AS (SELECT max(val) AS m FROM vox), va AS (SELECT x, y, z, a FROM (SELECT x, y, z, least(floor(val / m * 256), 255)::INT AS bin FROM vox, m) JOIN tb USING (bin))", "SELECT path, max(a) > 0.01 AS full FROM oc JOIN va ON x >= x0 AND x < x1 AND y >= y0 AND y < y1 AND z >= z0 AND z < z1 WHERE leaf GROUP BY path"))
+def occ_leaf_composite(spark: SparkSession, d: str) -> DataFrame:
+    """Leaves with a voxel that the table shows."""
+    v = _with_most(voxels(spark, d), spark, d).withColumn("bin", ops.transfer_bin(F.col("val"), F.col("most"))).join(F.broadcast(_table(spark).select("bin", "a")), "bin")
+    return volumes.occupied_leaves(_boxes(spark), v, DIMS, _LEAST, F.max("a") > 0.01).select("path", "full")
+
+
 @query(f"WITH {VOX}, {_POINTS}, p AS (SELECT round(avg(val) / max(val), 6) AS p FROM vox), sp AS (SELECT *, lead(pos) OVER w AS pos2, lead(r) OVER w AS r2, lead(g) OVER w AS g2, lead(b) OVER w AS b2 FROM tp WINDOW w AS (ORDER BY pos)), nw AS (SELECT p AS pos, r * (1 - q) + r2 * q AS r, g * (1 - q) + g2 * q AS g, b * (1 - q) + b2 * q AS b, 0.5::DOUBLE AS a FROM sp, p, LATERAL (SELECT ((pos2 - pos) - p) / (pos2 - pos) AS q) WHERE pos <= p AND pos2 > p) SELECT pos, round(r, 6) + 0 AS r, round(g, 6) + 0 AS g, round(b, 6) + 0 AS b, a FROM (SELECT * FROM tp UNION ALL SELECT * FROM nw)")
 def tf_insert(spark: SparkSession, d: str) -> DataFrame:
     """A control point at the mean value."""
@@ -157,6 +187,14 @@ def render_composite(spark: SparkSession, d: str) -> DataFrame:
     return ops.composite(s, _table(spark), F.col("most")).select("px", "py", *(F.round(c, 6).alias(c) for c in "rgba"))
 
 
+@query(f"WITH {_FOLD} SELECT px, py, round(sum(t * a * r), 6) AS r, round(sum(t * a * g), 6) AS g, round(sum(t * a * b), 6) AS b, round(sum(t * a), 6) AS a FROM tr WHERE t > 0.01 GROUP BY px, py")
+def render_composite_bricks(spark: SparkSession, d: str) -> DataFrame:
+    """The picture of render_composite, from bricks of which something shows."""
+    v = materialize(voxels(spark, d))
+    most = v.agg(F.max("val")).first()[0]
+    return bricked.composite(_clipped(spark), v, DIMS, STEP, _SIDE, _table(spark), most).select("px", "py", *(F.round(c, 6).alias(c) for c in "rgba"))
+
+
 @query(f"WITH {SAMPLED}, im AS (SELECT px, py, round(max(val) / any_value(most), 6) AS v FROM sv, mx GROUP BY px, py) SELECT (a.i + 24 * b.i)::BIGINT AS idx, coalesce(v, 0) AS v FROM range(24) a(i) CROSS JOIN range(24) b(i) LEFT JOIN im ON im.px = a.i AND im.py = b.i")
 def framebuffer(spark: SparkSession, d: str) -> DataFrame:
     """The picture as a flat array; rays that miss leave 0."""

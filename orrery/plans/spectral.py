@@ -9,6 +9,7 @@ from ..functions.numbers import bit_reverse, tidy
 from ..operators import spectral
 from .inputs import HOURLY, SIGNAL, hourly, padded_signal, signal
 from .registry import query
+from .shared import numbered
 
 _OUT = lambda k, d: f"SELECT {k} AS k, round(re, {d}) + 0 AS re, round(im, {d}) + 0 AS im"
 
@@ -36,6 +37,32 @@ def idft_1d(spark: SparkSession, d: str) -> DataFrame:
     return spectral.dft(there.withColumnRenamed("k", "n"), inverse=True).select("k", F.round("re", 6).alias("value"))
 
 
+EVENTS = "ev AS (SELECT (row_number() OVER (ORDER BY event_id) - 1)::BIGINT AS n, coalesce(value, 0) AS value FROM events)"
+
+
+def _events(spark: SparkSession, d: str) -> DataFrame:
+    rows = spark.read.parquet(f"{d}/events.parquet").withColumn("shard", F.coalesce(F.floor(F.col("event_id") / 65536), F.lit(1 << 62)))
+    return spectral.complex_signal(numbered(rows.select("event_id", "value", "shard"), "shard", ["event_id"], "n").select("n", F.coalesce("value", F.lit(0.0)).alias("value")))
+
+
+@query(f"WITH {EVENTS}, {_dft_sql('ev', digits=2)}")
+def dft_events(spark: SparkSession, d: str) -> DataFrame:
+    """Of every event's value, as many as there are, in N log N."""
+    return _rounded(spectral.fft_any(_events(spark, d)), 2)
+
+
+@query(f"WITH {EVENTS} SELECT n AS k, round(value, 4) AS value FROM ev")
+def idft_events(spark: SparkSession, d: str) -> DataFrame:
+    there = spectral.fft_any(_events(spark, d)).withColumnRenamed("k", "n")
+    return spectral.fft_any(there, inverse=True).select("k", F.round("re", 4).alias("value"))
+
+
+@query(f"WITH {HOURLY}, {_dft_sql('hrs')}")
+def dft_hourly(spark: SparkSession, d: str) -> DataFrame:
+    """The same as dft_1d by chirps."""
+    return _rounded(spectral.fft_any(spectral.complex_signal(hourly(spark, d))))
+
+
 # Each query of the fast transform has two names; both transform every event.
 _FFT = f"WITH {SIGNAL}, {_dft_sql('sig', digits=3)}"
 
