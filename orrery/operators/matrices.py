@@ -10,8 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-#: Components of a vector, at most, where a matrix of their square is held.
-MOST_COMPONENTS = 8192
+#: Components of a vector, at most, where a matrix of their square is held; sketching.principal() has no such bound.
+MOST_COMPONENTS = 1024
 
 
 def to_cells(points: DataFrame) -> DataFrame:
@@ -19,11 +19,43 @@ def to_cells(points: DataFrame) -> DataFrame:
     return points.select(F.col("id").alias("i"), F.posexplode("v").alias("j", "val")).select("i", F.col("j").cast("long").alias("j"), "val")
 
 
-def matmul(a: DataFrame, b: DataFrame) -> DataFrame:
-    """The product: cells meet on the inner index and sum on the outer ones."""
-    right = b.select(F.col("i").alias("k"), F.col("j").alias("j2"), F.col("val").alias("w"))
-    left = a.select("i", F.col("j").alias("k"), "val")
-    return left.join(right, "k").groupBy("i", F.col("j2").alias("j")).agg(F.sum(F.col("val") * F.col("w")).alias("val"))
+#: Rows and columns of a tile of a matrix.
+TILE = 512
+
+
+def matmul(a: DataFrame, b: DataFrame, tile: int = TILE) -> DataFrame:
+    """The product, where a row of one and a column of the other have places in common; absent cells are 0.
+
+    Tiles of one matrix meet those of the other that they are multiplied with, and products of tiles sum up: each cell is sent once for every tile across, not once for every
+    cell that it meets.
+    """
+    size = lambda m, c: F.coalesce(F.floor(F.max(c) / tile) + 1, F.lit(1)).cast("long")
+    rows, columns = a.agg(size(a, "i")).first()[0], b.agg(size(b, "j")).first()[0]
+    cut = lambda c: F.floor(F.col(c) / tile).cast("long")
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
+    left = a.select(cut("i").alias("ti"), cut("j").alias("tk"), every(columns).alias("tj"), F.col("i").cast("long").alias("p"), F.col("j").cast("long").alias("q"), "val")
+    right = b.select(every(rows).alias("ti"), cut("i").alias("tk"), cut("j").alias("tj"), F.col("i").cast("long").alias("p"), F.col("j").cast("long").alias("q"), "val")
+
+    def product(x: pa.Table, y: pa.Table) -> pa.Table:
+        i = j = np.zeros(0, dtype=np.int64)
+        val = np.zeros(0)
+        if x.num_rows and y.num_rows:
+            low_i, low_j = x.column("ti")[0].as_py() * tile, x.column("tj")[0].as_py() * tile
+            sides = []
+            for t in (x, y):
+                dense, there = np.zeros((tile, tile)), np.zeros((tile, tile), dtype=np.float32)
+                at = t.column("p").to_numpy() % tile, t.column("q").to_numpy() % tile
+                np.add.at(dense, at, t.column("val").to_numpy())
+                there[at] = 1
+                sides.append((dense, there))
+            i, j = np.nonzero(sides[0][1] @ sides[1][1])
+            val = (sides[0][0] @ sides[1][0])[i, j]
+            i, j = i + low_i, j + low_j
+        return pa.table({"i": pa.array(i, pa.int64()), "j": pa.array(j, pa.int64()), "val": pa.array(val, pa.float64())})
+
+    by = ("ti", "tk", "tj")
+    fresh = right.select([F.col(c).alias(c) for c in right.columns])  # both may come of one table
+    return left.groupBy(*by).cogroup(fresh.groupBy(*by)).applyInArrow(product, "i long, j long, val double").groupBy("i", "j").agg(F.sum("val").alias("val"))
 
 
 def transpose(a: DataFrame) -> DataFrame:
