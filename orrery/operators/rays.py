@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -150,24 +153,36 @@ def shade(hits: DataFrame, gradients: DataFrame, dims: tuple[int, int, int], eye
 def visited_boxes(found: DataFrame, dims: tuple[int, int, int], least: int) -> DataFrame:
     """px, py, path, t_in, t_out: the boxes of the octree over dims that each ray passes ahead of its origin, at all depths.
 
-    A ray walks down from the root: a box that it passes becomes its eight halves, which arithmetic gives, and those that it misses go. So no box is looked up
-    and no ray meets boxes far from it.
+    Many rays walk down together: of the boxes that they pass, the eight halves, by arithmetic; those that are missed go. So no box is looked up and no ray meets boxes far from it.
     """
-    o, d = ({a: F.col(f"{k}{a}") for a in AXES} for k in "od")
-    level = found.select("px", "py", *o.values(), *d.values(), volumes.root_box(dims, least).alias("b"))
-    passed = None
-    for _ in range(volumes.tree_depth(dims, least) + 1):
-        enter, leave = [], []
-        for a in AXES:
-            by = F.nullif(d[a], F.lit(0.0))
-            t0, t1 = (F.col(f"b.{a}0") - o[a]) / by, (F.col(f"b.{a}1") - o[a]) / by
-            enter.append(F.coalesce(F.least(t0, t1), F.lit(-1e30)))
-            leave.append(F.coalesce(F.greatest(t0, t1), F.lit(1e30)))
-        level = level.withColumns({"t_in": F.greatest(*enter), "t_out": F.least(*leave)}).where(F.col("t_out") >= F.greatest(F.col("t_in"), F.lit(0.0)))
-        here = level.select("px", "py", "b.path", "t_in", "t_out")
-        passed = here if passed is None else passed.unionByName(here)
-        level = level.where("NOT b.leaf").select("px", "py", *o.values(), *d.values(), F.explode(volumes.children(F.col("b"), least)).alias("b"))
-    return passed
+    depth = volumes.tree_depth(dims, least)
+    sides = [np.array(volumes.cuts(n, depth)) for n in dims]
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            px, py = batch.column("px").to_numpy(), batch.column("py").to_numpy()
+            o, d = ([batch.column(f"{k}{a}").to_numpy() for a in AXES] for k in "od")
+            ray, code, piece = np.arange(batch.num_rows), np.zeros(batch.num_rows, dtype=np.int64), [np.zeros(batch.num_rows, dtype=np.int64)] * 3
+            for level in range(depth + 1):
+                box = [s[2**level - 1 + p] for s, p in zip(sides, piece, strict=True)]
+                t_in, t_out = np.full(len(ray), -1e30), np.full(len(ray), 1e30)
+                for k in range(3):
+                    with np.errstate(divide="ignore", invalid="ignore"):
+                        t = (box[k] - o[k][ray, None]) / d[k][ray, None]
+                    across = d[k][ray] != 0
+                    t_in = np.where(across, np.maximum(t_in, t.min(axis=1)), t_in)
+                    t_out = np.where(across, np.minimum(t_out, t.max(axis=1)), t_out)
+                on = t_out >= np.maximum(t_in, 0)
+                ray, code, piece = ray[on], code[on], [p[on] for p in piece]
+                columns = [pa.array(px[ray]), pa.array(py[ray]), pa.array(np.full(len(ray), level), pa.int32()), pa.array(code), pa.array(t_in[on]), pa.array(t_out[on])]
+                yield pa.RecordBatch.from_arrays(columns, names=["px", "py", "depth", "code", "t_in", "t_out"])
+                inner = np.min([b[on][:, 1] - b[on][:, 0] for b in box], axis=0) > least if len(ray) else np.zeros(0, dtype=bool)
+                digit = np.tile(np.arange(8), inner.sum())
+                ray, code = np.repeat(ray[inner], 8), np.repeat(code[inner], 8) * 8 + digit
+                piece = [np.repeat(p[inner], 8) * 2 + (digit >> k & 1) for k, p in enumerate(piece)]
+
+    passed = found.select("px", "py", *(f"{k}{a}" for k in "od" for a in AXES)).mapInArrow(walk, "px int, py int, depth int, code long, t_in double, t_out double")
+    return passed.select("px", "py", volumes.path_of(F.col("code"), F.col("depth")).alias("path"), "t_in", "t_out")
 
 
 def box_events(found: DataFrame, faces: DataFrame, dims: tuple[int, int, int], least: int) -> DataFrame:

@@ -153,58 +153,72 @@ def tree_depth(dims: tuple[int, int, int], least: int) -> int:
     return depth
 
 
-def root_box(dims: tuple[int, int, int], least: int) -> Column:
-    """The box of all voxels, as a struct with its path."""
-    sides = [F.lit(v).alias(f"{a}{e}") for e in (0, 1) for a, v in zip(AXES, (0, 0, 0) if e == 0 else dims, strict=True)]
-    return F.struct(F.lit("").alias("path"), *sides, F.lit(min(dims) <= least).alias("leaf"))
+def cuts(n: int, depth: int) -> list[tuple[int, int]]:
+    """The pieces of a side that is halved again and again: one, then two, then four, down to a depth. The number of piece i at depth k is 2^k - 1 + i."""
+    found, level = [], [(0, n)]
+    for _ in range(depth + 1):
+        found += level
+        level = [half for low, high in level for half in ((low, (low + high) // 2), ((low + high) // 2, high))]
+    return found
 
 
-def _middle(box: Column, a: str) -> Column:
-    return F.floor((box[f"{a}0"] + box[f"{a}1"]) / 2).cast("int")
+def _looked_up(values: list[int], at: Column) -> Column:
+    return F.get(F.array(*map(F.lit, values)), at.cast("int"))
 
 
-def _child(box: Column, high: dict[str, Column], least: int) -> Column:
-    """The half of a box along each axis that high says (its upper one or not)."""
-    low = {a: F.when(high[a], _middle(box, a)).otherwise(box[f"{a}0"]) for a in AXES}
-    top = {a: F.when(high[a], box[f"{a}1"]).otherwise(_middle(box, a)) for a in AXES}
-    digit = sum((high[a].cast("int") * (1 << k) for k, a in enumerate(AXES)), F.lit(0)).cast("string")
-    short = [top[a] - low[a] <= least for a in AXES]
-    return F.struct(F.concat(box["path"], digit).alias("path"), *(low[a].alias(f"{a}0") for a in AXES), *(top[a].alias(f"{a}1") for a in AXES), (short[0] | short[1] | short[2]).alias("leaf"))
-
-
-def children(box: Column, least: int) -> Column:
-    """The eight halves of a box, in the order of their digits."""
-    return F.array(*(_child(box, {a: F.lit(bool((k >> i) & 1)) for i, a in enumerate(AXES)}, least) for k in range(8)))
+def path_of(code: Column, depth: Column) -> Column:
+    """Digits of a box: one for each depth below the root."""
+    return F.when(depth == 0, "").otherwise(F.lpad(F.conv(code.cast("string"), 10, 8), depth.cast("int"), F.lit("0")))
 
 
 def octree(spark, dims: tuple[int, int, int], least: int) -> DataFrame:
     """path, depth, box corners, leaf: boxes split in the middle until a side is least or shorter.
 
-    Boxes depend on the dimensions alone, so each number of a range is a path that is walked down from the root; no box needs another one's row.
+    Boxes depend on the dimensions alone: a number of a range is a depth and a digit for each, whose bits are a piece of each side. The pieces are a few literals, and
+    a box is there if the one above it is long enough, as sides get no longer downwards.
     """
     depth = tree_depth(dims, least)
     before = [(8**k - 1) // 7 for k in range(depth + 2)]  # boxes of the depths above
     level = F.lit(0)
     for k in range(1, depth + 1):
         level = F.when(F.col("id") >= before[k], k).otherwise(level)
-    codes = spark.range(before[depth + 1]).select(level.alias("depth"), "id")
-    code = codes.select("depth", (F.col("id") - F.element_at(F.array(*map(F.lit, before)), F.col("depth") + 1)).alias("code"))
-
-    def step(box: Column, k: Column) -> Column:
-        digit = F.floor(F.col("code") / F.pow(F.lit(8.0), F.col("depth") - k)).cast("long") % 8
-        return F.when(box.isNull() | box["leaf"], None).otherwise(_child(box, {a: digit.bitwiseAND(F.lit(1 << i)) > 0 for i, a in enumerate(AXES)}, least))
-
-    walk = F.when(F.col("depth") > 0, F.aggregate(F.sequence(F.lit(1), F.greatest(F.col("depth"), F.lit(1))), root_box(dims, least), step)).otherwise(root_box(dims, least))
-    return code.select("depth", walk.alias("b")).where("b IS NOT NULL").select("b.path", "depth", *(f"b.{a}{e}" for e in (0, 1) for a in AXES), "b.leaf")
+    boxes = spark.range(before[depth + 1]).select(level.alias("depth"), "id").select("depth", (F.col("id") - _looked_up(before, F.col("depth"))).alias("code"))
+    piece = lambda k: sum((F.shiftleft(F.shiftright("code", 3 * j + k).bitwiseAND(F.lit(1)), j) for j in range(1, depth)), F.shiftright("code", k).bitwiseAND(F.lit(1)))
+    first = F.expr("shiftleft(1, depth)") - 1
+    boxes = boxes.select("*", *((first + piece(k)).alias(f"p{a}") for k, a in enumerate(AXES)))
+    ends = []
+    for a, n in zip(AXES, dims, strict=True):
+        sides = cuts(n, depth)
+        ends += [_looked_up([s[e] for s in sides], F.col(f"p{a}")).alias(f"{a}{e}") for e in (0, 1)]
+        # the piece above piece p is (p - 1) / 2
+        ends.append(_looked_up([high - low for low, high in sides], F.floor((F.col(f"p{a}") - 1) / 2)).alias(f"above{a}"))
+    found = boxes.select("depth", "code", *ends)
+    there = F.least(*(F.col(f"above{a}") for a in AXES)) > least
+    leaf = F.least(*(F.col(f"{a}1") - F.col(f"{a}0") for a in AXES)) <= least
+    kept = found.where((F.col("depth") == 0) | there)
+    return kept.select(path_of(F.col("code"), F.col("depth")).alias("path"), "depth", *(F.col(f"{a}{e}").cast("int").alias(f"{a}{e}") for e in (0, 1) for a in AXES), leaf.alias("leaf"))
 
 
 def leaf_path(dims: tuple[int, int, int], least: int) -> Column:
-    """The path of the leaf that holds a voxel (x, y, z): halves are taken by its place, without looking at any box."""
-
-    def step(box: Column, k: Column) -> Column:
-        return F.when(box["leaf"], box).otherwise(_child(box, {a: F.col(a) >= _middle(box, a) for a in AXES}, least))
-
-    return F.aggregate(F.sequence(F.lit(1), F.lit(max(tree_depth(dims, least), 1))), root_box(dims, least), step)["path"]
+    """The path of the leaf that holds a voxel (x, y, z): what each coordinate says of it, digits and how deep it goes, is looked up in literals as long as the sides."""
+    depth = tree_depth(dims, least)
+    code, deep = F.lit(0).cast("long"), []
+    for k, (a, n) in enumerate(zip(AXES, dims, strict=True)):
+        digits, depths = [], []
+        for at in range(n):
+            low, high, number, end = 0, n, 0, depth if n > least else 0
+            for j in range(1, depth + 1):
+                middle = (low + high) // 2
+                number = 8 * number + ((at >= middle) << k)
+                low, high = (middle, high) if at >= middle else (low, middle)
+                if high - low <= least:
+                    end = min(end, j)
+            digits.append(number)
+            depths.append(end)
+        code = code + _looked_up(digits, F.col(a))
+        deep.append(_looked_up(depths, F.col(a)))
+    full = path_of(code, F.lit(depth))
+    return F.substr(full, F.lit(1), F.least(*deep))
 
 
 def prefixes(path: Column) -> Column:

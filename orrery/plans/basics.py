@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from ..functions.numbers import fixed, lerp, nice_interval, tidy
 from ..operators import arrays, plotting
+from ..sources import formats
 from .inputs import DIMS, P2, VOX, points_2d, voxels
 from .registry import query
-from .shared import materialize
+from .shared import new_path
 
 
 def _cells(spark: SparkSession, d: str) -> DataFrame:
@@ -47,10 +48,28 @@ def approx_equals(spark: SparkSession, d: str) -> DataFrame:
     return same.crossJoin(arrays.approx_equals(a, arrays.dense(spark, SHAPE), on, ["val"]).withColumnRenamed("equal", "zero"))
 
 
+def _there_and_back(cells: DataFrame, kind: str) -> DataFrame:
+    """An array (i0, i1, i2 and values) written as a file of the array format and read again, in several tasks."""
+    spark = formats.register(cells.sparkSession)
+    path = new_path(spark, "files") + ".bin"
+    cells.write.format("ndarray").options(shape=",".join(map(str, SHAPE)), kind=kind).mode("overwrite").save(path)
+    return spark.read.format("ndarray").options(kind=kind, splitBytes=16_384).load(path)
+
+
 @query(f"WITH {VOX} SELECT x, y, z, val FROM vox")
 def nd_roundtrip(spark: SparkSession, d: str) -> DataFrame:
-    """Written as a table and read again."""
-    return materialize(voxels(spark, d))
+    """Written in the array format and read again."""
+    return _there_and_back(_cells(spark, d), "double").select(F.col("i2").alias("x"), F.col("i1").alias("y"), F.col("i0").alias("z"), "val")
+
+
+@query(f"WITH {VOX} SELECT z AS i0, y AS i1, x AS i2, val::INT AS val FROM vox")
+def nd_roundtrip_int(spark: SparkSession, d: str) -> DataFrame:
+    return _there_and_back(_cells(spark, d).withColumn("val", F.col("val").cast("int")), "int")
+
+
+@query(f"WITH {VOX} SELECT z AS i0, y AS i1, x AS i2, val AS a, val / 4 - x AS b FROM vox")
+def nd_roundtrip_pair(spark: SparkSession, d: str) -> DataFrame:
+    return _there_and_back(_cells(spark, d).select("i0", "i1", "i2", F.col("val").alias("a"), (F.col("val") / 4 - F.col("i2")).alias("b")), "pair")
 
 
 @query(f"WITH {P2} SELECT id, y AS x, x AS y FROM p2")

@@ -1,11 +1,11 @@
-"""Queries: the given tables in the formats of the sources, read back. Text goes to files; binary files, which Spark doesn't write, are columns of their content."""
+"""Queries: the given tables in the formats of the sources, written to files and read back."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources import binary, matrices
+from ..sources import binary, formats, matrices
 from .inputs import DIMS, P2, VOX, points_2d, voxels
 from .registry import query
 from .shared import new_path
@@ -67,6 +67,17 @@ def src_labels_every_20(spark: SparkSession, d: str) -> DataFrame:
     return matrices.read_labels(spark, _labels(spark, d), 20)
 
 
+#: Bytes of a file that a task reads here, so that files of the small tables are several tasks.
+SPLIT = 4096
+
+
+def _read_back(files: DataFrame, kind: str) -> DataFrame:
+    """(path, content) -> files of these names, read as a format: its rows, with path the name without its ending."""
+    spark, path = formats.register(files.sparkSession), new_path(files.sparkSession, "files")
+    files.write.format("blobs").mode("overwrite").save(path)
+    return spark.read.format(kind).option("splitBytes", SPLIT).load(path).withColumn("path", F.regexp_extract("path", r"([^/.]+)[^/]*$", 1))
+
+
 def _idx(spark: SparkSession, d: str, magic: int, item: Column, sizes: str) -> DataFrame:
     """Rows of embeddings as IDX content, FILE_ROWS ids a file."""
     e = spark.read.parquet(f"{d}/embeddings.parquet").select("vec_id", F.floor(F.col("vec_id") / FILE_ROWS).alias("file"), item.alias("item"))
@@ -79,13 +90,13 @@ def _idx(spark: SparkSession, d: str, magic: int, item: Column, sizes: str) -> D
 def src_idx_images(spark: SparkSession, d: str) -> DataFrame:
     """Vectors as images of 8 x 8 bytes."""
     pixels = F.array_join(F.transform("embedding", lambda x: _bytes(F.floor((x.cast("double") + 1) * 127.5), 1)), "")
-    found = binary.idx_images(_idx(spark, d, binary.IDX_IMAGES, pixels, f"{8:08x}{8:08x}"))
+    found = _read_back(_idx(spark, d, binary.IDX_IMAGES, pixels, f"{8:08x}{8:08x}"), "idx")
     return found.select("path", "id", F.transform("features", lambda x: F.round(x.cast("double"), 5)).alias("features"))
 
 
 @query(f"SELECT (vec_id // {FILE_ROWS})::VARCHAR AS path, row_number() OVER (PARTITION BY vec_id // {FILE_ROWS} ORDER BY vec_id) - 1 AS id, label::INT AS label FROM embeddings")
 def src_idx_labels(spark: SparkSession, d: str) -> DataFrame:
-    return binary.idx_labels(_idx(spark, d, binary.IDX_LABELS, _bytes(F.col("label"), 1), ""))
+    return _read_back(_idx(spark, d, binary.IDX_LABELS, _bytes(F.col("label"), 1), ""), "idx")
 
 
 def _planes(spark: SparkSession, d: str, width: int) -> DataFrame:
@@ -99,7 +110,7 @@ def src_volume_dat(spark: SparkSession, d: str) -> DataFrame:
     """Planes of the volume as files of sixteen-bit voxels."""
     head = "".join(n.to_bytes(2, "little").hex() for n in (DIMS[0], DIMS[1], 1))
     files = _planes(spark, d, 2).select(F.col("z").cast("string").alias("path"), F.unhex(F.concat(F.lit(head), F.col("voxels"))).alias("content"))
-    return binary.volume(files, "dat")
+    return _read_back(files.withColumn("path", F.concat("path", F.lit(".dat"))), "voxels")
 
 
 @query(f"WITH {VOX} SELECT z::VARCHAR AS path, x, y, 0 AS z, least(val, 255) AS val FROM vox")
@@ -107,4 +118,4 @@ def src_volume_fld(spark: SparkSession, d: str) -> DataFrame:
     """Planes of the volume as files with a text header and bytes."""
     head = f"# planes\nndim=3\ndim1={DIMS[0]}\ndim2={DIMS[1]}\ndim3=1\ndata=byte\n\f\f".encode().hex()
     files = _planes(spark, d, 1).select(F.col("z").cast("string").alias("path"), F.unhex(F.concat(F.lit(head), F.col("voxels"))).alias("content"))
-    return binary.volume(files, "fld")
+    return _read_back(files.withColumn("path", F.concat("path", F.lit(".fld"))), "voxels")
