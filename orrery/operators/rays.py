@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from ..functions.numbers import with_phong
 from ..functions.tables import materialize
 from . import volumes
+from .intervals import within
 from .volumes import AXES, trilinear
 
 
@@ -198,6 +199,18 @@ def ordered_events(events: DataFrame) -> DataFrame:
     return events.withColumns({"next": F.lead("t").over(w), "place": F.row_number().over(w).cast("long")})
 
 
+def events_by_distance(events: DataFrame) -> DataFrame:
+    """Events with their place along each ray (from 1), the nearest first, those at one distance in the order of emission, and the next event's t."""
+    w = Window.partitionBy("px", "py").orderBy("t", "seq")
+    return events.withColumns({"next": F.lead("t").over(w), "place": F.row_number().over(w).cast("long")})
+
+
+def samples_in_stretches(places: DataFrame, stretches: DataFrame, width: float) -> DataFrame:
+    """Samples (px, py, i, t) with n, how many of their ray's stretches (px, py, place, t0, t1) hold them; samples in none are left out."""
+    met = within(places.select("px", "py", "i", "t"), stretches.select("px", "py", "t0", "t1"), "t", "t0", "t1", width, ["px", "py"])
+    return met.groupBy("px", "py", "i", "t").agg(F.count(F.lit(1)).alias("n"))
+
+
 def intervals(events: DataFrame) -> DataFrame:
     """Stretches to sample: from the entry into a full box to the ray's next event in its list, the last emitted first."""
     used = ordered_events(events).where("entry = 1 AND class = 1 AND next IS NOT NULL")

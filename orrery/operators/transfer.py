@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .intervals import within
+
 # The default control points (place, red, green, blue, opacity).
 DEFAULT = [
     (0.0, 0.0, 0.0, 0.0, 0.0),
@@ -33,8 +35,11 @@ def colour_table(points: DataFrame, size: int = 256) -> DataFrame:
     """bin, r, g, b, a: linear between neighbouring control points. An entry on a control point belongs to the stretch that ends there."""
     spans = _spans(points)
     entries = points.sparkSession.range(size).select(F.col("id").cast("int").alias("bin"))
-    x = F.col("bin") / float(size)
-    met = entries.join(F.broadcast(spans), (x > F.col("pos")) & (x <= F.col("pos2")) | (F.col("bin") == 0) & (F.col("pos") == 0))
+    x = F.col("x")
+    placed = entries.withColumn("x", F.col("bin") / float(size))
+    met = within(placed, spans, "x", "pos", "pos2", 1 / 16, closed="high")
+    # the first entry is on the first point, where no stretch ends
+    met = met.unionByName(placed.where("bin = 0").join(spans.withColumn("first", F.lit(0)), (F.col("bin") == F.col("first")) & (F.col("pos") == 0)).drop("first"))
     f = (x - F.col("pos")) / (F.col("pos2") - F.col("pos"))
     return met.select("bin", *((F.col(c) * (1 - f) + F.col(f"{c}2") * f).alias(c) for c in "rgba"))
 

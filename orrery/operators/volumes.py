@@ -15,9 +15,10 @@ AXES = ("x", "y", "z")
 
 
 def histogram(voxels: DataFrame) -> DataFrame:
-    """bin (the value's whole part), count: every bin from 0 to the largest, empty ones too."""
-    counted = voxels.groupBy(F.col("val").cast("long").alias("bin")).agg(F.count(F.lit(1)).alias("n"))
-    every = counted.agg(F.explode(F.sequence(F.lit(0).cast("long"), F.max("bin"))).alias("bin"))
+    """bin (the value's whole part), n: every bin from 0, or the smallest if that is less, to the largest, empty ones too. Bins are a range, cut into tasks, however many there are."""
+    counted = voxels.groupBy(F.col("val").cast("long").alias("bin")).agg(F.count(F.lit(1)).alias("n")).where("bin IS NOT NULL")
+    low, high = counted.agg(F.least(F.min("bin"), F.lit(0).cast("long")), F.max("bin")).first()
+    every = voxels.sparkSession.range(low, high + 1 if high is not None else low).select(F.col("id").alias("bin"))
     return every.join(counted, "bin", "left").select("bin", F.coalesce("n", F.lit(0)).cast("long").alias("n"))
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.numbers import fixed, lerp, nice_interval, tidy
-from ..operators import arrays, plotting
+from ..operators import arrays, plotting, quantiles
 from ..sources import formats
 from .inputs import DIMS, P2, VOX, points_2d, voxels
 from .registry import query
@@ -48,6 +48,29 @@ def approx_equals(spark: SparkSession, d: str) -> DataFrame:
     return same.crossJoin(arrays.approx_equals(a, arrays.dense(spark, SHAPE), on, ["val"]).withColumnRenamed("equal", "zero"))
 
 
+@query(f"WITH {P2} SELECT id, round(sqrt(pow(x - y, 2) + pow(y - x, 2)), 9) AS diff FROM p2")
+def diff_euclid(spark: SparkSession, d: str) -> DataFrame:
+    """How far points are from their mirror images, as vectors."""
+    p = points_2d(spark, d)
+    return arrays.difference(p, arrays.swap_columns(p, "x", "y"), ["id"], ["x", "y"], "euclid").withColumn("diff", tidy(F.col("diff"), 9))
+
+
+@query(f"WITH {P2} SELECT id, round(abs(x - y) + abs(y - x), 9) AS diff FROM p2")
+def diff_sum(spark: SparkSession, d: str) -> DataFrame:
+    """The same as complex numbers, by parts."""
+    p = points_2d(spark, d)
+    return arrays.difference(p, arrays.swap_columns(p, "x", "y"), ["id"], ["x", "y"], "sum").withColumn("diff", tidy(F.col("diff"), 9))
+
+
+_AT = [0.01, 0.1, 0.25, 0.5, 0.75, 0.9, 0.99]
+
+
+@query(f"WITH p AS (SELECT event_type, unnest({_AT}) AS q, unnest(quantile_cont(value, {_AT})) AS exact FROM events GROUP BY event_type) SELECT event_type, q::DOUBLE AS q, round(exact, 6) AS exact, true AS close FROM p")
+def event_quantiles(spark: SparkSession, d: str) -> DataFrame:
+    """Quantiles of the events' values by type, and whether a sketch's are within its bound of these."""
+    return quantiles.with_exact(spark.read.parquet(f"{d}/events.parquet"), ["event_type"], "value", _AT).withColumn("exact", F.round("exact", 6))
+
+
 def _there_and_back(cells: DataFrame, kind: str) -> DataFrame:
     """An array (i0, i1, i2 and values) written as a file of the array format and read again, in several tasks."""
     spark = formats.register(cells.sparkSession)

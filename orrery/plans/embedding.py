@@ -305,14 +305,26 @@ def bh_repulsive(spark: SparkSession, d: str) -> DataFrame:
     return r.crossJoin(F.broadcast(z)).select("i", *(tidy(-4 * F.col(f) / F.col("total"), 8).alias(g) for f, g in (("fx", "gx"), ("fy", "gy"))))
 
 
-@query(with_(f"{TREE}, z AS (SELECT sum(q) AS z FROM (SELECT 1 / (1 + pow(a.x - b.x, 2) + pow(a.y - b.y, 2)) AS q FROM sc a JOIN sc b ON a.id <> b.id)), ex AS (SELECT a.id AS i, -4 * sum((b.x - a.x) / pow(1 + pow(a.x - b.x, 2) + pow(a.y - b.y, 2), 2)) / any_value(z) AS gx, -4 * sum((b.y - a.y) / pow(1 + pow(a.x - b.x, 2) + pow(a.y - b.y, 2), 2)) / any_value(z) AS gy FROM sc a JOIN sc b ON a.id <> b.id, z GROUP BY a.id), ap AS (SELECT i, -4 * sum(fx) / (SELECT sum(z) FROM bh) AS gx, -4 * sum(fy) / (SELECT sum(z) FROM bh) AS gy FROM bh GROUP BY i)", "SELECT round(avg(sqrt(pow(ex.gx - ap.gx, 2) + pow(ex.gy - ap.gy, 2))) / avg(sqrt(ex.gx * ex.gx + ex.gy * ex.gy)), 4) AS ratio FROM ex JOIN ap USING (i)"))
-def gradient_compare(spark: SparkSession, d: str) -> DataFrame:
-    """How far the Barnes-Hut gradient is from the exact one."""
+def _both_gradients(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """The exact repulsion and that by Barnes-Hut."""
     points = _scaled(spark, d)
     r = embedding.barnes_hut(points, 0.6, _BUCKET, _LEVELS)
     z = r.agg(F.sum("z").alias("total"))
     near = r.crossJoin(F.broadcast(z)).select("i", (-4 * F.col("fx") / F.col("total")).alias("gx"), (-4 * F.col("fy") / F.col("total")).alias("gy"))
-    return embedding.compare(embedding.negative_exact(points), near).select(F.round("ratio", 4).alias("ratio"))
+    return embedding.negative_exact(points), near
+
+
+@query(with_(f"{TREE}, z AS (SELECT sum(q) AS z FROM (SELECT 1 / (1 + pow(a.x - b.x, 2) + pow(a.y - b.y, 2)) AS q FROM sc a JOIN sc b ON a.id <> b.id)), ex AS (SELECT a.id AS i, -4 * sum((b.x - a.x) / pow(1 + pow(a.x - b.x, 2) + pow(a.y - b.y, 2), 2)) / any_value(z) AS gx, -4 * sum((b.y - a.y) / pow(1 + pow(a.x - b.x, 2) + pow(a.y - b.y, 2), 2)) / any_value(z) AS gy FROM sc a JOIN sc b ON a.id <> b.id, z GROUP BY a.id), ap AS (SELECT i, -4 * sum(fx) / (SELECT sum(z) FROM bh) AS gx, -4 * sum(fy) / (SELECT sum(z) FROM bh) AS gy FROM bh GROUP BY i)", "SELECT round(avg(sqrt(pow(ex.gx - ap.gx, 2) + pow(ex.gy - ap.gy, 2))) / avg(sqrt(ex.gx * ex.gx + ex.gy * ex.gy)), 4) AS ratio FROM ex JOIN ap USING (i)"))
+def gradient_compare(spark: SparkSession, d: str) -> DataFrame:
+    """How far the Barnes-Hut gradient is from the exact one."""
+    return embedding.compare(*_both_gradients(spark, d)).select(F.round("ratio", 4).alias("ratio"))
+
+
+@query(with_(f"{TREE}, z AS (SELECT sum(q) AS z FROM (SELECT 1 / (1 + pow(a.x - b.x, 2) + pow(a.y - b.y, 2)) AS q FROM sc a JOIN sc b ON a.id <> b.id)), ex AS (SELECT a.id AS i, -4 * sum((b.x - a.x) / pow(1 + pow(a.x - b.x, 2) + pow(a.y - b.y, 2), 2)) / any_value(z) AS gx, -4 * sum((b.y - a.y) / pow(1 + pow(a.x - b.x, 2) + pow(a.y - b.y, 2), 2)) / any_value(z) AS gy FROM sc a JOIN sc b ON a.id <> b.id, z GROUP BY a.id), ap AS (SELECT i, -4 * sum(fx) / (SELECT sum(z) FROM bh) AS gx, -4 * sum(fy) / (SELECT sum(z) FROM bh) AS gy FROM bh GROUP BY i)", "SELECT round(avg(sqrt(pow(ex.gx - ap.gx, 2) + pow(ex.gy - ap.gy, 2))) / avg(sqrt(ap.gx * ap.gx + ap.gy * ap.gy)), 4) AS ratio FROM ex JOIN ap USING (i)"))
+def gradient_compare_reversed(spark: SparkSession, d: str) -> DataFrame:
+    """The same with the Barnes-Hut gradient as the measure."""
+    exact, near = _both_gradients(spark, d)
+    return embedding.compare(near, exact).select(F.round("ratio", 4).alias("ratio"))
 
 
 # ---- interpolation -------------------------------------------------------------------------------------------------

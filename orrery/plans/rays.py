@@ -281,6 +281,19 @@ def ray_events_ordered(spark: SparkSession, d: str) -> DataFrame:
     return ops.ordered_events(_events(spark, d)).withColumns({"t": F.round("t", 6), "next": F.round("next", 6)})
 
 
+@query(with_(_EMIT, "SELECT px, py, seq, place::BIGINT AS place, round(t, 6) AS t, round(nx, 6) AS next, entry::INT AS entry FROM (SELECT *, lead(t) OVER w AS nx, row_number() OVER w AS place FROM ev WINDOW w AS (PARTITION BY px, py ORDER BY t, seq))"))
+def ray_events_by_t(spark: SparkSession, d: str) -> DataFrame:
+    """Each ray's events by distance."""
+    return ops.events_by_distance(_events(spark, d)).select("px", "py", "seq", "place", F.round("t", 6).alias("t"), F.round("next", 6).alias("next"), "entry")
+
+
+@query(with_(f"""{_EMIT}, iv AS (SELECT px, py, least(t, nx) AS t0, greatest(t, nx) AS t1 FROM (SELECT *, lead(t) OVER w AS nx FROM ev WINDOW w AS (PARTITION BY px, py ORDER BY seq DESC)) WHERE entry = 1 AND class = 1 AND nx IS NOT NULL)""",
+"SELECT st.px, st.py, i::INT AS i, count(*)::BIGINT AS n FROM st JOIN iv ON st.px = iv.px AND st.py = iv.py AND st.t BETWEEN t0 AND t1 GROUP BY st.px, st.py, i"))
+def ray_samples_in_intervals(spark: SparkSession, d: str) -> DataFrame:
+    """Samples of each ray that lie in stretches, with the number of these."""
+    return ops.samples_in_stretches(ops.along(_clipped(spark), STEP), ops.intervals(_events(spark, d)), 4 * STEP).select("px", "py", "i", "n")
+
+
 @query(with_(_EMIT, "SELECT px, py, place::BIGINT AS place, round(least(t, nx), 6) AS t0, round(greatest(t, nx), 6) AS t1 FROM (SELECT *, lead(t) OVER w AS nx, row_number() OVER w AS place FROM ev WINDOW w AS (PARTITION BY px, py ORDER BY seq DESC)) WHERE entry = 1 AND class = 1 AND nx IS NOT NULL"))
 def ray_intervals(spark: SparkSession, d: str) -> DataFrame:
     return ops.intervals(_events(spark, d)).select("px", "py", "place", F.round("t0", 6).alias("t0"), F.round("t1", 6).alias("t1"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.numbers import tidy
-from ..operators import volumes
+from ..operators import quantiles, volumes
 from .inputs import DIMS, VOX, voxels
 from .neighbours import with_
 from .registry import query
@@ -31,6 +31,15 @@ def volume_histogram(spark: SparkSession, d: str) -> DataFrame:
     return volumes.histogram(voxels(spark, d))
 
 
+_AT = [0.05, 0.25, 0.5, 0.75, 0.95]
+
+
+@query(f"WITH {VOX}, p AS (SELECT z, unnest({_AT}) AS q, unnest(quantile_cont(val, {_AT})) AS exact FROM vox GROUP BY z) SELECT z, q::DOUBLE AS q, round(exact, 6) AS exact, true AS close FROM p")
+def voxel_quantiles(spark: SparkSession, d: str) -> DataFrame:
+    """Quantiles of each plane of the volume, and whether a sketch's are within its bound of these."""
+    return quantiles.with_exact(voxels(spark, d), ["z"], "val", _AT).withColumn("exact", F.round("exact", 6))
+
+
 @query(f"WITH {VOX}, h AS (SELECT trunc(val)::BIGINT AS bin, count(*) AS n FROM vox GROUP BY 1), m AS (SELECT max(n) AS m FROM h) SELECT bin, count(*)::BIGINT AS lit FROM h, m, range(64) r(y) WHERE (64 - y) < n * 64 / (1.1 * m) GROUP BY bin")
 def histogram_raster(spark: SparkSession, d: str) -> DataFrame:
     """Lit pixels of each bar of a picture 64 pixels high."""
@@ -224,12 +233,12 @@ def occ_class(spark: SparkSession, d: str) -> DataFrame:
     return _classed(spark, d).select("path", "class")
 
 
-@query(with_(TREE, "SELECT path, (row_number() OVER (PARTITION BY substr(path, 1, length(path) - 1) ORDER BY pow((x0 + x1) / 2.0 - 10, 2) + pow((y0 + y1) / 2.0 - 20, 2) + pow((z0 + z1) / 2.0 - 30, 2) DESC, path))::BIGINT AS place FROM oc WHERE path <> ''"))
+@query(with_(TREE, "SELECT path, (row_number() OVER (PARTITION BY substr(path, 1, length(path) - 1) ORDER BY pow((x0 + x1) / 2.0 - 10, 2) + pow((y0 + y1) / 2.0 - 20, 2) + pow((z0 + z1) / 2.0 - 30, 2) DESC, path))::BIGINT AS place FROM cl WHERE path <> '' AND n_full > 0"))
 def occ_sort(spark: SparkSession, d: str) -> DataFrame:
-    """Children of each box that holds voxels, the farthest from an eye first."""
+    """Of each box, the children with a full leaf, the farthest from an eye first."""
     centre = lambda a: (F.col(f"{a}0") + F.col(f"{a}1")) / 2.0
     far = F.pow(centre("x") - 10, 2) + F.pow(centre("y") - 20, 2) + F.pow(centre("z") - 30, 2)
-    boxes = _classed(spark, d).where("path <> ''").withColumn("parent", F.expr("substr(path, 1, length(path) - 1)"))
+    boxes = _classed(spark, d).where("path <> '' AND n_full > 0").withColumn("parent", F.expr("substr(path, 1, length(path) - 1)"))
     return boxes.select("path", F.row_number().over(Window.partitionBy("parent").orderBy(far.desc(), "path")).cast("long").alias("place"))
 
 
@@ -242,7 +251,7 @@ def octree_emit(spark: SparkSession, d: str) -> DataFrame:
 @query(with_(TREE, """SELECT path, e::INT AS edge, (CASE WHEN a = 0 THEN x0 WHEN a = 1 THEN CASE WHEN u = 0 THEN x0 ELSE x1 END ELSE CASE WHEN u = 0 THEN x0 ELSE x1 END END)::INT AS ax,
 (CASE WHEN a = 1 THEN y0 WHEN a = 0 THEN CASE WHEN u = 0 THEN y0 ELSE y1 END ELSE CASE WHEN w = 0 THEN y0 ELSE y1 END END)::INT AS ay, (CASE WHEN a = 2 THEN z0 ELSE CASE WHEN w = 0 THEN z0 ELSE z1 END END)::INT AS az,
 (CASE WHEN a = 0 THEN x1 ELSE CASE WHEN u = 0 THEN x0 ELSE x1 END END)::INT AS bx, (CASE WHEN a = 1 THEN y1 WHEN a = 0 THEN CASE WHEN u = 0 THEN y0 ELSE y1 END ELSE CASE WHEN w = 0 THEN y0 ELSE y1 END END)::INT AS "by", (CASE WHEN a = 2 THEN z1 ELSE CASE WHEN w = 0 THEN z0 ELSE z1 END END)::INT AS bz
-FROM (SELECT oc.*, e, e // 4 AS a, e & 1 AS u, (e >> 1) & 1 AS w FROM oc CROSS JOIN range(12) r(e) WHERE leaf)"""))
+FROM (SELECT c.*, e, e // 4 AS a, e & 1 AS u, (e >> 1) & 1 AS w FROM cl c LEFT JOIN cl p ON c.path <> '' AND p.path = substr(c.path, 1, length(c.path) - 1) CROSS JOIN range(12) r(e) WHERE p.path IS NULL OR p.class <> c.class)"""))
 def box_edges(spark: SparkSession, d: str) -> DataFrame:
-    """The twelve edges of each leaf, with their end points a and b: four along each axis."""
-    return volumes.edges(_leaves(spark, d))
+    """The twelve edges of each emitted box, with their end points a and b: four along each axis."""
+    return volumes.edges(volumes.emitted(materialize(_classed(spark, d))).where("front = 0"))
