@@ -603,8 +603,6 @@ _MIN_COPY, _PROBE = 4, 3
 _CACHE_BITS = 8
 #: Predictors that payload images may have (left, top, and the one of both that the corner favours), and bits of a tile's side.
 _MODES, _TILE_BITS = (1, 2, 11), 4
-#: Mean step from pixel to pixel under which transforms are tried.
-_SMOOTH = 24
 
 
 def _entropy(counts: np.ndarray) -> np.ndarray:
@@ -651,43 +649,37 @@ def _cross_multipliers(px: np.ndarray, owner: np.ndarray, images: int) -> np.nda
 def _transformed(px: np.ndarray, owner: np.ndarray, first: np.ndarray, heights: np.ndarray, width: int) -> tuple[np.ndarray, list[list[np.ndarray]]]:
     """For each image the pixels under the transforms that promise the least bits, and these transforms' bits in the stream.
 
-    Candidates: none, subtract-green, each predictor, and cross-colour; and these are tried on what the best predictor leaves. They are tried on images in which
-    samples are like those of the pixel before; in others, as in most text, they leave more bits than there were.
+    Candidates for every image: none, subtract-green, each predictor, and cross-colour; and these on top of the best predictor. Sizes are estimated from every fourth row, or
+    from all rows of a lower image; what is chosen is then done to the whole one.
     """
     k = len(heights)
-    c = _channels(px).reshape(-1, 4)
-    steps = np.zeros(len(px), dtype=np.int64)
-    steps[1:] = np.abs((c[1:] - c[:-1]).view(np.int8).astype(np.int16)).sum(axis=1)
-    smooth = np.bincount(owner, weights=steps, minlength=k) < 4 * _SMOOTH * width * heights
-    if not smooth.all():
-        best, heads = px.copy(), [[] for _ in range(k)]
-        some = np.flatnonzero(smooth)
-        if len(some):
-            at = smooth[owner]
-            best[at], found = _transformed(px[at], (np.cumsum(smooth) - 1)[owner[at]], first[at], heights[some], width)
-            for i, head in zip(some, found, strict=True):
-                heads[i] = head
-        return best, heads
-    best, bits = px.copy(), _literal_bits(px, owner, k)
-    heads: list[list[np.ndarray]] = [[] for _ in range(k)]
-
-    def offer(candidate: np.ndarray, head, least_rows: int = 1) -> None:
-        nonlocal bits
-        new = _literal_bits(candidate, owner, k)
-        better = (new + 8 * 24 < bits) & (heights >= least_rows)  # the transform's own image takes some bytes
-        if better.any():
-            at = better[owner]
-            best[at] = candidate[at]
-            bits = np.where(better, new, bits)
-            for i in np.flatnonzero(better):
-                heads[i] = head(i)
-
+    row = first // width
+    tried = (heights[owner] < 4) | (row % 4 == 1)
+    some, scale = owner[tried], heights / np.maximum(np.bincount(owner[tried], minlength=k) / width, 1)
+    size = lambda candidate: scale * _literal_bits(candidate[tried], some, k)
+    bits, plan = size(px), np.zeros((k, 2), dtype=np.int64)
+
+    def offer(candidate: np.ndarray, step: int, choice: int, bits: np.ndarray) -> np.ndarray:
+        new = size(candidate) + 8 * 24  # the transform's own image takes some bytes
+        plan[new < bits, step] = choice
+        return np.minimum(new, bits)
+
+    near = {mode: _residuals(px, first, mode, width) for mode in _MODES}
+    for mode in _MODES:
+        bits = offer(near[mode], 0, mode, bits)
+    base = px.copy()
     for mode in _MODES:
-        offer(_residuals(px, first, mode, width), lambda i, mode=mode: [_predictor_bits(mode)])
-    base, before = best.copy(), [list(h) for h in heads]
-    offer(_ungreen(base[None], width, 0, None, -1)[0], lambda i: before[i] + [_green_bits()])
-    packed = _cross_multipliers(base, owner, k)
-    offer(_crossed(base, packed[owner]), lambda i: before[i] + [_cross_bits(int(packed[i]))])
+        mine = (plan[:, 0] == mode)[owner]
+        base[mine] = near[mode][mine]
+    green = _ungreen(base[None], width, 0, None, -1)[0]
+    bits = offer(green, 1, 1, bits)
+    packed = _cross_multipliers(base[tried], some, k)
+    offer(_crossed(base, packed[owner]), 1, 2, bits)
+    best, second = base, plan[owner, 1]
+    best[second == 1] = green[second == 1]
+    crossing = np.flatnonzero(second == 2)
+    best[crossing] = _crossed(base[crossing], packed[owner[crossing]])
+    heads = [[_predictor_bits(int(m))] * bool(m) + ([_green_bits()] if s == 1 else [_cross_bits(int(packed[i]))] if s == 2 else []) for i, (m, s) in enumerate(plan)]
     return best, heads
 
 
