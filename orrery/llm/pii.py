@@ -10,23 +10,24 @@ from .common import discard, let, materialize
 KEY = "orrery"
 
 # Forms of address by gender, and what a detected entity looks like. The first pattern that fits an entity gives its type.
-MALE = ("Mr", "Herr", "Señor", "Monsieur", "Sir", "Господин", "Κύριος")
-FEMALE = ("Mrs", "Ms", "Miss", "Frau", "Señora", "Señorita", "Madame", "Mme", "Mlle", "Madam", "Госпожа", "Κυρία")
-_TITLE = "(?:" + "|".join(sorted(MALE + FEMALE, key=len, reverse=True)) + r")\.?"
+MALE = ("Mr", "mr", "MR", "Herr", "Señor", "Monsieur", "Sir", "Господин", "Κύριος")
+FEMALE = ("Mrs", "mrs", "MRS", "Ms", "MS", "Miss", "Frau", "Señora", "Señorita", "Madame", "Mme", "Mlle", "Madam", "Госпожа", "Κυρία")
+NEITHER = ("Dr", "dr", "DR", "Prof", "prof", "PROF", "Doctor", "Professor")
+_TITLE = "(?:" + "|".join(sorted(MALE + FEMALE + NEITHER, key=len, reverse=True)) + r")\.?"
 #: Nothing of a word before, or after. All repetitions without a bound are possessive, so that no text takes more than time in proportion to its length.
 _L, _R = r"(?<![\p{L}\p{N}_])", r"(?![\p{L}\p{N}_])"
 _LOCAL = r"[\p{L}\p{N}._%+-]"
-_SURNAME = r"\p{Lu}(?:\p{L}++(?:['’-](?!s(?!\p{L}))\p{L}++)*+|['’]\p{Lu}\p{L}++)"
+_SURNAME = r"\p{Lu}(?:\p{L}++(?:['’-](?![sS](?!\p{L}))\p{L}++)*+|['’]\p{Lu}\p{L}++)"
 TYPES = {
     # an address starts where such a run starts, or where the last entity ended; a domain is labels of which the last has letters alone
     "email": rf"(?:(?<!{_LOCAL})|\G){_LOCAL}++@(?:(?:[\p{{L}}\p{{N}}-]++\.){{1,127}}?(?=\p{{L}}{{2}}))++\p{{L}}{{2,}}+",
-    "secret": rf"{_L}(?:[0-9a-f]{{32,}}+|[0-9A-F]{{32,}}+|AKIA[0-9A-Z]{{16}}|sk-[A-Za-z0-9]{{20,}}+|gh[pousr]_[A-Za-z0-9]{{20,}}+){_R}",
+    "secret": rf"{_L}(?:[0-9a-f]{{32,}}+|[0-9A-F]{{32,}}+|AKIA[0-9A-Z]{{16}}|sk-[A-Za-z0-9]{{20,}}+|gh[pousr]_[A-Za-z0-9]{{20,}}+|xox[abprs]-[A-Za-z0-9-]{{10,}}+|eyJ[A-Za-z0-9_-]{{10,}}+(?:\.[A-Za-z0-9_-]{{10,}}+){{1,2}}){_R}",
     "iban": rf"{_L}[A-Z]{{2}}[0-9]{{2}}(?:[A-Z0-9]{{11,30}}|(?: [A-Z]{{4}})?(?: [0-9]{{4}}){{2,7}}(?: [0-9]{{1,3}})?){_R}",
     "card": rf"{_L}(?:(?:[0-9]{{4}}[ -]?){{3}}[0-9]{{4}}|[0-9]{{13,19}}){_R}",
-    "phone": rf"\+?[0-9]{{1,3}}[ .-]?\([0-9]{{2,4}}\)[ .-]?[0-9]{{3,4}}[ .-]?[0-9]{{3,4}}{_R}|\([0-9]{{3}}\) ?[0-9]{{3}}[ .-][0-9]{{4}}{_R}|{_L}[0-9]{{3}}[.-][0-9]{{3}}[.-][0-9]{{4}}{_R}|\+[0-9]{{1,3}}(?:[ .-]?[0-9]{{2,4}}){{2,5}}{_R}",
+    "phone": rf"\+?[0-9]{{1,3}}[ .-]?\([0-9]{{2,4}}\)[ .-]?[0-9]{{3,4}}[ .-]?[0-9]{{3,4}}{_R}|\([0-9]{{3}}\) ?[0-9]{{3}}[ .-][0-9]{{4}}{_R}|{_L}[0-9]{{3}}[.-][0-9]{{3}}[.-][0-9]{{4}}{_R}|\+[0-9]{{1,3}}(?:[ .-]?[0-9]{{2,4}}){{2,5}}{_R}|{_L}0[0-9]{{2,4}} [0-9]{{3,4}} [0-9]{{3,4}}{_R}",
     "national_id": rf"{_L}[0-9]{{3}}-[0-9]{{2}}-[0-9]{{4}}{_R}",
     "ip": rf"{_L}(?:[0-9]{{1,3}}\.){{3}}[0-9]{{1,3}}{_R}",
-    "name": rf"{_L}{_TITLE}\s{_SURNAME}(?: {_SURNAME})?",
+    "name": rf"{_L}{_TITLE}\s{_SURNAME}(?: {_SURNAME})?|{_L}mrs?\.?\s\p{{Ll}}\p{{L}}++",
 }
 PATTERN = "|".join(f"(?:{p})" for p in TYPES.values())
 #: Further draws in the format of the identity for surrogates that collide; each draw after them is a character longer.
@@ -39,9 +40,16 @@ _SETS = {
     r"\p{IsGreek}": ("βγδζθκλμνπρστφχ", "αεηιο"),
     r"\p{IsArmenian}": ("բգդզլկհմնպստրվ", "աեիոօ"),
     r"\p{IsGeorgian}": ("ბგდვზთკლმნპრსტ", "აეიოუ"),
+    r"\p{IsArabic}": ("بتجدرزسفقكلمن", "اوي"),
+    r"\p{IsHebrew}": ("בגדזחטכלמנספצקרשת", "אוי"),
+    r"\p{IsDevanagari}": ("कगजटडतदनपबमयरलवसह", "अइउएओ"),
+    r"\p{IsHan}": ("安平明文林春江山石雨云竹松月", "一大小中天"),
+    r"\p{IsHiragana}": ("かきくけこさしすせそたちつてとなにぬねの", "あいうえお"),
+    r"\p{IsKatakana}": ("カキクケコサシスセソタチツテトナニヌネノ", "アイウエオ"),
+    r"\p{IsHangul}": ("가나다라마바사자하", "고노도로모"),
     r"\p{L}": ("bcdfghjklmnprstvwz", "aeiou"),
 }
-_VENDOR = "^(AKIA|sk-|gh[pousr]_)"
+_VENDOR = "^(AKIA|sk-|gh[pousr]_|xox[abprs]-|eyJ)"
 # Marks around entities while a text is cut up: noncharacters of Unicode. Where a text has them, they stand escaped meanwhile.
 _MARK, _ESCAPE, _WAS_ESCAPE, _WAS_MARK = "﷐", "﷑", "﷑﷒", "﷑﷓"
 
@@ -62,14 +70,26 @@ def entity_type(e: Column) -> Column:
     return found
 
 
-def identity(kind: Column, e: Column) -> Column:
-    """What mentions of one entity have in common: separators, forms of address (but for the gender they tell) and letter case aside; case counts in secrets."""
+def parts(kind: Column, e: Column) -> Column:
+    """The words of a name, the first with its form of address, as each is somebody's by itself; any other entity is one part."""
+    title = F.regexp_extract(e, rf"^({_TITLE}\s)", 1)
+    words = F.split(F.substr(e, F.length(title) + 1), " ")
+    return F.when(kind == "name", F.transform(words, lambda w, i: F.when(i == 0, F.concat(title, w)).otherwise(w))).otherwise(F.array(e))
+
+
+def gender(kind: Column, e: Column) -> Column:
+    """What the form of address tells of all parts of a name."""
+    says = lambda which: e.rlike("^(?:" + "|".join(which) + r")(?!\p{L})")
+    return F.when(kind != "name", "").when(says(FEMALE), "f:").when(says(NEITHER), "n:").otherwise("m:")
+
+
+def identity(kind: Column, e: Column, told: Column) -> Column:
+    """What mentions of one entity, or of one part of a name, have in common: separators, forms of address (but for the gender that is told) and letter case aside; case counts in secrets."""
     digits = F.regexp_replace(e, r"[^0-9]", "")
-    gender = F.when(e.rlike("^(?:" + "|".join(FEMALE) + r")(?!\p{L})"), "f:").otherwise("m:")
     return (
         F.when(kind == "phone", F.right(digits, F.lit(10)))  # a country code before the national number stays as it is
         .when(kind.isin("card", "national_id"), digits)
-        .when(kind == "name", F.concat(gender, F.lower(F.regexp_replace(e, rf"^{_TITLE}\s", ""))))
+        .when(kind == "name", F.concat(told, F.lower(F.regexp_replace(e, rf"^{_TITLE}\s", ""))))
         .when(kind == "iban", F.regexp_replace(e, " ", ""))
         .when(kind == "email", F.lower(e))
         .otherwise(e)
@@ -203,7 +223,8 @@ def in_format(kind: Column, mention: Column, core: Column) -> Column:
 def replace_entities(docs: DataFrame, key: str = KEY) -> DataFrame:
     """docs with doc_id and text -> the same columns with surrogates in text, and entities array<struct<kind, surrogate>>.
 
-    A column named entities gives way; any other name may stand beside these. The surrogate of an identity is the same in all documents. Each text is searched once; its pieces
+    A column named entities gives way; any other name may stand beside these. The surrogate of an identity is the same in all documents; given name and surname have one each,
+    so that a person stays one whether both are said or one. Each text is searched once; its pieces
     become a table. Texts without entities aren't shuffled; the others meet their surrogates by the hash of their text, so that copies share them, by joins
     of tables, which Spark may split where a text or an identity is frequent. Null text stays null, with no entities; so do empty texts. Texts of any length
     take time in proportion to it. Rows may repeat; equal texts get equal results; ids aren't looked at. No rows give no rows.
@@ -214,11 +235,17 @@ def replace_entities(docs: DataFrame, key: str = KEY) -> DataFrame:
     mentioned = F.filter("pieces", lambda p, i: i % 2 == 1)
     texts = cut.where("key IS NOT NULL").select("key", mentioned.alias("mentions")).dropDuplicates(["key"])
     mentions = texts.select("key", F.posexplode("mentions").alias("at", "mention")).withColumn("kind", entity_type(F.col("mention")))
-    mentions = materialize(mentions.withColumn("norm", identity(F.col("kind"), F.col("mention"))))
+    told = gender(F.col("kind"), F.col("mention")).alias("told")
+    mentions = mentions.select("key", "at", "kind", told, F.posexplode(parts(F.col("kind"), F.col("mention"))).alias("part", "mention"))
+    mentions = materialize(mentions.withColumn("norm", identity(F.col("kind"), F.col("mention"), F.col("told"))))
     cores = surrogates(mentions.select("kind", "norm").distinct(), key)
-    written = mentions.join(cores, ["kind", "norm"]).select("key", "at", "kind", in_format(F.col("kind"), F.col("mention"), F.col("core")).alias("surrogate"))
-    by_text = written.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("at", "kind", "surrogate"))).alias("found"))
-    by_text = materialize(by_text.select("key", F.transform("found", lambda e: F.struct(e["kind"].alias("kind"), e["surrogate"].alias("surrogate"))).alias("entities")))
+    written = mentions.join(cores, ["kind", "norm"]).select("key", "at", "part", "kind", in_format(F.col("kind"), F.col("mention"), F.col("core")).alias("surrogate"))
+    by_text = written.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("at", "part", "kind", "surrogate"))).alias("found"))
+    # the first part of each entity, and its other parts after it (a name has two at most)
+    following = lambda i: F.get(F.col("found"), i + 1)
+    whole = F.transform("found", lambda e, i: F.struct(e["part"].alias("part"), e["kind"].alias("kind"), F.concat(e["surrogate"], F.when(following(i)["part"] > 0, F.concat(F.lit(" "), following(i)["surrogate"])).otherwise("")).alias("surrogate")))
+    firsts = F.transform(F.filter(whole, lambda e: e["part"] == 0), lambda e: F.struct(e["kind"].alias("kind"), e["surrogate"].alias("surrogate")))
+    by_text = materialize(by_text.select("key", firsts.alias("entities")))
     discard(mentions)
     discard(cores)
     none = F.array().cast("array<struct<kind: string, surrogate: string>>")
