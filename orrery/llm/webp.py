@@ -621,13 +621,13 @@ def _literal_bits(px: np.ndarray, owner: np.ndarray, images: int) -> np.ndarray:
     return sum(_entropy(_histogram(c[:, j], owner, images)) for j in range(4))
 
 
-def _residuals(px: np.ndarray, first: np.ndarray, mode: int, width: int) -> np.ndarray:
-    """Pixels of images, one after the other, less their predictions by one mode; first: the place of each pixel in its image."""
+def _residuals(px: np.ndarray, at: np.ndarray, first: np.ndarray, mode: int, width: int) -> np.ndarray:
+    """Pixels in some places of images, which stand one after the other, less their predictions by one mode; first: the place of each in its image."""
     c = _channels(px).reshape(-1, 4)
-    shifted = lambda k: np.concatenate((np.zeros((min(k, len(c)), 4), dtype=np.uint8), c[: max(len(c) - k, 0)]))
-    left, top = shifted(1), shifted(width)
+    beside = lambda k: c[np.maximum(at - k, 0)]
+    left, top = beside(1), beside(width)
     if mode == 11:
-        corner = shifted(width + 1).astype(np.int16)
+        corner = beside(width + 1).astype(np.int16)
         p = predict(mode, left.astype(np.int16), top.astype(np.int16), corner, None, None, None).astype(np.uint8)
     else:
         p = (left if mode == 1 else top).copy()
@@ -635,7 +635,7 @@ def _residuals(px: np.ndarray, first: np.ndarray, mode: int, width: int) -> np.n
     edge = (first % width == 0) & (first > 0)
     p[edge] = top[edge]
     p[first == 0] = (0, 0, 0, 255)
-    return (c - p).view("<u4").ravel().astype(np.uint32)  # bytes wrap round
+    return (c[at] - p).view("<u4").ravel().astype(np.uint32)  # bytes wrap round
 
 
 def _cross_multipliers(px: np.ndarray, owner: np.ndarray, images: int) -> np.ndarray:
@@ -653,32 +653,36 @@ def _transformed(px: np.ndarray, owner: np.ndarray, first: np.ndarray, heights:
     from all rows of a lower image; what is chosen is then done to the whole one.
     """
     k = len(heights)
-    row = first // width
-    tried = (heights[owner] < 4) | (row % 4 == 1)
-    some, scale = owner[tried], heights / np.maximum(np.bincount(owner[tried], minlength=k) / width, 1)
-    size = lambda candidate: scale * _literal_bits(candidate[tried], some, k)
-    bits, plan = size(px), np.zeros((k, 2), dtype=np.int64)
-
-    def offer(candidate: np.ndarray, step: int, choice: int, bits: np.ndarray) -> np.ndarray:
+    tried = np.flatnonzero((heights[owner] < 4) | (first // width % 4 == 1))
+    some, place = owner[tried], first[tried]
+    scale = heights / np.maximum(np.bincount(some, minlength=k) / width, 1)
+    size = lambda candidate: scale * _literal_bits(candidate, some, k)
+    base = px[tried]
+    bits, plan = size(base), np.zeros((k, 2), dtype=np.int64)
+
+    def offer(candidate: np.ndarray, step: int, choice: int) -> np.ndarray:
+        """Which images choose it, so far."""
+        nonlocal bits
         new = size(candidate) + 8 * 24  # the transform's own image takes some bytes
-        plan[new < bits, step] = choice
-        return np.minimum(new, bits)
+        better = new < bits
+        plan[better, step] = choice
+        bits = np.where(better, new, bits)
+        return better
 
-    near = {mode: _residuals(px, first, mode, width) for mode in _MODES}
     for mode in _MODES:
-        bits = offer(near[mode], 0, mode, bits)
-    base = px.copy()
+        near = _residuals(px, tried, place, mode, width)
+        better = offer(near, 0, mode)[some]
+        base[better] = near[better]
+    offer(_ungreen(base[None], width, 0, None, -1)[0], 1, 1)
+    packed = _cross_multipliers(base, some, k)
+    offer(_crossed(base, packed[some]), 1, 2)
+    best = px.copy()
     for mode in _MODES:
-        mine = (plan[:, 0] == mode)[owner]
-        base[mine] = near[mode][mine]
-    green = _ungreen(base[None], width, 0, None, -1)[0]
-    bits = offer(green, 1, 1, bits)
-    packed = _cross_multipliers(base[tried], some, k)
-    offer(_crossed(base, packed[owner]), 1, 2, bits)
-    best, second = base, plan[owner, 1]
-    best[second == 1] = green[second == 1]
-    crossing = np.flatnonzero(second == 2)
-    best[crossing] = _crossed(base[crossing], packed[owner[crossing]])
+        at = np.flatnonzero((plan[:, 0] == mode)[owner])
+        best[at] = _residuals(px, at, first[at], mode, width)
+    green, crossing = (np.flatnonzero((plan[:, 1] == step)[owner]) for step in (1, 2))
+    best[green] = _ungreen(best[green][None], width, 0, None, -1)[0]
+    best[crossing] = _crossed(best[crossing], packed[owner[crossing]])
     heads = [[_predictor_bits(int(m))] * bool(m) + ([_green_bits()] if s == 1 else [_cross_bits(int(packed[i]))] if s == 2 else []) for i, (m, s) in enumerate(plan)]
     return best, heads
 
