@@ -290,7 +290,7 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, weighting:
 def keep_first(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """Rows of docs, one of each class: the one with the smallest id (of equal ids, the one whose text has the smallest hash).
 
-    Rows without an id, and those without words, all stay but for repeated ones: of rows with equal id and text one stays, the first by its other columns.
+    Rows without an id all stay, repeated ones too. Those without words stay but for repeated ones: of rows with equal id and text one stays, the first by its other columns.
     Rows with equal id and different texts are told apart. No rows give no rows; columns of any name may stand beside doc_id and text.
     """
     signed, found = classes(docs, similarity)

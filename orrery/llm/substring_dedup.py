@@ -222,8 +222,17 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, shard_bytes: int = SHA
 
     total = docs.select(F.sum(F.octet_length("text"))).first()[0] or 0
     n_shards = max(8, -(-total // shard_bytes))
-    shard = F.pmod(F.xxhash64("doc_id"), F.lit(n_shards)).cast("int").alias("shard")
-    needed = found.select(shard, *key, "doc_id").groupBy("shard", *key).agg(F.max("doc_id").alias("last")).join(sources, key)
+    # an id of so many rows that their texts are more than a shard's is in as many pieces, each of which gets the id's passages
+    sized = docs.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + 1).alias("size"), F.count(F.lit(1)).alias("n"))
+    many = materialize(sized.where((F.col("n") > 1) & (F.col("size") > shard_bytes)).select(F.col("doc_id").alias("id__"), F.ceil(F.col("size") / shard_bytes).cast("int").alias("pieces")))
+    shard = F.pmod(F.xxhash64("doc_id", "piece"), F.lit(n_shards)).cast("int").alias("shard")
+    rows, asked = docs.where("doc_id IS NOT NULL").select("doc_id", "text", F.lit(0).alias("piece")), found.withColumn("piece", F.lit(0))
+    if not many.isEmpty():
+        several = F.col("doc_id") == F.col("id__")
+        dealt = docs.select("doc_id", "text").join(many, several).select("doc_id", "text", F.pmod(F.monotonically_increasing_id(), F.col("pieces").cast("long")).cast("int").alias("piece"))
+        rows = rows.join(many, several, "left_anti").unionByName(materialize(dealt))  # a table, as the pieces must stay what they are
+        asked = asked.drop("piece").join(many, several, "left").withColumn("piece", F.explode(F.sequence(F.lit(0), F.coalesce("pieces", F.lit(1)) - 1)))
+    needed = asked.select(shard, *key, "doc_id").groupBy("shard", *key).agg(F.max("doc_id").alias("last")).join(sources, key)
     placed = needed.join(places, ["phrase", "from"]).where(F.col("doc_id") < F.col("last"))  # a shard needs no passage of a document that none of its own comes after
     placed = placed.groupBy("shard", "doc_id", "run").agg(F.collect_set("place").alias("places"))
     routed = placed.join(runs.select("doc_id", "run", "passage"), ["doc_id", "run"]).select("shard", "doc_id", "places", "passage")
@@ -246,8 +255,15 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, shard_bytes: int = SHA
             rows["kept_text"].append(" ".join(words))
         return pa.table(rows, schema=out)
 
-    left = docs.select(shard, "doc_id", "text").groupBy("shard")
-    return left.cogroup(routed.groupBy("shard")).applyInArrow(locate, "doc_id long, n_words long, spans array<struct<start: int, stop: int>>, kept_text string")
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        nothing = pa.table({"doc_id": pa.array([], pa.int64()), "places": pa.array([], pa.list_(pa.int64())), "passage": pa.array([], pa.string())})
+        for batch in batches:
+            yield from locate(pa.Table.from_batches([batch]), nothing).to_batches()
+
+    kinds = "doc_id long, n_words long, spans array<struct<start: int, stop: int>>, kept_text string"
+    left = rows.select(shard, "doc_id", "text").groupBy("shard")
+    without_id = docs.where("doc_id IS NULL").select(F.col("doc_id").cast("long").alias("doc_id"), "text")  # these keep all, wherever they are
+    return left.cogroup(routed.groupBy("shard")).applyInArrow(locate, kinds).unionByName(without_id.mapInArrow(whole, kinds))
 
 
 def digest(found: DataFrame) -> DataFrame:

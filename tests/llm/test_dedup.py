@@ -3,6 +3,7 @@ import random
 from collections import defaultdict
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from orrery.llm import line_dedup, near_dedup, substring_dedup
 from orrery.llm.common import Words, text_chunks
@@ -183,6 +184,22 @@ def test_null_ids_keep_all(spark):
     assert sorted((r.doc_id or 0, len(r.spans)) for r in substring_dedup.remove_repeats(docs).collect()) == [(0, 0), (1, 0), (2, 1)]
 
 
+def test_rows_of_one_id_or_none_are_in_many_tasks(spark):
+    rng = random.Random(8)
+    passage, own = _sentence(rng, 60), _sentence(rng, 55)
+    first = spark.createDataFrame([(1, passage), (2, f"before {passage} after"), (9, f"again {own}")], "doc_id long, text string")
+    none = spark.range(100_000, numPartitions=8).select(F.lit(None).cast("long").alias("doc_id"), F.lit(passage).alias("text"))
+    same = spark.range(600).select(F.lit(7).cast("long").alias("doc_id"), F.concat(F.lit(f"{passage} "), F.when(F.col("id") % 2 == 0, F.lit(own)).otherwise("")).alias("text"))
+    found = substring_dedup.remove_repeats(first.union(same).union(none), shard_bytes=20_000).withColumn("task", F.spark_partition_id()).cache()
+    assert found.count() == 100_603
+    for which in ("doc_id IS NULL", "doc_id = 7"):
+        rows = found.where(which)
+        assert rows.select("task").distinct().count() > 1 and rows.groupBy("task").count().agg(F.max("count")).first()[0] < 0.8 * rows.count()
+    assert found.where("doc_id IS NULL AND size(spans) > 0").count() == 0
+    kept = {(r.doc_id, r.kept_text) for r in found.where("doc_id IS NOT NULL").select("doc_id", "kept_text").distinct().collect()}
+    assert kept == {(1, passage), (2, "before after"), (7, own), (7, ""), (9, "again")}
+
+
 def test_lines_of_long_and_repeated_rows(spark):
     common = [f"common {k}" for k in range(300)]
     long = "\n".join(x for k in range(3000) for x in (common[k % 300], f"own {k}"))
