@@ -33,14 +33,17 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def discard(df: DataFrame) -> None:
-    """Delete a materialized table that no later plan reads."""
+def _folders(df: DataFrame) -> set[str]:
+    return {f.rsplit("/", 1)[0] for f in df.inputFiles() if "/tables/" in f.rsplit("/", 1)[0]}
+
+
+def discard(df: DataFrame, *kept: DataFrame) -> None:
+    """Delete the materialized tables that df reads, but for those that kept ones read too. No later plan may read them."""
     jvm = df.sparkSession.sparkContext._jvm
     conf = df.sparkSession.sparkContext._jsc.hadoopConfiguration()
-    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        if "/tables/" in folder:
-            path = jvm.org.apache.hadoop.fs.Path(folder)
-            path.getFileSystem(conf).delete(path, True)
+    for folder in _folders(df) - set().union(*map(_folders, kept)):
+        path = jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(conf).delete(path, True)
 
 
 def numbered(df: DataFrame, shard: str, order: list[str], name: str, start: int = 0) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numbers import cauchy
-from ..functions.tables import materialize, numbered
+from ..functions.tables import discard, materialize, numbered
 from .neighbours import BLOCK_ROWS, block_pairs
 from .quadtree import barnes_hut, bounding_square, quadtree  # noqa: F401  part of this module's interface
 
@@ -103,11 +103,14 @@ def run(start: DataFrame, p: DataFrame, steps: int, negative=negative_exact, thr
     state = materialize(start.select("id", "x", "y", F.col("x").alias("px"), F.col("y").alias("py")))
     smooth: list[float] = []
     for number in range(1, steps + 1):
-        state = materialize(step(state, p, number, negative))
+        stepped = step(state, p, number, negative)
+        state = materialize(stepped)
+        discard(stepped, p)  # the state before it, and what the forces were found from
         moved = displacement(state).first()[0]
         smooth.append(moved if not smooth else 0.9 * smooth[-1] + 0.1 * moved)
         if smooth[-1] < threshold:
             break
+    discard(p)
     return state, smooth
 
 
@@ -160,7 +163,9 @@ def compare(a: DataFrame, b: DataFrame) -> DataFrame:
 
 
 def negative_barnes_hut(points: DataFrame, theta: float = 0.6, bucket: int = 100) -> DataFrame:
-    r = materialize(barnes_hut(points, theta, bucket))
+    found = barnes_hut(points, theta, bucket)
+    r = materialize(found)
+    discard(found, points)
     z = r.agg(F.sum("z").alias("total"))
     return r.crossJoin(F.broadcast(z)).select("i", (-4 * F.col("fx") / F.col("total")).alias("gx"), (-4 * F.col("fy") / F.col("total")).alias("gy"))
 

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numbers import with_phong
-from ..functions.tables import materialize
+from ..functions.tables import discard, materialize
 from . import volumes
 from .intervals import within
 from .volumes import AXES, trilinear
@@ -108,7 +108,9 @@ def bisect(crossing: DataFrame, clipped: DataFrame, voxels: DataFrame, dims: tup
         places = mid.select("px", "py", *((F.col(f"o{a}") + F.col("m") * F.col(f"d{a}")).alias(f"s{a}") for a in AXES))
         seen = state.join(trilinear(places, voxels, dims, ["px", "py"]), ["px", "py"]).withColumn("m", (F.col("a") + F.col("b")) / 2)
         done = F.col("t").isNotNull()
-        state = materialize(seen.select("px", "py", F.when(~done & (F.col("val") <= iso), F.col("m")).otherwise(F.col("a")).alias("a"), F.when(~done & (F.col("val") > iso), F.col("m")).otherwise(F.col("b")).alias("b"), F.when(~done & (F.abs(F.col("val") - iso) < close), F.col("m")).otherwise(F.col("t")).alias("t")))
+        before, state = state, materialize(seen.select("px", "py", F.when(~done & (F.col("val") <= iso), F.col("m")).otherwise(F.col("a")).alias("a"), F.when(~done & (F.col("val") > iso), F.col("m")).otherwise(F.col("b")).alias("b"), F.when(~done & (F.abs(F.col("val") - iso) < close), F.col("m")).otherwise(F.col("t")).alias("t")))
+        discard(before, crossing)
+    discard(rays_)
     return state.select("px", "py", F.coalesce("t", (F.col("a") + F.col("b")) / 2).alias("t"))
 
 
