@@ -308,6 +308,8 @@ for _i in range(15):
 def canonical_all(lengths: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Symbols of several codes, in the order of owner (0, 1, ...), then of symbols, with their lengths: the order within each code, and each symbol's
     code as it stands in the stream, the first bit lowest. Codes start where the lengths before them end, in units of the longest length."""
+    if not len(lengths):  # as where no image has a copy
+        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
     order = np.lexsort((np.arange(len(lengths)), lengths, owner))
     step = (1 << 15) >> lengths[order]
     before = np.cumsum(step) - step

@@ -124,3 +124,26 @@ def test_operator(spark):
     assert webp.read_media(webp.store_texts(docs.limit(0))).count() == 0
     broken = spark.createDataFrame([(1, 0, b"nothing"), (2, 0, None)], "doc_id long, n_bytes long, media binary")
     assert all(r.error and r.pixels is None for r in webp.read_media(broken).collect())
+
+
+def test_an_image_without_copies_alone():
+    for n in (1, 7, 16):
+        payload = np.random.default_rng(n).integers(0, 256, 576 * n, dtype=np.uint8).tobytes()
+        assert webp.decode_payloads(webp.encode_payloads([payload])) == [(payload, n)]
+
+
+def test_smooth_payloads_get_transforms_whatever_stands_beside_them():
+    """Every image is offered all transforms: slopes get a predictor, like channels subtract-green, text neither; all come back."""
+    rng = np.random.default_rng(3)
+    slope = (np.arange(144)[None, :, None] + np.arange(16)[:, None, None] * 3 + rng.integers(0, 3, (16, 144, 1)) + [0, 0, 0, 0]).astype(np.uint8)
+    alike = np.repeat(rng.integers(0, 256, (16, 144, 1)), 4, axis=2).astype(np.uint8)
+    leaning = alike.copy()
+    leaning[..., 2] = (leaning[..., 1].view(np.int8).astype(int) * 3 // 4).astype(np.uint8)
+    text = b" ".join(b"word%d" % k for k in rng.integers(0, 300, 1500))[: 576 * 16]
+    payloads = [slope.tobytes(), alike.tobytes(), leaning.tobytes(), text]
+    raw = [np.frombuffer(p, dtype="<u4").astype(np.uint32) for p in payloads]
+    px, owner, first = np.concatenate(raw), np.repeat(np.arange(4), 144 * 16), np.tile(np.arange(144 * 16), 4)
+    _, heads = webp._transformed(px, owner, first, np.full(4, 16), 144)
+    assert [bool(h) for h in heads] == [True, True, True, False]
+    assert [b for b, _ in webp.decode_payloads(webp.encode_payloads(payloads))] == payloads
+    assert len(webp.encode_payloads(payloads[:1])[0]) < 0.35 * len(payloads[0])
