@@ -27,7 +27,7 @@ TYPES = {
     "phone": rf"\+?[0-9]{{1,3}}[ .-]?\([0-9]{{2,4}}\)[ .-]?[0-9]{{3,4}}[ .-]?[0-9]{{3,4}}{_R}|\([0-9]{{3}}\) ?[0-9]{{3}}[ .-][0-9]{{4}}{_R}|{_L}[0-9]{{3}}[.-][0-9]{{3}}[.-][0-9]{{4}}{_R}|\+[0-9]{{1,3}}(?:[ .-]?[0-9]{{2,4}}){{2,5}}{_R}|{_L}0[0-9]{{2,4}} [0-9]{{3,4}} [0-9]{{3,4}}{_R}",
     "national_id": rf"{_L}[0-9]{{3}}-[0-9]{{2}}-[0-9]{{4}}{_R}",
     "ip": rf"{_L}(?:[0-9]{{1,3}}\.){{3}}[0-9]{{1,3}}{_R}",
-    "name": rf"{_L}{_TITLE}\s{_SURNAME}(?: {_SURNAME})?|{_L}mrs?\.?\s\p{{Ll}}\p{{L}}++",
+    "name": rf"{_L}{_TITLE}\s{_SURNAME}(?: {_SURNAME})?|{_L}mrs?\.?\s(?!(?:and|or|und|oder|et|ou|y|o)(?!\p{{L}}))\p{{Ll}}\p{{L}}++",
 }
 PATTERN = "|".join(f"(?:{p})" for p in TYPES.values())
 #: Further draws in the format of the identity for surrogates that collide; each draw after them is a character longer.
