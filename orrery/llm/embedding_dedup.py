@@ -245,8 +245,10 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, width: int = WID
     settled = materialize(placed.join(firsts, "label").select("key", "n_links", "component_id"))
     for table in (nodes, labels, counted, placed, firsts):
         discard(table)
-    component = F.coalesce("component_id", "vec_id")
-    return keyed.join(settled, "key", "left").select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.col("vec_id").eqNullSafe(component).alias("kept"))
+    # rows without a key are many perhaps; they meet nothing
+    met = keyed.where("key IS NOT NULL").join(settled, "key").select("vec_id", "n_links", "component_id")
+    lone = keyed.where("key IS NULL").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
+    return met.unionByName(lone).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
 
 
 def keep_first(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:

@@ -11,13 +11,13 @@ def by_hand(rows, cosine=0.9):
     """All pairs: (vec_id, n_links, component_id, kept) in the order of rows."""
     ok = [i for i, (k, v) in enumerate(rows) if k is not None and v and all(x is not None and np.isfinite(x) for x in v) and any(v)]
     links = {i: set() for i in range(len(rows))}
-    for i in ok:
-        for j in ok:
-            a, b = rows[i][1], rows[j][1]
-            if i != j and len(a) == len(b):
-                a, b = (np.array(x) / np.linalg.norm(x) for x in (a, b))
-                if a @ b >= cosine:
-                    links[i].add(j)
+    for n in {len(rows[i][1]) for i in ok}:
+        mine = [i for i in ok if len(rows[i][1]) == n]
+        v = np.array([rows[i][1] for i in mine])
+        v /= np.linalg.norm(v, axis=1, keepdims=True)
+        for a, b in np.argwhere(v @ v.T >= cosine).tolist():
+            if a != b:
+                links[mine[a]].add(mine[b])
     out = []
     for i, (k, _) in enumerate(rows):
         seen, todo = {i}, [i]
