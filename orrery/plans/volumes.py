@@ -233,13 +233,13 @@ def occ_class(spark: SparkSession, d: str) -> DataFrame:
     return _classed(spark, d).select("path", "class")
 
 
-@query(with_(TREE, "SELECT path, (row_number() OVER (PARTITION BY substr(path, 1, length(path) - 1) ORDER BY pow((x0 + x1) / 2.0 - 10, 2) + pow((y0 + y1) / 2.0 - 20, 2) + pow((z0 + z1) / 2.0 - 30, 2) DESC, path))::BIGINT AS place FROM cl WHERE path <> '' AND n_full > 0"))
+@query(with_(TREE, "SELECT path, (row_number() OVER (PARTITION BY substr(path, 1, length(path) - 1) ORDER BY pow((x0 + x1) / 2.0 - 10, 2) + pow((y0 + y1) / 2.0 - 20, 2) + pow((z0 + z1) / 2.0 - 30, 2) DESC, path))::BIGINT AS place, n_empty::BIGINT AS n_empty, n_full::BIGINT AS n_full, class::INT AS class FROM cl WHERE path <> ''"))
 def occ_sort(spark: SparkSession, d: str) -> DataFrame:
-    """Of each box, the children with a full leaf, the farthest from an eye first."""
+    """Of each box, all eight children with what they hold, the farthest from an eye first, full or not."""
     centre = lambda a: (F.col(f"{a}0") + F.col(f"{a}1")) / 2.0
     far = F.pow(centre("x") - 10, 2) + F.pow(centre("y") - 20, 2) + F.pow(centre("z") - 30, 2)
-    boxes = _classed(spark, d).where("path <> '' AND n_full > 0").withColumn("parent", F.expr("substr(path, 1, length(path) - 1)"))
-    return boxes.select("path", F.row_number().over(Window.partitionBy("parent").orderBy(far.desc(), "path")).cast("long").alias("place"))
+    boxes = _classed(spark, d).where("path <> ''").withColumn("parent", F.expr("substr(path, 1, length(path) - 1)"))
+    return boxes.select("path", F.row_number().over(Window.partitionBy("parent").orderBy(far.desc(), "path")).cast("long").alias("place"), "n_empty", "n_full", "class")
 
 
 @query(with_(TREE, """SELECT (row_number() OVER (ORDER BY CASE WHEN front = 0 THEN path ELSE path || '~' END))::BIGINT AS seq, path, front::INT AS front, class::INT AS class

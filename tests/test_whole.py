@@ -1,6 +1,7 @@
 """Queries that leave no row of their tables out."""
 
 import numpy as np
+import pytest
 
 from orrery.plans import catalog
 
@@ -60,3 +61,39 @@ def test_the_grid_of_the_reference(spark):
     assert np.allclose([r.p0 for r in run("fit_potentials_32").orderBy("id").collect()], (q**2).sum(1), atol=1e-3)
     w = run("fit_w_32").collect()
     assert max(r.nx for r in w) > 100 and np.allclose([sum(r.w0 for r in w), sum(r.w1 for r in w)], [len(p), p[:, 0].sum()], atol=1e-2)
+
+
+def boxes_below(path, box):
+    """(path, box, whether a leaf) of a box and all below it, split in the middle until a side is 2 or shorter."""
+    leaf = min(high - low for low, high in box) <= 2
+    yield path, box, leaf
+    if not leaf:
+        for k in range(8):
+            halves = [((low + high) // 2, high) if k >> a & 1 else (low, (low + high) // 2) for a, (low, high) in enumerate(box)]
+            yield from boxes_below(f"{path}{k}", halves)
+
+
+@pytest.mark.parametrize("even", [False, True])
+def test_every_child_is_sorted(spark, tmp_path, even):
+    d = D
+    if even:  # a line item in each voxel: no leaf is full
+        rows = [(x + 1.0, y / 100, z / 100) for x in range(50) for y in range(11) for z in range(9)]
+        d = str(tmp_path)
+        spark.createDataFrame(rows, "l_quantity double, l_discount double, l_tax double").write.parquet(f"{d}/lineitem.parquet")
+    val = np.zeros((50, 11, 9))
+    for r in catalog.QUERIES["voxel_grid"](spark, d).collect():
+        val[r.x, r.y, r.z] = r.val
+    iso = np.floor(val.mean() + 2.2 * val.std()) + 0.5
+    boxes = {path: (box, leaf) for path, box, leaf in boxes_below("", [(0, 50), (0, 11), (0, 9)])}
+    inside = {path: val[tuple(slice(*side) for side in box)] for path, (box, leaf) in boxes.items() if leaf}
+    full = {path: bool(v.min() <= iso <= v.max()) for path, v in inside.items()}
+    far = {path: sum(((low + high) / 2 - eye) ** 2 for (low, high), eye in zip(box, (10, 20, 30), strict=True)) for path, (box, _) in boxes.items()}
+    want = set()
+    for parent, (_, leaf) in boxes.items():
+        children = [] if leaf else sorted((f"{parent}{k}" for k in range(8)), key=lambda path: (-far[path], path))
+        for place, path in enumerate(children, 1):
+            below = [f for p, f in full.items() if p.startswith(path)]
+            want.add((path, place, below.count(False), below.count(True), int(below.count(False) <= below.count(True))))
+    got = [tuple(r) for r in catalog.QUERIES["occ_sort"](spark, d).collect()]
+    assert len(got) == len(boxes) - 1 == 168 and set(got) == want
+    assert any(n_full for _, _, _, n_full, _ in got) != even
